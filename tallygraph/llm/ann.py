@@ -116,11 +116,12 @@ def _search(classes: DataFrame, asked: DataFrame, n: int, k: int, curves: int, w
         F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / BLOCK)), F.least(F.lit(last), F.floor((F.col("rank") + reach) / BLOCK)))).alias("block"),
     )
     vecs = classes.select("node", "vec", "first")
-    left = visits.join(vecs.drop("first"), "node").select("curve", "block", "node", "vec")
-    right = ranks.join(vecs, "node").select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), "node", "vec", "first")
+    left = visits.join(vecs, "node").select("curve", "block", "node", "vec", "first", F.lit(True).alias("asks"))
+    right = ranks.join(vecs, "node").select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), "node", "vec", "first", F.lit(False).alias("asks"))
     kept = k + 1  # the query's own class may be among them
 
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def best(both: pd.DataFrame) -> pd.DataFrame:
+        q, c = both[both["asks"]], both[~both["asks"]]
         out = []
         if len(q) and len(c):
             x, y = np.array(q.vec.tolist()), np.array(c.vec.tolist())
@@ -136,7 +137,7 @@ def _search(classes: DataFrame, asked: DataFrame, n: int, k: int, curves: int, w
         return pd.DataFrame(out, columns=["qnode", "nodes", "scores", "firsts"])
 
     lists = "qnode long, nodes array<long>, scores array<double>, firsts array<long>"
-    found = left.groupBy("curve", "block").cogroup(right.groupBy("curve", "block")).applyInPandas(best, lists)
+    found = left.union(right).groupBy("curve", "block").applyInPandas(best, lists)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, at = np.unique(np.concatenate(pdf.nodes.tolist()), return_index=True)

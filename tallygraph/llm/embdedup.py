@@ -154,7 +154,8 @@ def _join_width(classes: DataFrame, cosine: float) -> DataFrame:
     )
     cols = ["cell", "i", "j", "node", "many", "vec"]
 
-    def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def join(both: pd.DataFrame) -> pd.DataFrame:
+        a, b = both[both["home"]], both[~both["home"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "n": []})
         xa, xb = unit(a.vec), unit(b.vec)
@@ -177,7 +178,8 @@ def _join_width(classes: DataFrame, cosine: float) -> DataFrame:
             pd.DataFrame({"a": nodes[[x for x, _ in star]], "b": pd.array(nodes[[y for _, y in star]], dtype="Int64"), "n": pd.array([pd.NA] * len(star), dtype="Int64")}),
         ])
 
-    return left.select(cols).groupBy("cell", "i", "j").cogroup(right.select(cols).groupBy("cell", "i", "j")).applyInPandas(join, "a long, b long, n long")
+    both = left.select(*cols, F.lit(True).alias("home")).union(right.select(*cols, F.lit(False).alias("home")))
+    return both.groupBy("cell", "i", "j").applyInPandas(join, "a long, b long, n long")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,13 @@ def _spans(rows: DataFrame, text: str, patterns: list[tuple[str, Column | None]]
     rows = rows.withColumns({f"__hit{i}": F.when(F.regexp_like(t, F.lit(p)), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for i, (p, _) in enumerate(patterns)})
     rows = rows.withColumns({f"__gap{i}": F.when(F.size(f"__hit{i}") > 0, F.transform(F.split(t, patterns[i][0], -1), F.char_length)).otherwise(F.array().cast("array<int>")) for i in n})
     # A gap and the match after it; the last gap has none.
-    rows = rows.withColumns({f"__two{i}": F.zip_with(F.slice(f"__gap{i}", F.lit(1), F.size(f"__hit{i}")), f"__hit{i}", lambda g, h, i=i: F.struct(g.alias("gap"), F.char_length(h).alias("len"), (F.lit(True) if patterns[i][1] is None else patterns[i][1](h)).alias("keep"))) for i in n})
+
+    def two(i: int) -> Column:
+        keep = patterns[i][1] or (lambda h: F.lit(True))
+        pair = lambda g, h: F.struct(g.alias("gap"), F.char_length(h).alias("len"), keep(h).alias("keep"))
+        return F.zip_with(F.slice(f"__gap{i}", F.lit(1), F.size(f"__hit{i}")), f"__hit{i}", pair)
+
+    rows = rows.withColumns({f"__two{i}": two(i) for i in n})
 
     def located(i: int) -> Column:
         two = F.col(f"__two{i}")
