@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .operators import graph
+from .plans.declared import Q
+from .sources.adapters import duck_sql, spark_sql
+from .streaming import twins
+
+QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
+ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
+for _part in (graph, twins):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}
