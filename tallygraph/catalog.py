@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .operators import graph
-from .plans.declared import Q
+from .plans import declared, workflow
 from .sources.adapters import duck_sql, spark_sql
 from .streaming import twins
 
+Q = declared.Q | workflow.Q
+
 QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
 ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
 for _part in (graph, twins):
