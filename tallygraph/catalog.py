@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import graph
+from .operators import folds, graph
 from .plans import declared, workflow
 from .sources.adapters import duck_sql, spark_sql
 from .streaming import twins
@@ -11,6 +11,6 @@ Q = declared.Q | workflow.Q
 
 QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
 ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
-for _part in (graph, twins):
+for _part in (graph, folds, twins):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}
