@@ -6,12 +6,15 @@ from .operators import communities, folds, graph
 from .plans import declared, workflow
 from .sources import graphio
 from .sources.adapters import duck_sql, spark_sql
-from .streaming import twins
+from .streaming import stateful, twins
 
 Q = declared.Q | workflow.Q
 
 QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
 ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
-for _part in (graph, folds, communities, graphio, twins):
+for _part in (graph, folds, communities, graphio, twins, stateful):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}
+
+# the stream of calls gives what windows give over the whole ledger
+ORACLE_SQL["st3_stream_calls"] = ORACLE_SQL["st3_unseen_by_call"]

@@ -148,3 +148,17 @@ SELECT path, flags, @INT[row_number() OVER (ORDER BY path)] - 1 AS idx FROM n"""
 Q["g19_decorated"] = "WITH t AS (SELECT 'p' || k AS node, count(*) AS n FROM ledger GROUP BY k) SELECT DISTINCT e.dst AS node, coalesce(t.n, 0) AS touches FROM dep e LEFT JOIN t ON t.node = e.dst"
 Q["g20_miss"] = "WITH q AS (SELECT 'p3' AS node UNION ALL SELECT 'nope' AS node) SELECT q.node, CASE WHEN count(e.src) = 0 THEN 'not in the graph' ELSE 'found' END AS state, count(e.src) AS edges FROM q LEFT JOIN dep e ON e.dst = q.node GROUP BY q.node"
 Q["st5_recent_tail"] = "SELECT l.seq, l.scope FROM ledger l JOIN (SELECT scope, max(ts) AS newest FROM ledger GROUP BY scope) m ON m.scope = l.scope WHERE l.ts > m.newest - 86400"
+
+# --- overlays on the graph and live state ----------------------------------
+_CROWD = """c AS (SELECT 'p' || k AS node, usr, max(1706745600 - ts) AS age FROM ledger WHERE kind = 'intent_declared' GROUP BY k, usr), cn AS (SELECT DISTINCT node FROM c),
+d1 AS (SELECT DISTINCT src, dst FROM dep WHERE src <> dst), h AS (SELECT node, node AS other, 0 AS hop FROM cn UNION ALL SELECT cn.node, d1.src AS other, 1 AS hop FROM cn JOIN d1 ON d1.dst = cn.node
+UNION ALL SELECT cn.node, y.src AS other, 2 AS hop FROM cn JOIN d1 x ON x.dst = cn.node JOIN d1 y ON y.dst = x.src)"""
+Q["g11_breaking_overlay"] = f"""WITH {_CROWD}, b AS (SELECT 'p' || k AS node, seq, CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS verified FROM ledger WHERE kind = 'gate_block'),
+r AS (SELECT h.other AS node, h.hop, b.seq, row_number() OVER (PARTITION BY h.other ORDER BY h.hop, b.seq) AS rn FROM b JOIN h ON h.node = b.node WHERE b.verified = 0) SELECT node, hop, seq FROM r WHERE rn = 1"""
+Q["g12_pressure"] = f"""WITH {_CROWD}, a AS (SELECT h.node, c.usr, min(h.hop) AS hop FROM h JOIN c ON c.node = h.other GROUP BY h.node, c.usr),
+w AS (SELECT node, sum(CASE hop WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 3 END) - 10 AS crowd FROM a GROUP BY node), o AS (SELECT node, max(age) AS age FROM c GROUP BY node), s AS (SELECT 'p' || k AS node, count(*) AS n FROM ledger WHERE kind = 'gate_block' GROUP BY k)
+SELECT w.node, round(1 - exp(-(CAST(w.crowd AS DOUBLE) / 10) * (1 + least(o.age / 900, 1)) * (1 + least(CAST(coalesce(s.n, 0) AS DOUBLE) / 4, 1)) / 2), 2) AS pressure FROM w JOIN o ON o.node = w.node LEFT JOIN s ON s.node = w.node WHERE w.crowd > 0"""
+Q["st3_unseen_by_call"] = """WITH r AS (SELECT seq, scope, usr, kind, count(*) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foreign_rows FROM ledger),
+c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, 15) END AS shown FROM c"""
+Q["st11_hand_off"] = """WITH t AS (SELECT seq, path, usr, ts, kind, min(CASE WHEN kind = 'check_performed' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS taker FROM ledger)
+SELECT t.seq, CASE WHEN l.ts - t.ts <= 86400 THEN l.seq END AS taken_by FROM t LEFT JOIN ledger l ON l.seq = t.taker WHERE t.kind = 'gate_block'"""
