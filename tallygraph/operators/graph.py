@@ -4,6 +4,7 @@ co-change, and similar tasks."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,14 @@ from ..sources.adapters import view
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.  A checkpoint keeps
+    the orderings of its plan, which multiply from round to round."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def blast_radius(edges: DataFrame, start: str, depth: int, back: bool = True) -> DataFrame:
