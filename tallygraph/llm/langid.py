@@ -27,6 +27,9 @@ ORDER = 5
 SAMPLE = 500
 #: Held out of the fit: crc32 of the id as text, modulo 3, is 1.
 HOLD_OUT = (3, 1)
+#: Characters of all languages' names together, and rows, up to which the shares
+#: are broadcast; beyond that the join shuffles.
+BROADCAST_CHARS, BROADCAST_ROWS = 1 << 20, 1 << 14
 #: Characters scored at a time.
 SPAN = 1 << 20
 PAD, SPACE = 0, 32
@@ -221,8 +224,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     spark = common.configure(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~common.held_out("id", *HOLD_OUT))
-    # one row per language
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("share"))
+    # one row per language, so texts stay where they are if these are few
+    share = common.cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("share")))
+    rows, chars = share.agg(F.count("*"), F.coalesce(F.sum(F.length("lang")), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        share = F.broadcast(share)
     part = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(F.col("text").isNotNull()).join(share, "lang").where(part < F.col("share"))
     sample = common.cut(sample.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) == 0).alias("later")))
