@@ -73,7 +73,7 @@ def parse_events(parses: DataFrame) -> DataFrame:
     """``fold_parses`` per (usr, path) of rows (usr, path, seq, ts, status,
     symbols as JSON {name: [signature, hash]})."""
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         rows = fold_parses((s, t, st, {k: tuple(v) for k, v in json.loads(x or "{}").items()}) for s, t, st, x in zip(pdf["seq"], pdf["ts"], pdf["status"], pdf["symbols"]))
         return pd.DataFrame([(*key, *r) for r in rows], columns=["usr", "path", "seq", "symbol", "kind", "confidence", "detail"])

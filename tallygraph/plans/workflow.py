@@ -8,6 +8,8 @@ pre-aggregated row per name, so no name that many files share multiplies rows.
 
 from __future__ import annotations
 
+from ..functions.text import machine_folder, repo_key, repo_name, repo_owner
+
 Q: dict[str, str] = {}
 
 # --- predicates and projections -------------------------------------------
@@ -162,3 +164,13 @@ Q["st3_unseen_by_call"] = """WITH r AS (SELECT seq, scope, usr, kind, count(*) O
 c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, 15) END AS shown FROM c"""
 Q["st11_hand_off"] = """WITH t AS (SELECT seq, path, usr, ts, kind, min(CASE WHEN kind = 'check_performed' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS taker FROM ledger)
 SELECT t.seq, CASE WHEN l.ts - t.ts <= 86400 THEN l.seq END AS taken_by FROM t LEFT JOIN ledger l ON l.seq = t.taker WHERE t.kind = 'gate_block'"""
+
+# --- repository keys and the traffic gate -----------------------------------
+_IDS = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'git@Host.com:' || regexp_extract(url, '://([^?#]*)', 1) || '.git/' WHEN 2 THEN '  ' || upper(url) || '#main ' WHEN 3 THEN 'local/App' WHEN 4 THEN 'C:' || chr(92) || 'src' || chr(92) || 'App'
+WHEN 5 THEN regexp_extract(url, '://[^/]*(/[^?#]*)', 1) ELSE 'ssh://' || regexp_extract(url, '://([^?#]*)', 1) END AS id FROM pages) t"""
+Q["f9_repo_keys"] = f"SELECT page_id, {repo_name('id')} AS name, {repo_key('id')} AS rkey, {repo_owner('id')} AS owner, {machine_folder('id')} AS machine FROM {_IDS}"
+_GATE = """g AS (SELECT DISTINCT scope, root AS grp, path FROM ledger WHERE usr = 'u3' AND kind = 'edit_reported'), live AS (SELECT DISTINCT scope, usr, path, ts >= 1706000000 AS late FROM ledger
+WHERE usr <> 'u3' AND kind IN ('intent_declared', 'gate_block') AND ts >= 1705400000), b AS (SELECT DISTINCT g.scope, g.grp, live.usr, live.late FROM g JOIN live ON live.scope = g.scope AND live.path = g.path)"""
+Q["g15_gate"] = f"""WITH {_GATE}, w AS (SELECT * FROM b WHERE late) SELECT n.scope, n.grp, CASE WHEN count(w.usr) = 0 THEN 'run_now' ELSE 'hold' END AS verdict, @SL[w.usr] AS blocked_by
+FROM (SELECT DISTINCT scope, grp FROM g) n LEFT JOIN w ON w.scope = n.scope AND w.grp = n.grp GROUP BY n.scope, n.grp"""
+Q["g15_released"] = f"WITH {_GATE} SELECT scope, grp, @SS[usr] AS freed_by FROM b GROUP BY scope, grp HAVING count_if(late) = 0"

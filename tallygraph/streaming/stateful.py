@@ -24,10 +24,10 @@ _KIND = "CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN '
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger as a stream (seq, scope, usr, path, kind)."""
+    """The ledger as a stream (seq, ts, scope, usr, path, kind)."""
     k = "get_json_object(props, '$.k')"
     return _events(spark, sf_dir).selectExpr(
-        "event_id AS seq", "concat('ws:r', CAST(user_id % 4 AS STRING)) AS scope", "concat('u', CAST(user_id AS STRING)) AS usr",
+        "event_id AS seq", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts", "concat('ws:r', CAST(user_id % 4 AS STRING)) AS scope", "concat('u', CAST(user_id AS STRING)) AS usr",
         f"concat('d', CAST(CAST({k} AS BIGINT) % 8 AS STRING), '/f', {k}, '.py') AS path", f"{_KIND} AS kind",
     )
 
@@ -63,10 +63,26 @@ def wait_step(waiting: list[str], rows) -> list[tuple]:
     return out
 
 
-def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str]) -> DataFrame:
+def keep_step(held: dict, rows, ttl: float) -> list[tuple]:
+    """Folds (seq, usr, kind, ts) of one key into ``held`` {value, until}: an
+    intent sets the value for ``ttl`` seconds, a check reads it.  Returns (seq,
+    value), null if unset or run out; what has run out is dropped when its key
+    is next touched."""
+    out = []
+    for seq, usr, kind, ts in rows:
+        if held and held["until"] <= ts:
+            held.clear()
+        if kind == "intent_declared":
+            held |= {"value": usr, "until": ts + ttl}
+        elif kind == "check_performed":
+            out.append((seq, held.get("value")))
+    return out
+
+
+def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind")) -> DataFrame:
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0] if state.exists else empty)
-        rows = sorted((int(r.seq), r.usr, r.kind) for b in batches for r in b.itertuples())
+        rows = sorted(r for b in batches for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
         out = step(held, rows)
         state.update((json.dumps(held),))
         yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
@@ -85,6 +101,12 @@ def waiting_imports(stream: DataFrame) -> DataFrame:
     return _stateful(stream.where("kind in ('intent_declared', 'intent_completed')"), "path", wait_step, "[]", "path string, usr string, seq long", ["usr", "seq"])
 
 
+def expiring_values(stream: DataFrame, ttl: float) -> DataFrame:
+    """(path, seq, value): what each check reads of values that expire."""
+    rows = stream.where("kind in ('intent_declared', 'check_performed')")
+    return _stateful(rows, "path", lambda held, r: keep_step(held, r, ttl), "{}", "path string, seq long, value string", ["seq", "value"], ("seq", "usr", "kind", "ts"))
+
+
 def fan_out(stream: DataFrame, scope: str) -> DataFrame:
     """(seq, kind, usr): a scope's live rows, micro-batch by micro-batch."""
     return _drained(stream.where(F.col("scope") == scope).select("seq", "kind", "usr"), "append")
@@ -93,6 +115,11 @@ def fan_out(stream: DataFrame, scope: str) -> DataFrame:
 QUERIES = {
     "st1_fan_out": lambda s, d: fan_out(_rows(s, d), "ws:r1"),
     "st3_stream_calls": lambda s, d: unseen_by_call(_rows(s, d)),
+    "st4_expiring_values": lambda s, d: expiring_values(_rows(s, d), 86400.0),
     "st8_waiting_imports": lambda s, d: waiting_imports(_rows(s, d)),
 }
-ORACLE = {"st1_fan_out": "SELECT seq, kind, usr FROM ledger WHERE scope = 'ws:r1'"}
+ORACLE = {
+    "st1_fan_out": "SELECT seq, kind, usr FROM ledger WHERE scope = 'ws:r1'",
+    "st4_expiring_values": """WITH r AS (SELECT *, max(CASE WHEN kind = 'intent_declared' THEN seq END) OVER (PARTITION BY path ORDER BY seq) AS put FROM ledger)
+SELECT r.path, r.seq, CASE WHEN r.ts - p.ts < 86400 THEN p.usr END AS value FROM r LEFT JOIN ledger p ON p.seq = r.put WHERE r.kind = 'check_performed'""",
+}
