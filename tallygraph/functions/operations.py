@@ -82,11 +82,11 @@ def undoes(later: Column, settled: Column) -> Column:
     return F.coalesce(back, F.lit(False))
 
 
-def conflicts(intents: DataFrame, by: str = "scope") -> DataFrame:
-    """(scope, mine, theirs, verdict): ids of intents of different owners whose
-    operations do not commute.  ``intents``: scope, id, owner, op (map).  Only
-    rows that share a name meet, so nothing is compared within a scope at large."""
+def conflicts(intents: DataFrame, owner: str, by: str = "scope") -> DataFrame:
+    """(scope, mine, theirs, verdict): ids of intents of ``owner`` and of others
+    whose operations do not commute.  ``intents``: scope, id, owner, op (map).
+    Only rows that share a name meet, so no scope is compared at large."""
     named = intents.select(by, "id", "owner", "op", F.explode(names_touched(F.col("op"))).alias("name"))
     a, b = named.alias("a"), named.alias("b")
-    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.owner") != F.col("b.owner")))
+    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.owner") == owner) & (F.col("b.owner") != owner))
     return met.select(F.col(f"a.{by}").alias(by), F.col("a.id").alias("mine"), F.col("b.id").alias("theirs"), verdict(F.col("a.op"), F.col("b.op")).alias("verdict")).distinct()

@@ -215,7 +215,7 @@ QUERIES = {
     "g3_patched": _patched,
     "s18_round_trip": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", parse_source("text").alias("s")).select("doc_id", (from_structure(F.lit("a.py"), F.to_json("s")) == F.col("s")).alias("same")),
     "x2_validated": lambda s, d: _ops(s, d).selectExpr("seq", "size(v.ops) AS n", "v.error AS error"),
-    "x2_conflicts": lambda s, d: conflicts(_ops(s, d).where("v.error is null and usr in ('u1', 'u2', 'u3', 'u5')").selectExpr("scope", "seq AS id", "usr AS owner", "v.ops[0] AS op")),
+    "x2_conflicts": lambda s, d: conflicts(_ops(s, d).where("v.error is null").selectExpr("scope", "seq AS id", "usr AS owner", "v.ops[0] AS op"), "u3"),
     "f24_prompt_names": lambda s, d: s.sql(_TEXTS.format(d)).select("conv_id", "turn", prompt_identifiers("text").alias("names")),
     "f25_search_names": lambda s, d: view(s, d, "ledger").select("seq", F.array_join(search_identifiers(F.expr("concat(CASE k % 3 WHEN 0 THEN 'cd x && rg -n ' WHEN 1 THEN 'git grep ' ELSE 'ls ' END, kind, ' ', root)")), ",").alias("names")),
     "f28_patch_paths": lambda s, d: view(s, d, "ledger").select("seq", F.array_join(patch_paths(F.expr("concat('*** Begin Patch\\n*** Update File: ', path, '\\n+x\\n*** Move to: ', root, '\\n*** Add File: ', path)")), ",").alias("paths")),
@@ -233,6 +233,8 @@ SELECT scope, dir, number, owner, arg_min(usr, seq) AS usr, path, min(seq) AS se
     "f25_search_names": "SELECT seq, CASE WHEN k % 3 = 2 THEN '' ELSE kind END AS names FROM ledger",
     "f28_patch_paths": "SELECT seq, path || ',' || root AS paths FROM ledger",
     "s18_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "x2_conflicts": """WITH o AS (SELECT seq, scope, usr, path, k % 5 AS c, unnest(CASE k % 5 WHEN 0 THEN [path, 'n' || root] WHEN 1 THEN [path] WHEN 4 THEN [path, 'y'] END) AS name FROM ledger)
+SELECT DISTINCT a.scope, a.seq AS mine, b.seq AS theirs, CASE WHEN a.c = 4 OR b.c = 4 THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM o a JOIN o b ON a.scope = b.scope AND a.name = b.name WHERE a.usr = 'u3' AND b.usr <> 'u3'""",
     "x2_validated": """SELECT seq, CAST(CASE WHEN k % 5 IN (2, 3) THEN NULL ELSE 1 END AS INTEGER) AS n, CASE k % 5 WHEN 2 THEN 'operations[0]: no operation named ''refactor''' WHEN 3 THEN 'operations[0]: move needs ''new_path''' END AS error FROM ledger""",
     "g3_patched": """WITH b AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 97) || '.py' AS path, p_brand AS dir, p_type AS name FROM part WHERE p_partkey % 97 <> 13),
 l AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 97) || '.py' AS path, p_brand AS dir, CASE WHEN p_partkey % 2 = 0 THEN 'PROMO BURNISHED COPPER' ELSE p_type END AS name FROM part),

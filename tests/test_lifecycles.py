@@ -74,7 +74,7 @@ def test_operations(spark):
     assert got[1].ops[1] == {"op": "add_param", "symbol": "c", "name": "n", "default": "3"}
     assert all(g.ops is None and g.error for g in got[2:]) and got[6].error == "operations[1]: extract needs 'new_name'"
     ops = spark.createDataFrame([("s", 1, "u", got[0].ops[0]), ("s", 2, "v", got[1].ops[0]), ("s", 3, "v", got[1].ops[1]), ("t", 4, "v", got[1].ops[0]), ("s", 5, "w", {"op": "rename", "symbol": "b", "new_name": "a"}), ("s", 6, "w", {"op": "extract", "symbol": "c", "new_name": "d"})], "scope string, id long, owner string, op map<string,string>")
-    found = {(r.mine, r.theirs): r.verdict for r in operations.conflicts(ops).collect()}
+    found = {(r.mine, r.theirs): r.verdict for u in "uvw" for r in operations.conflicts(ops, u).collect()}
     assert {k: v for k, v in found.items() if k[0] < k[1]} == {(1, 2): "CONFLICT", (1, 5): "CONFLICT", (2, 5): "CONFLICT", (3, 6): "UNKNOWN"}
     a, b = ops.where("id = 1").selectExpr("op AS a"), ops.where("id in (2, 5)").selectExpr("id", "op AS b")
     assert {r.id: r.u for r in b.join(a).select("id", operations.undoes(F.col("b"), F.col("a")).alias("u")).collect()} == {2: False, 5: True}
