@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import communities, folds, graph, lifecycles
+from .operators import aliases, communities, folds, graph, lifecycles
 from .plans import declared, workflow
 from .sources import graphio
 from .sources.adapters import duck_sql, spark_sql
@@ -12,7 +12,7 @@ Q = declared.Q | workflow.Q
 
 QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
 ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
-for _part in (graph, folds, lifecycles, communities, graphio, twins, stateful):
+for _part in (graph, folds, lifecycles, aliases, communities, graphio, twins, stateful):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}
 

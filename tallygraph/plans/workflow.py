@@ -166,9 +166,9 @@ Q["st11_hand_off"] = """WITH t AS (SELECT seq, path, usr, ts, kind, min(CASE WHE
 SELECT t.seq, CASE WHEN l.ts - t.ts <= 86400 THEN l.seq END AS taken_by FROM t LEFT JOIN ledger l ON l.seq = t.taker WHERE t.kind = 'gate_block'"""
 
 # --- repository keys and the traffic gate -----------------------------------
-_IDS = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'git@Host.com:' || regexp_extract(url, '://([^?#]*)', 1) || '.git/' WHEN 2 THEN '  ' || upper(url) || '#main ' WHEN 3 THEN 'local/App' WHEN 4 THEN 'C:' || chr(92) || 'src' || chr(92) || 'App'
+REPO_IDS = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'git@Host.com:' || regexp_extract(url, '://([^?#]*)', 1) || '.git/' WHEN 2 THEN '  ' || upper(url) || '#main ' WHEN 3 THEN 'local/App' WHEN 4 THEN 'C:' || chr(92) || 'src' || chr(92) || 'App'
 WHEN 5 THEN regexp_extract(url, '://[^/]*(/[^?#]*)', 1) ELSE 'ssh://' || regexp_extract(url, '://([^?#]*)', 1) END AS id FROM pages) t"""
-Q["f9_repo_keys"] = f"SELECT page_id, {repo_name('id')} AS name, {repo_key('id')} AS rkey, {repo_owner('id')} AS owner, {machine_folder('id')} AS machine FROM {_IDS}"
+Q["f9_repo_keys"] = f"SELECT page_id, {repo_name('id')} AS name, {repo_key('id')} AS rkey, {repo_owner('id')} AS owner, {machine_folder('id')} AS machine FROM {REPO_IDS}"
 _GATE = """g AS (SELECT DISTINCT scope, root AS grp, path FROM ledger WHERE usr = 'u3' AND kind = 'edit_reported'), live AS (SELECT DISTINCT scope, usr, path, ts >= 1706700000 AS late FROM ledger
 WHERE usr <> 'u3' AND kind IN ('intent_declared', 'gate_block') AND ts >= 1706600000), b AS (SELECT DISTINCT g.scope, g.grp, live.usr, live.late FROM g JOIN live ON live.scope = g.scope AND live.path = g.path)"""
 Q["g15_gate"] = f"""WITH {_GATE}, w AS (SELECT * FROM b WHERE late) SELECT n.scope, n.grp, CASE WHEN count(w.usr) = 0 THEN 'run_now' ELSE 'hold' END AS verdict, @SL[w.usr] AS blocked_by

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygraph.functions import operations, text
+from tallygraph.operators import aliases as lc_aliases
 from tallygraph.operators import lifecycles as lc
 from tallygraph.streaming.stateful import keep_step
 
@@ -159,3 +160,45 @@ def test_values_expire():
     held = {}
     assert keep_step(held, [(1, "a", "check_performed", 0.0), (2, "b", "intent_declared", 1.0), (3, "c", "check_performed", 5.0)], 10.0) == [(1, None), (3, "b")]
     assert keep_step(held, [(4, "c", "check_performed", 11.0)], 10.0) == [(4, None)] and not held
+
+
+def test_aliases_equal_a_plain_fold(spark):
+    rnd = random.Random(9)
+    parts = ["", "acme/", "other/", "host/acme/", "https://host/acme/", "git@host:acme/"]
+    ids = [rnd.choice(parts) + rnd.choice(["app", "api", "web"]) + rnd.choice(["", "", ".git", "#dev"]) for _ in range(60)]
+    seen = [(w, x, i) for i, (w, x) in enumerate((rnd.choice("pqrst"), x) for x in ids[:30])]
+    renames = [("p", "old", "acme/app#dev"), ("p", "api", "web"), ("q", "acme/web", "gone")]
+
+    def name(x):
+        for s in ("https://", "git@"):
+            x = x.removeprefix(s)
+        return x.replace(":", "/").removesuffix(".git").rsplit("/", 1)[-1]
+
+    def key(x):
+        x = x.removeprefix("https://")
+        x = x[4:].replace(":", "/", 1) if x.startswith("git@") else x
+        return x.split("#")[0].removesuffix(".git")
+
+    best, unsure = {}, set()
+    for w, x, _ in seen:
+        k = (w, name(x))
+        if k in unsure or best.get(k) == x:
+            continue
+        if k not in best or x.count("/") > best[k].count("/"):
+            best[k] = x
+        elif x.count("/") == best[k].count("/"):
+            unsure.add(k)
+            del best[k]
+    to = {(w, a): b for w, a, b in renames}
+
+    def find(w, x, depth=0):
+        x = to.get((w, x), x)
+        if "#" in x and (w, name(x.split("#")[0])) in best:
+            return find(w, x.split("#")[0], depth + 1)
+        c = best.get((w, name(x)))
+        return x if c is None or (c != x and "/" in c and "/" in x and key(c) != key(x)) else c
+
+    asked = sorted({(w, x) for w in "pqrst" for x in [*ids, "old", "unknown"]})
+    df = lambda rows, c: spark.createDataFrame(rows, c)
+    got = lc_aliases.resolve_ids(df(asked, "ws string, id string"), lc_aliases.seed_aliases(df(seen, "ws string, id string, seq int")), df(renames, "ws string, id string, new_id string"))
+    assert {(r.ws, r.id): r.canonical for r in got.collect()} == {(w, x): find(w, x) for w, x in asked}
