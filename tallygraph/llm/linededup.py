@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired through shared lines: of each line's hash only the first
-holder is kept, and every later holder is paired with it, so pairs grow with
-the lines and not with the square of a line's frequency.  A pair needs an
-anchor: a shared line that is rare, or long enough that its frequency is no
-accident.  Pairs are aligned by patience: shared lines that occur once in the
+Documents are paired through shared runs: the shortest runs of adjacent lines
+of ``min_words`` words or more, one from each line on and one up to each line.
+Of each run's hash only the first holder is kept, and every later holder is
+paired with it, so pairs grow with the lines and not with the square of a run's
+frequency.  Every common block of ``min_words`` words is covered by such runs,
+wherever its single lines occur first.  Pairs are aligned by patience: shared lines that occur once in the
 later document, longest rising chain of their places in the earlier one, then
 growth of each chain over equal neighbours.  Aligned common blocks of
 ``min_words`` words or more are deleted from the later document.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +85,43 @@ def aligned_blocks(matches: list[tuple[int, int, int, bool]], min_words: int) ->
     return out
 
 
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Ranges [first, end) of lines: the shortest run of ``min_words`` words or
+    more from each line on, and the shortest up to each line."""
+    total = list(accumulate(words, initial=0))
+    out, end, first = set(), 0, 0
+    for a in range(len(words)):
+        end = max(end, a + 1)
+        while end <= len(words) and total[end] - total[a] < min_words:
+            end += 1
+        if end > len(words):
+            break
+        out.add((a, end))
+    for b in range(1, len(words) + 1):
+        while first + 1 < b and total[b] - total[first + 1] >= min_words:
+            first += 1
+        if total[b] - total[first] >= min_words:
+            out.add((first, b))
+    return sorted(out)
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for part in batches:
+            out = []
+            for i, k, h, words, pos in zip(*(part[c].tolist() for c in ("id", "k", "h", "words", "pos"))):
+                raw = h.tobytes()
+                for a, b in runs(words.tolist(), min_words):
+                    key = digest(raw[8 * a : 8 * b])
+                    out.append((i, k, a, key - (1 << 64) if key >> 63 else key, words[a:b], pos[a:b]))
+            yield pd.DataFrame(out, columns=["id", "k", "ord", "h", "words", "pos"])
+
+    return run
+
+
 def _edits(min_words: int):
     keys = ["id", "k"]
 
@@ -95,11 +134,14 @@ def _edits(min_words: int):
                 b = a
                 gone, pos_of = set(), {}
                 while b < n and cols[0][b] == cols[0][a] and cols[1][b] == cols[1][a]:
-                    c = b
+                    c, found = b, {}
                     while c < n and all(cols[i][c] == cols[i][b] for i in range(4)):
-                        pos_of[cols[4][c]] = cols[8][c]
+                        for j, (w, p) in enumerate(zip(cols[6][c], cols[8][c])):
+                            match = cols[4][c] + j, cols[5][c] + j
+                            pos_of[match[0]] = p
+                            found[match] = (int(w), found.get(match, (0, False))[1] or cols[7][c])
                         c += 1
-                    for lo, hi in aligned_blocks(list(zip(*(cols[i][b:c] for i in (4, 5, 6, 7)))), min_words):
+                    for lo, hi in aligned_blocks([m + x for m, x in sorted(found.items())], min_words):
                         gone.update(range(lo, hi))
                     b = c
                 if gone:
@@ -123,12 +165,13 @@ def edits(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     of lines that stay, one row per edited (id, hash of text)."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("t"))), lambda x: x["t"] != "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    rows = rows.select("id", F.xxhash64("text").alias("k"), F.posexplode(lines).alias("ord", "x"))
-    rows = rows.select("id", "k", "ord", F.col("x.pos").alias("pos"), F.xxhash64("x.t").alias("h"), (F.length("x.t") - F.length(F.translate("x.t", " ", "")) + 1).alias("words"))
-    rows = common.cut(rows)
+    rows = rows.select("id", F.xxhash64("text").alias("k"), lines.alias("x"))
+    words = lambda x: F.length(x["t"]) - F.length(F.translate(x["t"], " ", "")) + 1
+    rows = rows.select("id", "k", F.transform("x", lambda x: F.xxhash64(x["t"])).alias("h"), F.transform("x", words).alias("words"), F.col("x.pos").alias("pos"))
+    rows = common.cut(rows.mapInPandas(_runs(min_words), "id long, k long, ord int, h long, words array<int>, pos array<int>"))
     info = rows.groupBy("h").agg(F.min(F.struct("id", "k", "ord")).alias("f"), F.max(F.struct("id", "k")).alias("l"), F.count("*").alias("n"))
     info = info.where("f.id <> l.id or f.k <> l.k").select("h", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), F.col("f.ord").alias("ford"), "n")
-    shared = rows.join(info, "h").where("id <> fid or k <> fk").withColumn("anchor", (F.col("n") <= RARE) | (F.col("words") >= ANCHOR_WORDS))
+    shared = rows.join(info, "h").where("id <> fid or k <> fk").withColumn("anchor", (F.col("n") <= RARE) | (F.aggregate("words", F.lit(0), lambda a, w: a + w) >= ANCHOR_WORDS))
     shared = shared.select("id", "k", "fid", "fk", "ord", "ford", "words", "anchor", "pos")
     dealt = shared.repartition("id", "k").sortWithinPartitions("id", "k", "fid", "fk", "ord")
     return dealt.mapInPandas(_edits(min_words), "id long, k long, gone int, starts array<int>, sizes array<int>")

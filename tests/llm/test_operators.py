@@ -351,3 +351,14 @@ def test_secrets_odd_rows(odd):
     assert red.columns == odd.columns and red.count() == len(ODD)
     assert [r.text for r in red.where("doc_id = 7").collect()] == ["é漢字 \U0001f600 [SECRET] x"]
     assert secretscan.spans(odd.limit(0)).count() == 0
+
+
+def lines_of(name, n, words):
+    return [" ".join(f"{name}{i}x{j}" for j in range(words)) for i in range(n)]
+
+
+def test_line_dedup_pairs_by_runs_whatever_holds_the_single_lines(spark):
+    lines = lines_of("p", 6, 10)
+    rows = [(i + 1, f"{x}\nown {i}") for i, x in enumerate(lines)] + [(10, "\n".join(["b", *lines, "c"])), (11, "\n".join(["d", *lines, "e"]))]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {11: "d\ne"}
