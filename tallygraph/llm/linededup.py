@@ -5,16 +5,14 @@ of ``min_words`` words or more, one from each line on and one up to each line.
 Of each run's hash only the first holder is kept, and every later holder is
 paired with it, so pairs grow with the lines and not with the square of a run's
 frequency.  Every common block of ``min_words`` words is covered by such runs,
-wherever its single lines occur first.  Pairs are aligned by patience: shared lines that occur once in the
-later document, longest rising chain of their places in the earlier one, then
-growth of each chain over equal neighbours.  Aligned common blocks of
-``min_words`` words or more are deleted from the later document.
+wherever its single lines occur first.  All common runs of a pair are aligned, in any order
+and as often as they occur, and those of ``min_words`` words or more are
+deleted from the later document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -57,32 +55,25 @@ def aligned_blocks(matches: list[tuple[int, int, int, bool]], min_words: int) ->
     """Ranges [first, end) of the later document's lines, by ordinal, to delete.
 
     ``matches``: (ordinal in the later, ordinal in the earlier document, words,
-    anchor), sorted; a line's place in the earlier document is its first."""
-    if not any(m[3] for m in matches):
-        return []
-    places = Counter(m[1] for m in matches)
-    at = {(l, e): w for l, e, w, _ in matches}
-    on = dict(chain([(l, e) for l, e, _, _ in matches if places[e] == 1]))
-    if not on:  # every shared line repeats: take the first of each
-        on = dict(chain([(l, e) for l, e, _, _ in {m[1]: m for m in reversed(matches)}.values()][::-1]))
-    for step in (1, -1):
-        for l in sorted(on, reverse=step < 0):
-            e = on[l]
-            while (l + step, e + step) in at and l + step not in on:
-                l, e = l + step, e + step
-                on[l] = e
-    out, words, start, before = [], 0, None, None
-    for l in sorted(on):
-        if before is not None and (l, on[l]) == (before[0] + 1, before[1] + 1):
-            words += at[l, on[l]]
-        else:
-            if start is not None and words >= min_words:
+    anchor).  Matches one apart in both documents form a common run; a line may
+    stand in several, so lines that repeat and passages in another order or
+    more than once in the later document are all aligned."""
+    out, start, before, total = [], None, None, 0
+    for l, e, words, _ in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
+        if before != (l - 1, e - 1):
+            if start is not None and total >= min_words:
                 out.append((start, before[0] + 1))
-            start, words = l, at[l, on[l]]
-        before = (l, on[l])
-    if start is not None and words >= min_words:
+            start, total = l, 0
+        before, total = (l, e), total + words
+    if start is not None and total >= min_words:
         out.append((start, before[0] + 1))
-    return out
+    merged = []
+    for lo, hi in sorted(out):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(hi, merged[-1][1])
+        else:
+            merged.append((lo, hi))
+    return merged
 
 
 def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:

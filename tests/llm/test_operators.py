@@ -362,3 +362,28 @@ def test_line_dedup_pairs_by_runs_whatever_holds_the_single_lines(spark):
     rows = [(i + 1, f"{x}\nown {i}") for i, x in enumerate(lines)] + [(10, "\n".join(["b", *lines, "c"])), (11, "\n".join(["d", *lines, "e"]))]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows) | {11: "d\ne"}
+
+
+def naive_line_dedup(rows, min_words):
+    """Deletes each line in a run that an earlier document holds, all runs tried."""
+    out, seen = {}, set()
+    for d, t in sorted(rows):
+        lines = [x.strip(" ") for x in t.split("\n")]
+        kept = [k for k, x in enumerate(lines) if x]
+        spans = [(a, b) for a in range(len(kept)) for b in range(a + 1, len(kept) + 1) if sum(len(lines[k].split(" ")) for k in kept[a:b]) >= min_words]
+        run = lambda a, b: tuple(lines[k] for k in kept[a:b])
+        gone = {kept[k] for a, b in spans if run(a, b) in seen for k in range(a, b)}
+        seen |= {run(a, b) for a, b in spans}
+        out[d] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return out
+
+
+def test_line_dedup_aligns_repeated_crossing_and_copied_passages(spark):
+    p, q = lines_of("p", 4, 10), lines_of("q", 4, 10)
+    again = ["same line of verse here", *p[:2], "same line of verse here", *p[:2], "same line of verse here"]
+    rows = [(1, "\n".join([*p, "mid", *q])), (2, "\n".join(["a", *p, "b", *p, "c", q[0]])), (3, "\n".join([*q, "x", *p])), (4, "\n".join(again)), (5, "\n".join(again))]
+    rng = random.Random(5)
+    rows += [(10 + i, "\n".join(rng.choice(["", "u v", "r s t", "m n o p q", " k l m n o p q r", "one"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[2], got[3], got[5]) == (f"a\nb\nc\n{q[0]}", "x", "")
+    assert got == naive_line_dedup(rows, linededup.MIN_WORDS)
