@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Holders up to which a line of any length may anchor a pair.
-RARE = 16
-#: Words from which a line anchors a pair however frequent it is.
-ANCHOR_WORDS = 8
 #: Words in an aligned block from which it is deleted.
 MIN_WORDS = 20
 #: End of the last range of lines that stay.
@@ -51,15 +47,15 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_blocks(matches: list[tuple[int, int, int, bool]], min_words: int) -> list[tuple[int, int]]:
+def aligned_blocks(matches: list[tuple], min_words: int) -> list[tuple[int, int]]:
     """Ranges [first, end) of the later document's lines, by ordinal, to delete.
 
-    ``matches``: (ordinal in the later, ordinal in the earlier document, words,
-    anchor).  Matches one apart in both documents form a common run; a line may
-    stand in several, so lines that repeat and passages in another order or
+    ``matches``: (ordinal in the later, ordinal in the earlier document, words),
+    what follows is ignored.  Matches one apart in both documents form a common
+    run, however frequent its lines are; a line may stand in several, so lines that repeat and passages in another order or
     more than once in the later document are all aligned."""
     out, start, before, total = [], None, None, 0
-    for l, e, words, _ in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
+    for l, e, words, *_ in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
         if before != (l - 1, e - 1):
             if start is not None and total >= min_words:
                 out.append((start, before[0] + 1))
@@ -119,7 +115,7 @@ def _edits(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in common.whole_groups(batches, keys):
             out = []
-            cols = [part[c].tolist() for c in ("id", "k", "fid", "fk", "ord", "ford", "words", "anchor", "pos")]
+            cols = [part[c].tolist() for c in ("id", "k", "fid", "fk", "ord", "ford", "words", "pos")]
             n, a = len(part), 0
             while a < n:
                 b = a
@@ -127,12 +123,12 @@ def _edits(min_words: int):
                 while b < n and cols[0][b] == cols[0][a] and cols[1][b] == cols[1][a]:
                     c, found = b, {}
                     while c < n and all(cols[i][c] == cols[i][b] for i in range(4)):
-                        for j, (w, p) in enumerate(zip(cols[6][c], cols[8][c])):
+                        for j, (w, p) in enumerate(zip(cols[6][c], cols[7][c])):
                             match = cols[4][c] + j, cols[5][c] + j
                             pos_of[match[0]] = p
-                            found[match] = (int(w), found.get(match, (0, False))[1] or cols[7][c])
+                            found[match] = int(w)
                         c += 1
-                    for lo, hi in aligned_blocks([m + x for m, x in sorted(found.items())], min_words):
+                    for lo, hi in aligned_blocks([(*m, w) for m, w in found.items()], min_words):
                         gone.update(range(lo, hi))
                     b = c
                 if gone:
@@ -160,10 +156,9 @@ def edits(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     words = lambda x: F.length(x["t"]) - F.length(F.translate(x["t"], " ", "")) + 1
     rows = rows.select("id", "k", F.transform("x", lambda x: F.xxhash64(x["t"])).alias("h"), F.transform("x", words).alias("words"), F.col("x.pos").alias("pos"))
     rows = common.cut(rows.mapInPandas(_runs(min_words), "id long, k long, ord int, h long, words array<int>, pos array<int>"))
-    info = rows.groupBy("h").agg(F.min(F.struct("id", "k", "ord")).alias("f"), F.max(F.struct("id", "k")).alias("l"), F.count("*").alias("n"))
-    info = info.where("f.id <> l.id or f.k <> l.k").select("h", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), F.col("f.ord").alias("ford"), "n")
-    shared = rows.join(info, "h").where("id <> fid or k <> fk").withColumn("anchor", (F.col("n") <= RARE) | (F.aggregate("words", F.lit(0), lambda a, w: a + w) >= ANCHOR_WORDS))
-    shared = shared.select("id", "k", "fid", "fk", "ord", "ford", "words", "anchor", "pos")
+    info = rows.groupBy("h").agg(F.min(F.struct("id", "k", "ord")).alias("f"), F.max(F.struct("id", "k")).alias("l"))
+    info = info.where("f.id <> l.id or f.k <> l.k").select("h", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), F.col("f.ord").alias("ford"))
+    shared = rows.join(info, "h").where("id <> fid or k <> fk").select("id", "k", "fid", "fk", "ord", "ford", "words", "pos")
     dealt = shared.repartition("id", "k").sortWithinPartitions("id", "k", "fid", "fk", "ord")
     return dealt.mapInPandas(_edits(min_words), "id long, k long, gone int, starts array<int>, sizes array<int>")
 

@@ -387,3 +387,10 @@ def test_line_dedup_aligns_repeated_crossing_and_copied_passages(spark):
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[2], got[3], got[5]) == (f"a\nb\nc\n{q[0]}", "x", "")
     assert got == naive_line_dedup(rows, linededup.MIN_WORDS)
+
+
+def test_line_dedup_of_short_lines_does_not_depend_on_the_number_of_copies(spark):
+    verse = "\n".join(lines_of("v", 10, 7))
+    rows = [(i, f"{verse}\nown {i}") for i in range(40)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else f"own {i}" for i, t in rows}
