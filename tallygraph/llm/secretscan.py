@@ -110,8 +110,11 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     held = scanned.where(F.exists("parts", lambda p: p["rank"] >= len(BASE))).dropDuplicates(["k0", "k1"])
     held = held.where(F.size("parts") > 1)
     one = held.select("k0", "k1", F.explode("parts").alias("p")).select("k0", "k1", "p.*")
-    weak = one.where(F.col("rank") >= len(BASE)).withColumn("cell", F.floor(F.col("start") / scope))
-    # a part is laid in each stretch that its scope touches
+    # a weak part is laid in each stretch that it touches, the other part in each
+    # that its scope touches
+    part = ["k0", "k1", "start", "end", "rank"]
+    laid = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))
+    weak = one.where(F.col("rank") >= len(BASE)).withColumn("cell", laid)
     reach = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     other = one.select("k0", "k1", F.col("start").alias("s"), F.col("end").alias("e"), F.col("rank").alias("r"), F.explode(reach).alias("cell"))
     pairs = F.lit(False)
@@ -124,8 +127,9 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     w, o = weak.alias("w"), other.alias("o")
     same = [F.col(f"w.{c}") == F.col(f"o.{c}") for c in on]
     both = same[0] & same[1] & same[2]
-    good = w.join(o, both & pairs & apart & outside, "left_semi")
-    clean = good.alias("w").join(o, both & inside, "left_anti")
+    good = w.join(o, both & pairs & apart & outside, "left_semi").select(part).distinct()
+    held = good.withColumn("cell", laid).alias("w").join(o, both & inside, "left_semi").select(part).distinct()
+    clean = good.join(held, part, "left_anti")
     return clean.groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "end", "rank")).alias("found"))
 
 

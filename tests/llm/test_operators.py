@@ -394,3 +394,32 @@ def test_line_dedup_of_short_lines_does_not_depend_on_the_number_of_copies(spark
     rows = [(i, f"{verse}\nown {i}") for i in range(40)]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: t if i == 0 else f"own {i}" for i, t in rows}
+
+
+def naive_links(parts):
+    """Spans of the weak parts that stay, every pair of parts tried."""
+    out = set()
+    for s, e, r in parts:
+        kind = secretscan.KINDS[r]
+        near = [(a, b, q) for a, b, q in parts if a - e <= secretscan.SCOPE and s - b <= secretscan.SCOPE]
+        mates = [1 for a, b, q in near if (a >= e or b <= s) and secretscan.KINDS[q] in secretscan.COMPLEMENTS.get(kind, ())]
+        if mates and not [1 for a, b, q in near if q < 3 and a < e and s < b]:
+            out.add((s, e, r))
+    return out
+
+
+def test_secrets_linking_equals_brute_force_for_long_parts_at_many_offsets(spark):
+    rng, rows = random.Random(6), []
+    url = lambda n: ("https://h.example.com/" + "path/." * n)[:n]
+    for off in range(0, 520, 37):
+        for n, gap in ((600, 5), (600, 255), (600, 256), (600, 257), (300, 200), (1400, 100)):
+            pad = " " * off
+            rows += [f"{pad}{url(n)}{' ' * gap}password=abcdefgh9", f"{pad}password=abcdefgh9{' ' * gap}{url(n)}"]
+            rows += [f"{pad}{url(n)}?token=abcdefgh1&x={url(n)[8:]}{' ' * gap}password=abcdefgh9"]
+        rows += [f"{' ' * off}{'Zx9ab' * 8}{' ' * gap}AKIAABCDEFGHIJKL" for gap in (1, 225, 256, 257)]
+    bits = [url(40), url(700), "user: bob", "user: " + "b0b" * 150, "password=abcdefgh9", "AKIAABCDEFGHIJKL", "Zx9" * 9, " " * 90, " " * 240, "é\U0001f600 "]
+    rows += [" ".join(rng.choice(bits) for _ in range(rng.randint(2, 12))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    parts = {r.id: [tuple(p) for p in r.parts] for r in secretscan.scan(df).collect()}
+    for r in secretscan.spans(df).collect():
+        assert {tuple(p) for p in r.spans if p["rank"] >= 3} == naive_links(parts[r.id]), rows[r.id][:200]
