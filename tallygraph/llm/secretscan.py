@@ -25,7 +25,7 @@ HEX = r"[0-9a-f]{32,}"
 #: Weak parts: kind and pattern.
 ENDPOINT = r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 USER = r"""(?i:\buser(?:name|_?id)?|\blogin|\bclient_?id|\baccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+"""
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,128}(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])"
 #: Code points between complementary parts.
 SCOPE = 256
 
@@ -36,7 +36,7 @@ WEAK = ("token", "user", "endpoint")
 COMPLEMENTS = {
     "token": ("access", "user", "endpoint"),
     "user": ("assign", "hex", "token"),
-    "endpoint": ("assign", "access", "hex"),
+    "endpoint": ("assign", "access", "hex", "token"),
 }
 KINDS = BASE + WEAK
 SPAN = "array<struct<start: int, end: int, rank: int>>"

@@ -423,3 +423,9 @@ def test_secrets_linking_equals_brute_force_for_long_parts_at_many_offsets(spark
     parts = {r.id: [tuple(p) for p in r.parts] for r in secretscan.scan(df).collect()}
     for r in secretscan.spans(df).collect():
         assert {tuple(p) for p in r.spans if p["rank"] >= 3} == naive_links(parts[r.id]), rows[r.id][:200]
+
+
+def test_secrets_long_tokens_and_endpoints_with_a_token_only(spark):
+    rows = [(n, f"user: bob then {('Zx9' * n)[:n]} end") for n in (23, 24, 128, 129, 5000, 200_000)] + [(1, f"see https://h.example.com/p {'Zx9' * 9} end"), (2, "AKIAABCDEFGHIJKL " + "aB3" * 400)]
+    got = {r.id: [secretscan.KINDS[p["rank"]] for p in r.spans] for r in secretscan.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: ["user", "token"] if n > 23 else [] for n, _ in rows[:6]} | {1: ["endpoint", "token"], 2: ["access", "token"]}
