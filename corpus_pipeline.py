@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygraph.llm import common, linededup, packing, secretscan, simhash, toxicity
+from tallygraph.llm import common, linededup, nearcopies, packing, secretscan, toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each SimHash class."""
-    return simhash.keep_one(docs)
+    """Keeps one document, that of the smallest id, of each class of texts with
+    a Jaccard similarity of 0.8 or more on shingles of five words."""
+    return nearcopies.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Toxicity, SimHash and tokens are beyond SQL.
+#: Toxicity, near copies and tokens are beyond SQL.
 ORACLE_SQL = None
 
 

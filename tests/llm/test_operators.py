@@ -429,3 +429,25 @@ def test_secrets_long_tokens_and_endpoints_with_a_token_only(spark):
     rows = [(n, f"user: bob then {('Zx9' * n)[:n]} end") for n in (23, 24, 128, 129, 5000, 200_000)] + [(1, f"see https://h.example.com/p {'Zx9' * 9} end"), (2, "AKIAABCDEFGHIJKL " + "aB3" * 400)]
     got = {r.id: [secretscan.KINDS[p["rank"]] for p in r.spans] for r in secretscan.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {n: ["user", "token"] if n > 23 else [] for n, _ in rows[:6]} | {1: ["endpoint", "token"], 2: ["access", "token"]}
+
+
+@pytest.mark.parametrize("group", [3, 1024])
+def test_pipeline_drops_near_copies_from_similarity_on(spark, odd, group):
+    import corpus_pipeline
+    from tallygraph.llm import nearcopies
+
+    rng, rows = random.Random(9), []
+    for f in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((4, 30, 120, 400)))]
+        for _ in range(6):
+            x = list(words)
+            for _ in range(rng.randint(0, 1 + len(x) // 40)):
+                x[rng.randrange(len(x))] = f"n{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(x)))
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    comp = components(list(grams), lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(df, group=group).collect()} == comp
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == sorted(set(comp.values()))
+    assert sorted((r.doc_id or 0) for r in nearcopies.keep_one(odd).collect()) == [0, 1, 3, 6, 7]
+    assert nearcopies.keep_one(odd.limit(0)).count() == 0
