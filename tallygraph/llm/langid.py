@@ -25,6 +25,8 @@ ORDER = 5
 #: Documents per language that are expected in the sample for the models; a
 #: document is in it by the hash of its id.  One in ten is for calibration.
 SAMPLE = 500
+#: Documents in a language's sample below which none of them is for calibration.
+FEW = 20
 #: Held out of the fit: crc32 of the id as text, modulo 3, is 1.
 HOLD_OUT = (3, 1)
 #: Characters of all languages' names together, and rows, up to which the shares
@@ -225,13 +227,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~common.held_out("id", *HOLD_OUT))
     # one row per language, so texts stay where they are if these are few
-    share = common.cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("share")))
+    share = common.cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("share"), (F.count("text") < FEW).alias("few")))
     rows, chars = share.agg(F.count("*"), F.coalesce(F.sum(F.length("lang")), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
         share = F.broadcast(share)
     part = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(F.col("text").isNotNull()).join(share, "lang").where(part < F.col("share"))
-    sample = common.cut(sample.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) == 0).alias("later")))
+    sample = common.cut(sample.select("lang", "text", (~F.col("few") & (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(10)) == 0)).alias("later")))
     counts = sample.where("not later").mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = build(counts.orderBy("lang", "gram").toPandas())
     model |= {"heat": 1.0, "limit": float("inf")}

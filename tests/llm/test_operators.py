@@ -451,3 +451,9 @@ def test_pipeline_drops_near_copies_from_similarity_on(spark, odd, group):
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()) == sorted(set(comp.values()))
     assert sorted((r.doc_id or 0) for r in nearcopies.keep_one(odd).collect()) == [0, 1, 3, 6, 7]
     assert nearcopies.keep_one(odd.limit(0)).count() == 0
+
+
+def test_langid_learns_languages_of_one_document(spark):
+    rows = [(i, f"words of language number {i} and so on", f"l{i}") for i in range(60)]
+    known = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["langs"]) == sorted(known)
