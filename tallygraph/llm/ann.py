@@ -52,7 +52,7 @@ def nearest(
     common.configure(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     base = base.where("id is not null").where(usable("vec"))
-    ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
+    ranked = base.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = common.cut(
         ranked.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         .select(F.xxhash64("vec").alias("node"), "vec", "ids", F.col("ids")[0].alias("first"))

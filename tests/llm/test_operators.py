@@ -457,3 +457,10 @@ def test_langid_learns_languages_of_one_document(spark):
     rows = [(i, f"words of language number {i} and so on", f"l{i}") for i in range(60)]
     known = [x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     assert sorted(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["langs"]) == sorted(known)
+
+
+def test_ann_counts_repeated_rows_once_before_it_ranks_equal_vectors(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, spark.createDataFrame([(1,)], "q long")).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 2), (2, 3)]
