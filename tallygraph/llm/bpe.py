@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from functools import lru_cache
+from heapq import heappush
 from itertools import islice
 
 import pandas as pd
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers, and their longest length; memory
-#: only, no result depends on it.
-REMEMBERED, SHORT = 300_000, 64
+#: Pre-tokens that a worker remembers in each of two generations, and their
+#: longest length; memory only, no result depends on it.
+REMEMBERED, SHORT = 400_000, 64
 #: Pre-tokens handled at a time, and characters of a text that may be cut into
 #: pre-tokens at once.
 SPAN, WHOLE = 1 << 17, 1 << 20
+#: Ranks per bitmap word, as a power of two, and the bits of a word.
+WORD = 8
+_BIT = [1 << i for i in range(1 << WORD)]
 
 
 def load_ranks(name: str = RANKS) -> dict[bytes, int]:
@@ -38,7 +42,12 @@ def load_ranks(name: str = RANKS) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Places by merge rank; the least rank first, then the least place."""
+    """Places by merge rank; the least rank first, then the least place.
+
+    ``buckets`` holds a heap of places per rank, ``words`` a bitmap of the ranks
+    with entries per 256 of them, ``top`` a bitmap of the words in use."""
+
+    __slots__ = ("top", "words", "buckets")
 
     def __init__(self) -> None:
         self.top, self.words, self.buckets = 0, {}, {}
@@ -49,86 +58,119 @@ class RankQueue:
             heappush(bucket, place)
             return
         self.buckets[rank] = [place]
-        w = rank >> 8
-        self.words[w] = self.words.get(w, 0) | 1 << (rank & 255)
+        w = rank >> WORD
+        self.words[w] = self.words.get(w, 0) | _BIT[rank & 255]
         self.top |= 1 << w
 
-    def pop(self) -> tuple[int, int]:
-        w = (self.top & -self.top).bit_length() - 1
+    def pop(self) -> tuple[int, list[int]]:
+        """The least rank and all its places, in order."""
+        top = self.top
+        w = (top & -top).bit_length() - 1
         word = self.words[w]
         low = word & -word
-        rank = w << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            word ^= low
-            self.words[w] = word
-            if not word:
-                self.top ^= 1 << w
-        return rank, place
+        word ^= low
+        self.words[w] = word
+        if not word:
+            self.top = top ^ (1 << w)
+        rank = w << WORD | low.bit_length() - 1
+        places = self.buckets.pop(rank)
+        if len(places) > 1:
+            places.sort()
+        return rank, places
 
     def __bool__(self) -> bool:
         return self.top != 0
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
-    n, get = len(piece), ranks.get
+    """Ids of one pre-token.
+
+    A bucket is taken whole: what a merge forms is pushed with ranks of its
+    own, and a place of the bucket whose pair is gone by then is stale.  Should
+    a rank below the bucket's come up, or its own again, the rest waits."""
+    get = ranks.get
     whole = get(piece)
     if whole is not None:
         return [whole]
-    after, before = list(range(1, n + 1)) + [n], list(range(-1, n))
-    pair, queue = [-1] * (n + 1), RankQueue()
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    after.append(n)
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair += (-1, -1)
+    queue = RankQueue()
     push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
+    for i, r in enumerate(pair):
+        if r >= 0:
             push(r, i)
     while queue.top:
-        r, i = pop()
-        if pair[i] != r:
-            continue  # stale
-        j = after[i]
-        k = after[j]
-        after[i], before[k], pair[j] = k, i, -1
-        r = get(piece[i : after[k]]) if k < n else None
-        if r is None:
-            pair[i] = -1
-        else:
-            pair[i] = r
-            push(r, i)
-        p = before[i]
-        if p >= 0:
-            r = get(piece[p:k])
-            if r is None:
-                pair[p] = -1
-            else:
-                pair[p] = r
-                push(r, p)
+        rank, places = pop()
+        least = rank + 1
+        for at, i in enumerate(places):
+            if pair[i] != rank:
+                continue  # stale
+            if least <= rank:
+                for rest in places[at:]:
+                    push(rank, rest)
+                break
+            j = after[i]
+            k = after[j]
+            after[i], before[k], pair[j] = k, i, -1
+            r = pair[i] = get(piece[i : after[k]], -1) if k < n else -1
+            if r >= 0:
+                push(r, i)
+                if r < least:
+                    least = r
+            p = before[i]
+            if p >= 0:
+                r = pair[p] = get(piece[p:k], -1)
+                if r >= 0:
+                    push(r, p)
+                    if r < least:
+                        least = r
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        j = after[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 
 class _Memory(dict):
-    """Pre-token to its ids as text, with a bound on what is remembered."""
+    """Pre-token to its ids as text.  At ``REMEMBERED`` entries the memory
+    becomes the older of two generations; what is used again moves back."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], texts: dict[int, str]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.texts, self.older = ranks, texts, {}
 
     def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, merge(piece.encode("utf-8", "replace"), self.ranks)))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = " ".join(map(self.texts.__getitem__, merge(piece.encode("utf-8", "replace"), self.ranks)))
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+class _Decoded(dict):
+    """Ids as text, of one pre-token, to the bytes that they stand for."""
+
+    def __init__(self, bytes_of: dict[str, bytes]) -> None:
+        super().__init__()
+        self.bytes_of = bytes_of
+
+    def __missing__(self, ids: str) -> bytes:
+        out = b"".join(map(self.bytes_of.__getitem__, ids.split(" ")))
+        if len(out) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[ids] = out
+        return out
+
+
 class Codec:
     """Encodes and decodes whole texts in spans of bounded size."""
 
@@ -137,25 +179,28 @@ class Codec:
         import regex
 
         self.ranks = load_ranks(name)
-        self.memory = _Memory(self.ranks)
-        self.bytes_of = {str(v): k for k, v in self.ranks.items()}
+        texts = {r: str(r) for r in self.ranks.values()}
+        self.memory = _Memory(self.ranks, texts)
+        self.bytes_of = {texts[v]: k for k, v in self.ranks.items()}
+        self.decoded = _Decoded(self.bytes_of)
         # \s as the tokenizer library reads it: the White_Space property
         text = (pattern or public_tokenizers.PATTERN).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(text)
 
-    def spans(self, text: str) -> Iterator[str]:
-        """The text's ids, decimal, one space between, in spans."""
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The ids of the text's pre-tokens, decimal, one space between those
+        of a pre-token, in spans."""
         ids = self.memory.__getitem__
         if len(text) <= WHOLE:
             if text:
-                yield " ".join(map(ids, self.pattern.findall(text)))
+                yield list(map(ids, self.pattern.findall(text)))
             return
         found = (m[0] for m in self.pattern.finditer(text))
         while block := list(islice(found, SPAN)):
-            yield " ".join(map(ids, block))
+            yield list(map(ids, block))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for span in self.spans(text) for i in span.split(" ")]
+        return [int(i) for span in self.pieces(text) for piece in span for i in piece.split(" ")]
 
     def decode(self, ids) -> bytes:
         return b"".join(self.bytes_of[str(i)] for i in ids)
@@ -164,16 +209,23 @@ class Codec:
         """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of what
         the ids decode to."""
         ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-        for span in self.spans(text):
+        for span in self.pieces(text):
             if n:
                 ids.update(b" ")
-            ids.update(span.encode())
-            parts = span.split(" ")
-            n += len(parts)
-            decoded.update(b"".join(map(self.bytes_of.__getitem__, parts)))
+            joined = " ".join(span)
+            ids.update(joined.encode())
+            n += joined.count(" ") + 1
+            decoded.update(b"".join(map(self.decoded.__getitem__, span)))
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
+@lru_cache(maxsize=2)
+def shared_codec(name: str = RANKS) -> Codec:
+    """One codec per worker process and rank file: later tasks start with what
+    earlier ones remember."""
+    return Codec(name)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]), one row per
     input row.
@@ -185,7 +237,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     common.configure(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(ranks)
+        codec = shared_codec(ranks)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             out = pd.DataFrame([codec.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
