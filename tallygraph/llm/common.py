@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch.  Texts can be long, so batches are kept short.
 ARROW_ROWS = 512
+#: Rows of a key from which ``keyed_join`` takes it as hot, and the largest
+#: number of hot keys that it broadcasts (of the order of 100 bytes each).
+HOT, HOT_KEYS = 4096, 50_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -23,8 +26,9 @@ def configure(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        # Unset only in single-machine sessions such as tests.
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))  # local sessions, as in tests
     return spark
 
 
@@ -39,6 +43,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed_join(rows: DataFrame, info: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner equi-join of ``rows`` with one row of ``info`` for each key.
+
+    ``info`` has the number of its key's rows in ``count``.  Keys of more than
+    ``HOT`` rows are joined where their rows are, by a broadcast of at most
+    ``HOT_KEYS`` of them; with more hot keys than that the join shuffles and
+    skewed partitions are split as they are read.  ``info`` is read twice."""
+    hot = info.where(F.col(count) > HOT)
+    if 0 < hot.count() <= HOT_KEYS:
+        return rows.join(info.where(F.col(count) <= HOT), keys).unionByName(rows.join(F.broadcast(hot), keys))
+    return rows.join(info, keys)
+
+
+def numbered(classes: DataFrame, *values: str) -> tuple[DataFrame, Column]:
+    """``classes`` (distinct ``values``) with a column ``node``, and the column
+    that gives the same number to any row of these values.
+
+    The number is a 64-bit hash under the first salt that gives all classes
+    numbers of their own, so it stands for the values exactly."""
+    for salt in range(16):
+        node = F.xxhash64(F.lit(salt), *[F.col(v) for v in values])
+        out = cut(classes.withColumn("node", node))
+        if out.groupBy("node").count().where("count > 1").isEmpty():
+            return out, node
+    raise RuntimeError("no salt numbers the classes apart")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote, on whatever file system it is."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,18 +1,28 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired through shared runs: the shortest runs of adjacent lines
-of ``min_words`` words or more, one from each line on and one up to each line.
-Of each run's hash only the first holder is kept, and every later holder is
-paired with it, so pairs grow with the lines and not with the square of a run's
-frequency.  Every common block of ``min_words`` words is covered by such runs,
-wherever its single lines occur first.  All common runs of a pair are aligned, in any order
-and as often as they occur, and those of ``min_words`` words or more are
-deleted from the later document.
+Documents are paired through shared lines: a line of at most ``RARE`` places in
+the corpus pairs all its holders, a commoner one each later holder with its
+first.  So that a passage of nothing but common lines is found too, the
+shortest runs of adjacent lines of ``min_words`` words or more, one from each
+line on and one up to each line, pair documents in the same way as common
+lines.  Pairs grow with the lines and not with the square of a frequency.
+
+Each pair is aligned by patience diff: lines that stand once in both documents
+and rise in both are anchors, anchors grow along equal neighbours, and the gaps
+between them are aligned alike.  What is left is aligned again, and an exact
+check of all common runs follows, so passages that repeat or stand in another
+order are not missed.  Aligned blocks of ``min_words`` words or more are deleted
+from the later document.
+
+Only matching places travel, never whole documents, so a long document that
+shares a passage with many others costs no more than that passage.  Lines and
+runs are compared by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -24,9 +34,16 @@ from . import common
 
 #: Words in an aligned block from which it is deleted.
 MIN_WORDS = 20
+#: Places in the corpus up to which a line is rare and pairs all its holders.
+RARE = 6
+#: Times that what patience diff leaves of a pair is aligned again; whatever is
+#: left then is found by the exact check.
+PASSES = 3
 #: End of the last range of lines that stay.
 FAR = (1 << 31) - 1
 
+Match = tuple[int, int]
+
 
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of ``pairs`` (sorted by the first) whose second
@@ -47,24 +64,107 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def grown(anchors: list[Match], have: set[Match]) -> list[Match]:
+    """``anchors``, which rise in both, with the equal neighbours before and
+    after each that do not cross another."""
+    out: list[Match] = []
+    for at, (l, e) in enumerate(anchors):
+        low = out[-1] if out else (-1, -1)
+        if l <= low[0] or e <= low[1]:
+            continue
+        back, m = [], (l - 1, e - 1)
+        while m in have and m[0] > low[0] and m[1] > low[1]:
+            back.append(m)
+            m = m[0] - 1, m[1] - 1
+        out += back[::-1]
+        out.append((l, e))
+        high = anchors[at + 1] if at + 1 < len(anchors) else (FAR, FAR)
+        m = l + 1, e + 1
+        while m in have and m[0] < high[0] and m[1] < high[1]:
+            out.append(m)
+            m = m[0] + 1, m[1] + 1
+    return out
+
+
+def common_runs(matches) -> list[list[Match]]:
+    """All runs of matches that are one apart in both documents."""
+    out: list[list[Match]] = []
+    for m in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
+        if out and out[-1][-1] == (m[0] - 1, m[1] - 1):
+            out[-1].append(m)
+        else:
+            out.append([m])
+    return out
+
+
+def without_anchors(part: list[Match]) -> list[Match]:
+    """Alignment of a gap in which no line is unique: its common runs, longest
+    first, those that cross a longer one left out."""
+    kept: list[list[Match]] = []
+    for run in sorted(common_runs(part), key=lambda r: (-len(r), r[0])):
+        at = bisect_left(kept, run)
+        if at and not (kept[at - 1][-1][0] < run[0][0] and kept[at - 1][-1][1] < run[0][1]):
+            continue
+        if at < len(kept) and not (run[-1][0] < kept[at][0][0] and run[-1][1] < kept[at][0][1]):
+            continue
+        kept.insert(at, run)
+    return [m for run in kept for m in run]
+
+
+def patience(matches: list[Match], once: set[Match]) -> list[Match]:
+    """Patience diff: aligned (line in the later, line in the earlier document),
+    rising in both.
+
+    ``once``: matches of lines that stand once in both documents, the first
+    anchors.  Within a gap a line is unique if it has one match there."""
+    out, waiting = [], [(sorted(matches), once)]
+    while waiting:
+        part, unique = waiting.pop()
+        if unique is None:
+            later, earlier = Counter(l for l, _ in part), Counter(e for _, e in part)
+            unique = {(l, e) for l, e in part if later[l] == earlier[e] == 1}
+        anchors = chain([m for m in part if m in unique])
+        if not anchors:
+            if unique is once and part:
+                waiting.append((part, None))
+            else:
+                out += without_anchors(part)
+            continue
+        found = grown(anchors, set(part))
+        out += found
+        starts, gaps = [l for l, _ in found], {}
+        for m in part:
+            at = bisect_left(starts, m[0])
+            if (at == len(found) or (m[0] < found[at][0] and m[1] < found[at][1])) and (not at or m[1] > found[at - 1][1]):
+                gaps.setdefault(at, []).append(m)
+        waiting += [(gap, None) for gap in gaps.values()]
+    return sorted(out)
+
+
 def aligned_blocks(matches: list[tuple], min_words: int) -> list[tuple[int, int]]:
     """Ranges [first, end) of the later document's lines, by ordinal, to delete.
 
-    ``matches``: (ordinal in the later, ordinal in the earlier document, words),
-    what follows is ignored.  Matches one apart in both documents form a common
-    run, however frequent its lines are; a line may stand in several, so lines that repeat and passages in another order or
-    more than once in the later document are all aligned."""
-    out, start, before, total = [], None, None, 0
-    for l, e, words, *_ in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
-        if before != (l - 1, e - 1):
-            if start is not None and total >= min_words:
-                out.append((start, before[0] + 1))
-            start, total = l, 0
-        before, total = (l, e), total + words
-    if start is not None and total >= min_words:
-        out.append((start, before[0] + 1))
-    merged = []
-    for lo, hi in sorted(out):
+    ``matches``: (ordinal in the later, ordinal in the earlier document, words,
+    whether the line stands once in both)."""
+    words = {(l, e): w for l, e, w, _ in matches}
+    once = {(l, e) for l, e, _, alone in matches if alone}
+
+    def blocks(runs) -> list[tuple[int, int]]:
+        return [(r[0][0], r[-1][0] + 1) for r in runs if sum(words[m] for m in r) >= min_words]
+
+    found, left = [], list(words)
+    for _ in range(PASSES):
+        more = blocks(common_runs(patience(left, once)))
+        if not more:
+            break
+        found += more
+        gone = {l for lo, hi in more for l in range(lo, hi)}
+        left = [m for m in left if m[0] not in gone]
+        once = once.intersection(left)
+    if left:
+        found += blocks(common_runs(words))
+    merged: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
         if merged and lo <= merged[-1][1]:
             merged[-1] = merged[-1][0], max(hi, merged[-1][1])
         else:
@@ -92,19 +192,29 @@ def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _runs(min_words: int):
+def _keys(min_words: int):
+    """Documents to their keys: each line and each run of several lines, with
+    the words and the places of its lines.  Bit j of ``once`` says that line j
+    of the key stands once in its document."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         for part in batches:
             out = []
-            for i, k, h, words, pos in zip(*(part[c].tolist() for c in ("id", "k", "h", "words", "pos"))):
-                raw = h.tobytes()
-                for a, b in runs(words.tolist(), min_words):
-                    key = digest(raw[8 * a : 8 * b])
-                    out.append((i, k, a, key - (1 << 64) if key >> 63 else key, words[a:b], pos[a:b]))
-            yield pd.DataFrame(out, columns=["id", "k", "ord", "h", "words", "pos"])
+            for i, k, h, g, words, pos in zip(*(part[c].tolist() for c in ("id", "k", "h", "g", "words", "pos"))):
+                both = np.column_stack((h, g))
+                raw = both.tobytes()
+                lines = [raw[a : a + 16] for a in range(0, len(raw), 16)]
+                held = Counter(lines)
+                alone = [held[x] == 1 for x in lines]
+                for a, b in [*((a, a + 1) for a in range(len(lines))), *(r for r in runs(words.tolist(), min_words) if r[1] > r[0] + 1)]:
+                    key = np.frombuffer(digest(raw[16 * a : 16 * b]), "<i8")
+                    mask = sum(1 << j for j in range(b - a) if alone[a + j])
+                    out.append((i, k, a, key[0], key[1], mask, words[a:b], pos[a:b]))
+            yield pd.DataFrame(out, columns=["id", "k", "ord", "h", "g", "once", "words", "pos"])
 
     return run
 
@@ -115,7 +225,7 @@ def _edits(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in common.whole_groups(batches, keys):
             out = []
-            cols = [part[c].tolist() for c in ("id", "k", "fid", "fk", "ord", "ford", "words", "pos")]
+            cols = [part[c].tolist() for c in ("id", "k", "fid", "fk", "ord", "ford", "once", "words", "pos")]
             n, a = len(part), 0
             while a < n:
                 b = a
@@ -123,12 +233,12 @@ def _edits(min_words: int):
                 while b < n and cols[0][b] == cols[0][a] and cols[1][b] == cols[1][a]:
                     c, found = b, {}
                     while c < n and all(cols[i][c] == cols[i][b] for i in range(4)):
-                        for j, (w, p) in enumerate(zip(cols[6][c], cols[7][c])):
-                            match = cols[4][c] + j, cols[5][c] + j
-                            pos_of[match[0]] = p
-                            found[match] = int(w)
+                        for j, (w, p) in enumerate(zip(cols[7][c], cols[8][c])):
+                            l, e = cols[4][c] + j, cols[5][c] + j
+                            pos_of[l] = p
+                            found[l, e] = int(w), cols[6][c] >> j & 1 == 1
                         c += 1
-                    for lo, hi in aligned_blocks([(*m, w) for m, w in found.items()], min_words):
+                    for lo, hi in aligned_blocks([(*m, *w) for m, w in found.items()], min_words):
                         gone.update(range(lo, hi))
                     b = c
                 if gone:
@@ -147,6 +257,23 @@ def _edits(min_words: int):
     return run
 
 
+def matching_places(rows: DataFrame, rare: int = RARE) -> DataFrame:
+    """(id, k, fid, fk, ord, ford, once, words, pos): the places at which a
+    document and an earlier one hold the same key, ``rows`` as of ``_keys``."""
+    info = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "ord", "once")).alias("f"), F.max(F.struct("id", "k")).alias("l"))
+    info = common.cut(info.where("f.id <> l.id or f.k <> l.k").drop("l"))
+    held = common.cut(common.keyed_join(rows, info, ["h", "g"], "n"))
+    firsts = held.where("id <> f.id or k <> f.k").select("id", "k", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), "ord", F.col("f.ord").alias("ford"), F.col("once").bitwiseAND(F.col("f.once")).alias("once"), "words", "pos")
+    # Rare lines pair all their holders; with two places the first is all.
+    few = held.where(F.col("n").between(3, rare) & (F.size("words") == 1))
+    few = few.groupBy("h", "g").agg(F.first("f").alias("f"), F.collect_list(F.struct("id", "k", "ord", "once", "words", "pos")).alias("x"))
+    few = few.select("f", "x", F.explode("x").alias("a")).select("f", "a", F.explode("x").alias("b"))
+    earlier = F.struct("b.id", "b.k") < F.struct("a.id", "a.k")
+    others = F.struct("b.id", "b.k") > F.struct("f.id", "f.k")
+    pairs = few.where(earlier & others).select("a.id", "a.k", F.col("b.id").alias("fid"), F.col("b.k").alias("fk"), "a.ord", F.col("b.ord").alias("ford"), F.col("a.once").bitwiseAND(F.col("b.once")).alias("once"), "a.words", "a.pos")
+    return firsts.union(pairs)
+
+
 def edits(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, k, gone, starts, sizes): the number of lines deleted and the ranges
     of lines that stay, one row per edited (id, hash of text)."""
@@ -154,11 +281,12 @@ def edits(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = rows.select("id", F.xxhash64("text").alias("k"), lines.alias("x"))
     words = lambda x: F.length(x["t"]) - F.length(F.translate(x["t"], " ", "")) + 1
-    rows = rows.select("id", "k", F.transform("x", lambda x: F.xxhash64(x["t"])).alias("h"), F.transform("x", words).alias("words"), F.col("x.pos").alias("pos"))
-    rows = common.cut(rows.mapInPandas(_runs(min_words), "id long, k long, ord int, h long, words array<int>, pos array<int>"))
-    info = rows.groupBy("h").agg(F.min(F.struct("id", "k", "ord")).alias("f"), F.max(F.struct("id", "k")).alias("l"))
-    info = info.where("f.id <> l.id or f.k <> l.k").select("h", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), F.col("f.ord").alias("ford"))
-    shared = rows.join(info, "h").where("id <> fid or k <> fk").select("id", "k", "fid", "fk", "ord", "ford", "words", "pos")
+    rows = rows.select(
+        "id", "k", F.transform("x", lambda x: F.xxhash64(x["t"])).alias("h"), F.transform("x", lambda x: F.xxhash64(F.lit("second"), x["t"])).alias("g"),
+        F.transform("x", words).alias("words"), F.col("x.pos").alias("pos"),
+    )
+    rows = common.cut(rows.mapInPandas(_keys(min_words), "id long, k long, ord int, h long, g long, once int, words array<int>, pos array<int>"))
+    shared = matching_places(rows)
     dealt = shared.repartition("id", "k").sortWithinPartitions("id", "k", "fid", "fk", "ord")
     return dealt.mapInPandas(_edits(min_words), "id long, k long, gone int, starts array<int>, sizes array<int>")
 

@@ -123,6 +123,37 @@ def test_ann_recall(spark, sf):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+@pytest.mark.parametrize("block", [64, 2048])
+def test_ann_recall_through_its_windows(spark, monkeypatch, block):
+    """20,000 vectors that fill their dimensions evenly: windows hold a part of
+    the rows, and what is found does not depend on the blocks."""
+    import pandas as pd
+
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = np.random.default_rng(3).normal(size=(20_000, 32)).astype("float32")
+    ids = np.arange(len(x))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(x)}), "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(int(i),) for i in range(0, 20_000, 400)], "q long")
+    y = x.astype(float)
+    for curves, window, fraction, least in ((16, 64, 0.05, 0.9), (4, 300, 0.0, 0.05)):
+        got = {}
+        for r in ann.nearest(df, asked, curves=curves, window=window, fraction=fraction).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & set(found))
+            assert len(found) == 20
+        recall = hits / 20 / len(got)
+        assert recall >= least and (curves > 4 or recall < 0.6), recall
+        seen.setdefault((curves, window), []).append(got)
+        assert all(g == got for g in seen[curves, window])
+
+
+seen: dict = {}
+
+
 VECS = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.99, 0.05]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [1.0])]
 
 
@@ -138,9 +169,11 @@ def test_vectors_odd_rows(spark):
     assert ann.nearest(df.limit(0), df.select("vec_id")).count() == 0
 
 
-def test_range_join_equals_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(embdedup, "CELL", 60)
+@pytest.mark.parametrize("density", [0.01, 0.125, 1.5])
+def test_range_join_equals_brute_force(spark, sf, monkeypatch, density):
+    monkeypatch.setattr(embdedup, "DENSITY", density)
     monkeypatch.setattr(embdedup, "CHUNK", 100)
+    monkeypatch.setattr(embdedup, "STRIP", 16)
     df, ids, x = vectors_of(spark, sf)
     rng = np.random.default_rng(1)
     more = [(10_000 + i, (x[i % 7] + rng.normal(0, 0.02, x.shape[1])).tolist()) for i in range(60)]
@@ -161,7 +194,7 @@ def test_line_dedup(spark):
     rows = [(1, f"a\n{P40}\nshort\n\n{Q40}", 1), (2, f"b\n{P40}\nc", 2), (3, f"x\n{P40}\nshort\n{Q40}\nz", 3), (4, None, 4), (None, P40, 5), (5, "a\nb", 6), (2, f"b\n{P40}\nc", 2), (6, f"{Q40}\n{P40}", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr("*", "'k' AS k", "1 AS h", "2 AS pos", "3 AS id")
     got = sorted(((r.doc_id or 0), r.text, r.n_chars) for r in linededup.dedup_lines(df).collect() if r.text is not None)
-    assert got == [(0, P40, 5), (1, f"a\n{P40}\nshort\n\n{Q40}", 1), (2, "b\nc", 3), (2, "b\nc", 3), (3, "x\nz", 3), (5, "a\nb", 6), (6, P40, len(P40))] or got[-1][1] in (P40, Q40)
+    assert got == [(0, P40, 5), (1, f"a\n{P40}\nshort\n\n{Q40}", 1), (2, "b\nc", 3), (2, "b\nc", 3), (3, "x\nz", 3), (5, "a\nb", 6), (6, "", 0)]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     assert linededup.dedup_lines(df).columns == df.columns
 
@@ -171,6 +204,43 @@ def test_chain_rises():
     assert linededup.aligned_blocks([(0, 3, 30, True), (1, 4, 2, False), (5, 9, 2, True)], 20) == [(0, 2)]
 
 
+def test_patience_takes_unique_lines_first_and_recurses():
+    later, earlier = "a x b x c".split(), "a b x c x".split()
+    both = [(l, e) for l, p in enumerate(later) for e, q in enumerate(earlier) if p == q]
+    once = {m for m in both if later[m[0]] in "abc"}
+    assert linededup.patience(both, once) == [(0, 0), (2, 1), (3, 2), (4, 3)]
+    assert linededup.patience([(0, 1), (1, 0)], {(0, 1), (1, 0)}) in ([(0, 1)], [(1, 0)])
+    rng = random.Random(2)
+    for _ in range(300):
+        later, earlier = ([rng.choice("abcdef") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        both = [(l, e) for l, p in enumerate(later) for e, q in enumerate(earlier) if p == q]
+        once = {m for m in both if later.count(later[m[0]]) == earlier.count(later[m[0]]) == 1}
+        got = linededup.patience(both, once)
+        assert set(got) <= set(both) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+        runs = [[(l + k, e + k) for k in range(n)] for l, e in both for n in range(1, 9) if all((l + k, e + k) in both for k in range(n))]
+        want = {l for r in runs if len(r) >= 3 for l, _ in r}
+        blocks = linededup.aligned_blocks([(l, e, 1, (l, e) in once) for l, e in both], 3)
+        assert {l for lo, hi in blocks for l in range(lo, hi)} == want
+
+
+def test_rare_lines_pair_all_their_holders(spark):
+    a, b = lines_of("a", 1, 12)[0], lines_of("b", 1, 12)[0]
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {1: a, 2: b, 3: f"{a}\n{b}", 4: ""}
+    p, q, r, s = lines_of("s", 4, 12)
+    text = "\n---\n".join((p, q, r, s))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {1: text, 2: ""}
+
+
+def test_hot_lines_are_joined_by_broadcast_with_equal_results(spark, monkeypatch):
+    rows = [(i, "\n".join([*lines_of("v", 6, 7), f"own {i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "HOT", 10)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == {i: t if i == 0 else f"own {i}" for i, t in rows}
+
+
 def test_line_dedup_leaves_no_long_repeat_and_keeps_firsts(docs):
     before = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
     after = {r.doc_id: (r.text or "").split("\n") for r in linededup.dedup_lines(docs).collect()}
@@ -196,6 +266,37 @@ def test_urls(spark):
     assert got[9][3] == "block" and got[11][3] == "allow" and got[10][:2] == ("y.org", "")
 
 
+def test_url_labels_are_independent_of_the_pages_and_carry_over(spark):
+    """No host name of ``pages`` is in the labelled table; on hosts outside it
+    the model finds most unwanted ones and spares ordinary ones."""
+    stem = lambda host: [p for p in host.split(".") if p not in ("www", "m", "blog")][0]
+    known = {stem(urlfilter._split(u)[0]) for u, _ in urlfilter.LABELLED}
+    pages = common.table(spark, "/root/testdata/sf0.1", "pages")
+    rows = urlfilter.judge(pages, rules=()).collect()
+    assert not known & {stem(r.host) for r in rows if r.host}
+    unwanted = {"spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track"}
+    bad = [r.verdict == "block" for r in rows if r.host and stem(r.host) in unwanted]
+    good = [r.verdict == "block" for r in rows if r.host and stem(r.host) not in unwanted]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.1 * len(good)
+    worse = "best-casino-games online-pharmacy-rx viagra-shop freeporn payday-loans sportsbook-promo ad-tracker spamlinks warez-downloads adult-dating bonus-bets pills4less".split()
+    fine = "openstreetmap wikipedia nationalgeographic deutschebahn lemonde elpais chessclub birdwatching stadtbibliothek recettes mathoverflow python kernel gutenberg archive weatherstation skatepark beekeeping astronomy".split()
+    urls = [(i, f"https://www.{h}.example.org/en/{i}") for i, h in enumerate(worse + fine)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules=()).collect()}
+    assert sum(got[i] == "block" for i in range(len(worse))) >= 0.75 * len(worse)
+    assert sum(got[len(worse) + i] == "block" for i in range(len(fine))) == 0
+
+
+def test_urls_odd_rows(spark):
+    rows = [(1, "https://" + "a." * 40_000 + "net/" + "p" * 200_000), (None, "x://h/p"), (None, "x://h/p"), (3, ""), (4, "://"), (5, "a://b?c://d/e"), (6, "HTTP://\u00c4B.Example.COM/DE/"), (7, "x://é.net\n/a")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'r' AS rule", "'v' AS verdict", "'s' AS said", "'p' AS path")
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got} <= {"allow", "block"}
+    by = {r.page_id: r for r in got}
+    assert by[1].rule == "net/" and by[1].verdict == "block" and len(by[1].path) == 200_001
+    assert (by[3].host, by[4].host, by[5].host, by[5].path) == ("", "", "b", "") and by[6].host == "\u00c4b.example.com" and by[6].rule is None
+    assert urlfilter.judge(df.limit(0)).count() == 0
+
+
 def test_bpe_equals_the_library(spark, docs, odd):
     import public_tokenizers
     import tiktoken
@@ -232,13 +333,46 @@ def test_toxicity(spark, odd, docs, sf):
     got = {r.doc_id: r for r in toxicity.toxicity(spark_docs, labels).collect()}
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d in got)
-    assert sum(a == b for a, b in held) >= 0.93 * len(held)
+    caught, wrong = sum(a == b == 1 for a, b in held), sum(a < b for a, b in held)
+    assert caught >= 0.6 * sum(a for a, _ in held) and wrong <= 0.02 * len(held)
     few = spark.createDataFrame([(1, 1), (3, None), (4, 0), (4, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, few).count() == len(ODD)
     assert {r.score for r in toxicity.toxicity(odd, few.limit(0)).collect()} == {0.5}
     assert toxicity.toxicity(odd.limit(0), few).count() == 0
 
 
+def test_toxicity_finds_planted_terms_and_equals_a_naive_scorer(spark):
+    """A pair of words is toxic, neither alone is; scores are recomputed pair by
+    pair of terms."""
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(900):
+        kind = i % 3
+        words = [f"w{rng.randrange(80)}" for _ in range(12)] + {0: ["zorf", "mips"], 1: ["zorf"], 2: ["mips"]}[kind]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    at = {int(t): i for i, t in enumerate(model["terms"])}
+    for d, text in rows[:60]:
+        active = sorted({at[h] for w in set(re.findall(r"\w+", text.lower())) for h in toxicity.terms_of(w) if h in at})
+        z = model["b"] + sum(model["w"][i] for i in active) + sum(float(model["v"][i] @ model["v"][j]) for i in active for j in active if i < j)
+        assert abs(got[d].score - 1 / (1 + np.exp(-z))) < 1e-9
+    held = [(y, got[d].predicted) for d, y in labels if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert sum(a == b == 1 for a, b in held) >= 0.9 * sum(a for a, _ in held)
+    assert sum(a < b for a, b in held) <= 0.05 * sum(1 - a for a, _ in held)
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, marks).collect()}
+    assert kept == {d for d in got if got[d].score < 0.5}
+
+
+def test_drop_toxic_odd_rows(spark, odd):
+    few = spark.createDataFrame([(1, 1), (3, None), (4, 0), (4, 1)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(odd, few.limit(0), threshold=0.6).count() == len(ODD)
+    assert toxicity.drop_toxic(odd, few).columns == odd.columns
+    assert toxicity.drop_toxic(odd.limit(0), few).count() == 0
+
+
 def test_machine_learns_an_interaction():
     rows = [(np.array(x), y) for x, y in [([0], 0), ([1], 0), ([0, 1], 1), ([2], 0), ([0, 2], 0), ([1, 2], 0)] for _ in range(60)]
     m = toxicity.fit_machine(rows, 3)
@@ -280,6 +414,43 @@ def test_kneser_ney_sums_to_one_and_spans_agree(monkeypatch):
     assert np.allclose(a, langid.entropies(m, [long, "bat"])[0], atol=1e-4)
 
 
+def naive_kneser_ney(texts, order):
+    """log P(symbol | context) of interpolated Kneser-Ney by its definition."""
+    pad = "\0" * (order - 1)
+    strings = ["".join(chr(c) for c in langid.symbols([t])[0]) for t in texts]
+    top = Counter(s[i - order + 1 : i + 1] for s in strings for i in range(len(s)) if s[i] != "\0")
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+    def p(ctx, ch):
+        n = len(ctx) + 1
+        below = 1 / (len(counts[1]) + 1) if n == 1 else p(ctx[1:], ch)
+        same = {g: v for g, v in counts[n].items() if g[:-1] == ctx}
+        if not same:
+            return below
+        total = sum(same.values())
+        return max(counts[n][ctx + ch] - discount[n], 0) / total + discount[n] * len(same) / total * below
+
+    return lambda text: [np.log(p((pad + text)[i : i + order - 1], c)) for i, c in enumerate(text)]
+
+
+def test_kneser_ney_equals_its_definition():
+    import pandas as pd
+
+    texts = ["the cat sat on the mat", "that hat", "a bat", "the rat"]
+    counts = pd.concat(langid._count_grams([pd.DataFrame({"lang": ["x"] * len(texts), "text": texts})])).groupby(["lang", "gram"], as_index=False).sum()
+    model, naive = langid.build(counts), naive_kneser_ney(texts, langid.ORDER)
+    for text in ("the cat", "that mat sat", "zebra", "a hat on the rat"):
+        s, _ = langid.symbols([text])
+        got = langid.log_likelihoods(model, s)[s != langid.PAD, 0]
+        assert np.allclose(got, naive(text), atol=1e-4), text
+
+
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -300,7 +471,9 @@ def test_packing(spark, docs, odd):
             assert o == fill
             fill += n
         assert fill <= 2048
-    assert sum(map(len, ids.values())) >= 0.95 * 2048 * len(seqs)
+    # the linear program cannot do better than the tokens fill
+    least = -(-sum(map(len, ids.values())) // 2048)
+    assert len(seqs) <= 1.02 * least + 1
     assert {r.doc_id for r in packing.pack(odd).collect()} == {d for d, _, _ in ODD}
     assert packing.pack(odd).where("start = 0").count() == len(ODD)
     assert packing.pack(odd.limit(0)).count() == 0
@@ -464,3 +637,43 @@ def test_ann_counts_repeated_rows_once_before_it_ranks_equal_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(df, spark.createDataFrame([(1,)], "q long")).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id) for r in got] == [(1, 2), (2, 3)]
+
+
+def test_pipeline_stages_and_run(spark, odd, sf, tmp_path):
+    """Each stage on odd rows; the run equals the stages one after the other,
+    and its pieces hold each kept document whole."""
+    import corpus_pipeline as pipe
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    names = [n for n, _ in pipe.STAGES]
+    assert names == ["toxicity", "line_dedup", "simhash", "secrets", "packing"]
+    schema = common.table(spark, sf, "documents").schema
+    plain = odd.selectExpr("doc_id", "text", "k AS lang", "k AS source", "cast(length(text) as long) AS n_chars")
+    assert plain.columns == schema.names
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, plain, sf)
+        assert out.columns == schema.names, name
+        assert stage(spark, plain.limit(0), sf).count() == 0
+    docs = common.table(spark, sf, "documents")
+    for name, stage in pipe.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert 0 < len(want) < common.table(spark, sf, "documents").count()
+    rows = pipe.run(spark, sf).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == {d: len(v) for d, v in want.items()}
+
+
+def test_hashes_that_meet_are_told_apart(spark):
+    """``numbered`` gives distinct values numbers of their own."""
+    df = spark.createDataFrame([(i,) for i in range(1000)], "v long")
+    out, node = common.numbered(df, "v")
+    assert out.select("node").distinct().count() == 1000
+    assert out.where(out.node != node).count() == 0
