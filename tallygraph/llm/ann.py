@@ -2,11 +2,12 @@
 
 Each of ``curves`` random projections, shifted and laid on a grid, gives every
 vector a position on a Hilbert curve.  Spark range-partitions the positions of
-a curve, which yields each vector's rank on it.  Ranks are cut into blocks of
-``BLOCK`` rows; a query visits the blocks that its window of ranks touches, on
-every curve, and what the windows found is merged and ranked by the inner
-product of the original vectors.  Equal vectors are one row, with their
-smallest ids.
+a curve, which yields each vector's rank on it.  A query meets the vectors whose
+rank differs from its own by the window's reach or less, on every curve, and
+what the windows found is merged and ranked by the inner product of the
+original vectors.  Ranks are cut into blocks only to deal out the work: which
+pairs are compared does not depend on them.  Equal vectors are one row, with
+their smallest ids.
 
 No curve keeps the neighbourhoods of vectors that fill all their dimensions
 evenly, so the window is a share of the rows there, ``fraction``; for vectors
@@ -22,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .embdedup import usable
+from .embdedup import real, usable
 from .hilbert import hilbert_keys
 
 K = 20
-CURVES = 14
+CURVES = 16
 DIMS, BITS = 6, 10
 #: Ranks to either side of a query that are searched: the larger of both.
-WINDOW, FRACTION = 256, 0.05
-#: Rows per block, which bounds a task's memory.
+WINDOW, FRACTION = 64, 0.05
+#: Most rows per block, which bounds a task's memory; no result depends on it.
 BLOCK = 2048
 #: Rows from which the mean and spread of the projections are taken.
 FIT_SAMPLE = 4096
@@ -50,15 +51,14 @@ def nearest(
     vector count once.  Other columns are ignored; empty tables give no rows.
     """
     common.configure(vectors.sparkSession)
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), real(vectors, vec_col).alias("vec"))
     base = base.where("id is not null").where(usable("vec"))
     ranked = base.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = common.cut(
-        ranked.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        .select(F.xxhash64("vec").alias("node"), "vec", "ids", F.col("ids")[0].alias("first"))
-    )
+    classes = ranked.groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    classes, node = common.numbered(classes, "vec")
+    classes = classes.select("node", "vec", "ids", F.col("ids")[0].alias("first"))
     asked = base.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
-    asked = common.cut(asked.select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("node"), F.size("vec").alias("w")).distinct())
+    asked = common.cut(asked.select(F.col("id").alias("query_id"), node.alias("node"), F.size("vec").alias("w")).distinct())
     tops = None
     for w, n in sorted((r.w, r.n) for r in classes.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n")).collect()):
         top = _search(classes.where(F.size("vec") == w), asked.where(F.col("w") == w), n, k, curves, window, fraction)
@@ -75,7 +75,7 @@ def nearest(
 
 def _search(classes: DataFrame, asked: DataFrame, n: int, k: int, curves: int, window: int, fraction: float) -> DataFrame:
     spark = classes.sparkSession
-    fit = np.array([r.vec for r in classes.orderBy("node").limit(FIT_SAMPLE).select("vec").collect()])
+    fit = np.array([r.vec for r in classes.orderBy("node").limit(FIT_SAMPLE).select("vec").collect()], dtype=float)
     width, rng = fit.shape[1], np.random.default_rng(SEED)
     dims = min(DIMS, width)
     plan = []
@@ -89,7 +89,7 @@ def _search(classes: DataFrame, asked: DataFrame, n: int, k: int, curves: int, w
     def positions(vecs: pd.Series) -> pd.Series:
         if not len(vecs):
             return pd.Series([], dtype=object)
-        x, keys = np.array(vecs.tolist()), []
+        x, keys = np.array(vecs.tolist(), dtype=float), []
         for axes, mean, spread, shift in sent.value:
             cell = ((x @ axes - mean) / (8 * spread) + 0.5 + shift) * (1 << BITS)
             keys.append(hilbert_keys(np.clip(cell, 0, (1 << BITS) - 1).astype(np.int64), BITS).astype(np.int64))
@@ -109,35 +109,41 @@ def _search(classes: DataFrame, asked: DataFrame, n: int, k: int, curves: int, w
     before = spark.createDataFrame(offsets, "part long, before long")
     ranks = rows.join(F.broadcast(before), "part").select("curve", "node", (F.col("pos") + F.col("before") - F.col("curve") * n).alias("rank"))
     reach = max(window, int(np.ceil(fraction * n)))
-    last = (n - 1) // BLOCK
+    block = min(BLOCK, reach)
+    last = (n - 1) // block
     qnodes = asked.select("node").distinct()
     visits = ranks.join(qnodes, "node", "left_semi").select(
-        "curve", "node",
-        F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / BLOCK)), F.least(F.lit(last), F.floor((F.col("rank") + reach) / BLOCK)))).alias("block"),
+        "curve", "node", "rank",
+        F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - reach) / block)), F.least(F.lit(last), F.floor((F.col("rank") + reach) / block)))).alias("block"),
     )
     vecs = classes.select("node", "vec", "first")
-    left = visits.join(vecs, "node").select("curve", "block", "node", "vec", "first", F.lit(True).alias("asks"))
-    right = ranks.join(vecs, "node").select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), "node", "vec", "first", F.lit(False).alias("asks"))
+    left = visits.join(vecs, "node").select("curve", "block", "node", "rank", "vec", "first", F.lit(True).alias("asks"))
+    right = ranks.join(vecs, "node").select("curve", F.floor(F.col("rank") / block).alias("block"), "node", "rank", "vec", "first", F.lit(False).alias("asks"))
     kept = k + 1  # the query's own class may be among them
 
     def best(both: pd.DataFrame) -> pd.DataFrame:
         q, c = both[both["asks"]], both[~both["asks"]]
         out = []
         if len(q) and len(c):
-            x, y = np.array(q.vec.tolist()), np.array(c.vec.tolist())
-            nodes, first = c.node.to_numpy(), c["first"].to_numpy()
+            c = c.sort_values("rank")
+            x, y = np.array(q.vec.tolist(), dtype=float), np.array(c.vec.tolist(), dtype=float)
+            nodes, first, at = c.node.to_numpy(), c["first"].to_numpy(), c["rank"].to_numpy()
             s = x @ y.T
-            some = min(kept + 8, len(c))
-            near = np.argpartition(-s, some - 1, axis=1)[:, :some]
-            for i, node in enumerate(q.node):
-                j = near[i]
+            lows, highs = np.searchsorted(at, q["rank"].to_numpy() - reach), np.searchsorted(at, q["rank"].to_numpy() + reach, "right")
+            for i, (node, lo, hi) in enumerate(zip(q.node, lows, highs)):
+                if lo == hi:
+                    continue
+                near = s[i, lo:hi]
+                # all that may be among the best, whatever the order of addition
+                edge = np.partition(near, -kept)[-kept] - 1e-9 * (1 + np.abs(near).max()) if hi - lo > kept else -np.inf
+                j = lo + np.flatnonzero(near >= edge)
                 exact = (y[j] * x[i]).sum(axis=1)
                 o = np.lexsort((first[j], -exact))[:kept]
-                out.append((node, nodes[j][o], exact[o], first[j][o]))
-        return pd.DataFrame(out, columns=["qnode", "nodes", "scores", "firsts"])
+                out.append((node, nodes[j][o], exact[o], first[j][o], hi - lo))
+        return pd.DataFrame(out, columns=["qnode", "nodes", "scores", "firsts", "met"])
 
-    lists = "qnode long, nodes array<long>, scores array<double>, firsts array<long>"
-    found = left.union(right).groupBy("curve", "block").applyInPandas(best, lists)
+    lists = "qnode long, nodes array<long>, scores array<double>, firsts array<long>, met long"
+    found = left.union(right).groupBy("curve", "block").applyInPandas(best, lists).drop("met")
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, at = np.unique(np.concatenate(pdf.nodes.tolist()), return_index=True)
