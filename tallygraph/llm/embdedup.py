@@ -4,10 +4,12 @@ Unit vectors are dealt to the cell of their nearest pivot.  For a pair within
 chord ``eps`` of each other whose homes are cells i and j, the triangle
 inequality bounds how far either lies beyond the border of the other's cell:
 x is copied to cell j only if (|x-pj|^2 - |x-pi|^2) / (2|pi-pj|) <= eps and
-|x-pj| <= radius(j) + eps.  A cell then joins its home rows with all its rows,
-alone, so each row counts each of its links exactly once, in its home cell.
-Equal vectors are one row with a multiplicity.  Large cells are dealt out as
-pairs of chunks.
+|x-pj| <= radius(j) + eps.  A pair is joined in the cell of the lower number
+only, so rows travel to lower cells; both ends count the link there.  Within a
+cell rows are sorted by their distance to the pivot, and a strip of them meets
+only rows whose distance differs by eps or less, by the triangle inequality
+again.  Equal vectors are one row with a multiplicity.  Large cells are dealt
+out as pairs of chunks.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from . import common
 COSINE = 0.95
 #: Pivots come from the rows of smallest hash; at most this many are compared.
 PIVOT_SAMPLE = 4096
-#: Home rows for which one pivot is taken, and the largest number of pivots
+#: Pivots: the square root of the rows times ``DENSITY``, between these bounds
 #: (their table, 8 bytes x width each, is sent to every executor).
-CELL, MAX_PIVOTS = 4096, 2048
-#: Rows of one side of a task's join.
-CHUNK = 2048
+DENSITY, MIN_PIVOTS, MAX_PIVOTS = 0.125, 4, 2048
+#: Rows of one side of a task's join, and rows of a strip within it.
+CHUNK, STRIP = 2048, 128
 SLACK = 1e-9
 
 
@@ -38,13 +40,19 @@ def usable(vec: str = "embedding"):
     return F.coalesce(v.isNotNull() & ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def real(vectors: DataFrame, vec_col: str):
+    """The vectors as floats if they are floats, else as doubles."""
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    return F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")
+
+
 def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """Far-apart pivots from a bounded sample: each is the row farthest from
     those before it."""
     rows = vectors.orderBy(F.xxhash64("vec"), "first").limit(PIVOT_SAMPLE).select("vec").collect()
     x = np.array([r.vec for r in rows], dtype=float).reshape(len(rows), -1)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = int(min(MAX_PIVOTS, max(1, n // CELL), len(x)))
+    want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n**0.5 * DENSITY), len(x)))
     chosen, best = [0], x @ x[0]
     while len(chosen) < want:
         k = int(np.argmin(best))
@@ -68,12 +76,10 @@ def range_join(
     """
     spark = vectors.sparkSession
     common.configure(spark)
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), real(vectors, vec_col).alias("vec"))
     src = src.withColumn("ok", usable("vec"))
-    classes = common.cut(
-        src.where("ok").groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("many"))
-        .withColumn("node", F.xxhash64("vec"))
-    )
+    classes = src.where("ok").groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("many"))
+    classes, node = common.numbered(classes, "vec")
     out = []
     widths = [r.w for r in classes.select(F.size("vec").alias("w")).distinct().collect()]
     for w in widths:
@@ -87,14 +93,15 @@ def range_join(
         found = common.cut(found)
         counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
         comp = common.connected_components(found.where("b is not null").select("a", "b"))
-        named = (
+        named = common.cut(
             classes.join(counts, classes.node == counts.a, "left").drop("a")
             .join(comp.withColumnRenamed("node", "cnode"), F.col("node") == F.col("cnode"), "left")
-            .select("vec", "first", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
+            .select("node", "first", "many", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
         )
-        least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = named.join(least, "root").select("vec", "n_links", "component_id")
-        good = src.where("ok").join(named, "vec").select("id", "n_links", "component_id")
+        least = common.cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+        named = common.cut(common.keyed_join(named.drop("first"), least, ["root"], "size").select("node", "many", "n_links", "component_id"))
+        rows = src.where("ok").select("id", node.alias("node"))
+        good = common.keyed_join(rows, named, ["node"], "many").select("id", "n_links", "component_id")
         done = good.union(src.where("not ok").select("id", F.lit(0).cast("long"), "id"))
     return done.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -136,13 +143,14 @@ def _join_width(classes: DataFrame, cosine: float) -> DataFrame:
         d2 = np.maximum(0, 2 - 2 * (unit(vecs) @ sent.value.T))
         own = d2[np.arange(len(h)), h]
         near = (d2 - own[:, None] <= 2 * ap[h] * eps + SLACK) & (np.sqrt(d2) <= r[None, :] + eps)
+        near &= np.arange(len(r))[None, :] < h[:, None]  # a pair meets in the lower cell
         near[np.arange(len(h)), h] = True
         return pd.Series([np.flatnonzero(x).astype("int32") for x in near])
 
     dealt = common.cut(homed.select("node", "many", "vec", "home", F.explode(cells("vec", "home")).alias("cell")))
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("all"), F.count_if(F.col("home") == F.col("cell")).alias("own"))
     parts = sizes.select("cell", F.ceil(F.col("own") / CHUNK).cast("int").alias("po"), F.ceil(F.col("all") / CHUNK).cast("int").alias("pa")).where("po > 0")
-    cut_rows = dealt.join(F.broadcast(parts), "cell")  # at most MAX_PIVOTS rows
+    cut_rows = dealt.join(F.broadcast(parts), "cell").withColumn("guest", F.col("home") != F.col("cell"))  # at most MAX_PIVOTS rows
     left = (
         cut_rows.where("home = cell")
         .withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("po")).cast("int"))
@@ -152,29 +160,44 @@ def _join_width(classes: DataFrame, cosine: float) -> DataFrame:
         cut_rows.withColumn("j", F.pmod(F.xxhash64("node", F.lit(2)), F.col("pa")).cast("int"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("po") - 1)))
     )
-    cols = ["cell", "i", "j", "node", "many", "vec"]
+    cols = ["cell", "i", "j", "node", "many", "vec", "guest"]
 
     def join(both: pd.DataFrame) -> pd.DataFrame:
         a, b = both[both["home"]], both[~both["home"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        xa, xb = unit(a.vec), unit(b.vec)
-        na, nb = a.node.to_numpy(), b.node.to_numpy()
-        many = b.many.to_numpy()
-        hit = xa @ xb.T >= cosine
-        hit &= na[:, None] != nb[None, :]
-        n = hit @ many
-        some = np.flatnonzero(n)
+        pivot = sent.value[int(both.cell.iloc[0])]
+
+        def sorted_by_pivot(x: pd.DataFrame):
+            v = unit(x.vec)
+            far = np.sqrt(np.maximum(0, 2 - 2 * (v @ pivot)))
+            o = np.argsort(far, kind="stable")
+            return v[o], far[o], x.node.to_numpy()[o], x.many.to_numpy()[o], x.guest.to_numpy()[o]
+
+        xa, fa, na, ma, _ = sorted_by_pivot(a)
+        xb, fb, nb, mb, guest = sorted_by_pivot(b)
+        rows, cols_ = [], []
+        for lo in range(0, len(xa), STRIP):
+            hi = min(len(xa), lo + STRIP)
+            first, last = np.searchsorted(fb, (fa[lo] - eps, fa[hi - 1] + eps + SLACK))
+            r, c = np.nonzero((xa[lo:hi] @ xb[first:last].T >= cosine) & (na[lo:hi, None] != nb[None, first:last]))
+            rows.append(r + lo)
+            cols_.append(c + first)
+        r, c = np.concatenate(rows), np.concatenate(cols_)
+        # home rows count all their links here, guests theirs with home rows
+        away = guest[c]
+        ends = np.concatenate((na[r], nb[c[away]]))
+        weights = np.concatenate((mb[c], ma[r[away]]))
+        counted, at = np.unique(ends, return_inverse=True)
+        n = np.bincount(at, weights=weights, minlength=len(counted)).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
         # a forest over the rows of both sides that have a link
-        nodes, inv = np.unique(np.concatenate((na[hit.any(axis=1)], nb[hit.any(axis=0)])), return_inverse=True)
+        nodes, inv = np.unique(np.concatenate((na[r], nb[c])), return_inverse=True)
         links = np.zeros((len(nodes), len(nodes)), dtype=bool)
-        r, c = np.nonzero(hit[hit.any(axis=1)][:, hit.any(axis=0)])
-        k = int(hit.any(axis=1).sum())
-        links[inv[r], inv[k + c]] = True
+        links[inv[: len(r)], inv[len(r) :]] = True
         links |= links.T
         star = common.forest(links, np.arange(len(nodes)))
         return pd.concat([
-            pd.DataFrame({"a": na[some], "b": pd.array([pd.NA] * len(some), dtype="Int64"), "n": pd.array(n[some], dtype="Int64")}),
+            pd.DataFrame({"a": counted, "b": pd.array([pd.NA] * len(counted), dtype="Int64"), "n": pd.array(n, dtype="Int64")}),
             pd.DataFrame({"a": nodes[[x for x, _ in star]], "b": pd.array(nodes[[y for _, y in star]], dtype="Int64"), "n": pd.array([pd.NA] * len(star), dtype="Int64")}),
         ])
 
