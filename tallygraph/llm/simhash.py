@@ -159,12 +159,12 @@ def near_duplicates(
     are ignored, whatever their names; an empty table gives no rows.
     """
     base = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), shingle, seed).alias("fp")))
-    classes = common.cut(base.groupBy("fp").agg(F.min("id").alias("first")))
+    classes = common.cut(base.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("many")))
     comp = common.connected_components(hamming_links(classes.select("fp"), distance, blocks))
-    named = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = common.cut(named.join(least, "root").select("fp", "component_id"))
-    return base.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    named = common.cut(classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", "many", F.coalesce("component", "fp").alias("root")))
+    least = common.cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    by_fp = common.cut(common.keyed_join(named.select("fp", "root", "many"), least, ["root"], "size").select("fp", "many", "component_id"))
+    return common.keyed_join(base, by_fp, ["fp"], "many").select(F.col("id").alias(id_col), hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
