@@ -88,8 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    # at most MAX_LABELLED documents, few of them copies of one id
-    sample = common.cut(texts.select("y", "text"))
+    # one document for each of at most MAX_LABELLED ids, however often it repeats
+    sample = common.cut(texts.groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text")).select("y", "text"))
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     empty = {"terms": np.zeros(0, dtype=np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "b": 0.0}
@@ -167,7 +167,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
+    """The rows of ``docs`` that score below ``threshold``; a score equal to it
+    rejects.  Null and empty texts score as texts without terms, rows that
+    repeat go or stay together, a null id makes no difference, columns stay as
+    they are, and an empty table gives no rows."""
     score = scorer(docs.sparkSession, fit(docs, labels, id_col, text_col))
     return docs.where(score(F.col(text_col)) < threshold)
 
