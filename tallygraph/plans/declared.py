@@ -31,76 +31,25 @@ SELECT scope, seq, kind, more FROM (SELECT l.scope, l.seq, l.kind, row_number()
 FROM ledger l JOIN c ON l.scope = c.scope AND l.seq > c.seq) t WHERE rn <= 25"""
 
 # --- roll-ups --------------------------------------------------------------
-_SESS = """WITH m AS (SELECT *, max(ts) OVER (PARTITION BY usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ts FROM ledger),
-s AS (SELECT *, sum(CASE WHEN before_ts IS NULL OR ts - before_ts > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid,
-  CASE WHEN kind = 'edit_reported' THEN row_number() OVER (PARTITION BY usr, turn_id, kind ORDER BY seq) END AS nth FROM m)"""
-Q["a1_journal"] = _SESS + """, p AS (SELECT usr, sid, path, row_number() OVER (PARTITION BY usr, sid ORDER BY count(*) DESC, min(seq)) AS r FROM s GROUP BY usr, sid, path),
-t AS (SELECT usr, sid, @SL[path] AS top_paths FROM p WHERE r <= 4 GROUP BY usr, sid),
-g AS (SELECT usr, sid, min(ts) AS started, max(ts) AS ended, count(*) AS events, count_if(kind = 'edit_reported') AS edits, count_if(kind = 'check_performed') AS checks,
-  coalesce(sum(CASE WHEN nth = 1 THEN tokens END), 0) AS tokens, max(CASE WHEN model <> '' THEN seq END) AS mseq FROM s GROUP BY usr, sid)
-SELECT g.usr, @INT[g.sid] AS session, started, ended, events, edits, checks, @INT[g.tokens] AS tokens, coalesce(l.model, '') AS model, top_paths
-FROM g JOIN t ON g.usr = t.usr AND g.sid = t.sid LEFT JOIN ledger l ON l.seq = g.mseq"""
-Q["w1_sessions"] = _SESS + " SELECT usr, @INT[sid] AS session, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM s GROUP BY usr, sid"
 _COST = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY usr, turn_id ORDER BY seq DESC) AS nth FROM ledger WHERE kind = 'edit_reported' AND tokens > 0), d AS (SELECT * FROM e WHERE nth = 1)"""
 _PRICE = "CASE WHEN left(lower(model), 5) = 'alpha' THEN 15 WHEN left(lower(model), 4) = 'beta' THEN 5 ELSE 3 END"
 for _k in ("day", "model", "usr", "kind"):
     Q[f"a2_costs_by_{_k}"] = _COST + f" SELECT {_k}, count(*) AS turns, @INT[sum(tokens)] AS tokens, @INT[sum(tokens * {_PRICE})] AS micro_usd FROM d GROUP BY {_k}"
 Q["a2_costs_by_root"] = _COST + " SELECT root, count(*) AS turns, @INT[sum(tokens)] AS tokens FROM d GROUP BY root ORDER BY tokens DESC, root LIMIT 8"
-Q["a3_recap"] = _COST + """ SELECT (SELECT count(*) FROM ledger WHERE ts >= 1705000000) AS events, (SELECT count(DISTINCT usr) FROM ledger WHERE ts >= 1705000000) AS users,
-(SELECT @INT[coalesce(sum(tokens), 0)] FROM d WHERE ts >= 1705000000) AS tokens"""
-Q["a4_savings"] = """SELECT grouping(model) AS g1, grouping(scope) AS g2, grouping(day) AS g3, model, scope, day, count(*) AS n, @INT[sum(tokens)] AS saved, count_if(k % 2 = 0) / count(*) AS answered
-FROM ledger WHERE kind IN ('edit_reported', 'gate_block') GROUP BY GROUPING SETS ((model), (scope), (day), ())"""
 Q["a5_tally"] = "SELECT scope, usr, count(*) AS messages, @INT[sum(tokens)] AS tokens FROM ledger WHERE kind = 'gate_block' GROUP BY scope, usr"
-Q["a6_activity"] = """SELECT usr, count_if(kind = 'edit_reported') AS edits, count_if(kind = 'check_performed') AS checks, count_if(kind = 'gate_block') AS blocks,
-count(DISTINCT path) AS paths, max(ts) AS last_ts FROM ledger WHERE ts >= 1704500000 GROUP BY usr"""
-Q["a6_hotspots"] = "SELECT path, n FROM (SELECT path, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(seq)) AS r FROM ledger WHERE kind = 'edit_reported' GROUP BY path) t WHERE r <= 10"
-Q["a7_compliance"] = """WITH c AS (SELECT *, max(CASE WHEN kind = 'check_performed' THEN 1 ELSE 0 END) OVER (PARTITION BY usr, turn_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s1,
-max(CASE WHEN kind = 'check_performed' THEN 1 ELSE 0 END) OVER (PARTITION BY usr, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s2 FROM ledger)
-SELECT usr, count(*) AS writes, count_if(coalesce(s1, 0) = 1 OR coalesce(s2, 0) = 1) AS checked, count_if(coalesce(s1, 0) = 1 OR coalesce(s2, 0) = 1) / count(*) AS rate
-FROM c WHERE kind = 'edit_reported' GROUP BY usr"""
-Q["a8_drift"] = """SELECT root, count(*) AS violations, count(DISTINCT usr) AS users, @SS[usr] AS who, min(path) AS example FROM ledger WHERE kind = 'edit_reported' AND k % 7 = 3 GROUP BY root"""
 Q["a9_ownership"] = "SELECT path, usr, n FROM (SELECT path, usr, count(*) AS n, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(seq)) AS r FROM ledger WHERE kind = 'edit_reported' GROUP BY path, usr) t WHERE r = 1"
 Q["a10_touches"] = "SELECT node, count(*) AS n FROM (SELECT path AS node FROM ledger WHERE kind = 'edit_reported' UNION ALL SELECT path || '::' || model FROM ledger WHERE kind = 'edit_reported' AND model <> '') t GROUP BY node"
-Q["a12_coedit"] = """SELECT a.path AS a, b.path AS b, count(*) AS n FROM ledger a JOIN ledger b ON a.usr = b.usr AND a.turn_id = b.turn_id AND a.path <> b.path AND b.ts - a.ts BETWEEN -21600 AND 0
-WHERE a.kind = 'edit_reported' AND b.kind = 'edit_reported' GROUP BY a.path, b.path"""
-Q["a13_notes"] = """SELECT d.source AS node, count(*) AS notes, count_if(l.toxic = 1) AS scars, count_if(l.quality = 1) AS rationales, max(d.doc_id) AS latest
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source"""
-Q["a14_projection"] = """SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE kind WHEN 'inherits' THEN 3.0 WHEN 'calls' THEN 2.0 WHEN 'uses_type' THEN 1.5 ELSE 1.0 END) AS w
-FROM (SELECT src, dst, kind FROM dep WHERE src <> dst) t GROUP BY least(src, dst), greatest(src, dst)"""
-for _n, _t in (("a14_projection", "DOUBLE"),):
-    Q[_n] = Q[_n].replace("sum(CASE kind WHEN 'inherits' THEN 3.0 WHEN 'calls' THEN 2.0 WHEN 'uses_type' THEN 1.5 ELSE 1.0 END)", "CAST(sum(CASE kind WHEN 'inherits' THEN 6 WHEN 'calls' THEN 4 WHEN 'uses_type' THEN 3 ELSE 2 END) AS DOUBLE) / 2")
 _SAL = "3 * count_if(kind = 'intent_declared') + 4 * count_if(kind = 'intent_completed') + 2 * count_if(kind = 'gate_block')"
 Q["a15_salience"] = f"SELECT path, {_SAL} AS score FROM ledger GROUP BY path"
 Q["a16_hot_list"] = f"SELECT path, {_SAL} AS score FROM ledger GROUP BY path ORDER BY score DESC, path LIMIT 15"
-Q["a17_outcomes"] = """WITH e AS (SELECT *, lag(usr) OVER (PARTITION BY path ORDER BY seq) AS pu, lag(ts) OVER (PARTITION BY path ORDER BY seq) AS pt FROM ledger WHERE kind = 'edit_reported')
-SELECT path, count(*) AS edits, count_if(pu IS NOT NULL AND pu <> usr AND ts - pt <= 86400) AS refixes FROM e GROUP BY path"""
-Q["a18_repo_map"] = "SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM dep GROUP BY kind"
-Q["a19_conventions"] = """WITH c AS (SELECT p_brand AS dir, p_type AS param, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_brand, p_type),
-r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n DESC, first) AS rn, sum(n) OVER (PARTITION BY dir) AS total FROM c)
-SELECT dir, param, n, @INT[total] AS members FROM r WHERE rn = 1 AND total >= 3 AND n >= 0.05 * total"""
 Q["a20_daily"] = "SELECT day, count(DISTINCT usr) AS agents, count(DISTINCT scope) AS repos, count_if(kind = 'edit_reported') AS changes, count_if(kind = 'gate_block') AS messages FROM ledger GROUP BY day"
-_B = "CASE WHEN tokens <= 1 THEN 1 WHEN tokens <= 2 THEN 2 WHEN tokens <= 5 THEN 5 WHEN tokens <= 10 THEN 10 WHEN tokens <= 20 THEN 20 WHEN tokens <= 50 THEN 50 WHEN tokens <= 100 THEN 100 WHEN tokens <= 200 THEN 200 WHEN tokens <= 500 THEN 500 ELSE 1000000 END"
-Q["a21_histogram"] = f"""WITH h AS (SELECT kind, {_B} AS bound, count(*) AS n, max(tokens) AS most FROM ledger GROUP BY kind, {_B}),
-c AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY bound ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY kind) AS total FROM h)
-SELECT kind, @INT[min(CASE WHEN upto >= ceil(0.5 * total) THEN CASE WHEN bound = 1000000 THEN most ELSE bound END END)] AS p50,
-@INT[min(CASE WHEN upto >= ceil(0.95 * total) THEN CASE WHEN bound = 1000000 THEN most ELSE bound END END)] AS p95 FROM c GROUP BY kind"""
-Q["a22_known_unseen"] = """WITH c AS (SELECT usr, max(ts) AS cursor_ts FROM ledger WHERE kind = 'check_performed' GROUP BY usr)
-SELECT c.usr, count_if(l.ts <= c.cursor_ts) AS known, count_if(l.ts > c.cursor_ts) AS unseen FROM c JOIN ledger l ON l.kind = 'gate_block' AND l.usr <> c.usr GROUP BY c.usr"""
-Q["a23_latest_change"] = """SELECT path, @SL[line] AS lines FROM (SELECT path, kind || '@' || usr AS line, row_number() OVER (PARTITION BY path, kind ORDER BY seq DESC) AS r FROM ledger) t WHERE r = 1 GROUP BY path"""
-Q["a24_recent_writes"] = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported')
-SELECT path, max(CASE WHEN r = 1 THEN usr END) AS usr, max(CASE WHEN r = 1 THEN ts END) AS ts, count_if(r <= 4) AS shown FROM e GROUP BY path"""
-Q["a25_blind_spots"] = """WITH q AS (SELECT path, count_if(kind = 'check_performed') AS checks, max(ts) AS last_ts FROM ledger GROUP BY path)
-SELECT 'never_checked' AS why, path FROM q WHERE checks = 0 UNION ALL SELECT 'stale' AS why, path FROM q WHERE last_ts < 1706500000"""
-Q["a26_usage_index"] = "SELECT usr, tokens, model, seq FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported' AND model <> '') t WHERE r = 1"
 Q["a27_highest_number"] = "SELECT root, max(CAST(regexp_extract(path, 'f([0-9]+)', 1) AS BIGINT)) AS highest, count(DISTINCT path) AS files FROM ledger GROUP BY root"
 Q["a28_modularity"] = """WITH e AS (SELECT CAST(substr(src, 2) AS BIGINT) % 10 AS cs, CAST(substr(dst, 2) AS BIGINT) % 10 AS cd FROM dep WHERE src <> dst), m AS (SELECT count(*) AS m FROM e),
 i AS (SELECT cs AS c, count(*) AS n FROM e WHERE cs = cd GROUP BY cs), t AS (SELECT c, count(*) AS n FROM (SELECT cs AS c FROM e UNION ALL SELECT cd AS c FROM e) x GROUP BY c)
 SELECT t.c AS community, t.n AS degree, coalesce(i.n, 0) AS inner_edges, CAST(coalesce(i.n, 0) AS DOUBLE) / m.m - (CAST(t.n AS DOUBLE) / (2 * m.m)) * (CAST(t.n AS DOUBLE) / (2 * m.m)) AS part
 FROM t CROSS JOIN m LEFT JOIN i ON t.c = i.c"""
 Q["a29_turn_counter"] = "WITH e AS (SELECT *, lag(turn_id) OVER (PARTITION BY usr ORDER BY seq) AS pt FROM ledger WHERE kind = 'edit_reported') SELECT usr, @INT[coalesce(sum(CASE WHEN pt IS NULL OR pt <> turn_id THEN tokens END), 0)] AS tokens FROM e GROUP BY usr"
-Q["a30_file_hash"] = "SELECT path, @SHA[@NL_] AS hash FROM (SELECT path, symbol || ':' || max(hash) AS line FROM ws GROUP BY path, symbol) t GROUP BY path"
-Q["a33_priced_saving"] = """WITH u AS (SELECT seq, usr, tokens, row_number() OVER (PARTITION BY usr ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported')
-SELECT g.usr, count(*) AS messages, @INT[max(coalesce(u.tokens, 0)) * count(*)] AS saved FROM ledger g LEFT JOIN u ON g.usr = u.usr AND u.r = 1 WHERE g.kind = 'gate_block' GROUP BY g.usr"""
+Q["a30_file_hash"] = "SELECT path, @SHA[x] AS hash FROM (SELECT path, @NL[entry] AS x FROM (SELECT path, symbol || ':' || max(hash) AS entry FROM ws GROUP BY path, symbol) t GROUP BY path) u"
 Q["a34_seats"] = "SELECT c_mktsegment AS access, count(*) AS seats, count_if(c_acctbal > 0) AS active FROM customer GROUP BY c_mktsegment"
 Q["a35_clashes"] = "SELECT path, @SS[usr] AS holders, count(DISTINCT usr) AS n FROM ledger WHERE kind = 'intent_declared' GROUP BY path HAVING count(DISTINCT usr) > 1"
 
@@ -114,8 +63,6 @@ SELECT usr, symbol, seq, hash, total FROM r WHERE rn <= 20"""
 Q["w7_streak_alerts"] = """WITH g AS (SELECT *, sum(CASE WHEN kind = 'check_performed' THEN 1 ELSE 0 END) OVER (PARTITION BY usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM ledger WHERE kind IN ('check_performed', 'gate_block')),
 s AS (SELECT usr, seq, kind, sum(CASE WHEN kind = 'gate_block' THEN 1 ELSE 0 END) OVER (PARTITION BY usr, isle ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM g)
 SELECT usr, seq FROM s WHERE kind = 'gate_block' AND streak = 3"""
-Q["w9_chain"] = """WITH h AS (SELECT seq, scope, @SHA[scope || ':' || seq || ':' || kind] AS hash, @SHA[scope || ':' || lag(seq) OVER (PARTITION BY scope ORDER BY seq) || ':' || lag(kind) OVER (PARTITION BY scope ORDER BY seq)] AS prev_hash FROM ledger)
-SELECT scope, count(*) AS n, count_if(prev_hash IS NOT NULL AND prev_hash <> before) AS broken FROM (SELECT *, lag(hash) OVER (PARTITION BY scope ORDER BY seq) AS before FROM h) t GROUP BY scope"""
 Q["w10_claim_age"] = """WITH e AS (SELECT usr, path, max(ts) AS ts FROM ledger WHERE kind = 'edit_reported' GROUP BY usr, path)
 SELECT c.seq, 1707000000 - coalesce(greatest(e.ts, c.ts), c.ts) AS age FROM ledger c LEFT JOIN e ON c.usr = e.usr AND c.path = e.path WHERE c.kind = 'intent_declared'"""
 
@@ -124,70 +71,44 @@ _DEG = "WITH d AS (SELECT node, @INT[sum(i)] AS dependents, @INT[sum(o)] AS depe
 Q["o1_hubs"] = _DEG + " SELECT node, dependents, depends_on, 2 * dependents + depends_on AS by_total FROM d ORDER BY by_total DESC, node LIMIT 20"
 Q["o3_node_cap"] = _DEG + ", k AS (SELECT node FROM (SELECT node FROM d ORDER BY dependents + depends_on DESC, node LIMIT 50) t UNION SELECT node FROM d WHERE node IN ('p3', 'p190')) SELECT e.src, e.dst, e.kind FROM dep e JOIN k a ON e.src = a.node JOIN k b ON e.dst = b.node"
 Q["o4_newest_cap"] = "SELECT kind, count(*) AS n FROM (SELECT kind FROM ledger ORDER BY seq DESC LIMIT 4000) t GROUP BY kind"
-Q["o5_recall"] = """WITH f AS (SELECT source AS scope, text AS fact, max(doc_id) AS newest, count(*) AS n FROM documents GROUP BY source, text)
-SELECT newest, scope, n FROM f ORDER BY CASE WHEN scope = 'src3' THEN 0 ELSE 1 END, newest DESC LIMIT 100"""
 Q["o6_search"] = """WITH l AS (SELECT 'ledger' AS origin, seq AS id, ts FROM ledger WHERE instr(lower(kind || ' ' || usr || ' ' || path), 'f42.py') > 0 ORDER BY seq DESC LIMIT 40),
 n AS (SELECT 'note' AS origin, doc_id AS id, CAST(doc_id AS DOUBLE) AS ts FROM documents WHERE instr(lower(text), 'f42.py') > 0 ORDER BY doc_id DESC LIMIT 40) SELECT * FROM l UNION ALL SELECT * FROM n"""
-Q["o7_why"] = "SELECT seq, kind, usr FROM (SELECT seq, kind, usr, row_number() OVER (ORDER BY ts DESC, seq DESC) AS r FROM ledger WHERE path = 'd2/f42.py' AND kind <> 'check_performed') t WHERE r <= 40"
 Q["o10_recipes"] = "SELECT seq, scope FROM ledger WHERE kind = 'intent_completed' ORDER BY CASE WHEN scope = 'ws:r1' THEN 0 ELSE 1 END, seq DESC LIMIT 3"
-Q["o13_roster"] = "SELECT usr, last_ts FROM (SELECT usr, max(ts) AS last_ts FROM ledger WHERE scope = 'ws:r1' AND usr <> 'u1' GROUP BY usr) t ORDER BY last_ts DESC, usr LIMIT 5"
-Q["o15_inbox"] = "SELECT g.seq, g.usr FROM ledger g WHERE g.kind = 'gate_block' AND NOT EXISTS (SELECT 1 FROM ledger c WHERE c.kind = 'check_performed' AND c.usr = g.usr AND c.path = g.path)"
 
 # --- joins and sets --------------------------------------------------------
 _CUR = "WITH c AS (SELECT usr, path, symbol, hash, seq FROM (SELECT *, row_number() OVER (PARTITION BY usr, path, symbol ORDER BY seq DESC) AS rn FROM ws) t WHERE rn = 1)"
-Q["j4_collisions"] = """WITH w AS (SELECT CAST(o_custkey % 5 AS BIGINT) AS path, o_orderpriority AS symbol, CAST(floor(o_custkey / 5) AS BIGINT) % 2 AS usr, max(o_orderstatus) AS hash FROM orders GROUP BY 1, 2, 3)
-SELECT coalesce(a.path, b.path) AS path, coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN b.hash IS NULL THEN 'mine_only' WHEN a.hash IS NULL THEN 'theirs_only' WHEN a.hash <> b.hash THEN 'changed' ELSE 'same' END AS verdict
-FROM (SELECT * FROM w WHERE usr = 0) a FULL OUTER JOIN (SELECT * FROM w WHERE usr = 1) b ON a.path = b.path AND a.symbol = b.symbol"""
-Q["j7_merge"] = """SELECT o_custkey AS path, o_orderpriority AS symbol, count(DISTINCT o_orderkey) AS holders, count(DISTINCT o_orderstatus) AS hashes, @SS[o_orderstatus] AS versions
-FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(DISTINCT o_orderkey) >= 2 AND count(DISTINCT o_orderstatus) >= 2"""
 Q["j9_callers"] = "SELECT src AS caller, kind FROM dep WHERE dst = 'p3' AND src <> dst"
-Q["j10_recipients"] = "SELECT usr FROM (SELECT usr FROM ledger WHERE kind = 'intent_declared' AND path = 'd1/f9.py' UNION SELECT usr FROM ledger WHERE kind = 'edit_reported' AND path = 'd1/f9.py' AND ts >= 1706000000) t WHERE usr <> 'u1' ORDER BY usr LIMIT 10"
 Q["j11_attribution"] = "SELECT path, usr, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS r FROM ledger WHERE kind = 'edit_reported' AND root IN ('d1', 'd5')) t WHERE r = 1"
 Q["j12_freshest"] = "SELECT path, usr, ts FROM (SELECT path, usr, ts, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq) AS r FROM ledger WHERE kind <> 'gate_block') t WHERE r = 1"
 Q["j13_symbol_index"] = "SELECT symbol, min(path) AS path FROM ws GROUP BY symbol"
-Q["j15_behind"] = """WITH w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported'), m AS (SELECT usr, path, max(ts) AS ts FROM ledger WHERE kind = 'check_performed' GROUP BY usr, path)
-SELECT m.usr, m.path, w.usr AS author FROM m JOIN w ON m.path = w.path AND w.r = 1 AND w.usr <> m.usr AND w.ts > m.ts AND w.ts - m.ts <= 86400"""
-Q["j16_covering_intent"] = """SELECT seq, intent FROM (SELECT e.seq, i.seq AS intent, row_number() OVER (PARTITION BY e.seq ORDER BY i.seq) AS r FROM ledger e JOIN ledger i
-ON e.usr = i.usr AND e.path = i.path AND i.kind = 'intent_declared' AND i.ts <= e.ts AND e.ts - i.ts <= 604800 WHERE e.kind = 'edit_reported') t WHERE r = 1"""
-Q["j22_gate"] = """SELECT e.seq FROM ledger e WHERE e.kind = 'edit_reported' AND EXISTS (SELECT 1 FROM ledger h WHERE h.kind = 'gate_block' AND h.path = e.path AND h.usr <> e.usr AND h.seq < e.seq)
-AND NOT EXISTS (SELECT 1 FROM ledger c WHERE c.kind = 'check_performed' AND c.path = e.path AND c.usr = e.usr AND c.seq < e.seq)"""
-Q["j25_labels"] = "SELECT c.c_custkey AS id, coalesce(n.n_name, c.c_name) AS label FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND c.c_custkey % 3 = 0"
+Q["j22_gate"] = """SELECT seq FROM (SELECT seq, usr, kind, min(CASE WHEN kind = 'gate_block' THEN usr END) OVER p AS u1, max(CASE WHEN kind = 'gate_block' THEN usr END) OVER p AS u2, max(CASE WHEN kind = 'check_performed' THEN 1 ELSE 0 END) OVER m AS checked FROM ledger
+WINDOW p AS (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m AS (PARTITION BY path, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t
+WHERE kind = 'edit_reported' AND (u1 <> usr OR u2 <> usr) AND coalesce(checked, 0) = 0"""
 Q["j27_stakeholders"] = "SELECT path, count(DISTINCT usr) AS others FROM (SELECT path, usr FROM ledger WHERE kind = 'gate_block' UNION SELECT path, usr FROM ledger WHERE kind = 'intent_declared') t WHERE usr <> 'u1' GROUP BY path"
 Q["u1_diverging"] = """WITH a AS (SELECT o_orderpriority || '/' || (o_custkey % 50) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority || '/' || (o_custkey % 50) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(a.path, b.path) AS path, a.hash AS mine, b.hash AS theirs FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash"""
-Q["u3_absent_dirs"] = "SELECT DISTINCT root FROM ledger WHERE root NOT IN (SELECT root FROM ledger WHERE kind = 'gate_block' AND usr = 'u7')"
+Q["u3_absent_dirs"] = "SELECT DISTINCT l.root FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger h WHERE h.root = l.root AND h.kind = 'gate_block' AND h.usr = 'u7')"
 Q["u5_distinct_breaking"] = "SELECT path, kind, usr, seq FROM (SELECT *, row_number() OVER (PARTITION BY path, kind, usr ORDER BY seq) AS r FROM ledger WHERE kind IN ('gate_block', 'intent_completed')) t WHERE r = 1"
 
 # --- graph -----------------------------------------------------------------
 Q["g1_name_index"] = "SELECT name, count(*) AS n FROM (SELECT p_type AS name FROM part UNION ALL SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS name FROM part WHERE p_type LIKE '% %') t GROUP BY name"
-Q["g2_placeholders"] = "SELECT DISTINCT dst AS node FROM ps WHERE dst NOT IN (SELECT src FROM dep)"
+Q["g2_placeholders"] = "SELECT DISTINCT ps.dst AS node FROM ps WHERE NOT EXISTS (SELECT 1 FROM dep WHERE dep.src = ps.dst)"
 Q["g4_dependents"] = "SELECT dst, count(*) AS n, min(src) AS first FROM dep WHERE src <> dst GROUP BY dst"
 Q["g17_status"] = "SELECT path, CASE WHEN count_if(kind = 'gate_block') > 0 THEN 'failing' WHEN count_if(kind = 'intent_declared') > count_if(kind = 'intent_completed') THEN 'partial' ELSE 'clear' END AS status FROM ledger GROUP BY path"
 
 # --- folds that windows express, hashes and text ---------------------------
-Q["m2_serve"] = """SELECT seq, usr, path, coalesce(clean_seq, -1) AS served FROM (SELECT seq, usr, path, max(CASE WHEN kind = 'edit_reported' THEN seq END) OVER (PARTITION BY usr, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clean_seq FROM ledger) t"""
-Q["m6_merkle"] = """WITH f AS (SELECT root, path, @SHA[path || ':' || count(*)] AS h FROM ledger GROUP BY root, path), d AS (SELECT root, @SHA[@NL_F] AS h FROM f GROUP BY root) SELECT root, h FROM d"""
+Q["m6_merkle"] = """WITH f AS (SELECT root, path, @SHA[path || ':' || n] AS h FROM (SELECT root, path, count(*) AS n FROM ledger GROUP BY root, path) t), l AS (SELECT root, path || ':' || h AS entry FROM f),
+d AS (SELECT root, @NL[entry] AS x FROM l GROUP BY root) SELECT root, @SHA[x] AS h FROM d"""
 Q["m7_upsert"] = "SELECT bucket, key, value FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY seq DESC) AS rn FROM kv) t WHERE rn = 1"
-Q["m12_replay"] = "SELECT path, usr, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported' AND ts <= 1705500000 AND ts > 1705500000 - 2592000) t WHERE r = 1"
-Q["m15_rules"] = """SELECT scope, path, kind, seq FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scope, path ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'edit_reported' AND ts >= 1705500000) t WHERE r = 1) u WHERE place <= 200"""
-Q["m24_examples"] = "SELECT quality AS example, count_if(toxic = 0) AS good, count_if(toxic = 1) AS bad FROM labels GROUP BY quality"
 Q["f1_prices"] = f"SELECT model, {_PRICE} AS usd, count(*) AS n FROM ledger GROUP BY model"
 Q["f6_age_text"] = "SELECT seq, CASE WHEN age < 120 THEN 'now' WHEN age < 7200 THEN (@INT[floor(age / 60)]) || 'm' ELSE (@INT[floor(age / 3600)]) || 'h' END AS age FROM (SELECT seq, 1706745600 - ts AS age FROM ledger) t"
 Q["f7_truncate"] = "SELECT doc_id, substr(text, 1, 40) AS head, length(text) AS n FROM documents"
-Q["f8_dirname"] = "SELECT DISTINCT path, substr(path, 1, instr(path, '/') - 1) AS dir, regexp_extract(path, '[.]([a-z]+)$', 1) AS ext FROM ledger"
 Q["f10_path_key"] = "SELECT DISTINCT path, substr(sha1(path), 1, 16) AS key FROM ledger"
 Q["f11_line_hashes"] = "SELECT doc_id, pos, substr(sha1(l), 1, 8) AS h FROM line"
-Q["f12_name_lines"] = "SELECT w, doc_id, count(*) AS n FROM word WHERE length(w) >= 12 GROUP BY w, doc_id"
 Q["f20_numbers"] = "SELECT DISTINCT path, CAST(regexp_extract(path, '([0-9]+)[.]', 1) AS BIGINT) AS number, length(regexp_extract(path, '([0-9]+)[.]', 1)) AS width FROM ledger"
 Q["f30_last_reply"] = "SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') t WHERE r = 1"
-Q["p3_artifacts"] = "SELECT DISTINCT path FROM ledger WHERE left(path, 2) = 'd1' OR instr(path, '/f7') > 0"
-Q["p5_interface_changes"] = "SELECT seq FROM ledger WHERE kind IN ('gate_block', 'intent_completed') OR (kind = 'edit_reported' AND model <> '' AND k % 2 = 1)"
-Q["p12_own"] = "SELECT seq FROM ledger WHERE 'u3' IN (usr, turn_id, scope, model)"
 Q["p15_live_claims"] = "SELECT seq, usr FROM ledger WHERE (kind = 'intent_declared' AND ts >= 1706600000) OR (kind = 'intent_completed' AND ts >= 1706500000)"
 Q["st2_ring"] = "SELECT scope, seq FROM (SELECT scope, seq, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS r FROM ledger WHERE ts >= 1706000000) t WHERE r <= 100"
 Q["st7_working_set"] = "SELECT usr, path, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) AS wrote, max(ts) AS last_ts FROM ledger WHERE ts >= 1706000000 GROUP BY usr, path"
 Q["st9_presence"] = "SELECT usr, seq, kind FROM (SELECT usr, seq, kind, row_number() OVER (PARTITION BY usr ORDER BY seq DESC) AS r FROM ledger) t WHERE r <= 30"
 Q["st12_tripwires"] = """WITH w AS (SELECT path, min(seq) AS made FROM ledger WHERE kind = 'intent_declared' GROUP BY path) SELECT w.path, min(e.seq) AS fired FROM w JOIN ledger e ON e.path = w.path AND e.kind = 'edit_reported' AND e.seq > w.made GROUP BY w.path"""
-
-Q["a30_file_hash"] = Q["a30_file_hash"].replace("@SHA[@NL_]", "@SHA[x]").replace("SELECT path, @SHA[x] AS hash FROM (SELECT path, symbol", "SELECT path, @SHA[x] AS hash FROM (SELECT path, @NL[line] AS x FROM (SELECT path, symbol").replace(") t GROUP BY path", ") t GROUP BY path) u")
-Q["m6_merkle"] = "WITH f AS (SELECT root, path, @SHA[path || ':' || n] AS h FROM (SELECT root, path, count(*) AS n FROM ledger GROUP BY root, path) t), l AS (SELECT root, path || ':' || h AS line FROM f), d AS (SELECT root, @NL[line] AS x FROM l GROUP BY root) SELECT root, @SHA[x] AS h FROM d"

@@ -23,20 +23,13 @@ Q["p2_test_paths"] = f"""SELECT page_id, path, regexp_extract(path, '((^|/)({TES
 OR instr(name, '.test.') > 0 OR instr(name, '.spec.') > 0 AS is_test FROM (SELECT *, regexp_extract(name, '^([^.]*)', 1) AS stem FROM (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM {_URLPATH}) v) w"""
 Q["p4_naming"] = """SELECT path, name, CASE WHEN ext = 'py' THEN regexp_extract(name, '^([a-z]+[A-Z])', 1) <> '' WHEN ext IN ('ts', 'tsx') THEN regexp_extract(name, '^([a-z]+_[a-z])', 1) <> '' ELSE false END AS misnamed
 FROM (SELECT DISTINCT path, kind AS name, 'py' AS ext FROM ledger UNION SELECT DISTINCT path, kind AS name, 'ts' AS ext FROM ledger UNION SELECT DISTINCT path, 'getValue' AS name, 'py' AS ext FROM ledger) t"""
-Q["p6_hot_events"] = """SELECT seq, CASE WHEN k % 2 = 1 THEN 'signature' ELSE kind END AS kind FROM ledger WHERE model <> '' AND (kind IN ('gate_block', 'intent_completed') OR k % 2 = 1)"""
 Q["p7_anchors"] = """SELECT anchor, CASE WHEN trim(anchor) = '' THEN NULL WHEN instr(anchor, '::') > 0 THEN CASE WHEN left(trim(anchor), 2) = '::' OR right(trim(anchor), 2) = '::' THEN NULL ELSE 'symbol' END WHEN right(trim(anchor), 1) = '/' THEN 'dir' ELSE 'file' END AS sort
 FROM (SELECT DISTINCT CASE k % 6 WHEN 0 THEN root || '/' WHEN 1 THEN path WHEN 2 THEN path || '::' || kind WHEN 3 THEN path || '::' WHEN 4 THEN '  ' ELSE '::' || kind END AS anchor FROM ledger) t"""
 _ACL = "a AS (SELECT DISTINCT usr, scope FROM ledger WHERE kind = 'intent_completed' UNION SELECT 'u9' AS usr, '*' AS scope)"
 Q["p9_visible"] = f"WITH {_ACL} SELECT l.seq, l.scope FROM ledger l WHERE EXISTS (SELECT 1 FROM a WHERE a.usr = 'u9' AND a.scope = l.scope) OR EXISTS (SELECT 1 FROM a WHERE a.usr = 'u9' AND a.scope = '*')"
 Q["p11_history"] = "SELECT l.seq FROM ledger l CROSS JOIN (SELECT max(ts) AS newest FROM ledger) m WHERE l.ts >= m.newest - least(30, 7) * 86400"
-Q["p13_prompts"] = """SELECT conv_id, turn, regexp_extract(lower(text), '(function|class|file|code|module|test|bug)', 1) <> '' AS about_code, regexp_extract(lower(text), '(^|[^a-z])(add|write|create|implement)([^a-z]|$)', 2) <> '' AS adds_code FROM conversations WHERE role = 'user'"""
-Q["p14_haystack"] = "SELECT seq FROM ledger WHERE instr(lower(concat_ws(' ', scope, kind, usr, path, model)), 'alpha') > 0 AND instr(lower(concat_ws(' ', scope, kind, usr, path, model)), 'u12') > 0"
 Q["p16_intent_match"] = """WITH i AS (SELECT DISTINCT path, model FROM ledger WHERE kind = 'intent_declared' AND usr = 'u3')
 SELECT e.seq FROM ledger e WHERE e.kind = 'edit_reported' AND (EXISTS (SELECT 1 FROM i WHERE i.path = e.path) OR (e.model <> '' AND EXISTS (SELECT 1 FROM i WHERE i.model = e.model AND i.path <> e.path)))"""
-Q["p17_touches"] = "SELECT seq FROM ledger WHERE kind = 'edit_reported' AND path = 'd2/f42.py' AND (model = '' OR instr(props, '42') > 0)"
-Q["p18_projection"] = "SELECT seq, usr, turn_id, substr(props, 1, 240) AS payload FROM (SELECT *, row_number() OVER (PARTITION BY usr, turn_id ORDER BY seq) AS r FROM ledger) t WHERE r <= 12"
-Q["p19_changes"] = """SELECT usr, turn_id, max(ts) AS ts, CASE WHEN count_if(kind = 'gate_block') > 0 THEN 'breaking' ELSE 'change' END AS kind, @SS[path] AS paths FROM ledger WHERE kind IN ('edit_reported', 'gate_block') GROUP BY usr, turn_id"""
-Q["p20_focus"] = "SELECT usr, path, kind, @INT[floor((1707000000 - ts) / 60)] AS minutes FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY seq DESC) AS r FROM ledger) t WHERE r = 1"
 
 # --- sets ------------------------------------------------------------------
 Q["u4_roster"] = """WITH s AS (SELECT DISTINCT usr, 0 AS pri, 'live' AS origin FROM ledger WHERE ts >= 1706600000 UNION SELECT DISTINCT usr, 1 AS pri, 'intent' AS origin FROM ledger WHERE kind = 'intent_declared'
@@ -65,85 +58,41 @@ SELECT module, path FROM (SELECT c.module, f.path, row_number() OVER (PARTITION
 Q["j3_node_lookup"] = """WITH n AS (SELECT DISTINCT p_brand AS path, p_type AS name FROM part), q AS (SELECT DISTINCT p_brand AS path, upper(p_type) AS name, regexp_extract(p_type, '([A-Za-z]+)$', 1) AS bare FROM part WHERE p_size % 3 = 0),
 b AS (SELECT path, regexp_extract(name, '([A-Za-z]+)$', 1) AS bare, min(name) AS name, count(*) AS n FROM n GROUP BY path, regexp_extract(name, '([A-Za-z]+)$', 1)), g AS (SELECT bare, min(path || '::' || name) AS id, count(*) AS n FROM (SELECT path, name, regexp_extract(name, '([A-Za-z]+)$', 1) AS bare FROM n) t GROUP BY bare)
 SELECT q.path, q.name, coalesce(n.path || '::' || n.name, b.path || '::' || b.name, g.id) AS node FROM q LEFT JOIN n ON n.path = q.path AND n.name = q.name LEFT JOIN b ON b.path = q.path AND b.bare = q.bare AND b.n = 1 LEFT JOIN g ON g.bare = q.bare AND g.n = 1"""
-Q["j5_predicted"] = """WITH o AS (SELECT DISTINCT scope, usr, path, CASE k % 4 WHEN 0 THEN 'extract' WHEN 1 THEN 'rename' WHEN 2 THEN 'add_param' ELSE 'prose' END AS op FROM ledger WHERE kind = 'intent_declared'), mine AS (SELECT * FROM o WHERE usr = 'u3')
-SELECT mine.path, mine.op AS mine, t.usr, t.op AS theirs, CASE WHEN mine.op = 'extract' OR t.op = 'extract' OR mine.op = 'prose' OR t.op = 'prose' THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM mine JOIN o t ON t.path = mine.path AND t.usr <> mine.usr"""
 _NOTES = """n AS (SELECT seq AS id, usr, ts AS created, tokens % 10 AS conf, path, root, kind, CASE k % 4 WHEN 0 THEN '/' WHEN 1 THEN root || '/' WHEN 2 THEN path ELSE path || '::' || scope END AS anchor FROM ledger WHERE kind = 'intent_completed')"""
 Q["j6_notes_near"] = f"""WITH {_NOTES}, keep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY usr, anchor ORDER BY id DESC) AS v FROM n) t WHERE v = 1),
 tg AS (SELECT DISTINCT path, root, scope FROM ledger WHERE path IN ('d2/f42.py', 'd1/f9.py')), ky AS (SELECT path, path || '::' || scope AS anchor FROM tg UNION SELECT path, path AS anchor FROM tg UNION SELECT path, root || '/' AS anchor FROM tg UNION SELECT path, '/' AS anchor FROM tg)
 SELECT ky.path, keep.id, keep.anchor, @INT[row_number() OVER (PARTITION BY ky.path ORDER BY keep.conf DESC, keep.created DESC, keep.id)] AS place FROM ky JOIN keep ON keep.anchor = ky.anchor"""
 Q["p8_note_matches"] = f"WITH {_NOTES} SELECT id, anchor FROM n WHERE anchor IN ('/', 'd2/', 'd2/f42.py', 'd2/f42.py::ws:r1')"
-Q["j8_interfaces"] = """WITH a AS (SELECT symbol, max(hash) AS sig FROM ws WHERE usr = '0' AND seq % 7 = 0 GROUP BY symbol), b AS (SELECT symbol, min(hash) AS sig FROM ws WHERE usr = '1' AND seq % 5 = 0 GROUP BY symbol), refs AS (SELECT DISTINCT symbol FROM ws WHERE seq % 2 = 1)
-SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.sig IS NULL OR b.sig IS NULL THEN 'UNKNOWN' WHEN a.sig <> b.sig AND EXISTS (SELECT 1 FROM refs WHERE refs.symbol = a.symbol) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM a FULL OUTER JOIN b ON a.symbol = b.symbol"""
 Q["j14_stale_notes"] = """WITH cur AS (SELECT path, hash FROM (SELECT path, hash, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM ws) t WHERE r = 1), note AS (SELECT seq AS id, path, CASE WHEN seq % 11 = 0 THEN NULL ELSE hash END AS hash FROM ws WHERE seq % 3 = 0),
 kinds AS (SELECT path, count(DISTINCT coalesce(hash, '')) AS n FROM note GROUP BY path) SELECT note.id, note.hash IS DISTINCT FROM cur.hash AS stale, kinds.n > 1 AS conflicted FROM note LEFT JOIN cur ON cur.path = note.path JOIN kinds ON kinds.path = note.path"""
-Q["j17_blockers"] = """WITH g AS (SELECT DISTINCT path FROM ledger WHERE usr = 'u3' AND kind = 'edit_reported') SELECT DISTINCT l.usr, l.path, CASE l.kind WHEN 'intent_declared' THEN 'claim' ELSE 'hot' END AS why FROM ledger l
-WHERE l.usr <> 'u3' AND l.kind IN ('intent_declared', 'gate_block') AND l.ts >= 1706000000 AND EXISTS (SELECT 1 FROM g WHERE g.path = l.path)"""
-Q["j18_lint"] = """WITH rule AS (SELECT DISTINCT regexp_extract(lower(text), '([a-z]{4,})[^a-z]*$', 1) AS name FROM benchmark), hits AS (SELECT w, doc_id, min(pos) AS first_pos, count(*) AS n FROM word GROUP BY w, doc_id)
-SELECT rule.name, hits.doc_id, hits.first_pos, hits.n FROM rule JOIN hits ON hits.w = rule.name WHERE length(rule.name) >= 4"""
-Q["j19_overlaps"] = """WITH live AS (SELECT usr, path, max(ts) AS ts FROM ledger WHERE ts > 1706700000 - 86400 GROUP BY usr, path), task AS (SELECT DISTINCT path FROM ledger WHERE usr = 'u3')
-SELECT live.usr, count(*) AS shared, max(live.ts) AS ts FROM live JOIN task ON task.path = live.path WHERE live.usr <> 'u3' GROUP BY live.usr"""
-Q["j20_waiting"] = """WITH wt AS (SELECT usr, path, min(seq) AS since FROM ledger WHERE kind = 'intent_declared' GROUP BY usr, path), made AS (SELECT path, seq, usr FROM ledger WHERE kind = 'intent_completed')
-SELECT wt.usr, wt.path, min(made.seq) AS satisfied FROM wt JOIN made ON made.path = wt.path AND made.seq > wt.since AND made.usr <> wt.usr GROUP BY wt.usr, wt.path"""
 Q["j23_acknowledge"] = """WITH ch AS (SELECT symbol, path, seq, CASE seq % 3 WHEN 0 THEN 'renamed' WHEN 1 THEN 'removed' ELSE 'signature' END AS what, hash FROM ws WHERE usr = '0'), mine AS (SELECT path, symbol, max(hash) AS hash FROM ws WHERE usr = '1' GROUP BY path, symbol)
 SELECT ch.seq, CASE ch.what WHEN 'removed' THEN m.symbol IS NULL WHEN 'renamed' THEN m.symbol IS NOT NULL ELSE coalesce(m.hash = ch.hash, false) END AS acknowledged FROM ch LEFT JOIN mine m ON CAST(m.path AS BIGINT) = CAST(ch.path AS BIGINT) + 1 AND m.symbol = ch.symbol"""
 Q["j24_aliases"] = """WITH raw AS (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS id FROM pages), ky AS (SELECT id, lower(regexp_extract(id, '([^/]+/[^/]*)$', 1)) AS k2, length(id) - length(replace(id, '/', '')) AS q FROM raw),
 top AS (SELECT *, rank() OVER (PARTITION BY k2 ORDER BY q DESC) AS r FROM ky WHERE k2 <> ''), best AS (SELECT k2, min(id) AS id, count(*) AS n FROM top WHERE r = 1 GROUP BY k2)
 SELECT ky.id, CASE WHEN best.n = 1 THEN best.id ELSE ky.id END AS canonical FROM ky LEFT JOIN best ON best.k2 = ky.k2"""
-Q["j26_visible_intents"] = f"""WITH {_ACL} SELECT l.seq, CASE WHEN l.scope = 'ws:r1' THEN '' ELSE l.scope END AS from_repo, @INT[row_number() OVER (ORDER BY CASE WHEN l.scope = 'ws:r1' THEN 0 ELSE 1 END, l.ts, l.seq)] AS place FROM ledger l WHERE l.kind = 'intent_declared' AND l.ts >= 1706600000
-AND (l.scope = 'ws:r1' OR EXISTS (SELECT 1 FROM a WHERE a.usr = 'u1' AND a.scope = l.scope))"""
-Q["j28_behind"] = "WITH w AS (SELECT path, usr, tokens, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM ledger WHERE kind = 'intent_completed') t WHERE r = 1), c AS (SELECT path, usr, max(tokens) AS tokens FROM ledger WHERE kind = 'check_performed' GROUP BY path, usr) SELECT c.usr, c.path, w.usr AS landed_by FROM c JOIN w ON w.path = c.path AND w.usr <> c.usr AND w.tokens <> c.tokens"
-Q["j29_turn_notes"] = """WITH f AS (SELECT usr, turn_id, path, min(seq) AS first_seq FROM ledger WHERE kind = 'edit_reported' GROUP BY usr, turn_id, path), r AS (SELECT *, row_number() OVER (PARTITION BY usr, turn_id ORDER BY first_seq) AS n FROM f)
-SELECT usr, turn_id, max(CASE WHEN n = 1 THEN path END) AS anchor, @INT[sum(CASE WHEN n BETWEEN 2 AND 7 THEN 1 ELSE 0 END)] AS listed FROM r GROUP BY usr, turn_id"""
 Q["j30_helpers"] = """WITH ch AS (SELECT DISTINCT dst AS node FROM dep WHERE kind = 'inherits') SELECT DISTINCT e.src AS node, e.dst AS callee, p.p_name AS signature FROM dep e JOIN ch ON ch.node = e.src JOIN part p ON 'p' || p.p_partkey = e.dst WHERE e.src <> e.dst AND NOT EXISTS (SELECT 1 FROM ch c2 WHERE c2.node = e.dst)"""
 
 # --- outcomes, ranks, verification ----------------------------------------
-Q["a31_briefing"] = """WITH b AS (SELECT DISTINCT usr, path FROM ledger WHERE kind = 'intent_declared'), r AS (SELECT DISTINCT usr, path FROM ledger WHERE kind = 'check_performed'), w AS (SELECT DISTINCT usr, path FROM ledger WHERE kind = 'edit_reported'),
-x AS (SELECT usr, path, max(b) AS b, max(r) AS r, max(w) AS w FROM (SELECT usr, path, 1 AS b, 0 AS r, 0 AS w FROM b UNION ALL SELECT usr, path, 0, 1, 0 FROM r UNION ALL SELECT usr, path, 0, 0, 1 FROM w) t GROUP BY usr, path)
-SELECT usr, count_if(b = 1 AND w = 1 AND r = 1) AS needed, count_if(b = 1 AND w = 1 AND r = 0) AS hit, count_if(b = 1 AND w = 0 AND r = 1) AS miss, count_if(b = 0 AND w = 1) AS unbriefed FROM x GROUP BY usr"""
-Q["a32_failures"] = """WITH runs AS (SELECT path, seq, k % 2 AS ok, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back FROM (SELECT path, seq, tokens % 2 AS k FROM ledger WHERE kind = 'check_performed') t),
-l AS (SELECT *, lag(ok) OVER (PARTITION BY path ORDER BY seq) AS before FROM runs WHERE back <= 8)
-SELECT path, CASE WHEN count_if(before IS NOT NULL AND before <> ok) >= 2 THEN 'alternating' WHEN max(CASE WHEN back = 1 THEN ok END) = 0 AND max(CASE WHEN back = 1 THEN before END) = 0 THEN 'pre_existing' WHEN max(CASE WHEN back = 1 THEN ok END) = 0 THEN 'new'
-WHEN max(CASE WHEN back = 1 THEN before END) = 0 THEN 'fixed' ELSE 'passing' END AS state FROM l GROUP BY path"""
-Q["o2_hubs_split"] = """WITH d AS (SELECT node, sum(i) AS dependents, sum(t) AS from_tests, sum(o) AS depends_on FROM (SELECT dst AS node, 1 AS i, CASE WHEN kind = 'references' THEN 1 ELSE 0 END AS t, 0 AS o FROM dep WHERE src <> dst UNION ALL SELECT src AS node, 0 AS i, 0 AS t, 1 AS o FROM dep WHERE src <> dst) x GROUP BY node),
-r AS (SELECT *, row_number() OVER (ORDER BY (dependents - from_tests) * 2 + depends_on DESC, node) AS place, count(*) OVER () AS total FROM d) SELECT node, @INT[dependents - from_tests] AS code_dependents, @INT[from_tests] AS from_tests, total - 20 AS omitted FROM r WHERE place <= 20"""
-Q["o8_briefing_rank"] = """WITH s AS (SELECT path, 3 * count_if(kind = 'intent_declared') + 2 * count_if(kind = 'gate_block') + count_if(kind = 'edit_reported') AS score, max(ts) AS recent FROM ledger WHERE usr <> 'u1' GROUP BY path)
-SELECT path, score, @INT[row_number() OVER (ORDER BY score DESC, recent DESC, path)] AS place FROM s WHERE score >= 3"""
-Q["o11_scars"] = "SELECT seq, path, usr FROM (SELECT seq, path, usr, row_number() OVER (ORDER BY ts DESC, seq DESC) AS r FROM ledger WHERE kind = 'gate_block') t WHERE r <= 8"
-Q["o14_recipe"] = "SELECT seq, scope FROM (SELECT seq, scope, row_number() OVER (ORDER BY CASE WHEN scope = 'ws:r2' THEN 0 ELSE 1 END, seq DESC) AS r FROM ledger WHERE kind = 'intent_completed' AND k = 42) t WHERE r = 1"
-Q["s29_index_plan"] = """WITH rec AS (SELECT path, max(tokens) AS sha FROM ledger WHERE seq % 2 = 0 GROUP BY path), now AS (SELECT path, root, max(tokens) AS sha, max(CASE WHEN kind = 'edit_reported' THEN ts END) AS touched FROM ledger GROUP BY path, root), act AS (SELECT root, count(*) AS n FROM ledger GROUP BY root)
-SELECT n.path, @INT[row_number() OVER (ORDER BY CASE WHEN n.touched IS NULL THEN 1 ELSE 0 END, n.touched DESC, act.n DESC, n.path)] AS place FROM now n JOIN act ON act.root = n.root WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.path = n.path AND rec.sha = n.sha)"""
-Q["s30_observed"] = "SELECT page_id, CASE WHEN regexp_extract(url, '([.][a-z]+)([?#]|$)', 1) IN ('.html', '.htm', '') THEN 'read' ELSE 'unsupported' END AS state FROM pages"
-Q["s28_snapshots"] = """WITH a AS (SELECT path, max(tokens) AS sha, count(*) AS size FROM ledger WHERE ts < 1705400000 GROUP BY path), b AS (SELECT path, max(tokens) AS sha, count(*) AS size FROM ledger GROUP BY path)
-SELECT b.path FROM b LEFT JOIN a ON a.path = b.path WHERE a.path IS NULL OR (a.size <> b.size AND a.sha <> b.sha)"""
-Q["m3_corrections"] = """WITH w AS (SELECT path, max(seq) AS landed FROM ledger WHERE kind = 'intent_completed' GROUP BY path) SELECT l.seq, CASE WHEN l.kind = 'gate_block' AND w.landed < l.seq THEN 'unconfirmed' ELSE l.kind END AS kind FROM ledger l LEFT JOIN w ON w.path = l.path"""
-Q["m11_scars"] = """WITH i AS (SELECT seq, usr, path FROM ledger WHERE kind = 'intent_declared'), e AS (SELECT seq, usr, path, tokens % 4 AS hash, lag(tokens % 4) OVER (PARTITION BY path ORDER BY seq) AS before FROM ledger WHERE kind = 'edit_reported'),
-back AS (SELECT e.path, e.seq, e.usr, min(l.seq) AS reverted FROM e JOIN e l ON l.path = e.path AND l.seq > e.seq AND l.hash = e.before AND e.before <> e.hash GROUP BY e.path, e.seq, e.usr)
-SELECT i.seq AS intent, i.path, min(back.reverted) AS reverted FROM i JOIN back ON back.path = i.path AND back.usr = i.usr AND back.seq > i.seq GROUP BY i.seq, i.path"""
-Q["m16_reverses"] = "WITH o AS (SELECT seq, path, CASE k % 2 WHEN 0 THEN 'add' ELSE 'remove' END AS op, tokens % 5 AS arg FROM ledger WHERE kind IN ('intent_completed', 'intent_declared')) SELECT b.seq, min(a.seq) AS undoes FROM o a JOIN o b ON b.path = a.path AND b.arg = a.arg AND b.seq > a.seq AND a.seq % 2 <> b.seq % 2 GROUP BY b.seq"
-Q["m19_observed"] = """WITH o AS (SELECT path, max(ts) AS seen, max(tokens) AS sha FROM ledger WHERE kind = 'check_performed' GROUP BY path), w AS (SELECT path, max(ts) AS wrote, max(tokens) AS sha FROM ledger WHERE kind = 'edit_reported' GROUP BY path)
-SELECT o.path, CASE WHEN w.path IS NULL THEN 'new' WHEN o.seen - w.wrote < 3600 THEN 'deferred' WHEN o.sha = w.sha THEN 'unchanged' ELSE 'changed' END AS state FROM o LEFT JOIN w ON w.path = o.path"""
+Q["o11_scars"] = "SELECT seq, path, usr FROM ledger WHERE kind = 'gate_block' ORDER BY ts DESC, seq DESC LIMIT 8"
+Q["o14_recipe"] = "SELECT seq, scope FROM ledger WHERE kind = 'intent_completed' AND k = 42 ORDER BY CASE WHEN scope = 'ws:r2' THEN 0 ELSE 1 END, seq DESC LIMIT 1"
+Q["s29_index_plan"] = """WITH rec AS (SELECT path, max(tokens) AS sha FROM ledger WHERE seq % 2 = 0 GROUP BY path), now AS (SELECT path, root, max(tokens) AS sha, max(CASE WHEN kind = 'edit_reported' THEN ts END) AS touched FROM ledger GROUP BY path, root), folder AS (SELECT root, count(*) AS n FROM ledger GROUP BY root)
+SELECT n.path, n.touched, act.n AS activity FROM now n JOIN folder act ON act.root = n.root WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.path = n.path AND rec.sha = n.sha)
+ORDER BY CASE WHEN n.touched IS NULL THEN 1 ELSE 0 END, n.touched DESC, act.n DESC, n.path LIMIT 60"""
+Q["m11_scars"] = """WITH v AS (SELECT seq, usr, path, kind, tokens % 4 AS hash, CASE WHEN kind = 'edit_reported' THEN lag(tokens % 4) OVER (PARTITION BY path, kind ORDER BY seq) END AS before FROM ledger WHERE kind IN ('intent_declared', 'edit_reported')),
+k AS (SELECT *, min(CASE WHEN kind = 'edit_reported' AND hash = 0 THEN seq END) OVER f AS n0, min(CASE WHEN kind = 'edit_reported' AND hash = 1 THEN seq END) OVER f AS n1, min(CASE WHEN kind = 'edit_reported' AND hash = 2 THEN seq END) OVER f AS n2, min(CASE WHEN kind = 'edit_reported' AND hash = 3 THEN seq END) OVER f AS n3
+  FROM v WINDOW f AS (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+b AS (SELECT *, CASE WHEN kind = 'edit_reported' AND before <> hash THEN CASE before WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END END AS reverted FROM k),
+m AS (SELECT *, min(reverted) OVER (PARTITION BY path, usr ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS first FROM b) SELECT seq AS intent, path, first AS reverted FROM m WHERE kind = 'intent_declared' AND first IS NOT NULL"""
 Q["m20_draft_diff"] = "WITH " + _HALVES + """, d AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'removed' ELSE 'changed' END AS what FROM a FULL OUTER JOIN b ON a.name = b.name WHERE a.hash IS DISTINCT FROM b.hash)
 SELECT what, name FROM (SELECT *, row_number() OVER (PARTITION BY what ORDER BY name) AS r FROM d) t WHERE r <= CASE what WHEN 'changed' THEN 20 ELSE 10 END"""
 Q["m21_supersession"] = "WITH n AS (SELECT seq, path, usr, lag(seq) OVER (PARTITION BY path, usr ORDER BY seq) AS replaces FROM ledger WHERE kind = 'intent_completed') SELECT o.seq, n.seq AS superseded_by FROM n o LEFT JOIN n ON n.replaces = o.seq"
-Q["m22_rename_map"] = "SELECT path, old_name, new_name FROM (SELECT path, model AS new_name, lag(model) OVER (PARTITION BY path, usr ORDER BY seq) AS old_name, ts FROM ledger WHERE kind = 'edit_reported') t WHERE old_name <> '' AND new_name <> '' AND old_name <> new_name AND ts >= 1706745600 - 604800"
 Q["m23_stamps"] = "WITH v AS (SELECT path, max(ts) AS verified FROM ledger WHERE kind = 'check_performed' AND k % 2 = 0 GROUP BY path) SELECT l.seq, CASE WHEN v.verified >= l.ts THEN v.verified END AS verified FROM ledger l LEFT JOIN v ON v.path = l.path WHERE l.kind = 'edit_reported'"
-Q["m26_in_flight"] = """WITH k0 AS (SELECT DISTINCT path, kind AS name FROM ledger WHERE ts < 1705400000), d AS (SELECT DISTINCT path, kind AS name FROM ledger WHERE ts >= 1705400000) SELECT d.path, @SS[d.name] AS names FROM d WHERE NOT EXISTS (SELECT 1 FROM k0 WHERE k0.path = d.path AND k0.name = d.name) GROUP BY d.path"""
-Q["f2_usage"] = "SELECT seq, CASE WHEN model <> '' THEN k + tokens + 2 * k ELSE coalesce(tokens, 0) END AS used FROM ledger"
 Q["f3_day"] = "SELECT day, count(*) AS n FROM ledger GROUP BY day"
-Q["f5_truthy"] = "SELECT seq, CASE WHEN v IN ('', '0', '[]', '{}', 'false', 'null') THEN false ELSE true END AS truthy FROM (SELECT seq, CASE k % 7 WHEN 0 THEN '0' WHEN 1 THEN '[]' WHEN 2 THEN model ELSE props END AS v FROM ledger) t"
 _AGG = "SELECT doc_id, @INT[min(pos)] AS pos, substr(sha1(l), 1, 8) AS h FROM line GROUP BY doc_id, l"
 Q["f13_fingerprint"] = f"SELECT doc_id, substr(@SHA[x], 1, 24) AS fingerprint FROM (SELECT doc_id, @SL[h] AS x FROM ({_AGG}) t GROUP BY doc_id) u"
-Q["f14_graph_fingerprint"] = "SELECT root, substr(@SHA[x], 1, 16) AS fingerprint FROM (SELECT root, @NL[line] AS x FROM (SELECT root, path || ':' || @INT[floor(max(ts))] AS line FROM ledger GROUP BY root, path) t GROUP BY root) u"
 Q["f15_known_paths"] = "SELECT usr, @SHA[x] AS fingerprint FROM (SELECT usr, @NL[path] || chr(10) AS x FROM (SELECT DISTINCT usr, path FROM ledger) t GROUP BY usr) u"
-Q["f17_confidence"] = """WITH n AS (SELECT seq, path, ts, k, tokens FROM ledger WHERE kind = 'intent_completed'), h AS (SELECT n.seq, count_if(coalesce(e.ts > n.ts, false)) AS rewrites, count_if(coalesce(e.ts > n.ts AND e.ts < n.ts + 3600, false)) AS early FROM n LEFT JOIN ledger e ON e.path = n.path AND e.kind = 'edit_reported' GROUP BY n.seq)
-SELECT n.seq, CASE WHEN n.k % 13 = 0 THEN 10 ELSE least(95, greatest(5, least(50 + 10 * least(h.rewrites, 4) - CASE WHEN h.early > 0 THEN 20 ELSE 0 END, CASE WHEN n.k % 5 = 0 THEN 30 ELSE 100 END))) END AS percent FROM n JOIN h ON h.seq = n.seq"""
-Q["f18_saving"] = "SELECT usr, count(*) * @INT[max(tokens)] * 3 AS tenths FROM ledger WHERE kind = 'gate_block' GROUP BY usr"
 Q["f19_escapes"] = "SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages"
 Q["f21_settled_id"] = "SELECT seq, regexp_extract(note, '^.settled ([0-9a-f]+).', 1) AS id FROM (SELECT seq, CASE WHEN k % 3 = 0 THEN '[settled ' || substr(sha1(path), 1, 12) || '] done' ELSE 'open ' || path END AS note FROM ledger) t"
-Q["f22_gist"] = "SELECT conv_id, turn, regexp_extract(para, '^([^.!?]*[.!?]?)', 1) AS gist FROM (SELECT conv_id, turn, regexp_extract(text, '^([^' || chr(10) || ']*)', 1) AS para FROM conversations WHERE role = 'assistant') t"
-Q["f23_sequence_name"] = "SELECT DISTINCT path, lower(regexp_extract(path, '/([A-Za-z_-]*)[0-9]*', 1)) AS sequence FROM ledger"
-Q["f26_verdict"] = """SELECT conv_id, turn, CASE WHEN instr(lower(text), 'fail') > 0 OR instr(lower(text), 'error') > 0 THEN 'false' WHEN instr(lower(text), 'pass') > 0 OR instr(lower(text), 'ok') > 0 THEN 'true' ELSE 'unknown' END AS verdict FROM conversations"""
-Q["f27_limit_notice"] = "SELECT conv_id, turn FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r <= 40 AND length(text) <= 300 AND instr(lower(text), 'limit') > 0"
 Q["g13_in_flight"] = "SELECT DISTINCT path || '::' || model AS node, usr FROM ledger WHERE kind = 'intent_declared' AND model <> '' UNION SELECT DISTINCT path AS node, usr FROM ledger WHERE kind = 'intent_declared'"
 Q["g16_grid"] = """WITH n AS (SELECT path, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) + 2 * max(CASE WHEN kind = 'gate_block' THEN 1 ELSE 0 END) + 4 * max(CASE WHEN kind = 'intent_declared' THEN 1 ELSE 0 END) AS flags FROM ledger GROUP BY path)
 SELECT path, flags, @INT[row_number() OVER (ORDER BY path)] - 1 AS idx FROM n"""

@@ -35,6 +35,46 @@ FROM events""",
   CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 WHEN 0 THEN 'alpha-1' WHEN 1 THEN 'beta-2' ELSE '' END AS model,
   CAST(floor(value) AS BIGINT) AS tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS day, props
 FROM events""",
+    ),
+    # The same events as rows of a busy half day: time runs 64 times faster and
+    # 24 users take part, so that rules with spans of minutes have work to do.
+    "act": (
+        """SELECT seq, scope, ts, kind, usr, model, tokens, k, ets, etype,
+  CASE WHEN k % 3 = 0 THEN '' ELSE 's' || (seq div 40) END AS session, CASE k % 5 WHEN 0 THEN 'ag1' WHEN 1 THEN 'ag2' ELSE '' END AS agent,
+  CASE WHEN k % 7 = 0 THEN '' ELSE 't' || (seq div 6) END AS turn_id, CASE WHEN k % 4 = 1 THEN '' ELSE 'i' || (seq div 25) END AS intent_id,
+  'd' || (k % 8) AS root, 'd' || (k % 8) || '/f' || k || CASE WHEN k % 4 = 3 THEN '.ts' ELSE '.py' END AS path,
+  CASE tokens % 5 WHEN 0 THEN 'getValue' WHEN 1 THEN 'load_all' WHEN 2 THEN 'Ledger' WHEN 3 THEN 'f3' ELSE 'compute_tax' END AS symbol,
+  CASE tokens % 6 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'renamed' ELSE 'modified' END AS what,
+  CASE WHEN tokens % 6 = 2 THEN 'new_' || (tokens % 4) ELSE '' END AS new_name, CASE WHEN tokens % 4 = 3 THEN 'unconfirmed' ELSE 'certain' END AS confidence,
+  CASE WHEN tokens % 6 = 0 THEN '' ELSE '(a, b' || (k % 2) || ')' END AS sig_before, CASE WHEN tokens % 6 = 1 THEN '' ELSE '(a, b' || (tokens % 2) || ')' END AS sig_after,
+  'h' || (k % 3) AS hash_before, 'h' || (tokens % 3) AS hash_after, CASE k % 11 WHEN 0 THEN 'partial' WHEN 1 THEN 'unsupported' ELSE 'clean' END AS parse, k % 13 = 0 AS auto,
+  tokens % 50 AS lines_added, tokens % 7 AS lines_removed, CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS c1, CASE WHEN k % 2 = 0 THEN tokens ELSE 0 END AS c2, CASE WHEN k % 2 = 0 THEN 3 * k ELSE 0 END AS c3, 0 AS c4,
+  CASE WHEN k % 9 < 3 THEN 'because of ' || k ELSE '' END AS why
+FROM (SELECT event_id AS seq, ts AS ets, event_type AS etype, concat('ws:r', CAST(user_id % 4 AS STRING)) AS scope, 1704067200 + (unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) / 64e6 AS ts,
+  CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN 'check_performed'
+    WHEN 'click' THEN CASE n % 4 WHEN 0 THEN 'intent_declared' WHEN 1 THEN 'intent_completed' WHEN 2 THEN 'intent_abandoned' ELSE 'rationale' END
+    WHEN 'signup' THEN CASE n % 4 WHEN 0 THEN 'collision_returned' WHEN 1 THEN 'override' WHEN 2 THEN 'interface_verified' ELSE 'landed' END
+    ELSE CASE n % 5 WHEN 0 THEN 'watchdog' WHEN 1 THEN 'tripwire_fired' ELSE 'gate_block' END END AS kind,
+  concat('u', CAST(user_id % 24 AS STRING)) AS usr, CASE k % 3 WHEN 0 THEN 'alpha-1' WHEN 1 THEN 'beta-2' ELSE '' END AS model, n AS tokens, k
+  FROM (SELECT *, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS n FROM events) e) f""",
+        """SELECT seq, scope, ts, kind, usr, model, tokens, k, ets, etype,
+  CASE WHEN k % 3 = 0 THEN '' ELSE 's' || (seq // 40) END AS session, CASE k % 5 WHEN 0 THEN 'ag1' WHEN 1 THEN 'ag2' ELSE '' END AS agent,
+  CASE WHEN k % 7 = 0 THEN '' ELSE 't' || (seq // 6) END AS turn_id, CASE WHEN k % 4 = 1 THEN '' ELSE 'i' || (seq // 25) END AS intent_id,
+  'd' || (k % 8) AS root, 'd' || (k % 8) || '/f' || k || CASE WHEN k % 4 = 3 THEN '.ts' ELSE '.py' END AS path,
+  CASE tokens % 5 WHEN 0 THEN 'getValue' WHEN 1 THEN 'load_all' WHEN 2 THEN 'Ledger' WHEN 3 THEN 'f3' ELSE 'compute_tax' END AS symbol,
+  CASE tokens % 6 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'renamed' ELSE 'modified' END AS what,
+  CASE WHEN tokens % 6 = 2 THEN 'new_' || (tokens % 4) ELSE '' END AS new_name, CASE WHEN tokens % 4 = 3 THEN 'unconfirmed' ELSE 'certain' END AS confidence,
+  CASE WHEN tokens % 6 = 0 THEN '' ELSE '(a, b' || (k % 2) || ')' END AS sig_before, CASE WHEN tokens % 6 = 1 THEN '' ELSE '(a, b' || (tokens % 2) || ')' END AS sig_after,
+  'h' || (k % 3) AS hash_before, 'h' || (tokens % 3) AS hash_after, CASE k % 11 WHEN 0 THEN 'partial' WHEN 1 THEN 'unsupported' ELSE 'clean' END AS parse, k % 13 = 0 AS auto,
+  tokens % 50 AS lines_added, tokens % 7 AS lines_removed, CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS c1, CASE WHEN k % 2 = 0 THEN tokens ELSE 0 END AS c2, CASE WHEN k % 2 = 0 THEN 3 * k ELSE 0 END AS c3, 0 AS c4,
+  CASE WHEN k % 9 < 3 THEN 'because of ' || k ELSE '' END AS why
+FROM (SELECT event_id AS seq, ts AS ets, event_type AS etype, 'ws:r' || (user_id % 4) AS scope, 1704067200 + (epoch_us(ts) - 1704067200000000) / 64e6 AS ts,
+  CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN 'check_performed'
+    WHEN 'click' THEN CASE n % 4 WHEN 0 THEN 'intent_declared' WHEN 1 THEN 'intent_completed' WHEN 2 THEN 'intent_abandoned' ELSE 'rationale' END
+    WHEN 'signup' THEN CASE n % 4 WHEN 0 THEN 'collision_returned' WHEN 1 THEN 'override' WHEN 2 THEN 'interface_verified' ELSE 'landed' END
+    ELSE CASE n % 5 WHEN 0 THEN 'watchdog' WHEN 1 THEN 'tripwire_fired' ELSE 'gate_block' END END AS kind,
+  'u' || (user_id % 24) AS usr, CASE k % 3 WHEN 0 THEN 'alpha-1' WHEN 1 THEN 'beta-2' ELSE '' END AS model, n AS tokens, k
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS n FROM events) e) f""",
     ),
     "dep": (
         """SELECT concat('p', CAST(p_partkey AS STRING)) AS src, concat('p', CAST(CAST(floor(p_partkey / 7) AS BIGINT) AS STRING)) AS dst,
@@ -46,6 +86,14 @@ FROM events""",
     "kv": ("SELECT event_type AS bucket, concat('k', CAST(user_id AS STRING)) AS key, props AS value, unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS updated, event_id AS seq FROM events", "SELECT event_type AS bucket, 'k' || user_id AS key, props AS value, epoch_us(ts) / 1e6 AS updated, event_id AS seq FROM events"),
     "ws": ("SELECT CAST(o_custkey % 2 AS STRING) AS usr, CAST(o_custkey AS STRING) AS path, o_orderpriority AS symbol, o_orderstatus AS hash, o_orderkey AS seq FROM orders", "SELECT CAST(o_custkey % 2 AS VARCHAR) AS usr, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, o_orderstatus AS hash, o_orderkey AS seq FROM orders"),
     "word": ("SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) x AS pos, w", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents) t, unnest(range(1, len(l) + 1)) r(i)"),
+    "sent": (
+        r"SELECT conv_id, turn, si, s FROM conversations LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[^.!?\n]*[.!?\n]|[^.!?\n]+$', 0)) x AS si, s WHERE role = 'user'",
+        r"SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS si, l[i] AS s FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[^.!?\n]*[.!?\n]|[^.!?\n]+$') AS l FROM conversations WHERE role = 'user') t, unnest(range(1, len(l) + 1)) r(i)",
+    ),
+    "sword": (
+        r"SELECT conv_id, turn, si, wi, w FROM (SELECT conv_id, turn, si, wi, regexp_replace(w, '[^a-z0-9]', '') AS w FROM sent LATERAL VIEW posexplode(regexp_extract_all(s, '[^ \t\n]+', 0)) x AS wi, w) v WHERE w <> ''",
+        r"SELECT conv_id, turn, si, wi, w FROM (SELECT conv_id, turn, si, CAST(i - 1 AS INTEGER) AS wi, regexp_replace(l[i], '[^a-z0-9]', '', 'g') AS w FROM (SELECT conv_id, turn, si, regexp_extract_all(s, '[^ \t\n]+') AS l FROM sent) t, unnest(range(1, len(l) + 1)) r(i)) v WHERE w <> ''",
+    ),
     "line": ("SELECT doc_id, pos, l FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS pos, l", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) t, unnest(range(1, len(l) + 1)) r(i)"),
 }
 
@@ -61,7 +109,10 @@ def _expand(sql: str, marks: dict[str, str]) -> str:
 
 
 def _with(sql: str, views: dict[str, str]) -> str:
-    used = [f"{v} AS ({text})" for v, text in views.items() if re.search(rf"\b{v}\b", sql)]
+    named = {v for v in views if re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql, re.I)}
+    while more := {v for v in views if v not in named and any(re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", views[n], re.I) for n in named)}:
+        named |= more
+    used = [f"{v} AS ({text})" for v, text in views.items() if v in named]
     if not used:
         return sql
     head = "WITH " + ",\n".join(used)
