@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import aliases, communities, folds, graph, lifecycles
+from . import tools
+from .operators import aliases, communities, folds, graph, lifecycles, modules
 from .plans import declared, rules, workflow
 from .sources import graphio
 from .sources.adapters import duck_sql, spark_sql
-from .streaming import stateful, twins
+from .streaming import live, stateful, twins
 
 Q = declared.Q | workflow.Q
 
@@ -14,7 +15,7 @@ QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir,
 ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
 QUERIES |= {name: (lambda spark, sf_dir, name=name: spark_sql(spark, sf_dir, rules.sql(name))) for name in rules.RULES}
 ORACLE_SQL |= {name: duck_sql(rules.twin(name)) for name in rules.RULES}
-for _part in (graph, folds, lifecycles, aliases, communities, graphio, twins, stateful):
+for _part in (graph, folds, lifecycles, aliases, communities, modules, tools, graphio, twins, stateful, live):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}
 

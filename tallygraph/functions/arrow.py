@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from .scanners import LANGUAGES, scan
+
 #: Hunks after which a list of changes is cut, lines quoted of each hunk, and
 #: characters quoted of a line.
 MOST_HUNKS, QUOTED_LINES, QUOTED_CHARS = 8, 4, 160
@@ -172,6 +174,25 @@ def _parse(source: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(structure(s if isinstance(s, str) else None)) for s in source], dtype=object)
 
 
+def structure_of(path: str | None, source: str | None) -> dict:
+    """Structure of a file by its extension; of other files ``unsupported``."""
+    language = LANGUAGES.get((path or "").rpartition(".")[2].lower())
+    if language is None:
+        return {"status": "unsupported", "symbols": [], "imports": [], "doc": ""}
+    return structure(source) if language == "python" else scan(source or "", language)
+
+
+@F.pandas_udf(StringType())
+def _parse_file(path: pd.Series, source: pd.Series) -> pd.Series:
+    text = lambda x: x if isinstance(x, str) else None
+    return pd.Series([json.dumps(structure_of(text(p), text(s))) for p, s in zip(path, source)], dtype=object)
+
+
+def parse_file(path, source):
+    """Column: the structure of source in the language of its path."""
+    return F.from_json(_parse_file(path, source), STRUCTURE)
+
+
 def parse_source(column):
     """Column: the structure of Python source, typed as ``STRUCTURE``."""
     return F.from_json(_parse(column), STRUCTURE)

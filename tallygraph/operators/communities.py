@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import spark_sql, view
-from .graph import _cut, blast_radius
+from .graph import _cut, blast_radius, numbered
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -90,9 +90,10 @@ def name_communities(members: DataFrame, edges: DataFrame, dirs: DataFrame) -> D
     d = m.groupBy("community", "dir").agg(F.count("*").alias("n"))
     top = d.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("k"), "dir"))["dir"].alias("base"), F.sum("n").alias("size"))
     hub = m.groupBy("community").agg(F.min(F.struct((-F.col("weight")).alias("k"), "node"))["node"].alias("hub"))
-    named = top.join(hub, "community").withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy(F.desc("size"), "community")))
+    named = top.join(hub, "community").withColumn("__by", F.struct((-F.col("size")).alias("size"), "community"))
+    named = numbered(named, "__by").drop("__by").withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy(F.desc("size"), "community")))
     name = F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" "), F.col("r").cast("string")))
-    return named.select("community", "size", name.alias("name"), "hub", F.row_number().over(Window.orderBy(F.desc("size"), "community")).alias("place"))
+    return named.select("community", "size", name.alias("name"), "hub", (F.col("idx") + 1).alias("place"))
 
 
 def work_groups(units: DataFrame) -> DataFrame:
@@ -133,10 +134,8 @@ QUERIES = {
     "g10_named_communities": _named,
     "g14_work_groups": lambda s, d: work_groups(_units(s, d)),
     "g18_forward_slice": lambda s, d: forward_slice(view(s, d, "dep"), "p120"),
-    "g6_blast_view": lambda s, d: blast_radius(view(s, d, "dep"), "p1", 6).groupBy("hops").agg(F.count("*").alias("n")),
 }
 ORACLE = {
     "g14_work_groups": "SELECT p_partkey AS unit, CAST(floor(p_partkey / 40) * 40 AS BIGINT) AS grp FROM part",
     "g18_forward_slice": "SELECT * FROM (SELECT b.dst AS node, 1 AS hops, 'uses' AS side FROM dep b WHERE b.src = 'p120' UNION ALL SELECT c.dst, 2, 'uses' FROM dep b JOIN dep c ON c.src = b.dst WHERE b.src = 'p120') t UNION ALL SELECT * FROM (SELECT src AS node, 1 AS hops, 'used_by' AS side FROM dep WHERE dst = 'p120' ORDER BY src LIMIT 25) u",
-    "g6_blast_view": "WITH RECURSIVE b AS (SELECT 'p1' AS node, 0 AS hops UNION ALL SELECT e.src, b.hops + 1 FROM b JOIN dep e ON e.dst = b.node AND e.src <> e.dst WHERE b.hops < 6), m AS (SELECT node, min(hops) AS hops FROM b GROUP BY node) SELECT hops, count(*) AS n FROM m WHERE hops > 0 GROUP BY hops",
 }

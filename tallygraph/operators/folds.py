@@ -11,10 +11,10 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import canonical_json, exact_round, line_diff, parse_source, redact_json
+from ..functions.arrow import canonical_json, chain_hash, exact_round, line_diff, redact_json
 from ..sources.adapters import view
 
 #: Seconds after which a symbol that went and one that came are no rename.
@@ -81,29 +81,89 @@ def parse_events(parses: DataFrame) -> DataFrame:
     return parses.groupBy("usr", "path").applyInPandas(fold, "usr string, path string, seq long, symbol string, kind string, confidence string, detail string")
 
 
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start, step, schema: str) -> DataFrame:
+    """What ``step(state, row)`` returns for each row of a key, in the order of
+    ``order``; ``start()`` is a key's first state and a list of tuples is kept.
+
+    Rows are sorted by Spark and pass one by one, so a task holds one state and
+    never a key's rows."""
+    names = [*keys, *columns]
+
+    def run(batches):
+        held, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(b[c].tolist() for c in names)):
+                key = row[: len(keys)]
+                if key != held:
+                    held, state = key, start()
+                out += [(*key, *x) for x in step(state, row[len(keys) :])]
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+
+    dealt = rows.select(*names, *[o for o in order if o not in names]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, schema)
+
+
 def cooldown(alerts: DataFrame, keys: list[str], span: float = 900.0) -> DataFrame:
     """Alerts (keys, seq, ts) left when each silences its key for ``span``."""
-    zero = F.expr("named_struct('until', CAST(NULL AS DOUBLE), 'out', CAST(array() AS array<bigint>))")
 
-    def step(acc, x):
-        fires = acc["until"].isNull() | (x["ts"] >= acc["until"])
-        return F.struct(F.when(fires, x["ts"] + span).otherwise(acc["until"]).alias("until"), F.when(fires, F.array_append(acc["out"], x["seq"])).otherwise(acc["out"]).alias("out"))
+    def step(state: list, row: tuple) -> list[tuple]:
+        seq, ts = row
+        if state[0] is not None and ts < state[0]:
+            return []
+        state[0] = ts + span
+        return [(seq,)]
 
-    rows = alerts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "ts"))).alias("xs"))
-    return rows.select(*keys, F.explode(F.aggregate("xs", zero, step)["out"]).alias("seq"))
+    return ordered_fold(alerts, keys, ["seq"], ["seq", "ts"], lambda: [None], step, ", ".join(f"{k} string" for k in keys) + ", seq long")
 
 
 def fit_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
     """Items (key, place, bytes) taken in order of place while they fit; what
     does not fit is passed over and the search goes on."""
-    zero = F.expr("named_struct('used', CAST(0 AS BIGINT), 'out', CAST(array() AS array<bigint>))")
 
-    def step(acc, x):
-        fits = acc["used"] + x["bytes"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["bytes"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["out"], x["place"])).otherwise(acc["out"]).alias("out"))
+    def step(state: list, row: tuple) -> list[tuple]:
+        place, size = row
+        if state[0] + size > budget:
+            return []
+        state[0] += size
+        return [(place,)]
+
+    return ordered_fold(items, [key], ["place"], ["place", "bytes"], lambda: [0], step, f"{key} string, place long")
+
+
+def buckets(rows: DataFrame, key: str, span: float = 1800.0) -> DataFrame:
+    """(key, seq, start): the bucket of each row (key, seq, ts).  A bucket opens
+    at a row and holds the rows up to ``span`` after that opening, however long
+    the silence between them."""
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        seq, ts = row
+        if state[0] is None or ts - state[0] > span:
+            state[0] = ts
+        return [(seq, state[0])]
 
-    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), F.col("bytes").cast("long").alias("bytes")))).alias("xs"))
-    return rows.select(key, F.explode(F.aggregate("xs", zero, step)["out"]).alias("place"))
+    return ordered_fold(rows, [key], ["seq"], ["seq", "ts"], lambda: [None], step, f"{key} string, seq long, start double")
+
+
+def chained(rows: DataFrame, key: str) -> DataFrame:
+    """(key, seq, payload, prev_hash, hash): rows (key, seq, payload) as an
+    append-only chain, each hash over the one before and the payload."""
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        seq, payload = row
+        before, state[0] = state[0], chain_hash(state[0], payload)
+        return [(seq, payload, before, state[0])]
+
+    return ordered_fold(rows, [key], ["seq"], ["seq", "payload"], lambda: [""], step, f"{key} string, seq long, payload string, prev_hash string, hash string")
+
+
+def broken_links(chain: DataFrame, key: str) -> DataFrame:
+    """(key, seq, why): rows whose hash is not that of their content, or whose
+    link is not the hash of the row before."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy(key).orderBy("seq")), F.lit(""))
+    content = F.col("hash") != F.sha2(F.concat("prev_hash", "payload"), 256)
+    rows = chain.withColumn("why", F.when(content, "content").when(F.col("prev_hash") != before, "link"))
+    return rows.where("why is not null").select(key, "seq", "why")
 
 
 def common_dir(paths: DataFrame, key: str, path: str = "path") -> DataFrame:
@@ -127,6 +187,18 @@ def _parses(ledger: DataFrame) -> DataFrame:
     return ledger.select("usr", "path", "seq", "ts", F.when(F.col("kind") == "gate_block", "partial").otherwise("clean").alias("status"), body.alias("symbols"))
 
 
+def _chain(s, d) -> DataFrame:
+    """A stored chain per folder in which one row's payload was changed later
+    and one row was taken out."""
+    rows = chained(view(s, d, "ledger").selectExpr("root", "seq", "concat(kind, ':', usr, ':', path) AS payload"), "root")
+    return rows.where("seq <> 500").withColumn("payload", F.expr("CASE WHEN seq = 777 THEN 'forged' ELSE payload END"))
+
+
+def _nested(column: str = "") -> str:
+    """JSON with hidden keys at several depths, and what is left without."""
+    return """concat('{"user": "', usr, '", "token": "t', k, '", "items": [{"path": "', path, '", "secret": {"k": ', k, '}}, [{"token": null}], ', tokens, '], "deep": {"secret": [1], "kind": "', kind, '"}}')"""
+
+
 def _versions(spark, sf_dir):
     """Each document beside the one before it of its source, by id."""
     return spark.sql(f"SELECT doc_id, text, lag(text) OVER (PARTITION BY source, lang, length(text) % 64 ORDER BY doc_id) AS before FROM parquet.`{sf_dir}/documents.parquet`")
@@ -134,18 +206,33 @@ def _versions(spark, sf_dir):
 
 QUERIES = {
     "m1_parse_fold": lambda s, d: parse_events(_parses(view(s, d, "ledger"))),
-    "w8_cooldown": lambda s, d: cooldown(view(s, d, "ledger").where("kind = 'gate_block'"), ["usr"], 86400.0),
+    "w8_cooldown": lambda s, d: cooldown(view(s, d, "act").where("kind in ('watchdog', 'tripwire_fired')"), ["usr", "kind"]),
+    "w2_buckets": lambda s, d: buckets(view(s, d, "act").where("kind = 'edit_reported'"), "usr"),
+    "w9_chain": lambda s, d: broken_links(_chain(s, d), "root"),
     "o9_budget": lambda s, d: fit_budget(view(s, d, "ledger").where("kind = 'edit_reported'").selectExpr("path", "seq AS place", "tokens AS bytes"), "path", 200),
     "u2_common_dir": lambda s, d: common_dir(view(s, d, "ledger").where("ts >= 1706000000"), "usr"),
     "m4_line_diff": lambda s, d: _versions(s, d).select("doc_id", line_diff("before", "text").alias("hunks")),
     "m5_hunk_totals": lambda s, d: _versions(s, d).select("doc_id", F.from_json(line_diff("before", "text"), "array<struct<op: string>>").alias("h")).select("doc_id", F.size("h").alias("n")),
     "f4_exact_round": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", exact_round(F.col("l_extendedprice") / 7, F.lit(2)).alias("rounded")),
     "f16_canonical_json": lambda s, d: view(s, d, "ledger").select("seq", canonical_json("props").alias("props")),
-    "p10_redacted": lambda s, d: view(s, d, "ledger").select("seq", redact_json(F.col("props"), ["k"]).alias("props")),
-    "s17_parse_source": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", parse_source(F.col("text")).alias("s")).selectExpr("doc_id", "s.status", "size(s.symbols) AS symbols"),
+    "p10_redacted": lambda s, d: view(s, d, "ledger").select("seq", redact_json(F.expr(_nested()), ["token", "secret"]).alias("props")),
 }
 ORACLE = {
+    # symbols are bits, so each clean parse is compared with the two before it
+    "m1_parse_fold": """WITH c AS (SELECT usr, path, seq, ts, CAST(tokens & 7 AS INTEGER) AS b, lag(CAST(tokens & 7 AS INTEGER)) OVER w AS p, lag(CAST(tokens & 7 AS INTEGER), 2) OVER w AS q, ts - lag(ts) OVER w AS gap, lag(ts) OVER w - lag(ts, 2) OVER w AS gap_before FROM ledger WHERE kind <> 'gate_block' WINDOW w AS (PARTITION BY usr, path ORDER BY seq)),
+r AS (SELECT *, bit_count(p & ~b) = 1 AND bit_count(b & ~p) = 1 AND gap <= 21600 AS renames, coalesce(bit_count(q & ~p) = 1 AND bit_count(p & ~q) = 1 AND gap_before <= 21600, false) AS renamed_before FROM c WHERE p IS NOT NULL), n AS (SELECT unnest([0, 1, 2]) AS i),
+x AS (SELECT r.*, 'f' || n.i AS symbol, 'def f' || n.i || '(x, y)' AS sig, (p >> n.i) & 1 AS was, (b >> n.i) & 1 AS now, coalesce((q >> n.i) & 1, 0) AS had FROM r CROSS JOIN n)
+SELECT usr, path, seq, symbol, 'removed' AS kind, 'certain' AS confidence, sig AS detail FROM x WHERE had = 1 AND was = 0 AND now = 0 AND NOT renamed_before UNION ALL SELECT usr, path, seq, symbol, 'unknown', 'unconfirmed', '' FROM x WHERE was = 1 AND now = 0 AND NOT renames UNION ALL SELECT usr, path, seq, symbol, 'added', 'certain', sig FROM x WHERE was = 0 AND now = 1 AND NOT renames
+UNION ALL SELECT usr, path, seq, symbol, 'renamed', 'certain', CASE b & ~p WHEN 1 THEN 'f0' WHEN 2 THEN 'f1' ELSE 'f2' END FROM x WHERE was = 1 AND now = 0 AND renames""",
     "u2_common_dir": "SELECT usr, CASE WHEN min(root) = max(root) THEN min(root) || '/' ELSE '' END AS dir FROM ledger WHERE ts >= 1706000000 GROUP BY usr",
     "f16_canonical_json": "SELECT seq, replace(props, ' ', '') AS props FROM ledger",
-    "p10_redacted": "SELECT seq, '{}' AS props FROM ledger",
+    "p10_redacted": """SELECT seq, '{"deep":{"kind":"' || kind || '"},"items":[{"path":"' || path || '"},[{}],' || tokens || '],"user":"' || usr || '"}' AS props FROM ledger""",
+    "w8_cooldown": """WITH RECURSIVE a AS (SELECT usr, kind, seq, ts FROM act WHERE kind IN ('watchdog', 'tripwire_fired')), f AS (SELECT usr, kind, min(seq) AS seq FROM a GROUP BY usr, kind UNION ALL
+SELECT f.usr, f.kind, (SELECT min(n.seq) FROM a n WHERE n.usr = f.usr AND n.kind = f.kind AND n.seq > f.seq AND n.ts >= o.ts + 900) AS seq FROM f JOIN a o ON o.seq = f.seq) SELECT usr, kind, seq FROM f WHERE seq IS NOT NULL""",
+    "w2_buckets": """WITH RECURSIVE e AS (SELECT usr, seq, ts FROM act WHERE kind = 'edit_reported'), f AS (SELECT usr, min(ts) AS start FROM e GROUP BY usr UNION ALL SELECT f.usr, (SELECT min(n.ts) FROM e n WHERE n.usr = f.usr AND n.ts - f.start > 1800) AS start FROM f WHERE f.start IS NOT NULL)
+SELECT e.usr, e.seq, max(f.start) AS start FROM e JOIN f ON f.usr = e.usr AND f.start <= e.ts GROUP BY e.usr, e.seq""",
+    "w9_chain": """WITH n AS (SELECT root, seq, lead(seq) OVER (PARTITION BY root ORDER BY seq) AS after FROM ledger) SELECT root, seq, 'content' AS why FROM ledger WHERE seq = 777 UNION ALL SELECT root, after, 'link' FROM n WHERE seq = 500 AND after IS NOT NULL""",
+    "o9_budget": """WITH RECURSIVE i AS (SELECT path, seq, tokens, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM ledger WHERE kind = 'edit_reported'), f AS (SELECT path, n, seq, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used, tokens <= 200 AS took FROM i WHERE n = 1
+UNION ALL SELECT i.path, i.n, i.seq, CASE WHEN f.used + i.tokens <= 200 THEN f.used + i.tokens ELSE f.used END AS used, f.used + i.tokens <= 200 AS took FROM f JOIN i ON i.path = f.path AND i.n = f.n + 1) SELECT path, seq AS place FROM f WHERE took""",
+    "f4_exact_round": "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice / 7 AS DECIMAL(38, 15)), 2) AS DOUBLE) AS rounded FROM lineitem",
 }

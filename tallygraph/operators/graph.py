@@ -3,115 +3,209 @@ co-change, and similar tasks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.adapters import view
+from ..sources.adapters import shared_folder, spark_sql, view
+from .folds import buckets
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again.  A checkpoint keeps
     the orderings of its plan, which multiply from round to round."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def blast_radius(edges: DataFrame, start: str, depth: int, back: bool = True) -> DataFrame:
+#: Nodes of a blast radius after which it ends, in the middle of a level.
+BLAST_LIMIT = 200
+
+
+def blast_radius(edges: DataFrame, start: str, depth: int, back: bool = True, limit: int = BLAST_LIMIT) -> DataFrame:
     """(node, hops, through): nodes that depend on ``start``, by level.
 
-    A level is one join with what is not yet seen taken out; ``through`` is the
-    first finder in the order of the level before.  Depth is held to 1..6."""
+    A level is one join of at most ``limit`` nodes, whose rows the driver may
+    therefore hold, with the edges.  ``through`` is the first finder in the
+    order of the level before, which is by id; nodes count in the order of their
+    finders, then by id, until ``limit``.  Depth is held to 1..6."""
     near, far = ("dst", "src") if back else ("src", "dst")
-    edges = edges.where("src <> dst").select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
+    edges = edges.where("src <> dst").select(F.col(near).alias("near"), F.col(far).alias("far"))
     spark = edges.sparkSession
-    front = spark.createDataFrame([(start, 0, None)], "node string, hops int, through string")
-    seen = front
+    level, out, seen = [start], [], {start}
     for hop in range(1, max(1, min(6, depth)) + 1):
-        found = front.join(edges, front.node == edges.near).groupBy("far").agg(F.min("node").alias("through"))
-        front = _cut(found.join(seen, found.far == seen.node, "left_anti").select(F.col("far").alias("node"), F.lit(hop).alias("hops"), "through"))
-        if front.isEmpty():
+        front = spark.createDataFrame(list(enumerate(level)), "rank int, node string")
+        known = spark.createDataFrame([(x,) for x in seen], "far string")
+        found = edges.join(F.broadcast(front), F.col("near") == F.col("node")).join(F.broadcast(known), "far", "left_anti")
+        found = found.groupBy("far").agg(F.min(F.struct("rank", "node")).alias("p")).orderBy("p.rank", "far").limit(limit - len(out))
+        rows = [(r.far, hop, r.p.node) for r in found.collect()]  # at most ``limit``
+        out += rows
+        level = sorted(r[0] for r in rows)
+        seen.update(level)
+        if not rows or len(out) >= limit:
             break
+    return spark.createDataFrame(out, "node string, hops int, through string")
+
+
+def blast_view(edges: DataFrame, nodes: DataFrame, start: str, depth: int, limit: int = BLAST_LIMIT) -> DataFrame:
+    """One row on a blast radius: node, depth, total, files, owners, absent_in
+    (folders without a hit), truncated, verdict.  ``nodes``: (node, path,
+    owner)."""
+    depth = max(1, min(6, depth))
+    hit = blast_radius(edges, start, depth, limit=limit)
+    near = nodes.join(F.broadcast(hit.select("node")), "node").select("path", "owner")
+    top = F.substring_index("path", "/", 1)
+    dirs = nodes.select(top.alias("dir")).distinct()
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    absent = dirs.join(near.select(top.alias("dir")).distinct(), "dir", "left_anti").agg(joined(F.col("dir")).alias("absent_in"))
+    seen = near.agg(F.count_distinct("path").alias("files"), joined(F.when(F.col("owner") != "", F.col("owner"))).alias("owners"))
+    total = hit.agg(F.count("*").alias("total"))
+    row = total.crossJoin(seen).crossJoin(absent)  # one row each
+    verdict = F.when(F.col("total") == 0, "nothing depends on it").otherwise(F.concat(F.col("total").cast("string"), F.lit(" dependents in "), F.col("files").cast("string"), F.lit(" files")))
+    return row.select(F.lit(start).alias("node"), F.lit(depth).alias("depth"), "total", "files", "owners", "absent_in", (F.col("total") >= limit).alias("truncated"), verdict.alias("verdict"))
+
+
+def neighbours(edges: DataFrame, start: str, depth: int) -> DataFrame:
+    """(node, side, via, hops): what ``start`` depends on and what depends on
+    it, to a depth of 1..3.
+
+    One set of seen nodes serves both sides; the nodes of a level claim theirs
+    in order, successors before predecessors, each by id.  The order is carried
+    as the trail of claims, so that no level is ranked as a whole."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    both = _cut(e.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("0").alias("way")).union(e.select("dst", "src", F.lit("1"))))
+    spark = edges.sparkSession
+    front = spark.createDataFrame([(start, [], None, None, 0)], "node string, trail array<string>, side string, via string, hops int")
+    seen = front
+    for hop in range(1, max(1, min(3, depth)) + 1):
+        claim = F.min(F.struct("trail", "way", "node")).alias("c")
+        found = front.join(both, front.node == both["at"]).groupBy("to").agg(claim).join(seen.select(F.col("node").alias("to")), "to", "left_anti")
+        step = F.concat("c.way", "to")
+        front = _cut(found.select(F.col("to").alias("node"), F.concat("c.trail", F.array(step)).alias("trail"), F.when(F.col("c.way") == "0", "depends_on").otherwise("dependents").alias("side"), F.col("c.node").alias("via"), F.lit(hop).alias("hops")))
         seen = seen.unionByName(front)
-    return seen.where("hops > 0")
+    return seen.where("hops > 0").select("node", "side", F.when(F.col("hops") > 1, F.col("via")).otherwise("").alias("via"), "hops")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 12) -> DataFrame:
     """(step, node) of the first shortest undirected path; neighbours are tried
-    in the order of their ids, parents in the order they were queued."""
+    in the order of their ids, parents in the order they were queued.
+
+    A node carries the trail that found it: the least trail is the first in the
+    queue, and that of ``end`` is the answer."""
     e = edges.where("src <> dst")
     both = _cut(e.select("src", "dst").union(e.select("dst", "src")).distinct())
     spark = edges.sparkSession
-    front = spark.createDataFrame([(start, 0, None)], "node string, rank int, parent string")
-    seen, levels = front, [front]
+    front = spark.createDataFrame([(start, [start])], "node string, trail array<string>")
+    seen, answer = front, front.where(F.col("node") == end).select("trail").first()
     for _ in range(most):
-        if not front.where(F.col("node") == end).isEmpty():
+        if answer:
+            break
+        found = front.join(both, front.node == both.src).groupBy("dst").agg(F.min("trail").alias("t"))
+        found = found.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        front = _cut(found.select(F.col("dst").alias("node"), F.concat("t", F.array("dst")).alias("trail")))
+        state = front.agg(F.count("*").alias("n"), F.max(F.when(F.col("node") == end, F.col("trail"))).alias("trail")).first()
+        if not state.n:
             break
-        found = front.join(both, front.node == both.src).groupBy("dst").agg(F.min(F.struct("rank", "node")).alias("p"))
-        found = found.join(seen, found.dst == seen.node, "left_anti")
-        order = Window.orderBy("p.rank", "dst")  # one level of one search
-        front = _cut(found.select(F.col("dst").alias("node"), F.row_number().over(order).alias("rank"), F.col("p.node").alias("parent")))
-        if front.isEmpty():
-            return spark.createDataFrame([], "step int, node string")
+        answer = state if state.trail else None
         seen = seen.unionByName(front)
-        levels.append(front)
-    path, node = [], end
-    for level in reversed(levels):
-        row = level.where(F.col("node") == node).first()
-        if row is None:
-            return spark.createDataFrame([], "step int, node string")
-        path.append(node)
-        node = row.parent
-    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(path))], "step int, node string")
-
-
-def co_change(ledger: DataFrame, span: float = 86400.0) -> DataFrame:
-    """(a, b, n): paths edited in one episode.  An episode opens at an edit and
-    holds the author's edits up to ``span`` after that opening (not after the
-    last edit); episodes of 2 to 60 paths count."""
-    rows = ledger.where("kind = 'edit_reported'").groupBy("usr").agg(F.array_sort(F.collect_list(F.struct("seq", "ts", "path"))).alias("xs"))
-    zero = F.expr("named_struct('start', CAST(NULL AS DOUBLE), 'out', CAST(array() AS array<struct<ep: double, path: string>>))")
-
-    def step(acc, x):
-        begin = F.when(acc["start"].isNull() | (x["ts"] - acc["start"] > span), x["ts"]).otherwise(acc["start"])
-        return F.struct(begin.alias("start"), F.concat(acc["out"], F.array(F.struct(begin.alias("ep"), x["path"].alias("path")))).alias("out"))
-
-    eps = rows.select("usr", F.explode(F.aggregate("xs", zero, step)["out"]).alias("e")).select("usr", "e.ep", "e.path").distinct()
-    sized = eps.withColumn("n", F.count("*").over(Window.partitionBy("usr", "ep"))).where("n between 2 and 60").drop("n")
-    a, b = sized.alias("a"), sized.alias("b")
-    pairs = a.join(b, (F.col("a.usr") == F.col("b.usr")) & (F.col("a.ep") == F.col("b.ep")) & (F.col("a.path") < F.col("b.path")))
+    return spark.createDataFrame(list(enumerate(answer.trail if answer else [])), "step int, node string")
+
+
+def co_change(ledger: DataFrame, span: float = 1800.0) -> DataFrame:
+    """(a, b, n): paths edited in one episode of rows (skey, seq, ts, path,
+    intent_id).  An episode is the edits of one intent, else of one agent's
+    bucket of ``span`` from its first edit (not from the last); episodes of 2 to
+    60 paths count."""
+    alone = ledger.where("intent_id = ''")
+    timed = buckets(alone, "skey", span).join(alone.select("seq", "path"), "seq").select(F.concat("skey", F.lit("@"), F.col("start").cast("string")).alias("ep"), "path")
+    eps = timed.union(ledger.where("intent_id <> ''").select(F.concat(F.lit("#"), "intent_id"), "path")).distinct()
+    sized = eps.groupBy("ep").count().where("count between 2 and 60").select("ep")
+    eps = _cut(eps.join(sized, "ep"))
+    a, b = eps.alias("a"), eps.alias("b")
+    pairs = a.join(b, (F.col("a.ep") == F.col("b.ep")) & (F.col("a.path") < F.col("b.path")))
     return pairs.groupBy(F.col("a.path").alias("a"), F.col("b.path").alias("b")).agg(F.count("*").alias("n"))
 
 
-def similar_tasks(vectors: DataFrame, query_id: int, cosine: float = 0.8) -> DataFrame:
-    """(vec_id, score): vectors at ``cosine`` or more to one query's."""
-    query = vectors.where(F.col("vec_id") == query_id).select("embedding").first()
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``idx``, their place from 0 in the order of ``by``: range
+    partitions are counted and their offsets added, so no task ranks them all."""
+    at = F.monotonically_increasing_id()
+    dealt = _cut(rows.repartitionByRange(by).sortWithinPartitions(by).select("*", F.shiftright(at, 33).alias("__part"), at.bitwiseAND((1 << 33) - 1).alias("__pos")))
+    offsets, total = [], 0
+    for r in sorted(dealt.groupBy("__part").count().collect()):  # one row per partition
+        offsets.append((r["__part"], total))
+        total += r["count"]
+    before = rows.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    return dealt.join(F.broadcast(before), "__part").withColumn("idx", F.col("__pos") + F.col("__before")).drop("__part", "__pos", "__before")
+
+
+def grid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sort, a, b): nodes (id, flags) as their sorted place and flags, links as
+    the places of their ends."""
+    coded = _cut(numbered(nodes, "id"))
+    ids = coded.select("id", "idx")
+    links = edges.where("src <> dst").select("src", "dst").distinct()
+    links = links.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select(F.lit("link").alias("sort"), "a", "b")
+    return coded.select(F.lit("node").alias("sort"), F.col("idx").alias("a"), F.col("flags").alias("b")).union(links)
+
+
+def similar_tasks(examples: DataFrame, query_id: int, cosine: float = 0.8, scored: int = 3, share: float = 0.5, limit: int = 10) -> DataFrame:
+    """(vec_id): the best ``limit`` examples for one task, best first, the
+    smaller id on a tie: cosine at ``cosine`` or more, the same code (label),
+    not stale, and not poor: with ``scored`` outcomes or more at least ``share``
+    of them good.  ``examples``: (vec_id, embedding, label, fresh, good, bad)."""
+    query = examples.where(F.col("vec_id") == query_id).select("embedding", "label").first()
     if query is None:
-        return vectors.select("vec_id", F.lit(0.0).alias("score")).limit(0)
+        return examples.select("vec_id").limit(0)
     q = F.lit([float(x) for x in query.embedding])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col("embedding")
     score = dot(v, q) / F.sqrt(dot(v, v.cast("array<double>")) * dot(q, q))
-    return vectors.where(F.col("vec_id") != query_id).select("vec_id", score.alias("score")).where(F.col("score") >= cosine)
+    good = (F.col("good") + F.col("bad") < scored) | (F.col("good") >= share * (F.col("good") + F.col("bad")))
+    rows = examples.where((F.col("vec_id") != query_id) & (F.col("label") == query.label) & F.col("fresh") & good)
+    return rows.select("vec_id", score.alias("score")).where(F.col("score") >= cosine).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(limit).select("vec_id")
+
+
+def _nodes(s, d) -> DataFrame:
+    """Nodes of the dependency view with a path and the owner of its edits."""
+    owner = "(SELECT k, max_by(usr, n) AS owner FROM (SELECT k, usr, count(*) * 100000 - min(seq) AS n FROM act WHERE kind = 'edit_reported' GROUP BY k, usr) t GROUP BY k) o"
+    return spark_sql(s, d, f"SELECT 'p' || p.p_partkey AS node, 'd' || (p.p_partkey % 8) || '/f' || p.p_partkey || '.py' AS path, coalesce(o.owner, '') AS owner FROM part p LEFT JOIN {owner} ON o.k = p.p_partkey")
 
 
+_EXAMPLES = "SELECT p_partkey AS vec_id, array(CAST(p_size AS FLOAT), CAST(p_partkey % 17 AS FLOAT), CAST(10 + p_partkey % 5 AS FLOAT)) AS embedding, p_partkey % 4 AS label, p_partkey % 7 <> 3 AS fresh, p_partkey % 5 AS good, p_partkey % 3 AS bad FROM part"
+_FLAGS = "SELECT path AS id, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) + 2 * max(CASE WHEN kind = 'gate_block' THEN 1 ELSE 0 END) + 4 * max(CASE WHEN kind = 'intent_declared' THEN 1 ELSE 0 END) AS flags FROM act WHERE k % 3 > 0 GROUP BY path"
+_LINKS = "SELECT DISTINCT a.path AS src, b.path AS dst FROM dep JOIN (SELECT DISTINCT path, 'p' || k AS node FROM act) a ON a.node = dep.src JOIN (SELECT DISTINCT path, 'p' || k AS node FROM act) b ON b.node = dep.dst"
+_EDITS = "SELECT usr || ':' || CASE WHEN session <> '' THEN session WHEN agent <> '' THEN agent ELSE 'work' END AS skey, seq, ts, path, intent_id FROM act WHERE kind = 'edit_reported'"
 QUERIES = {
     "g5_blast_radius": lambda s, d: blast_radius(view(s, d, "dep"), "p1", 3),
-    "g7_successors": lambda s, d: blast_radius(view(s, d, "dep"), "p150", 3, back=False).select("node", "hops"),
+    "g6_blast_view": lambda s, d: blast_view(view(s, d, "dep"), _nodes(s, d), "p3", 9),
+    "g7_neighbours": lambda s, d: neighbours(view(s, d, "dep"), "p20", 3),
     "g8_shortest_path": lambda s, d: shortest_path(view(s, d, "dep"), "p120", "p61"),
-    "a11_co_change": lambda s, d: co_change(view(s, d, "ledger")),
-    "j21_similar": lambda s, d: similar_tasks(s.read.parquet(f"{d}/embeddings.parquet"), 0).select("vec_id"),
+    "g16_grid": lambda s, d: grid(spark_sql(s, d, _FLAGS), spark_sql(s, d, _LINKS)),
+    "a11_co_change": lambda s, d: co_change(spark_sql(s, d, _EDITS)),
+    "j21_similar": lambda s, d: similar_tasks(spark_sql(s, d, _EXAMPLES), 8),
 }
-_WALK = """WITH RECURSIVE b AS (SELECT '{start}' AS node, 0 AS hops UNION ALL SELECT e.{far} AS node, b.hops + 1 AS hops FROM b JOIN dep e ON e.{near} = b.node AND e.src <> e.dst WHERE b.hops < 3),
-m AS (SELECT node, min(hops) AS hops FROM b GROUP BY node)"""
+_DEEP = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM dep WHERE src <> dst), b AS (SELECT CAST('{start}' AS VARCHAR) AS node, 0 AS hops, CAST(NULL AS VARCHAR) AS through UNION ALL SELECT e.src AS node, b.hops + 1 AS hops, b.node AS through FROM b JOIN e ON e.dst = b.node WHERE b.hops < {depth}),
+r AS (SELECT *, row_number() OVER (ORDER BY hops, through, node) AS place FROM b WHERE hops > 0), h AS (SELECT node, hops, through FROM r WHERE place <= 200)"""
 ORACLE = {
-    "g5_blast_radius": _WALK.format(start="p1", far="src", near="dst") + " SELECT m.node, m.hops, min(p.node) AS through FROM m JOIN dep e ON e.src = m.node AND e.src <> e.dst JOIN m p ON p.node = e.dst AND p.hops = m.hops - 1 WHERE m.hops > 0 GROUP BY m.node, m.hops",
-    "g7_successors": _WALK.format(start="p150", far="dst", near="src") + " SELECT node, hops FROM m WHERE hops > 0",
-    "j21_similar": "SELECT v.vec_id FROM embeddings v JOIN embeddings q ON q.vec_id = 0 AND v.vec_id <> 0 WHERE list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.8",
+    # every node has one parent in the view, so a walk meets no node twice
+    "g5_blast_radius": _DEEP.format(start="p1", depth=3) + " SELECT node, hops, through FROM h",
+    "g6_blast_view": _DEEP.format(start="p3", depth=6) + """, ow AS (SELECT k, arg_max(usr, (n, -first)) AS owner FROM (SELECT k, usr, count(*) AS n, min(seq) AS first FROM act WHERE kind = 'edit_reported' GROUP BY k, usr) t GROUP BY k),
+n AS (SELECT CAST(substr(node, 2) AS BIGINT) AS k FROM h) SELECT 'p3' AS node, 6 AS depth, (SELECT count(*) FROM n) AS total, (SELECT count(*) FROM n) AS files, (SELECT coalesce(string_agg(DISTINCT owner, ',' ORDER BY owner), '') FROM n JOIN ow ON ow.k = n.k) AS owners,
+(SELECT coalesce(string_agg(x, ',' ORDER BY x), '') FROM (SELECT DISTINCT 'd' || (p_partkey % 8) AS x FROM part WHERE p_partkey % 8 NOT IN (SELECT k % 8 FROM n)) t) AS absent_in, (SELECT count(*) >= 200 FROM n) AS truncated,
+(SELECT CASE WHEN count(*) = 0 THEN 'nothing depends on it' ELSE count(*) || ' dependents in ' || count(*) || ' files' END FROM n) AS verdict""",
+    # in a tree no node is found twice, so claims do not collide
+    "g7_neighbours": """WITH RECURSIVE e AS (SELECT src, dst FROM dep WHERE src <> dst), b AS (SELECT 'p20' AS node, '' AS side, '' AS via, 0 AS hops, ['p20'] AS seen UNION ALL
+SELECT x.node, x.side, CASE WHEN b.hops = 0 THEN '' ELSE b.node END, b.hops + 1, list_append(b.seen, x.node) FROM b JOIN (SELECT src AS at_node, dst AS node, 'depends_on' AS side FROM e UNION ALL SELECT dst, src, 'dependents' FROM e) x ON x.at_node = b.node AND NOT list_contains(b.seen, x.node) WHERE b.hops < 3)
+SELECT node, side, via, hops FROM b WHERE hops > 0""",
+    "g8_shortest_path": """WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM dep WHERE src <> dst UNION SELECT dst, src FROM dep WHERE src <> dst), w AS (SELECT ['p120'] AS trail UNION ALL SELECT list_append(w.trail, e.b) FROM w JOIN e ON e.a = w.trail[-1] AND NOT list_contains(w.trail, e.b) WHERE w.trail[-1] <> 'p61' AND len(w.trail) < 9),
+t AS (SELECT trail FROM w WHERE trail[-1] = 'p61' ORDER BY len(trail), trail LIMIT 1) SELECT CAST(i - 1 AS INTEGER) AS step, trail[i] AS node FROM t, unnest(range(1, len(trail) + 1)) r(i)""",
+    "g16_grid": f"""WITH n AS ({_FLAGS}), c AS (SELECT id, flags, row_number() OVER (ORDER BY id) - 1 AS idx FROM n) SELECT 'node' AS sort, idx AS a, CAST(flags AS BIGINT) AS b FROM c UNION ALL SELECT 'link', x.idx, y.idx FROM ({_LINKS}) l JOIN c x ON x.id = l.src JOIN c y ON y.id = l.dst WHERE l.src <> l.dst""",
+    "a11_co_change": f"""WITH RECURSIVE e AS ({_EDITS}), f AS (SELECT skey, min(ts) AS start FROM e WHERE intent_id = '' GROUP BY skey UNION ALL SELECT f.skey, (SELECT min(n.ts) FROM e n WHERE n.intent_id = '' AND n.skey = f.skey AND n.ts - f.start > 1800) AS start FROM f WHERE f.start IS NOT NULL),
+b AS (SELECT e.seq, e.path, e.skey, max(f.start) AS start FROM e JOIN f ON f.skey = e.skey AND f.start <= e.ts WHERE e.intent_id = '' GROUP BY e.seq, e.path, e.skey), p AS (SELECT DISTINCT skey || '@' || start AS ep, path FROM b UNION SELECT DISTINCT '#' || intent_id, path FROM e WHERE intent_id <> ''),
+z AS (SELECT ep FROM p GROUP BY ep HAVING count(*) BETWEEN 2 AND 60) SELECT x.path AS a, y.path AS b, count(*) AS n FROM p x JOIN z ON z.ep = x.ep JOIN p y ON y.ep = x.ep AND x.path < y.path GROUP BY x.path, y.path""",
+    "j21_similar": """WITH x AS (SELECT p_partkey AS vec_id, [p_size::DOUBLE, (p_partkey % 17)::DOUBLE, (10 + p_partkey % 5)::DOUBLE] AS e, p_partkey % 4 AS label, p_partkey % 7 <> 3 AS fresh, p_partkey % 5 AS good, p_partkey % 3 AS bad FROM part),
+r AS (SELECT v.vec_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM x v JOIN x q ON q.vec_id = 8 AND v.vec_id <> 8 AND v.label = q.label WHERE v.fresh AND (v.good + v.bad < 3 OR v.good >= v.bad)) SELECT vec_id FROM r WHERE score >= 0.8 ORDER BY score DESC, vec_id LIMIT 10""",
 }

@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import STRUCTURE, parse_source
+from ..functions.arrow import STRUCTURE
 from ..functions.operations import conflicts, validated
+from ..functions.scanners import LANGUAGES
 from ..functions.text import patch_paths, prompt_identifiers, search_identifiers
 from ..sources.adapters import view
 from .folds import fit_budget
+from .modules import parsed
 
 #: Seconds for which a claim that nobody filled holds its number.
 OPEN_SPAN = 3 * 86400.0
@@ -161,7 +163,7 @@ def patched(edges: DataFrame, before: DataFrame, after: DataFrame, lookups: Data
 
 
 #: Extensions of the one language parsed here.
-PARSED = ["py", "pyi"]
+PARSED = ["pyi", *LANGUAGES]
 
 
 def from_structure(path: Column, sent: Column) -> Column:
@@ -174,6 +176,16 @@ def from_structure(path: Column, sent: Column) -> Column:
     return F.when(known, s.withField("symbols", whole))
 
 
+def claim_paths(outcomes: DataFrame, claims: DataFrame) -> DataFrame:
+    """(scope, dir, sort, n, items): paths that fill a claim and paths that
+    clash with one, sorted, and the numbers still open, by sequence."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    done = outcomes.groupBy("scope", "dir", F.when(F.col("status") == "filled", "filled").otherwise("clash").alias("sort")).agg(F.count_distinct("path").alias("n"), listed("path").alias("items"))
+    left = claims.join(outcomes.where("status = 'filled'").select("scope", "dir", "number").distinct(), ["scope", "dir", "number"], "left_anti")
+    left = left.groupBy("scope", "dir").agg(F.count_distinct("number").alias("n"), listed(F.lpad(F.col("number").cast("string"), 6, "0")).alias("items"))
+    return done.union(left.select("scope", "dir", F.lit("open"), "n", "items"))
+
+
 def _claims(s, d):
     led = view(s, d, "ledger").selectExpr("scope", "root AS dir", "seq", "ts", "model AS usr", "'' AS session", "kind", "k AS number", "concat(root, '/', CAST(k AS STRING), CASE WHEN seq % 2 = 0 THEN '' ELSE '_b' END) AS path")
     wrote = led.where("kind = 'edit_reported'")
@@ -209,11 +221,12 @@ def _patched(s, d):
 _TEXTS = "SELECT conv_id, turn, text FROM parquet.`{}/conversations.parquet`"
 QUERIES = {
     "m13_claims": lambda s, d: claim_outcomes(*_claims(s, d)),
+    "a35_clashes": lambda s, d: claim_paths(claim_outcomes(*_claims(s, d)), _claims(s, d)[0]),
     "m13_numbers": lambda s, d: _claims(s, d)[0].select("seq", "number"),
     "m14_reconciliations": lambda s, d: reconciliations(_reports(s, d)),
     "o12_blocks": lambda s, d: blocks(view(s, d, "line").selectExpr("doc_id % 20 AS listing", "doc_id AS place", "pos AS line_no", "l AS line"), 400, 2000),
     "g3_patched": _patched,
-    "s18_round_trip": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", parse_source("text").alias("s")).select("doc_id", (from_structure(F.lit("a.py"), F.to_json("s")) == F.col("s")).alias("same")),
+    "s18_round_trip": lambda s, d: parsed(s, d).select("path", from_structure(F.col("path"), F.to_json("s")).alias("t")).selectExpr("path", "t.status AS status", "size(t.symbols) AS symbols", "get(t.symbols, 0).name AS first", "size(t.imports) AS imports"),
     "x2_validated": lambda s, d: _ops(s, d).selectExpr("seq", "size(v.ops) AS n", "v.error AS error"),
     "x2_conflicts": lambda s, d: conflicts(_ops(s, d).where("v.error is null").selectExpr("scope", "seq AS id", "usr AS owner", "v.ops[0] AS op"), "u3"),
     "f24_prompt_names": lambda s, d: s.sql(_TEXTS.format(d)).select("conv_id", "turn", prompt_identifiers("text").alias("names")),
@@ -232,7 +245,8 @@ t AS (SELECT met.*, CASE WHEN met.seq = fl.seq THEN 'filled' WHEN met.seq > fl.s
 SELECT scope, dir, number, owner, arg_min(usr, seq) AS usr, path, min(seq) AS seq, status FROM t WHERE status IS NOT NULL GROUP BY scope, dir, number, owner, path, status""",
     "f25_search_names": "SELECT seq, CASE WHEN k % 3 = 2 THEN '' ELSE kind END AS names FROM ledger",
     "f28_patch_paths": "SELECT seq, path || ',' || root AS paths FROM ledger",
-    "s18_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "s18_round_trip": """SELECT 'src/f' || p_partkey || ['.py', '.ts', '.go', '.java', '.rs', '.txt'][p_partkey % 6 + 1] AS path, CASE WHEN p_partkey % 6 = 5 THEN NULL WHEN p_partkey % 10 = 9 THEN 'partial' ELSE 'clean' END AS status, CASE WHEN p_partkey % 6 = 5 THEN NULL WHEN p_partkey % 10 = 9 THEN 0 ELSE 3 END AS symbols,
+CASE WHEN p_partkey % 6 = 5 OR p_partkey % 10 = 9 THEN NULL ELSE 'L' || p_partkey END AS first, CASE WHEN p_partkey % 6 = 5 THEN NULL WHEN p_partkey % 10 = 9 THEN 0 ELSE 1 END AS imports FROM part""",
     "x2_conflicts": """WITH o AS (SELECT seq, scope, usr, path, k % 5 AS c, unnest(CASE k % 5 WHEN 0 THEN [path, 'n' || root] WHEN 1 THEN [path] WHEN 4 THEN [path, 'y'] END) AS name FROM ledger)
 SELECT DISTINCT a.scope, a.seq AS mine, b.seq AS theirs, CASE WHEN a.c = 4 OR b.c = 4 THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM o a JOIN o b ON a.scope = b.scope AND a.name = b.name WHERE a.usr = 'u3' AND b.usr <> 'u3'""",
     "x2_validated": """SELECT seq, CAST(CASE WHEN k % 5 IN (2, 3) THEN NULL ELSE 1 END AS INTEGER) AS n, CASE k % 5 WHEN 2 THEN 'operations[0]: no operation named ''refactor''' WHEN 3 THEN 'operations[0]: move needs ''new_path''' END AS error FROM ledger""",
@@ -241,3 +255,6 @@ l AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 97) || '.py' AS path, p_bra
 nr AS (SELECT dir, name, arg_min(path, (length(path), path)) AS path FROM b GROUP BY dir, name), an AS (SELECT name, arg_min(path, (length(path), path)) AS path FROM b GROUP BY name)
 SELECT l.path AS src, l.name, coalesce(b.path, nr.path, an.path) AS dst FROM l LEFT JOIN b ON b.path = l.path AND b.name = l.name LEFT JOIN nr ON nr.dir = l.dir AND nr.name = l.name LEFT JOIN an ON an.name = l.name WHERE coalesce(b.path, nr.path, an.path) IS NOT NULL""",
 }
+ORACLE["a35_clashes"] = _NUMBERED + f""", o AS ({ORACLE["m13_claims"].replace(_NUMBERED + ", met AS", "WITH met AS")})
+SELECT scope, dir, CASE WHEN status = 'filled' THEN 'filled' ELSE 'clash' END AS sort, count(DISTINCT path) AS n, string_agg(DISTINCT path, ',' ORDER BY path) AS items FROM o GROUP BY 1, 2, 3
+UNION ALL SELECT c.scope, c.dir, 'open', count(DISTINCT c.number), string_agg(DISTINCT lpad(CAST(c.number AS VARCHAR), 6, '0'), ',' ORDER BY lpad(CAST(c.number AS VARCHAR), 6, '0')) FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.scope = c.scope AND o.dir = c.dir AND o.number = c.number AND o.status = 'filled') GROUP BY c.scope, c.dir"""

@@ -51,7 +51,6 @@ FROM t CROSS JOIN m LEFT JOIN i ON t.c = i.c"""
 Q["a29_turn_counter"] = "WITH e AS (SELECT *, lag(turn_id) OVER (PARTITION BY usr ORDER BY seq) AS pt FROM ledger WHERE kind = 'edit_reported') SELECT usr, @INT[coalesce(sum(CASE WHEN pt IS NULL OR pt <> turn_id THEN tokens END), 0)] AS tokens FROM e GROUP BY usr"
 Q["a30_file_hash"] = "SELECT path, @SHA[x] AS hash FROM (SELECT path, @NL[entry] AS x FROM (SELECT path, symbol || ':' || max(hash) AS entry FROM ws GROUP BY path, symbol) t GROUP BY path) u"
 Q["a34_seats"] = "SELECT c_mktsegment AS access, count(*) AS seats, count_if(c_acctbal > 0) AS active FROM customer GROUP BY c_mktsegment"
-Q["a35_clashes"] = "SELECT path, @SS[usr] AS holders, count(DISTINCT usr) AS n FROM ledger WHERE kind = 'intent_declared' GROUP BY path HAVING count(DISTINCT usr) > 1"
 
 # --- windows ---------------------------------------------------------------
 Q["w3_running_max"] = "SELECT seq, scope, max(ts) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM ledger"
@@ -85,16 +84,14 @@ Q["j22_gate"] = """SELECT seq FROM (SELECT seq, usr, kind, min(CASE WHEN kind =
 WINDOW p AS (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m AS (PARTITION BY path, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t
 WHERE kind = 'edit_reported' AND (u1 <> usr OR u2 <> usr) AND coalesce(checked, 0) = 0"""
 Q["j27_stakeholders"] = "SELECT path, count(DISTINCT usr) AS others FROM (SELECT path, usr FROM ledger WHERE kind = 'gate_block' UNION SELECT path, usr FROM ledger WHERE kind = 'intent_declared') t WHERE usr <> 'u1' GROUP BY path"
-Q["u1_diverging"] = """WITH a AS (SELECT o_orderpriority || '/' || (o_custkey % 50) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority || '/' || (o_custkey % 50) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+Q["u1_diverging"] = """WITH a AS (SELECT o_orderpriority || '/' || (o_custkey % 1499) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority || '/' || (o_custkey % 1499) AS path, max(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(a.path, b.path) AS path, a.hash AS mine, b.hash AS theirs FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash"""
 Q["u3_absent_dirs"] = "SELECT DISTINCT l.root FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger h WHERE h.root = l.root AND h.kind = 'gate_block' AND h.usr = 'u7')"
 Q["u5_distinct_breaking"] = "SELECT path, kind, usr, seq FROM (SELECT *, row_number() OVER (PARTITION BY path, kind, usr ORDER BY seq) AS r FROM ledger WHERE kind IN ('gate_block', 'intent_completed')) t WHERE r = 1"
 
 # --- graph -----------------------------------------------------------------
 Q["g1_name_index"] = "SELECT name, count(*) AS n FROM (SELECT p_type AS name FROM part UNION ALL SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS name FROM part WHERE p_type LIKE '% %') t GROUP BY name"
-Q["g2_placeholders"] = "SELECT DISTINCT ps.dst AS node FROM ps WHERE NOT EXISTS (SELECT 1 FROM dep WHERE dep.src = ps.dst)"
 Q["g4_dependents"] = "SELECT dst, count(*) AS n, min(src) AS first FROM dep WHERE src <> dst GROUP BY dst"
-Q["g17_status"] = "SELECT path, CASE WHEN count_if(kind = 'gate_block') > 0 THEN 'failing' WHEN count_if(kind = 'intent_declared') > count_if(kind = 'intent_completed') THEN 'partial' ELSE 'clear' END AS status FROM ledger GROUP BY path"
 
 # --- folds that windows express, hashes and text ---------------------------
 Q["m6_merkle"] = """WITH f AS (SELECT root, path, @SHA[path || ':' || n] AS h FROM (SELECT root, path, count(*) AS n FROM ledger GROUP BY root, path) t), l AS (SELECT root, path || ':' || h AS entry FROM f),
@@ -108,7 +105,3 @@ Q["f11_line_hashes"] = "SELECT doc_id, pos, substr(sha1(l), 1, 8) AS h FROM line
 Q["f20_numbers"] = "SELECT DISTINCT path, CAST(regexp_extract(path, '([0-9]+)[.]', 1) AS BIGINT) AS number, length(regexp_extract(path, '([0-9]+)[.]', 1)) AS width FROM ledger"
 Q["f30_last_reply"] = "SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') t WHERE r = 1"
 Q["p15_live_claims"] = "SELECT seq, usr FROM ledger WHERE (kind = 'intent_declared' AND ts >= 1706600000) OR (kind = 'intent_completed' AND ts >= 1706500000)"
-Q["st2_ring"] = "SELECT scope, seq FROM (SELECT scope, seq, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS r FROM ledger WHERE ts >= 1706000000) t WHERE r <= 100"
-Q["st7_working_set"] = "SELECT usr, path, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) AS wrote, max(ts) AS last_ts FROM ledger WHERE ts >= 1706000000 GROUP BY usr, path"
-Q["st9_presence"] = "SELECT usr, seq, kind FROM (SELECT usr, seq, kind, row_number() OVER (PARTITION BY usr ORDER BY seq DESC) AS r FROM ledger) t WHERE r <= 30"
-Q["st12_tripwires"] = """WITH w AS (SELECT path, min(seq) AS made FROM ledger WHERE kind = 'intent_declared' GROUP BY path) SELECT w.path, min(e.seq) AS fired FROM w JOIN ledger e ON e.path = w.path AND e.kind = 'edit_reported' AND e.seq > w.made GROUP BY w.path"""

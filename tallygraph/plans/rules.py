@@ -231,7 +231,7 @@ _OPEN = """closed AS (SELECT DISTINCT intent_id FROM act WHERE kind IN ('intent_
 intents AS (SELECT d.* FROM declared d WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE c.intent_id = d.intent_id) AND $now - d.ts <= $life)"""
 rule("j5_predicted", f"""WITH {_OPEN}, nm AS (SELECT DISTINCT seq, owner, op, symbol AS name FROM intents UNION SELECT DISTINCT seq, owner, op, new_name AS name FROM intents WHERE op = 'rename' AND new_name <> ''), mine AS (SELECT * FROM nm WHERE owner = $me),
 sh AS (SELECT DISTINCT mine.seq AS mine, t.seq AS theirs, mine.op AS op1, t.op AS op2 FROM mine JOIN nm t ON t.name = mine.name AND t.owner <> $me)
-SELECT mine, theirs, CASE WHEN op1 = '' OR op2 = '' OR op1 = 'extract' OR op2 = 'extract' THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM sh""", me="u3", life=7200)
+SELECT mine, theirs, CASE WHEN op1 = '' OR op2 = '' OR op1 = 'extract' OR op2 = 'extract' THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM sh""", me="u9", life=7200)
 rule("j10_recipients", f"""WITH {_OPEN}, anchor AS (SELECT DISTINCT path, 'p' || k AS node FROM act WHERE path = $path), near AS (SELECT path FROM anchor UNION SELECT x.path FROM anchor JOIN dep ON dep.dst = anchor.node AND dep.src <> dep.dst JOIN (SELECT DISTINCT path, 'p' || k AS node FROM act) x ON x.node = dep.src),
 w AS (SELECT owner AS usr FROM intents WHERE EXISTS (SELECT 1 FROM near WHERE near.path = intents.path) UNION SELECT usr FROM act WHERE kind = 'edit_reported' AND ts >= $now - 86400 AND EXISTS (SELECT 1 FROM near WHERE near.path = act.path))
 SELECT usr FROM w WHERE usr <> '' AND lower(usr) <> lower($me) ORDER BY usr LIMIT $most""", path="d1/f9.py", me="u1", most=10, life=7200)
@@ -346,3 +346,27 @@ _NOTICES = "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Weekly limit reach
 rule("f27_limit_notice", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {_NOTICES}), m AS (SELECT conv_id, turn, regexp_extract(text, '(?i)((session|usage|weekly|daily|monthly|5-hour|rate)[ -]limit' || '[^' || chr(10) || ']*)', 1) AS note FROM l
 WHERE back <= $entries AND length(text) <= $longest AND (instr(lower(text), 'reset') > 0 OR instr(lower(text), 'reached') > 0 OR instr(lower(text), 'exceeded') > 0 OR instr(lower(text), 'hit your') > 0))
 SELECT conv_id, trim(substr(max_by(note, turn), 1, 160)) AS note FROM m WHERE note <> '' GROUP BY conv_id""", entries=40, longest=300)
+
+# --- graph overlays -------------------------------------------------------------------
+_FILES = "decl AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 97) || '.py' AS path, p_type AS name FROM part)"
+rule("g2_full_build", f"""WITH {_FILES}, raw AS (SELECT DISTINCT a.p_brand || '/' || (a.p_partkey % 97) || '.py' AS path, a.p_type AS name, CASE WHEN a.p_partkey % 11 = 0 THEN 'missing ' || a.p_size ELSE b.p_type END AS target FROM part a JOIN part b ON b.p_partkey = @INT[floor(a.p_partkey / 7)] WHERE a.p_partkey > 0),
+best AS (SELECT name, path FROM (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY length(path), path) AS r FROM decl) t WHERE r = 1),
+e AS (SELECT DISTINCT raw.path || '::' || raw.name AS src, coalesce(own.path || '::' || own.name, best.path || '::' || best.name, 'ext:' || raw.target) AS dst FROM raw LEFT JOIN decl own ON own.path = raw.path AND own.name = raw.target LEFT JOIN best ON best.name = raw.target)
+SELECT 'file' AS sort, path AS a, '' AS b FROM (SELECT DISTINCT path FROM decl) f UNION ALL SELECT 'symbol', path || '::' || name, path FROM decl UNION ALL SELECT 'edge', src, dst FROM e WHERE src <> dst UNION ALL SELECT DISTINCT 'placeholder', dst, '' FROM e WHERE left(dst, 4) = 'ext:'""")
+rule("g13_in_flight", f"""WITH {_OPEN}, x AS (SELECT path AS node, intent_id, owner, session, op, ts FROM intents UNION SELECT path || '::' || symbol AS node, intent_id, owner, session, op, ts FROM intents WHERE symbol <> '')
+SELECT node, intent_id, owner, op, round($now - ts, 1) AS age FROM x""", life=7200)
+rule("g17_status", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back FROM act WHERE kind = 'interface_verified'), x AS (SELECT path, tokens % 13 = 0 AS timed_out, lines_added % 5 = 0 AS failed, lines_removed = 3 AS uncovered, k % 10 = 4 AS skipped, symbol FROM r WHERE back = 1)
+SELECT path, CASE WHEN timed_out THEN 'unknown' WHEN failed THEN 'failing' WHEN uncovered OR skipped THEN 'partial' ELSE 'clear' END AS status FROM x""")
+rule("g17_at_report", """WITH d AS (SELECT dst AS node, count(*) AS dependents, count_if(kind = 'references') AS tests FROM dep WHERE src <> dst GROUP BY dst) SELECT 'p' || p.p_partkey AS node, CASE WHEN coalesce(d.dependents, 0) = 0 THEN 'clear' WHEN d.tests = 0 THEN 'partial' ELSE 'pending' END AS status,
+CASE WHEN coalesce(d.dependents, 0) = 0 THEN 'no dependents' WHEN d.tests = 0 THEN 'no tests' ELSE '' END AS reason FROM part p LEFT JOIN d ON d.node = 'p' || p.p_partkey""")
+rule("g19_decorated", f"""WITH {_OPEN}, t AS (SELECT k, count_if(kind = 'edit_reported') AS touches, count_if(kind = 'gate_block') AS breaking, count_if(kind = 'override') AS scars FROM act GROUP BY k), ow AS (SELECT k, usr FROM (SELECT k, usr, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(seq)) AS r FROM act WHERE kind = 'edit_reported' GROUP BY k, usr) x WHERE r = 1),
+f AS (SELECT path, count(*) AS n FROM intents GROUP BY path), fk AS (SELECT a.k, sum(f.n) AS n FROM f JOIN (SELECT DISTINCT path, k FROM act) a ON a.path = f.path GROUP BY a.k)
+SELECT 'p' || p.p_partkey AS node, coalesce(t.touches, 0) AS touches, coalesce(ow.usr, '') AS owner, coalesce(t.breaking, 0) AS breaking, coalesce(t.scars, 0) AS scars, @INT[coalesce(fk.n, 0)] AS in_flight FROM part p LEFT JOIN t ON t.k = p.p_partkey LEFT JOIN ow ON ow.k = p.p_partkey LEFT JOIN fk ON fk.k = p.p_partkey""", life=7200)
+rule("g20_miss", """WITH s AS (SELECT DISTINCT path, symbol FROM act WHERE kind = 'edit_reported'), f AS (SELECT path, @SL[symbol] AS names FROM s GROUP BY path), q AS (SELECT DISTINCT CASE WHEN seq % 3 = 0 THEN 'gone/' || path ELSE path END AS path, CASE seq % 4 WHEN 0 THEN symbol WHEN 1 THEN 'nothing' ELSE '' END AS symbol FROM act WHERE seq < $asked)
+SELECT q.path, q.symbol, CASE WHEN f.path IS NULL THEN 'file is not in the graph' WHEN q.symbol <> '' AND s.symbol IS NULL THEN 'no such symbol in the file' ELSE '' END AS gap, CASE WHEN f.path IS NOT NULL AND q.symbol <> '' AND s.symbol IS NULL THEN f.names ELSE '' END AS known FROM q LEFT JOIN f ON f.path = q.path LEFT JOIN s ON s.path = q.path AND s.symbol = q.symbol""", asked=600)
+#: Fixed value: bytes of a transcript's end that are read.
+pair("s19_last_usage", """WITH t AS (SELECT conv_id, concat_ws('\n', transform(array_sort(collect_list(struct(turn, concat('{"role": "', role, '", ', CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN concat('"usage": ', turn * 10 + 5, ', ') ELSE '' END, '"text": "', replace(replace(text, '"', ' '), chr(10), ' '), '"}') AS row_text))), x -> x.row_text)) AS whole FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, length(whole) > $tail AS cut, right(whole, $tail) AS last FROM t), l AS (SELECT conv_id, pos, row_text FROM (SELECT conv_id, cut, posexplode(split(last, '\n')) AS (pos, row_text) FROM c) x WHERE NOT (cut AND pos = 0))
+SELECT conv_id, max_by(CAST(get_json_object(row_text, '$.usage') AS BIGINT), pos) AS used FROM l WHERE get_json_object(row_text, '$.usage') IS NOT NULL GROUP BY conv_id""",
+    """WITH t AS (SELECT conv_id, turn, role, length('{"role": "' || role || '", ' || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '"usage": ' || (turn * 10 + 5) || ', ' ELSE '' END || '"text": "' || text || '"}') AS n FROM conversations),
+u AS (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS from_end FROM t) SELECT conv_id, max(turn) * 10 + 5 AS used FROM u WHERE role = 'assistant' AND turn % 4 = 1 AND from_end <= $tail GROUP BY conv_id""", tail=2000)

@@ -52,9 +52,6 @@ CASE WHEN own.path IS NOT NULL OR raw.bound IS NOT NULL THEN 'extracted' WHEN ra
 FROM raw LEFT JOIN decl own ON own.path = raw.path AND own.name = raw.name LEFT JOIN near ON near.dir = raw.dir AND near.name = raw.name LEFT JOIN anyw ON anyw.name = raw.name)
 SELECT src, dst, CASE rk WHEN 0 THEN 'inherits' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses_type' ELSE 'references' END AS kind, confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY rk, confidence, name) AS r FROM x WHERE dst IS NOT NULL AND src <> dst) t WHERE r = 1"""
-Q["j2_modules"] = """WITH f AS (SELECT DISTINCT path FROM ledger), m AS (SELECT DISTINCT replace(replace(path, '.py', ''), '/', '.') AS module, kind FROM ledger WHERE k % 2 = 0 UNION SELECT 'gone.' || usr AS module, kind FROM ledger WHERE k = 7),
-c AS (SELECT module, replace(module, '.', '/') || '.py' AS path, 0 AS pref FROM (SELECT DISTINCT module FROM m) t UNION ALL SELECT module, replace(module, '.', '/') || '/__init__.py' AS path, 1 AS pref FROM (SELECT DISTINCT module FROM m) t)
-SELECT module, path FROM (SELECT c.module, f.path, row_number() OVER (PARTITION BY c.module ORDER BY CASE WHEN f.path IS NULL THEN 1 ELSE 0 END, pref) AS r FROM c LEFT JOIN f ON f.path = c.path) t WHERE r = 1"""
 Q["j3_node_lookup"] = """WITH n AS (SELECT DISTINCT p_brand AS path, p_type AS name FROM part), q AS (SELECT DISTINCT p_brand AS path, upper(p_type) AS name, regexp_extract(p_type, '([A-Za-z]+)$', 1) AS bare FROM part WHERE p_size % 3 = 0),
 b AS (SELECT path, regexp_extract(name, '([A-Za-z]+)$', 1) AS bare, min(name) AS name, count(*) AS n FROM n GROUP BY path, regexp_extract(name, '([A-Za-z]+)$', 1)), g AS (SELECT bare, min(path || '::' || name) AS id, count(*) AS n FROM (SELECT path, name, regexp_extract(name, '([A-Za-z]+)$', 1) AS bare FROM n) t GROUP BY bare)
 SELECT q.path, q.name, coalesce(n.path || '::' || n.name, b.path || '::' || b.name, g.id) AS node FROM q LEFT JOIN n ON n.path = q.path AND n.name = q.name LEFT JOIN b ON b.path = q.path AND b.bare = q.bare AND b.n = 1 LEFT JOIN g ON g.bare = q.bare AND g.n = 1"""
@@ -93,12 +90,6 @@ Q["f13_fingerprint"] = f"SELECT doc_id, substr(@SHA[x], 1, 24) AS fingerprint FR
 Q["f15_known_paths"] = "SELECT usr, @SHA[x] AS fingerprint FROM (SELECT usr, @NL[path] || chr(10) AS x FROM (SELECT DISTINCT usr, path FROM ledger) t GROUP BY usr) u"
 Q["f19_escapes"] = "SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages"
 Q["f21_settled_id"] = "SELECT seq, regexp_extract(note, '^.settled ([0-9a-f]+).', 1) AS id FROM (SELECT seq, CASE WHEN k % 3 = 0 THEN '[settled ' || substr(sha1(path), 1, 12) || '] done' ELSE 'open ' || path END AS note FROM ledger) t"
-Q["g13_in_flight"] = "SELECT DISTINCT path || '::' || model AS node, usr FROM ledger WHERE kind = 'intent_declared' AND model <> '' UNION SELECT DISTINCT path AS node, usr FROM ledger WHERE kind = 'intent_declared'"
-Q["g16_grid"] = """WITH n AS (SELECT path, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) + 2 * max(CASE WHEN kind = 'gate_block' THEN 1 ELSE 0 END) + 4 * max(CASE WHEN kind = 'intent_declared' THEN 1 ELSE 0 END) AS flags FROM ledger GROUP BY path)
-SELECT path, flags, @INT[row_number() OVER (ORDER BY path)] - 1 AS idx FROM n"""
-Q["g19_decorated"] = "WITH t AS (SELECT 'p' || k AS node, count(*) AS n FROM ledger GROUP BY k) SELECT DISTINCT e.dst AS node, coalesce(t.n, 0) AS touches FROM dep e LEFT JOIN t ON t.node = e.dst"
-Q["g20_miss"] = "WITH q AS (SELECT 'p3' AS node UNION ALL SELECT 'nope' AS node) SELECT q.node, CASE WHEN count(e.src) = 0 THEN 'not in the graph' ELSE 'found' END AS state, count(e.src) AS edges FROM q LEFT JOIN dep e ON e.dst = q.node GROUP BY q.node"
-Q["st5_recent_tail"] = "SELECT l.seq, l.scope FROM ledger l JOIN (SELECT scope, max(ts) AS newest FROM ledger GROUP BY scope) m ON m.scope = l.scope WHERE l.ts > m.newest - 86400"
 
 # --- overlays on the graph and live state ----------------------------------
 _CROWD = """c AS (SELECT 'p' || k AS node, usr, max(1706745600 - ts) AS age FROM ledger WHERE kind = 'intent_declared' GROUP BY k, usr), cn AS (SELECT DISTINCT node FROM c),
@@ -111,8 +102,6 @@ w AS (SELECT node, sum(CASE hop WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 3 END) - 10 AS
 SELECT w.node, round(1 - exp(-(CAST(w.crowd AS DOUBLE) / 10) * (1 + least(o.age / 900, 1)) * (1 + least(CAST(coalesce(s.n, 0) AS DOUBLE) / 4, 1)) / 2), 2) AS pressure FROM w JOIN o ON o.node = w.node LEFT JOIN s ON s.node = w.node WHERE w.crowd > 0"""
 Q["st3_unseen_by_call"] = """WITH r AS (SELECT seq, scope, usr, kind, count(*) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foreign_rows FROM ledger),
 c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, 15) END AS shown FROM c"""
-Q["st11_hand_off"] = """WITH t AS (SELECT seq, path, usr, ts, kind, min(CASE WHEN kind = 'check_performed' THEN seq END) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS taker FROM ledger)
-SELECT t.seq, CASE WHEN l.ts - t.ts <= 86400 THEN l.seq END AS taken_by FROM t LEFT JOIN ledger l ON l.seq = t.taker WHERE t.kind = 'gate_block'"""
 
 # --- repository keys and the traffic gate -----------------------------------
 REPO_IDS = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'git@Host.com:' || regexp_extract(url, '://([^?#]*)', 1) || '.git/' WHEN 2 THEN '  ' || upper(url) || '#main ' WHEN 3 THEN 'local/App' WHEN 4 THEN 'C:' || chr(92) || 'src' || chr(92) || 'App'

@@ -2,13 +2,17 @@
 DuckDB SQL.
 
 ``spark_sql`` puts a query's views before it as common table expressions that
-read Parquet by path, so nothing is registered in the session and filters and
-column choices reach the scans.
+read Parquet by path, so nothing is registered in the session.  Columns that a
+query does not use are not read.  Filters on a view's computed ``ts`` and
+``kind`` would stay above the scan, so ``pushed`` adds what they imply for the
+stored columns, and these reach Parquet.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +29,7 @@ VIEWS: dict[str, tuple[str, str]] = {
   concat('d', CAST(CAST(get_json_object(props, '$.k') AS BIGINT) % 8 AS STRING)) AS root,
   concat('d', CAST(CAST(get_json_object(props, '$.k') AS BIGINT) % 8 AS STRING), '/f', get_json_object(props, '$.k'), '.py') AS path,
   CASE CAST(get_json_object(props, '$.k') AS BIGINT) % 3 WHEN 0 THEN 'alpha-1' WHEN 1 THEN 'beta-2' ELSE '' END AS model,
-  CAST(floor(value) AS BIGINT) AS tokens, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, date_format(ts, 'yyyy-MM-dd') AS day, props
+  CAST(floor(value) AS BIGINT) AS tokens, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, date_format(ts, 'yyyy-MM-dd') AS day, props, ts AS ets, event_type AS etype
 FROM events""",
         """SELECT event_id AS seq, 'ws:r' || (user_id % 4) AS scope, epoch_us(ts) / 1e6 AS ts,
   CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN 'check_performed' WHEN 'click' THEN 'intent_declared'
@@ -33,7 +37,7 @@ FROM events""",
   'u' || user_id AS usr, 's' || (event_id // 50) AS turn_id, 'd' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 8) AS root,
   'd' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 8) || '/f' || json_extract_string(props, '$.k') || '.py' AS path,
   CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 WHEN 0 THEN 'alpha-1' WHEN 1 THEN 'beta-2' ELSE '' END AS model,
-  CAST(floor(value) AS BIGINT) AS tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS day, props
+  CAST(floor(value) AS BIGINT) AS tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS day, props, ts AS ets, event_type AS etype
 FROM events""",
     ),
     # The same events as rows of a busy half day: time runs 64 times faster and
@@ -102,6 +106,18 @@ _SPARK = {"SL": r"array_join(array_sort(collect_list(\1)), ',')", "SS": r"array_
 _DUCK = {"SL": r"coalesce(string_agg(\1, ',' ORDER BY \1), '')", "SS": r"coalesce(string_agg(DISTINCT \1, ',' ORDER BY \1), '')", "SHA": r"sha256(\1)", "NL": r"coalesce(string_agg(\1, chr(10) ORDER BY \1), '')", "INT": r"CAST(\1 AS BIGINT)"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as set in spark.checkpoint.dir; a
+    local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def _expand(sql: str, marks: dict[str, str]) -> str:
     for name, text in marks.items():
         sql = re.sub(rf"@{name}\[([^\]]*)\]", text, sql)
@@ -123,13 +139,71 @@ def _with(sql: str, views: dict[str, str]) -> str:
     return f"{head}{',' if body != sql else ''}\n{deep}"
 
 
+#: Kinds of a view and the stored event types that they come from.
+_STORED = {
+    "ledger": {"edit_reported": "purchase", "check_performed": "view", "intent_declared": "click", "intent_completed": "signup", "gate_block": "error"},
+    "act": {"edit_reported": "purchase", "check_performed": "view", "gate_block": "error", "watchdog": "error", "tripwire_fired": "error"}
+    | dict.fromkeys(("intent_declared", "intent_completed", "intent_abandoned", "rationale"), "click") | dict.fromkeys(("collision_returned", "override", "interface_verified", "landed"), "signup"),
+}
+#: Seconds of a view's time to seconds of stored time, from the same origin.
+_ORIGIN, _RATE = 1704067200, {"ledger": 1, "act": 64}
+_ENDS = re.compile(r"\b(GROUP|ORDER|UNION|WINDOW|LIMIT|HAVING|WHERE|JOIN|LEFT|CROSS)\b")
+
+
+def _condition(sql: str, start: int) -> tuple[list[str], bool]:
+    """The conjuncts of the condition at ``start``, and whether it is one."""
+    depth, i, parts, at, plain, quoted = 0, start, [], start, True, False
+    while i < len(sql):
+        c = sql[i]
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += (c == "(") - (c == ")")
+            if depth < 0 or (depth == 0 and _ENDS.match(sql, i)):
+                break
+            if depth == 0 and sql.startswith(" AND ", i):
+                parts.append(sql[at:i])
+                at = i + 5
+            plain = plain and not (depth == 0 and sql.startswith(" OR ", i))
+        i += 1
+    return [*parts, sql[at:i]], plain
+
+
+def _implied(view: str, part: str) -> str | None:
+    """What a conjunct on ``kind`` or ``ts`` says of the stored columns."""
+    m = re.fullmatch(r"\s*((?:\w+\.)?)kind (?:= ('\w+')|IN \(([^()]*)\))\s*", part)
+    if m:
+        types = sorted({_STORED[view].get(k.strip(" '"), "") for k in (m[2] or m[3]).split(",")})
+        return f"{m[1]}etype IN ({', '.join(repr(t) for t in types)})" if "" not in types else None
+    m = re.fullmatch(r"\s*((?:\w+\.)?)ts (>=|>|<=|<) ([\d.]+(?: [-+] [\d.]+)*)\s*", part)
+    if m:
+        seconds = sum(float(x.replace(" ", "")) for x in re.findall(r"[-+]? ?[\d.]+", m[3]))
+        slack = -1 if m[2][0] == ">" else 1
+        at = datetime(1970, 1, 1) + timedelta(seconds=_ORIGIN + (seconds - _ORIGIN) * _RATE[view] + slack)
+        return f"{m[1]}ets {m[2][0]}= TIMESTAMP_NTZ '{at:%Y-%m-%d %H:%M:%S}'" if datetime(1900, 1, 1) < at < datetime(2200, 1, 1) else None
+    return None
+
+
+def pushed(sql: str) -> str:
+    """``sql`` with conditions on ``ledger`` and ``act`` repeated for the stored
+    columns behind them."""
+    out, last = [], 0
+    for m in re.finditer(r"\bFROM (ledger|act)(?: (?!WHERE)[a-z]\w*)? WHERE ", sql):
+        parts, plain = _condition(sql, m.end())
+        more = [x for x in (_implied(m[1], part) for part in parts) if x] if plain else []
+        if more:
+            out += [sql[last : m.end()], " AND ".join(more), " AND "]
+            last = m.end()
+    return "".join(out) + sql[last:]
+
+
 def duck_sql(sql: str) -> str:
     return _with(_expand(sql, _DUCK), {v: d for v, (_, d) in VIEWS.items()})
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    text = _with(_expand(sql, _SPARK), {v: s for v, (s, _) in VIEWS.items()})
+    text = _with(_expand(pushed(sql), _SPARK), {v: s for v, (s, _) in VIEWS.items()})
     named = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b(?!\.)", re.I)
     return spark.sql(named.sub(lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` AS {m[2]}" if not re.match(r"\s+(AS\s+)?(?!WHERE|JOIN|GROUP|ORDER|LEFT|LATERAL|ON|LIMIT|UNION|CROSS|USING)[a-z]\w*", text[m.end():], re.I) else f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", text))
 

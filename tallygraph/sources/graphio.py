@@ -86,10 +86,21 @@ def _graph(s, d):
     return dep.select(F.col("src").alias("id")).union(dep.select("dst")).distinct(), edges
 
 
+def _dispatched(s, d, forms) -> DataFrame:
+    """Lines of each form, by its name as it was asked for."""
+    nodes, edges = _graph(s, d)
+    out = None
+    for form in forms:
+        rows = lines(nodes, edges, form).withColumn("form", F.lit(form))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
     "s21_graph_json": lambda s, d: lines(*_graph(s, d), "json"),
     "s22_graphml": lambda s, d: lines(*_graph(s, d), "graphml"),
     "s23_cypher": lambda s, d: lines(*_graph(s, d), " Cypher "),
+    "s25_export_dispatch": lambda s, d: _dispatched(s, d, (" JSON ", "GraphML", "cypher\t")),
     "s24_graph_import": lambda s, d: read_graph(lines(*_graph(s, d), "json")).select("src", "dst", "kind"),
 }
 _N = "SELECT DISTINCT node FROM (SELECT src AS node FROM dep UNION ALL SELECT dst AS node FROM dep) t"
@@ -97,5 +108,7 @@ ORACLE = {
     "s21_graph_json": f"""SELECT '{{"type":"node","id":"' || node || '"}}' AS value FROM ({_N}) n UNION ALL SELECT '{{"type":"edge","src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '","confidence":"EXTRACTED"}}' AS value FROM dep""",
     "s22_graphml": f"""SELECT '<node id="' || node || '"/>' AS value FROM ({_N}) n UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="kind">' || kind || '</data></edge>' AS value FROM dep""",
     "s23_cypher": f"""SELECT 'MERGE (:Node {{id: ''' || node || '''}});' AS value FROM ({_N}) n UNION ALL SELECT 'MATCH (a:Node {{id: ''' || src || '''}}), (b:Node {{id: ''' || dst || '''}}) MERGE (a)-[:' || upper(kind) || ']->(b);' AS value FROM dep""",
+    "s25_export_dispatch": lambda s, d: _dispatched(s, d, (" JSON ", "GraphML", "cypher\t")),
     "s24_graph_import": "SELECT src, dst, kind FROM dep",
 }
+ORACLE["s25_export_dispatch"] = f"""SELECT value, ' JSON ' AS form FROM ({ORACLE['s21_graph_json']}) a UNION ALL SELECT value, 'GraphML' AS form FROM ({ORACLE['s22_graphml']}) b UNION ALL SELECT value, 'cypher' || chr(9) AS form FROM ({ORACLE['s23_cypher']}) c"""

@@ -1,9 +1,11 @@
 """Stateful streams: calls with a cursor, waiting imports, live fan-out.
 
-State is kept per key by ``applyInPandasWithState``; its size is bounded by the
-constants here and not by the stream.  Within a batch rows are handled by
-``seq``.  State has no timeout: with one by processing time a stream drained by
-``availableNow`` never ends.
+State is kept per key by ``applyInPandasWithState``.  Waiting users are bounded
+per path; cursors are kept per (scope, user) group of a scope, so they grow with
+the users ever seen there and not with the events.  Within a batch rows are
+handled by ``seq``.  State with a time to live is removed by an event-time
+timeout once the watermark has passed its end; timeouts by processing time would
+keep a stream drained by ``availableNow`` alive for ever.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .twins import _drained, _events
 
-#: Waiting users kept per path, the oldest go first; unseen events shown.
-WAITING, SHOWN = 40, 15
+#: Paths waited for per user, the oldest go first; unseen events shown; rows of
+#: a micro-batch that a live reader has room for.
+WAITING, SHOWN, BOUND = 40, 15, 256
 _KIND = "CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN 'check_performed' WHEN 'click' THEN 'intent_declared' WHEN 'signup' THEN 'intent_completed' ELSE 'gate_block' END"
 
 
@@ -28,7 +31,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "get_json_object(props, '$.k')"
     return _events(spark, sf_dir).selectExpr(
         "event_id AS seq", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts", "concat('ws:r', CAST(user_id % 4 AS STRING)) AS scope", "concat('u', CAST(user_id AS STRING)) AS usr",
-        f"concat('d', CAST(CAST({k} AS BIGINT) % 8 AS STRING), '/f', {k}, '.py') AS path", f"{_KIND} AS kind",
+        f"concat('d', CAST(CAST({k} AS BIGINT) % 8 AS STRING), '/f', {k}, '.py') AS path", f"{_KIND} AS kind", "ts AS event_time",
     )
 
 
@@ -48,21 +51,35 @@ def call_step(state: dict, rows) -> list[tuple]:
     return out
 
 
-def wait_step(waiting: list[str], rows) -> list[tuple]:
-    """Folds (seq, usr, kind) of one path into ``waiting`` users; returns (usr,
-    seq) when another's completed work satisfies who waits.  Past ``WAITING``
-    the oldest is evicted; who waits already is not added again."""
+def wait_step(state: dict, rows) -> list[tuple]:
+    """Folds (seq, usr, kind, ts, path) of one scope into ``state`` {usr: paths
+    waited for, oldest first}; returns (usr, path, seq) when another's completed
+    work satisfies who waits.  Past ``WAITING`` paths of a user the oldest is
+    evicted; a path waited for is not added again."""
     out = []
-    for seq, usr, kind in rows:
-        if kind == "intent_declared" and usr not in waiting:
-            waiting.append(usr)
-            del waiting[:-WAITING]
+    for seq, usr, kind, _, path in rows:
+        if kind == "intent_declared":
+            waiting = state.setdefault(usr, [])
+            if path not in waiting:
+                waiting.append(path)
+                del waiting[:-WAITING]
         elif kind == "intent_completed":
-            out += [(u, seq) for u in waiting if u != usr]
-            waiting[:] = [u for u in waiting if u == usr]
+            for other, waiting in state.items():
+                if other != usr and path in waiting:
+                    waiting.remove(path)
+                    out.append((other, path, seq))
     return out
 
 
+def newest_step(state: dict, rows) -> list[tuple]:
+    """Rows of one micro-batch as a reader with room for ``BOUND`` gets them:
+    the newest, with the number that it lagged behind and skipped."""
+    rows = list(rows)
+    skipped = max(0, len(rows) - BOUND)
+    state["skipped"] = state.get("skipped", 0) + skipped
+    return [(seq, kind, usr, skipped) for seq, usr, kind in rows[skipped:]]
+
+
 def keep_step(held: dict, rows, ttl: float) -> list[tuple]:
     """Folds (seq, usr, kind, ts) of one key into ``held`` {value, until}: an
     intent sets the value for ``ttl`` seconds, a check reads it.  Returns (seq,
@@ -79,15 +96,29 @@ def keep_step(held: dict, rows, ttl: float) -> list[tuple]:
     return out
 
 
-def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind")) -> DataFrame:
+def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind"), ttl: float | None = None) -> DataFrame:
+    """Drains ``stream`` through ``step``; with ``ttl`` a key's state is removed
+    that many seconds of event time after its last row."""
+
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=[key, *names])
+            return
         held = json.loads(state.get[0] if state.exists else empty)
-        rows = sorted(r for b in batches for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
+        frames = list(batches)
+        rows = sorted(r for b in frames for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
         out = step(held, rows)
         state.update((json.dumps(held),))
+        if ttl is not None:
+            last = max(int(b["event_time"].max().timestamp() * 1000) for b in frames if len(b))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(ttl * 1000) + 1)
         yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
 
-    done = stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    if ttl is not None:
+        stream = stream.withWatermark("event_time", "1 hour")
+    mode = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
+    done = stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", mode)
     return _drained(done, "append")
 
 
@@ -97,29 +128,36 @@ def unseen_by_call(stream: DataFrame) -> DataFrame:
 
 
 def waiting_imports(stream: DataFrame) -> DataFrame:
-    """(path, usr, seq): who waited for a path and the row that satisfied it."""
-    return _stateful(stream.where("kind in ('intent_declared', 'intent_completed')"), "path", wait_step, "[]", "path string, usr string, seq long", ["usr", "seq"])
+    """(scope, usr, path, seq): who waited for a path and the row that satisfied
+    it."""
+    rows = stream.where("kind in ('intent_declared', 'intent_completed')")
+    return _stateful(rows, "scope", wait_step, "{}", "scope string, usr string, path string, seq long", ["usr", "path", "seq"], ("seq", "usr", "kind", "ts", "path"))
 
 
 def expiring_values(stream: DataFrame, ttl: float) -> DataFrame:
     """(path, seq, value): what each check reads of values that expire."""
     rows = stream.where("kind in ('intent_declared', 'check_performed')")
-    return _stateful(rows, "path", lambda held, r: keep_step(held, r, ttl), "{}", "path string, seq long, value string", ["seq", "value"], ("seq", "usr", "kind", "ts"))
+    return _stateful(rows, "path", lambda held, r: keep_step(held, r, ttl), "{}", "path string, seq long, value string", ["seq", "value"], ("seq", "usr", "kind", "ts"), ttl)
 
 
-def fan_out(stream: DataFrame, scope: str) -> DataFrame:
-    """(seq, kind, usr): a scope's live rows, micro-batch by micro-batch."""
-    return _drained(stream.where(F.col("scope") == scope).select("seq", "kind", "usr"), "append")
+def fan_out(stream: DataFrame, scope: str | None = None) -> DataFrame:
+    """(scope, seq, kind, usr, skipped): live rows per scope, micro-batch by
+    micro-batch; of a batch a slow reader gets the newest ``BOUND``."""
+    rows = stream if scope is None else stream.where(F.col("scope") == scope)
+    return _stateful(rows, "scope", newest_step, "{}", "scope string, seq long, kind string, usr string, skipped long", ["seq", "kind", "usr", "skipped"])
 
 
 QUERIES = {
-    "st1_fan_out": lambda s, d: fan_out(_rows(s, d), "ws:r1"),
+    "st1_fan_out": lambda s, d: fan_out(_rows(s, d)),
     "st3_stream_calls": lambda s, d: unseen_by_call(_rows(s, d)),
     "st4_expiring_values": lambda s, d: expiring_values(_rows(s, d), 86400.0),
     "st8_waiting_imports": lambda s, d: waiting_imports(_rows(s, d)),
 }
 ORACLE = {
-    "st1_fan_out": "SELECT seq, kind, usr FROM ledger WHERE scope = 'ws:r1'",
+    "st8_waiting_imports": """WITH d AS (SELECT scope, path, usr, seq FROM ledger WHERE kind = 'intent_declared'), c AS (SELECT scope, path, usr, seq FROM ledger WHERE kind = 'intent_completed') SELECT DISTINCT d.scope, d.usr, d.path, c.seq FROM d JOIN c ON c.scope = d.scope AND c.path = d.path AND c.usr <> d.usr AND c.seq > d.seq
+WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.scope = d.scope AND x.path = d.path AND x.usr <> d.usr AND x.seq > d.seq AND x.seq < c.seq)""",
+    # what there is arrives as one batch
+    "st1_fan_out": "SELECT scope, seq, kind, usr, greatest(0, n - 256) AS skipped FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS back, count(*) OVER (PARTITION BY scope) AS n FROM ledger) t WHERE back <= 256",
     "st4_expiring_values": """WITH r AS (SELECT *, max(CASE WHEN kind = 'intent_declared' THEN seq END) OVER (PARTITION BY path ORDER BY seq) AS put FROM ledger)
 SELECT r.path, r.seq, CASE WHEN r.ts - p.ts < 86400 THEN p.usr END AS value FROM r LEFT JOIN ledger p ON p.seq = r.put WHERE r.kind = 'check_performed'""",
 }
