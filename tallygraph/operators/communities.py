@@ -1,7 +1,8 @@
 """Communities and connected groups, in rounds of joins.
 
-No task ever holds the graph: a round of local moving is two aggregations and
-two equi-joins, with labels cut to the checkpoint folder.  Where a sequential
+A graph of a checked size is searched by one task.  Beyond it no task holds the
+graph: a round of local moving is two aggregations and two equi-joins, with
+labels cut to the checkpoint folder.  Where a sequential
 search moves one node at a time, here a random half of the nodes moves at once,
 so that neighbours do not swap places for ever; membership may thus differ,
 and what is promised is the modularity and that every node has a community.
@@ -9,6 +10,7 @@ and what is promised is the modularity and that every node has a community.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,108 @@ def _sweeps(e: DataFrame, total: float, sweeps: int, salt: int) -> DataFrame:
     return labels.select("node", "c")
 
 
-def louvain(edges: DataFrame, sweeps: int = 6, levels: int = 3) -> DataFrame:
+#: Edges up to which one task searches the whole graph, node by node (about 200
+#: bytes each); beyond that the search goes in rounds of joins.
+LOCAL_EDGES = 500_000
+#: Sweeps of a level and levels of the search in one task, and its seed.
+SWEEPS, LEVELS, SEED = 32, 24, 7
+
+
+class Shift:
+    """The xorshift64* generator."""
+
+    def __init__(self, seed: int) -> None:
+        self.x = seed or 1
+
+    def below(self, n: int) -> int:
+        x = self.x
+        x ^= x >> 12
+        x ^= x << 25 & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 27
+        self.x = x
+        return (x * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF) % n
+
+
+def moved(near: list[dict[int, float]], rng: Shift) -> list[int]:
+    """Labels after moving one node at a time to the neighbouring community of
+    the largest gain, the lower label on a tie, until a sweep moves none.
+    ``near``: neighbours and weights; a node's own entry holds twice its inner
+    weight."""
+    n = len(near)
+    degree = [sum(x.values()) for x in near]
+    total, label, held = sum(degree), list(range(n)), degree[:]
+    order = list(range(n))
+    for i in range(n - 1, 0, -1):
+        j = rng.below(i + 1)
+        order[i], order[j] = order[j], order[i]
+    for _ in range(SWEEPS):
+        changed = False
+        for v in order:
+            own, weight = label[v], {}
+            for u, w in near[v].items():
+                if u != v:
+                    weight[label[u]] = weight.get(label[u], 0.0) + w
+            held[own] -= degree[v]
+            share = degree[v] / total
+            best, gain = own, weight.get(own, 0.0) - held[own] * share
+            for c in sorted(weight):
+                g = weight[c] - held[c] * share
+                if g > gain + 1e-12:
+                    best, gain = c, g
+            held[best] += degree[v]
+            if best != own:
+                label[v], changed = best, True
+        if not changed:
+            break
+    return label
+
+
+def search(a: list, b: list, w: list) -> dict:
+    """Community of each node of a graph that fits in one task; a community goes
+    by its least node."""
+    names = sorted({*a, *b})
+    at = {x: i for i, x in enumerate(names)}
+    near: list[dict[int, float]] = [{} for _ in names]
+    for x, y, weight in zip(a, b, w):
+        i, j = at[x], at[y]
+        near[i][j] = near[i].get(j, 0.0) + weight
+        near[j][i] = near[j].get(i, 0.0) + weight
+    member, rng = list(range(len(names))), Shift(SEED)
+    for _ in range(LEVELS):
+        label = moved(near, rng)
+        kept = {c: i for i, c in enumerate(sorted(set(label)))}
+        if len(kept) == len(near):
+            break
+        label = [kept[c] for c in label]
+        member = [label[m] for m in member]
+        merged: list[dict[int, float]] = [{} for _ in kept]
+        for v, x in enumerate(near):
+            for u, weight in x.items():
+                merged[label[v]][label[u]] = merged[label[v]].get(label[u], 0.0) + weight
+        near = merged
+    first: dict[int, str] = {}
+    for x, m in zip(names, member):
+        first.setdefault(m, x)
+    return {x: first[m] for x, m in zip(names, member)}
+
+
+def louvain(edges: DataFrame, sweeps: int = 6, levels: int = 3, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, community) of undirected weighted edges (a, b, w).  An empty graph
-    has no communities; null ends and weights of 0 or less are left out."""
+    has no communities; null ends and weights of 0 or less are left out.  A
+    graph of at most ``local`` edges is searched by one task, a larger one in
+    rounds; what is promised of both is the modularity, not the membership."""
+    if local:
+        few = _cut(edges.where("a is not null and b is not null and w > 0").select(F.least("a", "b").cast("string").alias("a"), F.greatest("a", "b").cast("string").alias("b"), F.col("w").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+        if few.count() <= local:
+
+            def run(batches):
+                parts = list(batches)  # at most ``local`` edges
+                cols = [[x for part in parts for x in part[c].tolist()] for c in ("a", "b", "w")]
+                found = search(*cols)
+                yield pd.DataFrame(list(found.items()), columns=["node", "community"])
+
+            return few.coalesce(1).mapInPandas(run, "node string, community string")
+        edges = few
     e = edges.where("a is not null and b is not null and w > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("w").cast("double")).alias("w"))
     # each edge in both directions; a self edge once, at twice its weight
     e = _cut(e.where("a <> b").union(e.where("a <> b").select("b", "a", "w")).union(e.where("a = b").selectExpr("a", "b", "2 * w")))

@@ -1,8 +1,7 @@
 """Folds over a key's rows in the order of ``seq``.
 
-Records that fit a scalar go through the built-in ``aggregate``; the parse
-history goes through ``applyInPandas``.  Either holds one key's rows at a time;
-keys are (user, path), (user, rule) or a listing, never a whole scope.
+Rows are dealt by key, sorted by Spark and folded one by one, so a task holds
+one key's state and never its rows.
 """
 
 from __future__ import annotations
@@ -36,49 +35,54 @@ def same_declaration(old: tuple[str, str], new: tuple[str, str]) -> bool:
     return rest_a == rest_b if not ids_a else 2 * len(ids_a & ids_b) >= len(ids_a)
 
 
-def fold_parses(parses) -> list[tuple]:
-    """Events (seq, symbol, kind, confidence, detail) of one file's parses, each
-    (seq, ts, status, {name: (signature, hash)}).
+def parse_step(state: dict, parse: tuple) -> list[tuple]:
+    """Events (seq, symbol, kind, confidence, detail) of one more parse of a
+    file, (seq, ts, status, {name: (signature, hash)}).
 
     A partial parse says nothing.  A symbol that is gone is ``unknown`` at the
     first clean parse without it and ``removed`` at the second."""
+    seq, ts, status, now = parse
+    if status == "partial":
+        return []
     out: list[tuple] = []
-    last, last_ts, waiting = None, 0.0, {}
-    for seq, ts, status, now in parses:
-        if status == "partial":
-            continue
-        if last is not None:
-            gone = [n for n in last if n not in now]
-            came = [n for n in now if n not in last]
-            for n in sorted(waiting):
-                if n in now:
-                    waiting.pop(n)
-                elif n not in gone:
-                    out.append((seq, n, "removed", "certain", waiting.pop(n)))
-            if len(gone) == len(came) == 1 and ts - last_ts <= RENAME_GAP and same_declaration((gone[0], last[gone[0]][0]), (came[0], now[came[0]][0])):
-                out.append((seq, gone[0], "renamed", "certain", came[0]))
-            else:
-                for n in sorted(gone):
-                    waiting[n] = last[n][0]
-                    out.append((seq, n, "unknown", "unconfirmed", ""))
-                out += [(seq, n, "added", "certain", now[n][0]) for n in sorted(came)]
-            for n in sorted(now):
-                if n in last and last[n][1] != now[n][1]:
-                    out.append((seq, n, "modified", "certain", now[n][0] if last[n][0] != now[n][0] else ""))
-        last, last_ts = now, ts
+    last, waiting = state.get("last"), state.setdefault("waiting", {})
+    if last is not None:
+        gone = [n for n in last if n not in now]
+        came = [n for n in now if n not in last]
+        for n in sorted(waiting):
+            if n in now:
+                waiting.pop(n)
+            elif n not in gone:
+                out.append((seq, n, "removed", "certain", waiting.pop(n)))
+        if len(gone) == len(came) == 1 and ts - state["ts"] <= RENAME_GAP and same_declaration((gone[0], last[gone[0]][0]), (came[0], now[came[0]][0])):
+            out.append((seq, gone[0], "renamed", "certain", came[0]))
+        else:
+            for n in sorted(gone):
+                waiting[n] = last[n][0]
+                out.append((seq, n, "unknown", "unconfirmed", ""))
+            out += [(seq, n, "added", "certain", now[n][0]) for n in sorted(came)]
+        for n in sorted(now):
+            if n in last and last[n][1] != now[n][1]:
+                out.append((seq, n, "modified", "certain", now[n][0] if last[n][0] != now[n][0] else ""))
+    state["last"], state["ts"] = now, ts
     return out
 
 
+def fold_parses(parses) -> list[tuple]:
+    """``parse_step`` over all parses of one file."""
+    state: dict = {}
+    return [event for parse in parses for event in parse_step(state, parse)]
+
+
 def parse_events(parses: DataFrame) -> DataFrame:
-    """``fold_parses`` per (usr, path) of rows (usr, path, seq, ts, status,
+    """``parse_step`` per (usr, path) of rows (usr, path, seq, ts, status,
     symbols as JSON {name: [signature, hash]})."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        rows = fold_parses((s, t, st, {k: tuple(v) for k, v in json.loads(x or "{}").items()}) for s, t, st, x in zip(pdf["seq"], pdf["ts"], pdf["status"], pdf["symbols"]))
-        return pd.DataFrame([(*key, *r) for r in rows], columns=["usr", "path", "seq", "symbol", "kind", "confidence", "detail"])
+    def step(state: dict, row: tuple) -> list[tuple]:
+        seq, ts, status, symbols = row
+        return parse_step(state, (seq, ts, status, {k: tuple(v) for k, v in json.loads(symbols or "{}").items()}))
 
-    return parses.groupBy("usr", "path").applyInPandas(fold, "usr string, path string, seq long, symbol string, kind string, confidence string, detail string")
+    return ordered_fold(parses, ["usr", "path"], ["seq"], ["seq", "ts", "status", "symbols"], dict, step, "usr string, path string, seq long, symbol string, kind string, confidence string, detail string")
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start, step, schema: str) -> DataFrame:

@@ -53,7 +53,6 @@ Q["a30_file_hash"] = "SELECT path, @SHA[x] AS hash FROM (SELECT path, @NL[entry]
 Q["a34_seats"] = "SELECT c_mktsegment AS access, count(*) AS seats, count_if(c_acctbal > 0) AS active FROM customer GROUP BY c_mktsegment"
 
 # --- windows ---------------------------------------------------------------
-Q["w3_running_max"] = "SELECT seq, scope, max(ts) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM ledger"
 Q["w4_rank_first_seen"] = "SELECT kind, path, n, r FROM (SELECT kind, path, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, min(seq)) AS r FROM ledger GROUP BY kind, path) t WHERE r <= 5"
 Q["w5_lag_edits"] = "SELECT seq, path, usr, lag(usr) OVER (PARTITION BY path ORDER BY seq) AS before_usr FROM ledger WHERE kind = 'edit_reported'"
 Q["w6_rewrites"] = """WITH h AS (SELECT *, lag(hash) OVER (PARTITION BY usr, symbol ORDER BY seq) AS ph FROM ws), c AS (SELECT * FROM h WHERE ph IS DISTINCT FROM hash),

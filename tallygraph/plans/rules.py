@@ -103,7 +103,7 @@ SELECT convention, count(*) AS violations, @SS[usr] AS users, @SS[who] AS agents
 
 # --- co-edits, notes, outcomes -----------------------------------------------
 _COEDIT = f"""e AS (SELECT seq, ts, path, {_KEY} AS skey, @INT[floor(ts / $span)] AS cell FROM act WHERE kind = 'edit_reported'),
-x AS (SELECT e.seq, e.ts, e.path, e.skey, e.cell - o.d AS cell FROM e CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) o),
+x AS (SELECT seq, ts, path, skey, cell FROM e UNION ALL SELECT seq, ts, path, skey, cell - 1 AS cell FROM e),
 h AS (SELECT DISTINCT x.seq, x.path AS a, e.path AS b FROM x JOIN e ON e.skey = x.skey AND e.cell = x.cell AND e.seq < x.seq AND x.ts - e.ts <= $span AND e.path <> x.path),
 n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM h UNION ALL SELECT b AS a, a AS b FROM h) t GROUP BY a, b)"""
 rule("a12_coedit", f"WITH {_COEDIT} SELECT a, b, n FROM n", span=600)
@@ -166,7 +166,7 @@ rule("a31_briefing", """WITH e AS (SELECT usr, path, max(CASE WHEN kind = 'inten
 ended AS (SELECT usr, max_by(kind, seq) = 'intent_completed' OR $now - max(ts) > $idle AS done FROM act GROUP BY usr)
 SELECT e.usr, count_if(briefed = 1 AND wrote = 1 AND read = 1) AS needed, count_if(briefed = 1 AND wrote = 1 AND read = 0) AS hit, count_if(briefed = 1 AND wrote = 0 AND read = 1 AND ended.done) AS miss, count_if(briefed = 0 AND named = 1 AND wrote = 1) AS found FROM e JOIN ended ON ended.usr = e.usr GROUP BY e.usr""", idle=600)
 rule("a32_failures", """WITH t AS (SELECT path, seq, tokens AS bits, row_number() OVER (PARTITION BY path ORDER BY seq) AS run, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back FROM act WHERE kind IN ('interface_verified', 'check_performed')),
-x AS (SELECT t.path, o.test, t.seq, t.run, t.back, @INT[floor(t.bits / o.unit)] % 2 AS bad FROM t CROSS JOIN (SELECT 'test_a' AS test, 1 AS unit UNION ALL SELECT 'test_b' AS test, 2 AS unit UNION ALL SELECT 'test_c' AS test, 4 AS unit) o),
+x AS (SELECT path, 'test_a' AS test, seq, run, back, bits % 2 AS bad FROM t UNION ALL SELECT path, 'test_b', seq, run, back, @INT[floor(bits / 2)] % 2 FROM t UNION ALL SELECT path, 'test_c', seq, run, back, @INT[floor(bits / 4)] % 2 FROM t),
 l AS (SELECT *, lag(bad) OVER (PARTITION BY path, test ORDER BY seq) AS before FROM x), f AS (SELECT path, test, max(CASE WHEN run = 1 THEN bad END) AS base, max(CASE WHEN back = 1 THEN bad END) AS bad, coalesce(max(CASE WHEN back = 1 THEN before END), 0) AS before, count_if(back < $last AND before IS NOT NULL AND before <> bad) AS flips FROM l GROUP BY path, test)
 SELECT path, test, CASE WHEN bad = 1 AND base = 0 AND before = 0 THEN 'newly_failing' WHEN bad = 1 AND before = 1 AND base = 0 THEN 'same_signature' WHEN bad = 1 THEN 'pre_existing' WHEN before = 1 THEN 'fixed' ELSE 'passing' END AS state, flips >= 2 AS alternating FROM f""", last=8)
 rule("a33_priced_saving", f"""WITH u AS (SELECT usr, session, seq, c1 + c3 AS context, CASE WHEN left(lower(model), 5) = 'alpha' THEN 15 WHEN left(lower(model), 4) = 'beta' THEN 5 ELSE 3 END AS rate, {_USED} AS used FROM act WHERE kind = 'edit_reported'),
@@ -370,3 +370,16 @@ c AS (SELECT conv_id, length(whole) > $tail AS cut, right(whole, $tail) AS last
 SELECT conv_id, max_by(CAST(get_json_object(row_text, '$.usage') AS BIGINT), pos) AS used FROM l WHERE get_json_object(row_text, '$.usage') IS NOT NULL GROUP BY conv_id""",
     """WITH t AS (SELECT conv_id, turn, role, length('{"role": "' || role || '", ' || CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '"usage": ' || (turn * 10 + 5) || ', ' ELSE '' END || '"text": "' || text || '"}') AS n FROM conversations),
 u AS (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS from_end FROM t) SELECT conv_id, max(turn) * 10 + 5 AS used FROM u WHERE role = 'assistant' AND turn % 4 = 1 AND from_end <= $tail GROUP BY conv_id""", tail=2000)
+
+# --- windows of a whole scope, in stretches ---------------------------------------------
+#: A scope's rows are ranked within stretches of its sequence; what stands before
+#: a stretch comes from one row per stretch.
+pair("w3_running_max", """WITH b AS (SELECT seq, scope, ts, seq div $stretch AS bucket FROM ledger), p AS (SELECT scope, bucket, max(ts) AS top FROM b GROUP BY scope, bucket), q AS (SELECT scope, bucket, max(top) OVER (PARTITION BY scope ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM p),
+r AS (SELECT *, max(ts) OVER (PARTITION BY scope, bucket ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS here FROM b) SELECT r.seq, r.scope, greatest(r.here, q.earlier) AS high FROM r JOIN q ON q.scope = r.scope AND q.bucket = r.bucket""",
+    "SELECT seq, scope, max(ts) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM ledger", stretch=4096)
+pair("st3_unseen_by_call", """WITH b AS (SELECT seq, scope, usr, kind, seq div $stretch AS bucket FROM ledger), p AS (SELECT scope, bucket, count(*) AS n FROM b GROUP BY scope, bucket), q AS (SELECT scope, bucket, coalesce(sum(n) OVER (PARTITION BY scope ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM p),
+r AS (SELECT *, count(*) OVER (PARTITION BY scope, bucket ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS here, count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS own FROM b),
+c AS (SELECT r.scope, r.usr, r.seq, q.earlier + r.here - r.own AS foreign_rows FROM r JOIN q ON q.scope = r.scope AND q.bucket = r.bucket WHERE r.kind = 'check_performed'), d AS (SELECT *, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM c)
+SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, $shown) END AS shown FROM d""",
+    """WITH r AS (SELECT seq, scope, usr, kind, count(*) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foreign_rows FROM ledger),
+c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, $shown) END AS shown FROM c""", stretch=4096, shown=15)

@@ -100,8 +100,6 @@ r AS (SELECT h.other AS node, h.hop, b.seq, row_number() OVER (PARTITION BY h.ot
 Q["g12_pressure"] = f"""WITH {_CROWD}, a AS (SELECT h.node, c.usr, min(h.hop) AS hop FROM h JOIN c ON c.node = h.other GROUP BY h.node, c.usr),
 w AS (SELECT node, sum(CASE hop WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 3 END) - 10 AS crowd FROM a GROUP BY node), o AS (SELECT node, max(age) AS age FROM c GROUP BY node), s AS (SELECT 'p' || k AS node, count(*) AS n FROM ledger WHERE kind = 'gate_block' GROUP BY k)
 SELECT w.node, round(1 - exp(-(CAST(w.crowd AS DOUBLE) / 10) * (1 + least(o.age / 900, 1)) * (1 + least(CAST(coalesce(s.n, 0) AS DOUBLE) / 4, 1)) / 2), 2) AS pressure FROM w JOIN o ON o.node = w.node LEFT JOIN s ON s.node = w.node WHERE w.crowd > 0"""
-Q["st3_unseen_by_call"] = """WITH r AS (SELECT seq, scope, usr, kind, count(*) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foreign_rows FROM ledger),
-c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, 15) END AS shown FROM c"""
 
 # --- repository keys and the traffic gate -----------------------------------
 REPO_IDS = """(SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'git@Host.com:' || regexp_extract(url, '://([^?#]*)', 1) || '.git/' WHEN 2 THEN '  ' || upper(url) || '#main ' WHEN 3 THEN 'local/App' WHEN 4 THEN 'C:' || chr(92) || 'src' || chr(92) || 'App'

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallygraph.operators import communities
+from tallygraph.operators import communities, graph, modules
 from tallygraph.sources import graphio
 
 
@@ -26,11 +26,12 @@ def modularity(edges, of):
     return sum(inner.get(c, 0) / m - (d / (2 * m)) ** 2 for c, d in degree.items())
 
 
-def test_louvain_finds_planted_groups(spark):
+@pytest.mark.parametrize("local", [0, communities.LOCAL_EDGES])
+def test_louvain_finds_planted_groups(spark, local):
     rng = random.Random(3)
     edges = {(a, b): 1.0 for a in range(60) for b in range(a) if rng.random() < (0.7 if a // 10 == b // 10 else 0.01)}
     rows = [(f"n{a}", f"n{b}", w) for (a, b), w in edges.items()]
-    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(rows, "a string, b string, w double")).collect()}
+    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(rows, "a string, b string, w double"), local=local).collect()}
     planted = {f"n{i}": i // 10 for i in range(60)}
     assert set(got) == {x for a, b, _ in rows for x in (a, b)}
     assert modularity(rows, got) >= modularity(rows, planted) - 0.03
@@ -89,3 +90,88 @@ def test_transcript_tail(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"usage": 9, "pad": "' + "x" * graphio.TAIL + '"}\n{"y": 1}\n')
     got = graphio.last_usage(spark, str(tmp_path)).collect()
     assert [r.line for r in got] == ['{"usage": 3}']
+
+
+def random_edges(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)})
+    return rows, spark.createDataFrame(rows, "src string, dst string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walks_equal_plain_searches(spark, seed):
+    rows, df = random_edges(spark, seed)
+    out, back = {}, {}
+    for a, b in rows:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            back.setdefault(b, set()).add(a)
+    # blast radius, with its cap in the middle of a level
+    for limit in (5, 200):
+        want, seen, level = [], {"n1"}, ["n1"]
+        for hop in range(1, 5):
+            found = []
+            for node in level:
+                for x in sorted(back.get(node, ())):
+                    if x not in seen and len(want) + len(found) < limit:
+                        seen.add(x)
+                        found.append((x, hop, node))
+            want += found
+            level = sorted(x for x, _, _ in found)
+            if not found or len(want) >= limit:
+                break
+        assert sorted(map(tuple, graph.blast_radius(df, "n1", 4, limit=limit).collect())) == sorted(want)
+    # both sides with one seen set, successors first
+    want, seen, front = [], {"n1"}, ["n1"]
+    for hop in (1, 2, 3):
+        after = []
+        for node in front:
+            for side, near in (("depends_on", out), ("dependents", back)):
+                for x in sorted(near.get(node, ())):
+                    if x not in seen:
+                        seen.add(x)
+                        after.append(x)
+                        want.append((x, side, "" if hop == 1 else node, hop))
+        front = after
+    assert sorted(map(tuple, graph.neighbours(df, "n1", 3).collect())) == sorted(want)
+    # breadth first in queue order
+    both = {x: out.get(x, set()) | back.get(x, set()) for x in {*out, *back}}
+    parent, queue = {"n1": None}, ["n1"]
+    for node in queue:
+        for x in sorted(both[node]):
+            if x not in parent:
+                parent[x] = node
+                queue.append(x)
+    for end in queue[-3:]:
+        path, node = [], end
+        while node:
+            path.append(node)
+            node = parent[node]
+        assert [r.node for r in graph.shortest_path(df, "n1", end).orderBy("step").collect()] == path[::-1]
+    assert graph.shortest_path(df, "n1", "nowhere").count() == 0
+
+
+def test_places_by_range_partitions(spark):
+    df = spark.range(1000).selectExpr("id * 7 % 1000 AS v", "'x' AS idy").repartition(7)
+    got = graph.numbered(df, "v").collect()
+    assert sorted(r.idx for r in got) == list(range(1000)) and all(r.idx == r.v for r in got)
+
+
+def test_modules_by_hand(spark):
+    known = ["src/a/x.py", "src/a/__init__.py", "lib/a/x.py", "src/b/y.ts", "src/b/z/index.ts", "core/src/m/mod.rs", "core/src/n.rs", "java/org/acme/K.java", "go/svc/main.go", "inc/d.h", "rb/e.rb"]
+    asked = [
+        ("src/a/q.py", "python", "a.x", "src/a/x.py"), ("lib/q.py", "python", "a.x", "lib/a/x.py"), ("src/a/q.py", "python", ".x", "src/a/x.py"), ("src/b/q.py", "python", "..a.x", "src/a/x.py"), ("src/a/q.py", "python", ".", "src/a/__init__.py"),
+        ("src/b/q.ts", "typescript", "./y.js", "src/b/y.ts"), ("src/b/q.ts", "typescript", "./z", "src/b/z/index.ts"), ("web/q.ts", "typescript", "@/b/y", "src/b/y.ts"), ("src/b/q.ts", "typescript", "react", None), ("src/c/q.tsx", "tsx", "../b/./y", "src/b/y.ts"),
+        ("core/src/lib.rs", "rust", "crate::m", "core/src/m/mod.rs"), ("core/src/m/mod.rs", "rust", "super::n", "core/src/n.rs"), ("core/src/lib.rs", "rust", "self::n", "core/src/n.rs"), ("core/src/lib.rs", "rust", "n", "core/src/n.rs"),
+        ("x/Q.java", "java", "org.acme.K", "java/org/acme/K.java"), ("x/Q.java", "java", "org.Acme", "java/org/acme/"), ("m.go", "go", "host.io/x/svc", "go/svc/"), ("m.go", "go", "fmt", None), ("src/q.c", "c", "../inc/d.h", "inc/d.h"), ("rb/q.rb", "ruby", "./e", "rb/e.rb"), ("q.py", "python", "  ", None),
+    ]
+    df = spark.createDataFrame([a[:3] for a in asked], "from_path string, language string, module string")
+    got = {tuple(r[:3]): r.path for r in modules.resolve_modules(df, spark.createDataFrame([(k,) for k in known], "path string")).collect()}
+    assert got == {a[:3]: a[3] for a in asked}
+
+
+def test_similar_tasks_guards(spark):
+    rows = [(0, [1.0, 0.0], 1, True, 0, 0), (1, [1.0, 0.1], 1, True, 0, 2), (2, [1.0, 0.2], 1, True, 1, 3), (3, [1.0, 0.0], 2, True, 9, 0), (4, [1.0, 0.0], 1, False, 9, 0), (5, [0.0, 1.0], 1, True, 9, 0), (6, [1.0, 0.05], 1, True, 2, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, fresh boolean, good int, bad int")
+    assert [r.vec_id for r in graph.similar_tasks(df, 0).collect()] == [6, 1]
+    assert graph.similar_tasks(df, 99).count() == 0

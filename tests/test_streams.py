@@ -3,7 +3,7 @@
 import pytest
 
 from tallygraph.sources.adapters import view
-from tallygraph.streaming import stateful
+from tallygraph.streaming import live, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,18 +24,63 @@ def test_first_call_shows_nothing():
 
 
 def test_waiting_is_bounded_and_oldest_goes():
-    waiting = []
-    stateful.wait_step(waiting, [(i, f"u{i}", "intent_declared") for i in range(50)])
-    assert len(waiting) == stateful.WAITING and waiting[0] == "u10"
-    got = stateful.wait_step(waiting, [(99, "u49", "intent_completed")])
-    assert len(got) == stateful.WAITING - 1 and waiting == ["u49"]
+    state = {}
+    stateful.wait_step(state, [(i, "a", "intent_declared", float(i), f"p{i}") for i in range(50)])
+    assert len(state["a"]) == stateful.WAITING and state["a"][0] == "p10"
+    stateful.wait_step(state, [(60, "b", "intent_declared", 60.0, "p20")])
+    got = stateful.wait_step(state, [(99, "b", "intent_completed", 99.0, "p20"), (100, "c", "intent_completed", 100.0, "p0")])
+    assert got == [("a", "p20", 99)] and state["b"] == ["p20"] and "p20" not in state["a"]
 
 
 def test_waiting_imports_equal_a_plain_fold(spark):
-    want = []
-    paths = {}
-    for r in sorted(view(spark, SF, "ledger").select("seq", "usr", "path", "kind").collect(), key=lambda r: r.seq):
+    want, scopes = [], {}
+    for r in sorted(view(spark, SF, "ledger").select("seq", "usr", "path", "kind", "scope", "ts").collect(), key=lambda r: r.seq):
         if r.kind in ("intent_declared", "intent_completed"):
-            want += [(r.path, u, s) for u, s in stateful.wait_step(paths.setdefault(r.path, []), [(r.seq, r.usr, r.kind)])]
-    got = [(r.path, r.usr, r.seq) for r in stateful.waiting_imports(stateful._rows(spark, SF)).collect()]
+            want += [(r.scope, *x) for x in stateful.wait_step(scopes.setdefault(r.scope, {}), [(r.seq, r.usr, r.kind, r.ts, r.path)])]
+    got = [(r.scope, r.usr, r.path, r.seq) for r in stateful.waiting_imports(stateful._rows(spark, SF)).collect()]
     assert got and sorted(got) == sorted(want)
+
+
+def test_slow_readers_skip():
+    state = {}
+    rows = [(i, "u", "k") for i in range(stateful.BOUND + 7)]
+    got = stateful.newest_step(state, rows)
+    assert len(got) == stateful.BOUND and got[0] == (7, "k", "u", 7) and state == {"skipped": 7}
+
+
+def test_ring_coalesces_and_is_bounded():
+    state = {}
+    focus = [(1, "a", "check_performed", 0.0, "p"), (2, "a", "check_performed", 1.0, "q"), (3, "b", "check_performed", 2.0, "q"), (4, "a", "gate_block", 3.0, "q")]
+    assert live.ring_step(state, focus) == [(4, 3, 2)]
+    more = [(10 + i, "a", "edit_reported", 4.0 + i, "p") for i in range(200)] + [(300, "a", "gate_block", 300.0, "p")]
+    assert live.ring_step(state, more) == [(300, live.RING, 111)]
+    assert live.ring_step(state, [(301, "a", "gate_block", 300.0 + live.RING_TTL + 1, "p")]) == [(301, 1, 301)]
+
+
+def test_working_set_forgets_and_writes_stick():
+    state = {}
+    rows = [(1, "a", "edit_reported", 0.0, "p"), (2, "a", "check_performed", 10.0, "p"), (3, "a", "check_performed", 10.0, "q"), (4, "a", "check_performed", 10.0 + live.WORKING_S + 1, "p")]
+    assert live.touch_step(state, rows) == [(2, "p", True), (3, "q", False), (4, "p", False)]
+    assert list(state) == ["p"]
+
+
+def test_messages_have_one_taker_after_a_grace():
+    state = []
+    rows = [(1, "a", "gate_block", 0.0, "p"), (2, "b", "check_performed", 5.0, "p"), (3, "c", "check_performed", 25.0, "p"), (4, "d", "check_performed", 60.0, "p"), (5, "a", "gate_block", 100.0, "p"), (6, "b", "check_performed", 100.0 + live.MAX_AGE_S + 1, "p")]
+    assert live.hand_off_step(state, rows) == [(1, 3)]
+    assert state == []
+
+
+def test_wires_fire_once():
+    state = []
+    rows = [(1, "a", "intent_declared", 0.0, "p"), (2, "b", "intent_declared", 0.0, "p"), (3, "c", "edit_reported", 0.0, "p"), (4, "c", "edit_reported", 0.0, "p")]
+    assert live.wire_step(state, rows) == [(1, 3), (2, 3)]
+
+
+def test_tail_and_history_are_bounded(monkeypatch):
+    monkeypatch.setattr(live, "TAIL_ROWS", 3)
+    rows = [(i, "a", "gate_block", float(i), "p") for i in range(6)] + [(9, "a", "gate_block", 4000.0, "p")]
+    assert [n for _, n in live.tail_step([], rows)] == [1, 2, 3, 3, 3, 3, 1]
+    state = {}
+    live.presence_step(state, [(i, "a", "edit_reported", 0.0, "p") for i in range(99)])
+    assert len(state["history"]) == live.HISTORY
