@@ -28,7 +28,7 @@ END = 1
 #: Tokens per length class.
 STEP = 16
 #: Pieces of a class that are ranked by one task, about.
-RANKED = 20_000
+RANKED = 2_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
