@@ -108,6 +108,11 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], columns: li
     return dealt.mapInPandas(run, schema)
 
 
+def _typed(rows: DataFrame, keys: list[str]) -> str:
+    """The keys and their types, as a schema."""
+    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
 def cooldown(alerts: DataFrame, keys: list[str], span: float = 900.0) -> DataFrame:
     """Alerts (keys, seq, ts) left when each silences its key for ``span``."""
 
@@ -118,7 +123,7 @@ def cooldown(alerts: DataFrame, keys: list[str], span: float = 900.0) -> DataFra
         state[0] = ts + span
         return [(seq,)]
 
-    return ordered_fold(alerts, keys, ["seq"], ["seq", "ts"], lambda: [None], step, ", ".join(f"{k} string" for k in keys) + ", seq long")
+    return ordered_fold(alerts, keys, ["seq"], ["seq", "ts"], lambda: [None], step, _typed(alerts, keys) + ", seq long")
 
 
 def fit_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
@@ -132,7 +137,7 @@ def fit_budget(items: DataFrame, key: str, budget: int) -> DataFrame:
         state[0] += size
         return [(place,)]
 
-    return ordered_fold(items, [key], ["place"], ["place", "bytes"], lambda: [0], step, f"{key} string, place long")
+    return ordered_fold(items, [key], ["place"], ["place", "bytes"], lambda: [0], step, f"{_typed(items, [key])}, place long")
 
 
 def buckets(rows: DataFrame, key: str, span: float = 1800.0) -> DataFrame:
@@ -146,7 +151,7 @@ def buckets(rows: DataFrame, key: str, span: float = 1800.0) -> DataFrame:
             state[0] = ts
         return [(seq, state[0])]
 
-    return ordered_fold(rows, [key], ["seq"], ["seq", "ts"], lambda: [None], step, f"{key} string, seq long, start double")
+    return ordered_fold(rows, [key], ["seq"], ["seq", "ts"], lambda: [None], step, f"{_typed(rows, [key])}, seq long, start double")
 
 
 def chained(rows: DataFrame, key: str) -> DataFrame:
@@ -158,7 +163,7 @@ def chained(rows: DataFrame, key: str) -> DataFrame:
         before, state[0] = state[0], chain_hash(state[0], payload)
         return [(seq, payload, before, state[0])]
 
-    return ordered_fold(rows, [key], ["seq"], ["seq", "payload"], lambda: [""], step, f"{key} string, seq long, payload string, prev_hash string, hash string")
+    return ordered_fold(rows, [key], ["seq"], ["seq", "payload"], lambda: [""], step, f"{_typed(rows, [key])}, seq long, payload string, prev_hash string, hash string")
 
 
 def broken_links(chain: DataFrame, key: str) -> DataFrame:

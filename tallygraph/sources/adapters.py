@@ -179,8 +179,11 @@ def _implied(view: str, part: str) -> str | None:
     if m:
         seconds = sum(float(x.replace(" ", "")) for x in re.findall(r"[-+]? ?[\d.]+", m[3]))
         slack = -1 if m[2][0] == ">" else 1
-        at = datetime(1970, 1, 1) + timedelta(seconds=_ORIGIN + (seconds - _ORIGIN) * _RATE[view] + slack)
-        return f"{m[1]}ets {m[2][0]}= TIMESTAMP_NTZ '{at:%Y-%m-%d %H:%M:%S}'" if datetime(1900, 1, 1) < at < datetime(2200, 1, 1) else None
+        seconds = _ORIGIN + (seconds - _ORIGIN) * _RATE[view] + slack
+        if abs(seconds) > 7e9:  # beyond what a date in use can be
+            return None
+        at = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+        return f"{m[1]}ets {m[2][0]}= TIMESTAMP_NTZ '{at:%Y-%m-%d %H:%M:%S}'"
     return None
 
 
