@@ -92,9 +92,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges``: columns a, b (long).  ``component`` is the smallest node id that
     can be reached.  Nodes without a link other than to themselves are absent.
     Large-star and small-star steps alternate until the links stop changing,
-    in O(log n) rounds; each is one minimum by key and one equi-join, so a hub
-    node is pre-aggregated map-side and its join partition is split by AQE.
-    The links are cut to the checkpoint folder after each round.
+    in O(log n) rounds; each is one minimum by key, pre-aggregated map-side, and
+    one equi-join, in which the links of a hub stay where they are and its
+    minimum is sent to them.  The links are cut to the checkpoint folder after
+    each round.
     """
     e = cut(
         edges.where("a <> b")
@@ -104,16 +105,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = cut(
+            keyed_join(both.where("v > u"), low, ["u"], "n")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (
-            large.join(least, "u")
+            keyed_join(large, least, ["u"], "n")
             .select(F.greatest("v", "m").alias("x"), F.col("m").alias("y"))
             .where("x <> y")
             .union(least.select("u", "m"))
