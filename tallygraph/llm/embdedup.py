@@ -207,3 +207,10 @@ def _join_width(classes: DataFrame, cosine: float) -> DataFrame:
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(common.table(spark, sf_dir, "embeddings"))
+
+
+#: The result by its definition, every pair compared.
+ORACLE_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}), r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b AS m FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n, least(n, min(m)) AS component_id FROM r GROUP BY n), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(k.n_links, 0) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, coalesce(c.component_id, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN k ON k.a = v.vec_id LEFT JOIN c ON c.n = v.vec_id"""

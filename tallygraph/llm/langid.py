@@ -32,8 +32,9 @@ HOLD_OUT = (3, 1)
 #: Characters of all languages' names together, and rows, up to which the shares
 #: are broadcast; beyond that the join shuffles.
 BROADCAST_CHARS, BROADCAST_ROWS = 1 << 20, 1 << 14
-#: Characters scored at a time.
-SPAN = 1 << 20
+#: Characters scored at a time, and scores of characters under languages held at
+#: a time, which lowers the former where there are many languages.
+SPAN, CELLS = 1 << 20, 1 << 25
 PAD, SPACE = 0, 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[np.ndarray] = []
@@ -194,16 +195,17 @@ def entropies(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     held, size = [], 0
     groups = []
+    span = min(SPAN, max(1 << 12, CELLS // max(1, k)))
     for i, t in enumerate(texts):
-        if len(t) > SPAN:
-            for a in range(0, len(t), SPAN):  # with what stands before as context
-                s, _ = symbols([t[max(0, a - 2 * ORDER) : a + SPAN]])
+        if len(t) > span:
+            for a in range(0, len(t), span):  # with what stands before as context
+                s, _ = symbols([t[max(0, a - 2 * ORDER) : a + span]])
                 skip = 0 if a == 0 else len(symbols([t[a - 2 * ORDER : a]])[0])
                 add(s, np.full(len(s), i), skip)
             continue
         held.append(i)
         size += len(t)
-        if size >= SPAN:
+        if size >= span:
             groups.append(held)
             held, size = [], 0
     for g in [*groups, held]:

@@ -322,3 +322,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, count_col="lines_deleted")
+
+
+#: The result by its definition: a line goes if it stands in a run of
+#: ``MIN_WORDS`` words that an earlier document holds; shortest runs cover all.
+ORACLE_SQL = f"""WITH ln AS (SELECT doc_id, i AS pos, l[i] AS raw, trim(l[i], ' ') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL) d, unnest(range(1, len(l) + 1)) r(i)),
+nb AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY o) AS upto FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS o, length(t) - length(replace(t, ' ', '')) + 1 AS w FROM ln WHERE t <> '') x),
+pr AS (SELECT a.doc_id, a.o AS a, b.o AS b FROM nb a JOIN nb b ON b.doc_id = a.doc_id AND b.o BETWEEN a.o AND a.o + {MIN_WORDS - 1} WHERE b.upto - a.upto + a.w >= {MIN_WORDS}),
+runs AS (SELECT doc_id, a, min(b) AS b FROM pr GROUP BY doc_id, a UNION SELECT doc_id, max(a) AS a, b FROM pr GROUP BY doc_id, b),
+keyed AS (SELECT r.doc_id, r.a, r.b, string_agg(n.t, chr(10) ORDER BY n.o) AS words FROM runs r JOIN nb n ON n.doc_id = r.doc_id AND n.o BETWEEN r.a AND r.b GROUP BY r.doc_id, r.a, r.b),
+held AS (SELECT doc_id, a, b FROM (SELECT *, min(doc_id) OVER (PARTITION BY words) AS first FROM keyed) k WHERE first < doc_id),
+gone AS (SELECT DISTINCT n.doc_id, n.pos FROM held h JOIN nb n ON n.doc_id = h.doc_id AND n.o BETWEEN h.a AND h.b),
+kept AS (SELECT ln.doc_id, string_agg(ln.raw, chr(10) ORDER BY ln.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n FROM ln LEFT JOIN gone g ON g.doc_id = ln.doc_id AND g.pos = ln.pos GROUP BY ln.doc_id)
+SELECT d.doc_id, CASE WHEN kept.n > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text, coalesce(kept.n, 0) AS lines_deleted FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import embdedup, linededup
 from .ann import op2_ann
 from .bpe import op6_bpe
 from .embdedup import op4_embedding_dedup
@@ -14,4 +15,4 @@ from .toxicity import op7_toxicity
 from .urlfilter import op5_urls
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_embedding_dedup, op5_urls, op6_bpe, op7_toxicity, op8_langid, op9_packing, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op4_embedding_dedup": embdedup.ORACLE_SQL}

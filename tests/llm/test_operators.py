@@ -677,3 +677,18 @@ def test_hashes_that_meet_are_told_apart(spark):
     out, node = common.numbered(df, "v")
     assert out.select("node").distinct().count() == 1000
     assert out.where(out.node != node).count() == 0
+
+
+def test_queries_equal_their_sql(spark, sf):
+    import duckdb
+
+    from tallygraph.llm import registry
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in registry.ORACLE_SQL.items():
+        df = registry.QUERIES[name](spark, sf)
+        rel = con.execute(sql)
+        at = [[d[0] for d in rel.description].index(c) for c in df.columns]
+        assert sorted(map(tuple, df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str), name
