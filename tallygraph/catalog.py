@@ -9,12 +9,10 @@ from .sources import graphio
 from .sources.adapters import duck_sql, spark_sql
 from .streaming import live, stateful, twins
 
-Q = declared.Q | workflow.Q
-
-QUERIES: dict = {name: (lambda spark, sf_dir, sql=sql: spark_sql(spark, sf_dir, sql)) for name, sql in Q.items()}
-ORACLE_SQL: dict[str, str] = {name: duck_sql(sql) for name, sql in Q.items()}
-QUERIES |= {name: (lambda spark, sf_dir, name=name: spark_sql(spark, sf_dir, rules.sql(name))) for name in rules.RULES}
-ORACLE_SQL |= {name: duck_sql(rules.twin(name)) for name in rules.RULES}
+# A declared query is a rule whose literals are its parameters.
+rules.RULES |= {name: rules.lifted(sql) for name, sql in (declared.Q | workflow.Q).items()}
+QUERIES: dict = {name: (lambda spark, sf_dir, name=name, **params: spark_sql(spark, sf_dir, rules.sql(name, **params))) for name in rules.RULES}
+ORACLE_SQL: dict[str, str] = {name: duck_sql(rules.twin(name)) for name in rules.RULES}
 for _part in (graph, folds, lifecycles, aliases, communities, modules, tools, graphio, twins, stateful, live):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= {k: duck_sql(v) for k, v in _part.ORACLE.items()}

@@ -221,7 +221,6 @@ QUERIES = {
     "o9_budget": lambda s, d: fit_budget(view(s, d, "ledger").where("kind = 'edit_reported'").selectExpr("path", "seq AS place", "tokens AS bytes"), "path", 200),
     "u2_common_dir": lambda s, d: common_dir(view(s, d, "ledger").where("ts >= 1706000000"), "usr"),
     "m4_line_diff": lambda s, d: _versions(s, d).select("doc_id", line_diff("before", "text").alias("hunks")),
-    "m5_hunk_totals": lambda s, d: _versions(s, d).select("doc_id", F.from_json(line_diff("before", "text"), "array<struct<op: string>>").alias("h")).select("doc_id", F.size("h").alias("n")),
     "f4_exact_round": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", exact_round(F.col("l_extendedprice") / 7, F.lit(2)).alias("rounded")),
     "f16_canonical_json": lambda s, d: view(s, d, "ledger").select("seq", canonical_json("props").alias("props")),
     "p10_redacted": lambda s, d: view(s, d, "ledger").select("seq", redact_json(F.expr(_nested()), ["token", "secret"]).alias("props")),

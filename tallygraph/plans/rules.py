@@ -55,6 +55,27 @@ def twin(name: str, **params) -> str:
     return _filled(TWINS.get(name, text), known, params)
 
 
+#: Literals of a declared query that stand for who, where and when is asked.
+_LIFTED = (("scope", r"'ws:r\d+'"), ("usr", r"'u\d+'"), ("node", r"'p\d+'"), ("path", r"'d\d+/[^']*'"), ("root", r"'d\d+/?'"), ("at", r"\b17\d{8}\b"), ("limit", r"(?<=LIMIT )\d+"))
+
+
+def lifted(text: str) -> tuple[str, dict]:
+    """A declared query with such literals as parameters, which they default to:
+    the first of a sort by its name, others with a number behind it."""
+    params: dict = {}
+    for name, pattern in _LIFTED:
+        seen: dict[str, str] = {}
+
+        def put(m: re.Match) -> str:
+            if m[0] not in seen:
+                seen[m[0]] = name if not seen else f"{name}{len(seen) + 1}"
+                params[seen[m[0]]] = m[0].strip("'") if m[0][0] == "'" else int(m[0])
+            return f"${seen[m[0]]}"
+
+        text = re.sub(pattern, put, text)
+    return text, params
+
+
 # --- journal, costs, activity ------------------------------------------------
 _KEY = "usr || ':' || CASE WHEN session <> '' THEN session WHEN agent <> '' THEN agent ELSE 'work' END"
 _USED = "CASE WHEN c1 <> 0 OR c2 <> 0 OR c3 <> 0 OR c4 <> 0 THEN c1 + c2 + c3 + c4 ELSE tokens END"
@@ -383,3 +404,9 @@ c AS (SELECT r.scope, r.usr, r.seq, q.earlier + r.here - r.own AS foreign_rows F
 SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, $shown) END AS shown FROM d""",
     """WITH r AS (SELECT seq, scope, usr, kind, count(*) OVER (PARTITION BY scope ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY scope, usr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foreign_rows FROM ledger),
 c AS (SELECT scope, usr, seq, foreign_rows - lag(foreign_rows) OVER (PARTITION BY scope, usr ORDER BY seq) AS unseen FROM r WHERE kind = 'check_performed') SELECT scope, usr, seq, CASE WHEN unseen IS NULL THEN 0 ELSE least(unseen, $shown) END AS shown FROM c""", stretch=4096, shown=15)
+
+_HUNKS = "SELECT usr, root, seq, CASE tokens % 4 WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' WHEN 2 THEN 'delete' ELSE 'truncated' END AS op, k + 1 AS old_start, k + lines_removed AS old_end, k + 1 AS new_start, k + lines_added AS new_end FROM act WHERE kind = 'edit_reported'"
+pair("m5_hunk_totals", f"""WITH h AS (SELECT usr, root, collect_list(struct(op, old_start, old_end, new_start, new_end)) AS hunks FROM ({_HUNKS}) t GROUP BY usr, root),
+a AS (SELECT usr, root, aggregate(hunks, named_struct('added', CAST(0 AS BIGINT), 'removed', CAST(0 AS BIGINT)), (acc, x) -> named_struct('added', acc.added + CASE WHEN x.op IN ('replace', 'insert') THEN x.new_end - x.new_start + 1 ELSE 0 END, 'removed', acc.removed + CASE WHEN x.op IN ('replace', 'delete') THEN x.old_end - x.old_start + 1 ELSE 0 END)) AS n FROM h)
+SELECT usr, root, n.added AS added, n.removed AS removed FROM a""",
+    """SELECT usr, root, CAST(coalesce(sum(lines_added) FILTER (tokens % 4 < 2), 0) AS BIGINT) AS added, CAST(coalesce(sum(lines_removed) FILTER (tokens % 4 IN (0, 2)), 0) AS BIGINT) AS removed FROM act WHERE kind = 'edit_reported' GROUP BY usr, root""")
