@@ -1,10 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-MinHash bands propose links, whose components hold every near pair but a share
-of (1 - similarity ** BAND_ROWS) ** BANDS, 3 in a million at 0.8.  Within a
-component all pairs are compared by their whole shingle sets, and only a
-spanning forest of the pairs that are similar enough leaves it.  Texts with
-equal sets are collapsed before any join.
+"""Near copies from a Jaccard similarity on: what ``simhash.keep_one`` does if
+a similarity is asked for.
+
+SimHash fingerprints of the shingle sets propose links by pigeonhole blocks.  Bits
+of 64 reach the nearer copies only (a similarity of 0.8 differs in ten bits or so),
+so the minima of the sets propose the rest, in bands that miss a near pair with a
+probability of (1 - similarity ** BAND_ROWS) ** BANDS, 3 in a million at 0.8.
+Within a component of proposals all pairs are compared by their whole shingle
+sets, and only a spanning forest of the pairs that are similar enough leaves it.
+Texts with equal sets are collapsed before any join.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -50,6 +53,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def set_fingerprint(found) -> int:
+    """Signed 64-bit SimHash of a shingle set; 0 for an empty one."""
+    import numpy as np
+
+    if not len(found):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(found), SPAN):
+        ones += np.unpackbits(found[lo : lo + SPAN].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((ones * 2 > len(found)).astype(np.uint8)).view(np.int64)[0])
+
+
 def band_keys(found) -> list[int]:
     """A key for each band of the set's minima; none for an empty set."""
     import numpy as np
@@ -76,8 +91,8 @@ def _signatures(shingle: int):
             out = []
             for i, k, t in zip(part["id"].tolist(), part["k"].tolist(), part["text"].tolist()):
                 found = shingle_set(t, shingle)
-                out.append((i, k, _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), band_keys(found)))
-            yield pd.DataFrame(out, columns=["id", "k", "g", "keys"])
+                out.append((i, k, _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), set_fingerprint(found), band_keys(found)))
+            yield pd.DataFrame(out, columns=["id", "k", "g", "fp", "keys"])
 
     return run
 
@@ -128,11 +143,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and wordless texts are one class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null").withColumn("k", F.xxhash64("text"))
-    base = common.cut(rows.mapInPandas(_signatures(shingle), "id long, k long, g long, keys array<long>"))
-    classes = common.cut(base.groupBy("g").agg(F.min(F.struct("id", "k")).alias("f"), F.first("keys").alias("keys")))
+    base = common.cut(rows.mapInPandas(_signatures(shingle), "id long, k long, g long, fp long, keys array<long>"))
+    classes = common.cut(base.groupBy("g").agg(F.min(F.struct("id", "k")).alias("f"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keyed = classes.select("g", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("g").alias("m"), F.max("g").alias("l")).where("m <> l").select("key", "m")
-    proposed = common.connected_components(keyed.join(least, "key").select(F.col("g").alias("a"), F.col("m").alias("b")))
+    by_bands = keyed.join(least, "key").select(F.col("g").alias("a"), F.col("m").alias("b"))
+    # sets of one fingerprint go by the least of them
+    marks = common.cut(classes.where(F.size("keys") > 0).groupBy("fp").agg(F.min("g").alias("m"), F.count("*").alias("n")))
+    same = common.keyed_join(classes.where(F.size("keys") > 0).select("fp", "g"), marks, ["fp"], "n").select(F.col("g").alias("a"), F.col("m").alias("b"))
+    links = simhash.hamming_links(marks.select("fp")).toDF("x", "y")
+    near = links.join(marks.select(F.col("fp").alias("x"), F.col("m").alias("a")), "x").join(marks.select(F.col("fp").alias("y"), F.col("m").alias("b")), "y").select("a", "b")
+    proposed = common.connected_components(by_bands.union(same).union(near))
     member = common.cut(proposed.join(classes, F.col("node") == F.col("g")).select("g", "component", F.col("f.id").alias("id"), F.col("f.k").alias("k")))
     parts = member.groupBy("component").agg(F.ceil(F.count("*") / group).cast("int").alias("p"))
     own = F.pmod(F.xxhash64("g"), F.col("p")).cast("int")
@@ -144,12 +165,3 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.join(comp, classes.g == comp.node, "left").select("g", F.col("f.id").alias("first"), F.coalesce("component", "g").alias("root"))
     by_root = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return base.join(named.join(by_root, "root").select("g", "component_id"), "g").select(F.col("id").alias(id_col), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the smallest id of each
-    component.  Rows that repeat that id stay once; rows without an id stay."""
-    common.configure(docs.sparkSession)
-    gone = near_copies(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(gone, id_col, "left_anti").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -167,12 +167,22 @@ def near_duplicates(
     return common.keyed_join(base, by_fp, ["fp"], "many").select(F.col("id").alias(id_col), hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class: the smallest id of each
-    component.  Rows that repeat that id stay once; rows without an id stay."""
+    component.  Rows that repeat that id stay once; rows without an id stay;
+    null and wordless texts are one class; an empty table gives no rows.
+
+    Links join fingerprints within ``distance`` bits or, if a ``similarity`` is
+    given, texts of that Jaccard similarity or more on shingles of five words:
+    fingerprints then propose pairs, with the help of the sets' minima where 64
+    bits do not reach, and the whole sets decide."""
+    from . import nearcopies  # which takes the blocks from here
+
     common.configure(docs.sparkSession)
-    gone = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
+    find = near_duplicates if similarity is None else nearcopies.near_copies
+    more = options if similarity is None else options | {"similarity": similarity}
+    gone = find(named, id_col, text_col, **more).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     return named.join(gone, id_col, "left_anti").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
