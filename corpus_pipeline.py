@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygraph.llm import common, linededup, nearcopies, packing, secretscan, toxicity
+from tallygraph.llm import common, linededup, packing, secretscan, simhash, toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Keeps one document, that of the smallest id, of each class of texts with
     a Jaccard similarity of 0.8 or more on shingles of five words.  Null and
     wordless texts are one class, rows without an id stay."""
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
