@@ -182,8 +182,8 @@ def pack(docs: DataFrame, length: int = LENGTH, step: int = STEP, id_col: str =
 
     # Exact ranks within a class, however many pieces it has: ranks within
     # buckets of a class, plus the sizes of the buckets before.
-    buckets = int(max(1, max(counts.values()) // RANKED))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "start"), F.lit(buckets)).cast("int"))
+    buckets = F.create_map(*[F.lit(int(x)) for c, n in counts.items() for x in (c, max(1, n // RANKED))])
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "start"), buckets[F.col("class")]).cast("int"))
     held = dealt.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = held.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("row", "start")) - 1)
