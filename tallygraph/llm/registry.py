@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embdedup, linededup
+from . import centroids, embdedup, linededup
 from .ann import op2_ann
 from .bpe import op6_bpe
+from .centroids import op11_centroids
 from .embdedup import op4_embedding_dedup
 from .langid import op8_langid
 from .linededup import op3_line_dedup
@@ -14,5 +15,5 @@ from .simhash import op1_simhash
 from .toxicity import op7_toxicity
 from .urlfilter import op5_urls
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_embedding_dedup, op5_urls, op6_bpe, op7_toxicity, op8_langid, op9_packing, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op4_embedding_dedup": embdedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_line_dedup, op4_embedding_dedup, op5_urls, op6_bpe, op7_toxicity, op8_langid, op9_packing, op10_secrets, op11_centroids)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op4_embedding_dedup": embdedup.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL}
