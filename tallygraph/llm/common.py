@@ -80,6 +80,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has
+    it (Spark takes no notice of case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(key: str, modulus: int, remainder: int):
     """Column: crc32 of the id as text, modulo ``modulus``, equals ``remainder``
     (false for a null id)."""
@@ -159,16 +171,17 @@ def forest(linked, order) -> list[tuple[int, int]]:
     return [(int(r), int(at[m])) for r, m in zip(busy, lab) if at[m] != r]
 
 
-def whole_groups(batches, keys: list[str], rows: int = 1 << 16):
+def whole_groups(batches, keys: list[str], rows: int = 1 << 16, size=len):
     """Frames of about ``rows`` rows from batches that are sorted by ``keys``,
     cut only between groups.  A task that needs no more than one group at a
-    time can so be vectorised over many small ones."""
+    time can so be vectorised over many small ones.  ``size`` of a frame may
+    count something else than its rows."""
     import pandas as pd
 
     held, n = [], 0
     for b in batches:
         held.append(b)
-        n += len(b)
+        n += size(b)
         if n >= rows:
             x = pd.concat(held, ignore_index=True)
             last = x[keys].to_numpy()
@@ -176,6 +189,6 @@ def whole_groups(batches, keys: list[str], rows: int = 1 << 16):
             at = int(differs[-1]) + 1 if len(differs) else 0
             if at:
                 yield x.iloc[:at]
-            held, n = [x.iloc[at:]], len(x) - at
-    if n:
+            held, n = [x.iloc[at:]], size(x.iloc[at:])
+    if any(len(h) for h in held):
         yield pd.concat(held, ignore_index=True)

@@ -34,7 +34,7 @@ HOLD_OUT = (3, 1)
 BROADCAST_CHARS, BROADCAST_ROWS = 1 << 20, 1 << 14
 #: Characters scored at a time, and scores of characters under languages held at
 #: a time, which lowers the former where there are many languages.
-SPAN, CELLS = 1 << 20, 1 << 25
+SPAN, LEAST_SPAN, CELLS = 1 << 20, 1 << 12, 1 << 25
 PAD, SPACE = 0, 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[np.ndarray] = []
@@ -65,6 +65,20 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return s[keep], owner[keep]
 
 
+def cleaned(text: str, span: int) -> Iterator[np.ndarray]:
+    """Symbols of a text, from ``span`` characters at a time; all together they
+    are those of the whole text."""
+    text = text.lower().replace("\0", " ")
+    last = PAD
+    for a in range(0, len(text), span):
+        s = _letters()[np.frombuffer(text[a : a + span].encode("utf-32-le", "replace"), dtype="<u4")]
+        before = np.concatenate(([last], s[:-1]))
+        s = s[(s != SPACE) | ((before != SPACE) & (before != PAD))]
+        if len(s):
+            last = s[-1]
+            yield s
+
+
 def hashes(s: np.ndarray) -> list[np.ndarray]:
     """For n of 1 to ORDER, the hash of the n symbols that end at each place."""
     x = (s.astype(np.uint64) + np.uint64(1)) * _MUL
@@ -195,13 +209,14 @@ def entropies(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     held, size = [], 0
     groups = []
-    span = min(SPAN, max(1 << 12, CELLS // max(1, k)))
+    span = min(SPAN, max(LEAST_SPAN, CELLS // max(1, k)))
     for i, t in enumerate(texts):
         if len(t) > span:
-            for a in range(0, len(t), span):  # with what stands before as context
-                s, _ = symbols([t[max(0, a - 2 * ORDER) : a + span]])
-                skip = 0 if a == 0 else len(symbols([t[a - 2 * ORDER : a]])[0])
-                add(s, np.full(len(s), i), skip)
+            before = np.zeros(ORDER - 1, np.uint32)  # pads, then the last symbols of what stands before
+            for s in cleaned(t, span):
+                s = np.concatenate((before, s))
+                add(s, np.full(len(s), i), ORDER - 1)
+                before = s[1 - ORDER :]
             continue
         held.append(i)
         size += len(t)

@@ -9,10 +9,11 @@ lines.  Pairs grow with the lines and not with the square of a frequency.
 
 Each pair is aligned by patience diff: lines that stand once in both documents
 and rise in both are anchors, anchors grow along equal neighbours, and the gaps
-between them are aligned alike.  What is left is aligned again, and an exact
-check of all common runs follows, so passages that repeat or stand in another
-order are not missed.  Aligned blocks of ``min_words`` words or more are deleted
-from the later document.
+between them are aligned alike.  An aligned block is extended along its diagonal
+over all equal lines, also those beside which another anchor stood, and then
+leaves the pair, and what is left is aligned again until no equal line is left.
+So passages that repeat or stand in another order are not missed.  Aligned blocks
+of ``min_words`` words or more are deleted from the later document.
 
 Only matching places travel, never whole documents, so a long document that
 shares a passage with many others costs no more than that passage.  Lines and
@@ -36,9 +37,6 @@ from . import common
 MIN_WORDS = 20
 #: Places in the corpus up to which a line is rare and pairs all its holders.
 RARE = 6
-#: Times that what patience diff leaves of a pair is aligned again; whatever is
-#: left then is found by the exact check.
-PASSES = 3
 #: End of the last range of lines that stay.
 FAR = (1 << 31) - 1
 
@@ -87,7 +85,7 @@ def grown(anchors: list[Match], have: set[Match]) -> list[Match]:
 
 
 def common_runs(matches) -> list[list[Match]]:
-    """All runs of matches that are one apart in both documents."""
+    """Runs of matches that are one apart in both documents."""
     out: list[list[Match]] = []
     for m in sorted(matches, key=lambda m: (m[1] - m[0], m[0])):
         if out and out[-1][-1] == (m[0] - 1, m[1] - 1):
@@ -97,6 +95,17 @@ def common_runs(matches) -> list[list[Match]]:
     return out
 
 
+def extended(m: Match, have) -> list[Match]:
+    """The run of ``have`` that holds ``m``, as far as it goes both ways."""
+    first = m
+    while (first[0] - 1, first[1] - 1) in have:
+        first = first[0] - 1, first[1] - 1
+    run = [first]
+    while (run[-1][0] + 1, run[-1][1] + 1) in have:
+        run.append((run[-1][0] + 1, run[-1][1] + 1))
+    return run
+
+
 def without_anchors(part: list[Match]) -> list[Match]:
     """Alignment of a gap in which no line is unique: its common runs, longest
     first, those that cross a longer one left out."""
@@ -149,20 +158,15 @@ def aligned_blocks(matches: list[tuple], min_words: int) -> list[tuple[int, int]
     words = {(l, e): w for l, e, w, _ in matches}
     once = {(l, e) for l, e, _, alone in matches if alone}
 
-    def blocks(runs) -> list[tuple[int, int]]:
-        return [(r[0][0], r[-1][0] + 1) for r in runs if sum(words[m] for m in r) >= min_words]
-
-    found, left = [], list(words)
-    for _ in range(PASSES):
-        more = blocks(common_runs(patience(left, once)))
-        if not more:
-            break
-        found += more
-        gone = {l for lo, hi in more for l in range(lo, hi)}
-        left = [m for m in left if m[0] not in gone]
-        once = once.intersection(left)
-    if left:
-        found += blocks(common_runs(words))
+    found, left = [], set(words)
+    while left:
+        aligned = patience(sorted(left), once & left)
+        for m in aligned:
+            if m in left:
+                run = extended(m, words)
+                left.difference_update(run)
+                if sum(words[x] for x in run) >= min_words:
+                    found.append((run[0][0], run[-1][0] + 1))
     merged: list[tuple[int, int]] = []
     for lo, hi in sorted(found):
         if merged and lo <= merged[-1][1]:
@@ -194,8 +198,8 @@ def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
 
 def _keys(min_words: int):
     """Documents to their keys: each line and each run of several lines, with
-    the words and the places of its lines.  Bit j of ``once`` says that line j
-    of the key stands once in its document."""
+    the words and the places of its lines, and whether each stands once in its
+    document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -212,8 +216,7 @@ def _keys(min_words: int):
                 alone = [held[x] == 1 for x in lines]
                 for a, b in [*((a, a + 1) for a in range(len(lines))), *(r for r in runs(words.tolist(), min_words) if r[1] > r[0] + 1)]:
                     key = np.frombuffer(digest(raw[16 * a : 16 * b]), "<i8")
-                    mask = sum(1 << j for j in range(b - a) if alone[a + j])
-                    out.append((i, k, a, key[0], key[1], mask, words[a:b], pos[a:b]))
+                    out.append((i, k, a, key[0], key[1], alone[a:b], words[a:b], pos[a:b]))
             yield pd.DataFrame(out, columns=["id", "k", "ord", "h", "g", "once", "words", "pos"])
 
     return run
@@ -233,10 +236,10 @@ def _edits(min_words: int):
                 while b < n and cols[0][b] == cols[0][a] and cols[1][b] == cols[1][a]:
                     c, found = b, {}
                     while c < n and all(cols[i][c] == cols[i][b] for i in range(4)):
-                        for j, (w, p) in enumerate(zip(cols[7][c], cols[8][c])):
+                        for j, (alone, w, p) in enumerate(zip(cols[6][c], cols[7][c], cols[8][c])):
                             l, e = cols[4][c] + j, cols[5][c] + j
                             pos_of[l] = p
-                            found[l, e] = int(w), cols[6][c] >> j & 1 == 1
+                            found[l, e] = int(w), bool(alone)
                         c += 1
                     for lo, hi in aligned_blocks([(*m, *w) for m, w in found.items()], min_words):
                         gone.update(range(lo, hi))
@@ -263,14 +266,14 @@ def matching_places(rows: DataFrame, rare: int = RARE) -> DataFrame:
     info = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "ord", "once")).alias("f"), F.max(F.struct("id", "k")).alias("l"))
     info = common.cut(info.where("f.id <> l.id or f.k <> l.k").drop("l"))
     held = common.cut(common.keyed_join(rows, info, ["h", "g"], "n"))
-    firsts = held.where("id <> f.id or k <> f.k").select("id", "k", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), "ord", F.col("f.ord").alias("ford"), F.col("once").bitwiseAND(F.col("f.once")).alias("once"), "words", "pos")
+    firsts = held.where("id <> f.id or k <> f.k").select("id", "k", F.col("f.id").alias("fid"), F.col("f.k").alias("fk"), "ord", F.col("f.ord").alias("ford"), F.zip_with("once", "f.once", lambda x, y: x & y).alias("once"), "words", "pos")
     # Rare lines pair all their holders; with two places the first is all.
     few = held.where(F.col("n").between(3, rare) & (F.size("words") == 1))
     few = few.groupBy("h", "g").agg(F.first("f").alias("f"), F.collect_list(F.struct("id", "k", "ord", "once", "words", "pos")).alias("x"))
     few = few.select("f", "x", F.explode("x").alias("a")).select("f", "a", F.explode("x").alias("b"))
     earlier = F.struct("b.id", "b.k") < F.struct("a.id", "a.k")
     others = F.struct("b.id", "b.k") > F.struct("f.id", "f.k")
-    pairs = few.where(earlier & others).select("a.id", "a.k", F.col("b.id").alias("fid"), F.col("b.k").alias("fk"), "a.ord", F.col("b.ord").alias("ford"), F.col("a.once").bitwiseAND(F.col("b.once")).alias("once"), "a.words", "a.pos")
+    pairs = few.where(earlier & others).select("a.id", "a.k", F.col("b.id").alias("fid"), F.col("b.k").alias("fk"), "a.ord", F.col("b.ord").alias("ford"), F.zip_with("a.once", "b.once", lambda x, y: x & y).alias("once"), "a.words", "a.pos")
     return firsts.union(pairs)
 
 
@@ -285,7 +288,7 @@ def edits(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORD
         "id", "k", F.transform("x", lambda x: F.xxhash64(x["t"])).alias("h"), F.transform("x", lambda x: F.xxhash64(F.lit("second"), x["t"])).alias("g"),
         F.transform("x", words).alias("words"), F.col("x.pos").alias("pos"),
     )
-    rows = common.cut(rows.mapInPandas(_keys(min_words), "id long, k long, ord int, h long, g long, once int, words array<int>, pos array<int>"))
+    rows = common.cut(rows.mapInPandas(_keys(min_words), "id long, k long, ord int, h long, g long, once array<boolean>, words array<int>, pos array<int>"))
     shared = matching_places(rows)
     dealt = shared.repartition("id", "k").sortWithinPartitions("id", "k", "fid", "fk", "ord")
     return dealt.mapInPandas(_edits(min_words), "id long, k long, gone int, starts array<int>, sizes array<int>")
@@ -301,21 +304,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay.  Rows and columns stay, n_chars follows the text; ``count_col`` adds
     the number of lines deleted.  An empty table gives no rows."""
     common.configure(docs.sparkSession)
-    found = edits(docs, id_col, text_col, min_words).toDF("__id", "__k", "__gone", "__starts", "__sizes")
-    t = F.col(f"__d.{text_col}")
-    kept = F.flatten(F.zip_with("__starts", "__sizes", lambda s, n: F.slice(F.split(t, "\n"), s + 1, n)))
-    new = F.when(F.col("__gone").isNull(), t).otherwise(F.array_join(kept, "\n"))
-    joined = docs.alias("__d").join(found, (F.col(f"__d.{id_col}") == F.col("__id")) & (F.xxhash64(t) == F.col("__k")), "left")
+    i, k, gone, starts, sizes, new = common.fresh(docs, "id", "k", "gone", "starts", "sizes", "new")
+    found = edits(docs, id_col, text_col, min_words).toDF(i, k, gone, starts, sizes)
+    t = F.col(text_col)
+    kept = F.flatten(F.zip_with(starts, sizes, lambda s, n: F.slice(F.split(t, "\n"), s + 1, n)))
+    joined = docs.join(found, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(t) == F.col(k)), "left")
+    joined = joined.withColumn(new, F.when(F.col(gone).isNull(), t).otherwise(F.array_join(kept, "\n")))
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(new.alias(c))
+            cols.append(F.col(new).alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("__gone").isNull(), F.col("__d.n_chars")).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c))
         else:
-            cols.append(F.col(f"__d.`{c}`"))
+            cols.append(F.col(f"`{c}`"))
     if count_col:
-        cols.append(F.coalesce("__gone", F.lit(0)).cast("long").alias(count_col))
+        cols.append(F.coalesce(gone, F.lit(0)).cast("long").alias(count_col))
     return joined.select(cols)
 
 

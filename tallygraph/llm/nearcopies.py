@@ -24,9 +24,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 SEED = 42
-#: Largest component that one task compares as a whole; larger ones are dealt
-#: out as pairs of chunks of this size.
-GROUP = 1024
+#: Largest component that one task compares as a whole, in texts and in
+#: characters; larger ones are dealt out as pairs of chunks of this size.
+GROUP, GROUP_CHARS = 1024, 1 << 23
 #: Shingles hashed, and postings counted, at a time.
 SPAN, POSTINGS = 1 << 12, 1 << 20
 
@@ -91,8 +91,8 @@ def _signatures(shingle: int):
             out = []
             for i, k, t in zip(part["id"].tolist(), part["k"].tolist(), part["text"].tolist()):
                 found = shingle_set(t, shingle)
-                out.append((i, k, _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), set_fingerprint(found), band_keys(found)))
-            yield pd.DataFrame(out, columns=["id", "k", "g", "fp", "keys"])
+                out.append((i, k, _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)), set_fingerprint(found), band_keys(found), len(t)))
+            yield pd.DataFrame(out, columns=["id", "k", "g", "fp", "keys", "chars"])
 
     return run
 
@@ -124,10 +124,20 @@ def _verified(shingle: int, similarity: float):
         import numpy as np
 
         keys = ["component", "c", "d"]
-        for part in common.whole_groups(batches, keys, rows=1 << 11):
+        def once() -> Iterator[pd.DataFrame]:  # of repeated rows one, so that a group is no longer than its classes
+            last = None
+            for b in batches:
+                x = b[[*keys, "g"]].to_numpy()
+                new = np.ones(len(x), dtype=bool)
+                new[1:] = (x[1:] != x[:-1]).any(axis=1)
+                if len(x):
+                    new[0] = last is None or (x[0] != last).any()
+                    last = x[-1]
+                yield b[new]
+
+        for part in common.whole_groups(once(), keys, rows=GROUP_CHARS, size=lambda b: int(b["text"].str.len().sum())):
             out = []
             for _, x in part.groupby(keys, sort=False):
-                x = x.drop_duplicates("g")
                 if len(x) > 1:
                     g = x["g"].tolist()
                     near = similar([shingle_set(t, shingle) for t in x["text"]], similarity)
@@ -137,31 +147,40 @@ def _verified(shingle: int, similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """(id, component_id), one row per input row with an id: the smallest id
-    of the component of texts linked by a similarity of ``similarity`` or more.
-
-    Null and wordless texts are one class."""
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """(id, k, first), one row per input row with an id: the hash of its text
+    and the least (id, k) of the component of texts linked by a similarity of
+    ``similarity`` or more."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null").withColumn("k", F.xxhash64("text"))
-    base = common.cut(rows.mapInPandas(_signatures(shingle), "id long, k long, g long, fp long, keys array<long>"))
-    classes = common.cut(base.groupBy("g").agg(F.min(F.struct("id", "k")).alias("f"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    base = common.cut(rows.mapInPandas(_signatures(shingle), "id long, k long, g long, fp long, keys array<long>, chars long"))
+    classes = common.cut(base.groupBy("g").agg(F.min(F.struct("id", "k")).alias("f"), F.count("*").alias("many"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.max("chars").alias("chars")))
     keyed = classes.select("g", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("g").alias("m"), F.max("g").alias("l")).where("m <> l").select("key", "m")
-    by_bands = keyed.join(least, "key").select(F.col("g").alias("a"), F.col("m").alias("b"))
+    least = common.cut(keyed.groupBy("key").agg(F.min("g").alias("m"), F.max("g").alias("l"), F.count("*").alias("n")).where("m <> l").select("key", "m", "n"))
+    by_bands = common.keyed_join(keyed, least, ["key"], "n").select(F.col("g").alias("a"), F.col("m").alias("b"))
     # sets of one fingerprint go by the least of them
     marks = common.cut(classes.where(F.size("keys") > 0).groupBy("fp").agg(F.min("g").alias("m"), F.count("*").alias("n")))
     same = common.keyed_join(classes.where(F.size("keys") > 0).select("fp", "g"), marks, ["fp"], "n").select(F.col("g").alias("a"), F.col("m").alias("b"))
     links = simhash.hamming_links(marks.select("fp")).toDF("x", "y")
     near = links.join(marks.select(F.col("fp").alias("x"), F.col("m").alias("a")), "x").join(marks.select(F.col("fp").alias("y"), F.col("m").alias("b")), "y").select("a", "b")
     proposed = common.connected_components(by_bands.union(same).union(near))
-    member = common.cut(proposed.join(classes, F.col("node") == F.col("g")).select("g", "component", F.col("f.id").alias("id"), F.col("f.k").alias("k")))
-    parts = member.groupBy("component").agg(F.ceil(F.count("*") / group).cast("int").alias("p"))
+    member = common.cut(proposed.join(classes, F.col("node") == F.col("g")).select("g", "component", "chars", F.col("f.id").alias("id"), F.col("f.k").alias("k")))
+    parts = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    parts = common.cut(parts.select("component", "n", F.ceil(F.greatest(F.col("n") / group, F.col("chars") / GROUP_CHARS)).cast("int").alias("p")))
     own = F.pmod(F.xxhash64("g"), F.col("p")).cast("int")
-    dealt = member.join(parts, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    dealt = common.keyed_join(member, parts, ["component"], "n").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     dealt = dealt.select("id", "k", "g", "component", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"))
-    texts = rows.join(dealt, ["id", "k"]).select("component", "c", "d", "g", "text")
-    texts = texts.repartition("component", "c", "d").sortWithinPartitions("component", "c", "d")
+    # a class sends the text of one row to each of its chunks
+    asked = dealt.groupBy("id", "k").agg(F.collect_list(F.struct("component", "c", "d", "g")).alias("to"))
+    texts = rows.join(asked, ["id", "k"]).select(F.explode("to").alias("x"), "text").select("x.*", "text")
+    texts = texts.repartition("component", "c", "d").sortWithinPartitions("component", "c", "d", "g")
     comp = common.connected_components(texts.mapInPandas(_verified(shingle, similarity), "a long, b long"))
-    named = classes.join(comp, classes.g == comp.node, "left").select("g", F.col("f.id").alias("first"), F.coalesce("component", "g").alias("root"))
-    by_root = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return base.join(named.join(by_root, "root").select("g", "component_id"), "g").select(F.col("id").alias(id_col), "component_id")
+    named = common.cut(classes.join(comp, classes.g == comp.node, "left").select("g", "many", "f", F.coalesce("component", "g").alias("root")))
+    by_root = common.cut(named.groupBy("root").agg(F.min("f").alias("first"), F.count("*").alias("size")))
+    by_set = common.cut(common.keyed_join(named.select("g", "many", "root"), by_root, ["root"], "size").select("g", "many", "first"))
+    return common.keyed_join(base.select("id", "k", "g"), by_set, ["g"], "many").select("id", "k", "first")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id), one row per input row with an id; ``options`` as of
+    ``linked``.  Null and wordless texts are one class."""
+    return linked(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))

@@ -157,9 +157,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """``docs`` with every span of the scan replaced by ``mark``; overlapping
     spans become one mark.  Rows, columns and clean texts stay as they are; a
     column n_chars, if there is one, follows the text."""
-    k0 = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__k0")
-    k1 = F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))).alias("__k1")
-    hits = spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1"), F.col("spans").alias("__spans")).dropDuplicates(["__k0", "__k1"])
+    n0, n1, at, fresh = common.fresh(docs, "k0", "k1", "spans", "new")
+    k0 = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(n0)
+    k1 = F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))).alias(n1)
+    hits = spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("k0").alias(n0), F.col("k1").alias(n1), F.col("spans").alias(at)).dropDuplicates([n0, n1])
     t = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -167,14 +168,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         gap = F.when(p["start"] >= acc["at"], F.concat(acc["out"], F.substring(t, acc["at"] + 1, p["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], p["end"]).alias("at"), gap.alias("out"))
 
-    done = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    out = docs.select("*", k0, k1).join(hits, ["__k0", "__k1"], "left").withColumn("__new", F.when(F.col("__spans").isNull(), t).otherwise(done))
+    done = F.aggregate(at, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
+    out = docs.select("*", k0, k1).join(hits, [n0, n1], "left").withColumn(fresh, F.when(F.col(at).isNull(), t).otherwise(done))
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__new").alias(c))
+            cols.append(F.col(fresh).alias(c))
         elif c == "n_chars":
-            cols.append(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.char_length("__new")).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col(at).isNull(), F.col(c)).otherwise(F.char_length(fresh)).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(cols)

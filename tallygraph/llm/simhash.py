@@ -147,30 +147,41 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
     return dealt.mapInPandas(_verified(distance), "a long, b long")
 
 
-def near_duplicates(
+def linked(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """(id, fingerprint, component_id), one row per input row.
+    """(id, k, fp, first), one row per input row: ``k`` is the hash of the text,
+    ``first`` the least (id, k) of the row's component, null if no row of it has
+    an id."""
+    base = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), fingerprints(F.col(text_col), shingle, seed).alias("fp")))
+    classes = common.cut(base.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k"))).alias("first"), F.count("*").alias("many")))
+    comp = common.connected_components(hamming_links(classes.select("fp"), distance, blocks))
+    named = common.cut(classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", "many", F.coalesce("component", "fp").alias("root")))
+    least = common.cut(named.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("size")))
+    by_fp = common.cut(common.keyed_join(named.select("fp", "root", "many"), least, ["root"], "size").select("fp", "many", "first"))
+    return common.keyed_join(base, by_fp, ["fp"], "many").select("id", "k", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, fingerprint, component_id), one row per input row; ``options`` as of
+    ``linked``.
 
     Null and wordless texts have fingerprint zero and link like any other.
     Repeated rows and copies get equal values; a null id keeps its row and is
     never a component id unless the whole component has none.  Other columns
     are ignored, whatever their names; an empty table gives no rows.
     """
-    base = common.cut(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), shingle, seed).alias("fp")))
-    classes = common.cut(base.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("many")))
-    comp = common.connected_components(hamming_links(classes.select("fp"), distance, blocks))
-    named = common.cut(classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", "many", F.coalesce("component", "fp").alias("root")))
-    least = common.cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
-    by_fp = common.cut(common.keyed_join(named.select("fp", "root", "many"), least, ["root"], "size").select("fp", "many", "component_id"))
-    return common.keyed_join(base, by_fp, ["fp"], "many").select(F.col("id").alias(id_col), hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    found = linked(docs, id_col, text_col, **options)
+    return found.select(F.col("id").alias(id_col), hexed(F.col("fp")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the smallest id of each
-    component.  Rows that repeat that id stay once; rows without an id stay;
-    null and wordless texts are one class; an empty table gives no rows.
+    """The rows of ``docs`` that stand for their class: of each component the
+    row of the smallest id, and of several texts of that id the one of the
+    smallest hash.  A document is an id and a text: texts that share an id but
+    no component are all kept, rows that repeat both stay once; rows without an
+    id stay; null and wordless texts are one class; an empty table gives no rows.
 
     Links join fingerprints within ``distance`` bits or, if a ``similarity`` is
     given, texts of that Jaccard similarity or more on shingles of five words:
@@ -179,11 +190,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     from . import nearcopies  # which takes the blocks from here
 
     common.configure(docs.sparkSession)
-    named = docs.where(F.col(id_col).isNotNull())
-    find = near_duplicates if similarity is None else nearcopies.near_copies
+    at, i, h = common.fresh(docs, "k", "gone_id", "gone_k")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(at, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    find = linked if similarity is None else nearcopies.linked
     more = options if similarity is None else options | {"similarity": similarity}
-    gone = find(named, id_col, text_col, **more).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return named.join(gone, id_col, "left_anti").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = find(named, id_col, text_col, **more)
+    gone = found.where(F.struct("id", "k") != F.col("first")).select(F.col("id").alias(i), F.col("k").alias(h)).distinct()
+    kept = named.join(gone, (F.col(id_col).cast("long") == F.col(i)) & (F.col(at) == F.col(h)), "left_anti")
+    return kept.dropDuplicates([id_col, at]).drop(at).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,8 @@ def judge(
     """(id, host, path, rule, verdict, score), one row per input row.
 
     A rule (host part, path part) fits its host and all subdomains if the path
-    starts with the rule's; the longest decides, the text smaller on a tie.
+    starts with the rule's; the longest decides, of two as long the one whose text
+    is larger.
     Otherwise the model does: block at ``threshold`` or more.  A null url, or
     one without ``://``, has an empty host and path and is judged by the model.
     Urls of any length are read whole; other columns are ignored; repeated rows

@@ -224,6 +224,35 @@ def test_patience_takes_unique_lines_first_and_recurses():
         assert {l for lo, hi in blocks for l in range(lo, hi)} == want
 
 
+def test_line_dedup_counts_many_words_and_keeps_odd_columns(spark):
+    """Runs of more lines than a machine word has bits, and columns named as
+    those of the operator's own steps."""
+    many = "\n".join(f"l{i}" for i in range(90))
+    rows = [(1, many), (2, f"x\n{many}\ny"), (3, "\n".join(f"l{i}" for i in range(39)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS __id", "'b' AS gone", "'c' AS starts", "'d' AS _gone", "'e' AS sizes", "'f' AS __k", "'g' AS k")
+    for least in (32, 40, 64, 90):
+        got = linededup.dedup_lines(df, min_words=least)
+        assert got.columns == df.columns
+        assert {r.doc_id: r.text for r in got.collect()} == {1: many, 2: "x\ny", 3: "" if least == 32 else rows[2][1]}
+
+
+def test_redact_keeps_odd_columns(spark):
+    df = spark.createDataFrame([(1, "password=abcdefgh9 x"), (None, "y")], "doc_id long, text string").selectExpr("*", "'a' AS __k0", "'b' AS k0", "'c' AS k1", "'d' AS spans", "'e' AS new", "'f' AS _new", "1 AS n_chars")
+    got = secretscan.redact(df)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r.n_chars, r.spans) for r in got.collect()} == {(1, "[SECRET] x", 10, "d"), (None, "y", 1, "d")}
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_keeps_texts_that_share_an_id(spark, similarity):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, c + " "), (None, a), (8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS k", "'y' AS gone_id", "'z' AS first", "'q' AS _k")
+    got = simhash.keep_one(df, similarity=similarity)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, (r.text or "").strip()) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (7, c), (None, a), (8, "")], key=str)
+
+
 def test_rare_lines_pair_all_their_holders(spark):
     a, b = lines_of("a", 1, 12)[0], lines_of("b", 1, 12)[0]
     df = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}")], "doc_id long, text string")
@@ -409,10 +438,14 @@ def test_kneser_ney_sums_to_one_and_spans_agree(monkeypatch):
             s, _ = langid.symbols([ctx + c])
             total += float(np.exp(langid.log_likelihoods(m, s)[-1, 0]))
         assert 0.3 < total < 1 + 1e-5
-    long = "the cat sat on that mat. " * 40
-    a = langid.entropies(m, [long, "bat"])[0]
-    monkeypatch.setattr(langid, "SPAN", 100)
-    assert np.allclose(a, langid.entropies(m, [long, "bat"])[0], atol=1e-4)
+    long = "the cat sat on that mat. " * 40 + ("that" + "." * 14 + "hat -- ") * 30 + "\0\0x \0 "
+    a, letters = langid.entropies(m, [long, "bat", " " * 300])
+    assert np.array_equal(np.concatenate(list(langid.cleaned(long, 3))), langid.symbols([long])[0][langid.ORDER - 1 :])
+    for span in (1, 5, 100):
+        monkeypatch.setattr(langid, "SPAN", span)
+        monkeypatch.setattr(langid, "LEAST_SPAN", span)
+        got = langid.entropies(m, [long, "bat", " " * 300])
+        assert np.allclose(a, got[0], atol=1e-12) and (letters == got[1]).all()
 
 
 def naive_kneser_ney(texts, order):
