@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import tools
 from .operators import aliases, communities, folds, graph, lifecycles, modules
-from .plans import declared, rules, workflow
+from .plans import declared, rules, temporal, workflow  # noqa: F401  (temporal adds rules)
 from .sources import graphio
 from .sources.adapters import duck_sql, spark_sql
 from .streaming import live, stateful, twins

@@ -164,12 +164,6 @@ rule("a21_histogram", f"""WITH v AS (SELECT kind, CAST(tokens * tokens AS DOUBLE
 c AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY bound ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY kind) AS total FROM h)
 SELECT kind, min(CASE WHEN upto >= ceil(0.5 * total) THEN CASE WHEN bound = 1e18 THEN most ELSE bound END END) AS p50, min(CASE WHEN upto >= ceil(0.95 * total) THEN CASE WHEN bound = 1e18 THEN most ELSE bound END END) AS p95, max(most) AS top FROM c GROUP BY kind""")
 _KNOWS = "kind IN ('edit_reported', 'intent_declared', 'gate_block', 'override')"
-rule("a22_known_unseen", f"""WITH v AS (SELECT scope, usr, ts, @INT[floor(ts / $bin)] AS bin FROM act WHERE {_KNOWS}), c AS (SELECT scope, usr, cursor_ts, @INT[floor(cursor_ts / $bin)] AS bin FROM (SELECT scope, usr, max(ts) AS cursor_ts FROM act WHERE kind = 'check_performed' GROUP BY scope, usr) t),
-h AS (SELECT scope, bin, count(*) AS n FROM v GROUP BY scope, bin), hc AS (SELECT scope, bin, n, sum(n) OVER (PARTITION BY scope ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY scope) AS total, lead(bin) OVER (PARTITION BY scope ORDER BY bin) AS next_bin FROM h),
-own AS (SELECT v.scope, v.usr, count(*) AS n, count_if(v.ts <= c.cursor_ts) AS seen FROM v JOIN c ON c.scope = v.scope AND c.usr = v.usr GROUP BY v.scope, v.usr), inbin AS (SELECT c.scope, c.usr, count_if(v.ts <= c.cursor_ts) AS seen FROM c JOIN v ON v.scope = c.scope AND v.bin = c.bin GROUP BY c.scope, c.usr),
-al AS (SELECT c.scope, c.usr, max(hc.total) AS total, max(CASE WHEN hc.bin = c.bin THEN hc.upto - hc.n WHEN hc.bin < c.bin THEN hc.upto ELSE 0 END) AS before_bin FROM c JOIN hc ON hc.scope = c.scope AND (hc.bin <= c.bin OR hc.bin = c.bin) GROUP BY c.scope, c.usr)
-SELECT al.scope, al.usr, @INT[al.before_bin + coalesce(inbin.seen, 0) - coalesce(own.seen, 0)] AS seen, @INT[al.total - coalesce(own.n, 0)] AS total,
-@INT[least($most, al.total - coalesce(own.n, 0) - (al.before_bin + coalesce(inbin.seen, 0) - coalesce(own.seen, 0)))] AS shown FROM al LEFT JOIN inbin ON inbin.scope = al.scope AND inbin.usr = al.usr LEFT JOIN own ON own.scope = al.scope AND own.usr = al.usr""", bin=3600, most=50)
 _LINE = """CASE WHEN what = 'renamed' AND new_name <> '' THEN symbol || ' renamed to ' || new_name WHEN what = 'removed' THEN symbol || ' removed' WHEN sig_before <> '' AND sig_after <> '' AND sig_before <> sig_after THEN sig_before || ' to ' || sig_after
 WHEN what = 'added' AND sig_after <> '' THEN '+ ' || sig_after END"""
 rule("a23_latest_change", f"""WITH l AS (SELECT path, symbol, what, {_LINE} AS line, ts, row_number() OVER (PARTITION BY path, symbol, what ORDER BY seq DESC) AS r FROM act WHERE kind = 'edit_reported' AND usr <> $me AND ts >= $now - $since)
@@ -186,10 +180,6 @@ SELECT 'session' AS per, usr || ':' || session AS who, max_by(context, seq) AS c
 rule("a31_briefing", """WITH e AS (SELECT usr, path, max(CASE WHEN kind = 'intent_declared' THEN 1 ELSE 0 END) AS briefed, max(CASE WHEN kind = 'collision_returned' THEN 1 ELSE 0 END) AS named, max(CASE WHEN kind = 'check_performed' THEN 1 ELSE 0 END) AS read, max(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END) AS wrote FROM act GROUP BY usr, path),
 ended AS (SELECT usr, max_by(kind, seq) = 'intent_completed' OR $now - max(ts) > $idle AS done FROM act GROUP BY usr)
 SELECT e.usr, count_if(briefed = 1 AND wrote = 1 AND read = 1) AS needed, count_if(briefed = 1 AND wrote = 1 AND read = 0) AS hit, count_if(briefed = 1 AND wrote = 0 AND read = 1 AND ended.done) AS miss, count_if(briefed = 0 AND named = 1 AND wrote = 1) AS found FROM e JOIN ended ON ended.usr = e.usr GROUP BY e.usr""", idle=600)
-rule("a32_failures", """WITH t AS (SELECT path, seq, tokens AS bits, row_number() OVER (PARTITION BY path ORDER BY seq) AS run, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS back FROM act WHERE kind IN ('interface_verified', 'check_performed')),
-x AS (SELECT path, 'test_a' AS test, seq, run, back, bits % 2 AS bad FROM t UNION ALL SELECT path, 'test_b', seq, run, back, @INT[floor(bits / 2)] % 2 FROM t UNION ALL SELECT path, 'test_c', seq, run, back, @INT[floor(bits / 4)] % 2 FROM t),
-l AS (SELECT *, lag(bad) OVER (PARTITION BY path, test ORDER BY seq) AS before FROM x), f AS (SELECT path, test, max(CASE WHEN run = 1 THEN bad END) AS base, max(CASE WHEN back = 1 THEN bad END) AS bad, coalesce(max(CASE WHEN back = 1 THEN before END), 0) AS before, count_if(back < $last AND before IS NOT NULL AND before <> bad) AS flips FROM l GROUP BY path, test)
-SELECT path, test, CASE WHEN bad = 1 AND base = 0 AND before = 0 THEN 'newly_failing' WHEN bad = 1 AND before = 1 AND base = 0 THEN 'same_signature' WHEN bad = 1 THEN 'pre_existing' WHEN before = 1 THEN 'fixed' ELSE 'passing' END AS state, flips >= 2 AS alternating FROM f""", last=8)
 rule("a33_priced_saving", f"""WITH u AS (SELECT usr, session, seq, c1 + c3 AS context, CASE WHEN left(lower(model), 5) = 'alpha' THEN 15 WHEN left(lower(model), 4) = 'beta' THEN 5 ELSE 3 END AS rate, {_USED} AS used FROM act WHERE kind = 'edit_reported'),
 s AS (SELECT usr, session, max_by(context, seq) AS context, max_by(rate, seq) AS rate FROM u WHERE used > 0 AND session <> '' GROUP BY usr, session), p AS (SELECT usr, max_by(context, seq) AS context, max_by(rate, seq) AS rate FROM u WHERE used > 0 GROUP BY usr)
 SELECT g.seq, g.usr, g.tokens % 5 AS messages, (g.tokens % 5) * coalesce(s.context, p.context, 0) AS saved, (g.tokens % 5) * coalesce(s.context, p.context, 0) * coalesce(s.rate, p.rate, 3) AS tenth_micro_usd
@@ -250,18 +240,12 @@ FROM j LEFT JOIN dep_of d1 ON d1.usr = $mine AND d1.ref = j.symbol LEFT JOIN dep
 SELECT path, symbol, verdict FROM f WHERE verdict IS NOT NULL UNION ALL SELECT -1 AS path, 'overall' AS symbol, CASE WHEN count_if(verdict = 'FAIL') > 0 THEN 'FAIL' WHEN count_if(verdict = 'UNKNOWN') > 0 THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM f""", mine=0, theirs=1)
 _OPEN = """closed AS (SELECT DISTINCT intent_id FROM act WHERE kind IN ('intent_completed', 'intent_abandoned') AND intent_id <> ''), declared AS (SELECT intent_id, scope, usr AS owner, session, path, symbol, new_name, ts, seq, CASE k % 5 WHEN 0 THEN 'extract' WHEN 1 THEN 'rename' WHEN 2 THEN 'add_param' WHEN 3 THEN 'delete' ELSE '' END AS op FROM act WHERE kind = 'intent_declared' AND intent_id <> ''),
 intents AS (SELECT d.* FROM declared d WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE c.intent_id = d.intent_id) AND $now - d.ts <= $life)"""
-rule("j5_predicted", f"""WITH {_OPEN}, nm AS (SELECT DISTINCT seq, owner, op, symbol AS name FROM intents UNION SELECT DISTINCT seq, owner, op, new_name AS name FROM intents WHERE op = 'rename' AND new_name <> ''), mine AS (SELECT * FROM nm WHERE owner = $me),
-sh AS (SELECT DISTINCT mine.seq AS mine, t.seq AS theirs, mine.op AS op1, t.op AS op2 FROM mine JOIN nm t ON t.name = mine.name AND t.owner <> $me)
-SELECT mine, theirs, CASE WHEN op1 = '' OR op2 = '' OR op1 = 'extract' OR op2 = 'extract' THEN 'UNKNOWN' ELSE 'CONFLICT' END AS verdict FROM sh""", me="u9", life=7200)
 rule("j10_recipients", f"""WITH {_OPEN}, anchor AS (SELECT DISTINCT path, 'p' || k AS node FROM act WHERE path = $path), near AS (SELECT path FROM anchor UNION SELECT x.path FROM anchor JOIN dep ON dep.dst = anchor.node AND dep.src <> dep.dst JOIN (SELECT DISTINCT path, 'p' || k AS node FROM act) x ON x.node = dep.src),
 w AS (SELECT owner AS usr FROM intents WHERE EXISTS (SELECT 1 FROM near WHERE near.path = intents.path) UNION SELECT usr FROM act WHERE kind = 'edit_reported' AND ts >= $now - 86400 AND EXISTS (SELECT 1 FROM near WHERE near.path = act.path))
 SELECT usr FROM w WHERE usr <> '' AND lower(usr) <> lower($me) ORDER BY usr LIMIT $most""", path="d1/f9.py", me="u1", most=10, life=7200)
 _COPIES = "cp AS (SELECT usr, session, path, max_by(hash_after, seq) AS hash, max(ts) AS copied_at, max_by(CASE WHEN kind = 'edit_reported' THEN 1 ELSE 0 END, seq) AS wrote FROM act WHERE kind IN ('edit_reported', 'check_performed') AND session <> '' GROUP BY usr, session, path)"
 rule("j15_behind", f"""WITH {_COPIES}, w AS (SELECT path, usr, session, hash_after AS hash, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM act WHERE kind = 'edit_reported') t WHERE r = 1 AND $now - ts <= $live)
 SELECT cp.usr, cp.session, cp.path, w.usr AS author, round($now - w.ts, 1) AS age FROM cp JOIN w ON w.path = cp.path WHERE NOT (w.usr = cp.usr AND w.session = cp.session) AND substr(w.usr, length(w.usr), 1) <> substr(cp.usr, length(cp.usr), 1) AND cp.hash <> w.hash AND NOT (cp.wrote = 1 AND cp.copied_at > w.ts)""", live=1800)
-rule("j16_covering_intent", """WITH i AS (SELECT seq, usr, path, symbol, ts FROM act WHERE kind = 'intent_declared'), e AS (SELECT seq, usr, path, symbol, ts FROM act WHERE kind = 'edit_reported'),
-m AS (SELECT e.seq, i.seq AS intent FROM e JOIN i ON i.usr = e.usr AND i.path = e.path WHERE i.ts <= e.ts AND e.ts - i.ts <= $life UNION SELECT e.seq, i.seq AS intent FROM e JOIN i ON i.usr = e.usr AND i.symbol = e.symbol WHERE i.ts <= e.ts AND e.ts - i.ts <= $life)
-SELECT seq, min(intent) AS intent FROM m GROUP BY seq""", life=7200)
 rule("j17_blockers", f"""WITH {_OPEN}, g AS (SELECT DISTINCT scope, path, symbol FROM act WHERE usr = $me AND kind = 'edit_reported'), ot AS (SELECT * FROM intents WHERE owner <> $me),
 x AS (SELECT owner AS usr, 'path' AS why FROM ot WHERE EXISTS (SELECT 1 FROM g WHERE g.scope = ot.scope AND g.path = ot.path) UNION SELECT owner, 'operation' FROM ot WHERE op <> '' AND EXISTS (SELECT 1 FROM g WHERE g.scope = ot.scope AND g.symbol = ot.symbol)
 UNION SELECT usr, 'hot' FROM act WHERE kind = 'gate_block' AND usr <> $me AND $now - ts <= $hot AND EXISTS (SELECT 1 FROM g WHERE g.scope = act.scope AND g.path = act.path)) SELECT usr, @SS[why] AS why FROM x GROUP BY usr""", me="u3", life=7200, hot=900)
@@ -322,7 +306,7 @@ SELECT f.seq, f.scope, f.fact, coalesce(al.also_on, '') AS also_on, t.total AS t
 rule("o7_why", """WITH e AS (SELECT * FROM act WHERE kind = 'edit_reported' AND path = $path AND ($symbol = '' OR symbol = $symbol OR new_name = $symbol)), ids AS (SELECT DISTINCT intent_id FROM e WHERE intent_id <> ''), r AS (SELECT * FROM act WHERE kind = 'intent_completed' AND why <> '' AND (EXISTS (SELECT 1 FROM ids WHERE ids.intent_id = act.intent_id) OR ($symbol <> '' AND symbol = $symbol))),
 n AS (SELECT * FROM act WHERE kind IN ('rationale', 'override') AND path = $path AND ($symbol = '' OR symbol = $symbol)), c AS (SELECT seq, ts, 'edit' AS sort, usr, symbol AS detail FROM e UNION ALL SELECT seq, ts, 'rationale', usr, why FROM r
 UNION ALL SELECT seq, ts, CASE WHEN kind = 'override' THEN 'scar' ELSE 'rationale' END, usr, why FROM n WHERE NOT (kind = 'rationale' AND EXISTS (SELECT 1 FROM r WHERE r.intent_id = n.intent_id AND r.intent_id <> '')))
-SELECT seq, ts, sort, usr, detail FROM c ORDER BY ts DESC, seq DESC LIMIT $limit""", path="d2/f42.py", symbol="", limit=40)
+SELECT seq, ts, sort, usr, detail FROM (SELECT * FROM c ORDER BY ts DESC, seq DESC LIMIT $limit) l ORDER BY ts, seq""", path="d2/f42.py", symbol="", limit=40)
 rule("o8_briefing_rank", """WITH s AS (SELECT path, @INT[sum(CASE WHEN symbol = $symbol AND kind = 'edit_reported' THEN 6 WHEN instr(path, $word) > 0 THEN 4 WHEN why <> '' AND instr(why, $topic) > 0 THEN 3 ELSE 0 END)] AS strong, count_if(kind = 'edit_reported') AS weak, max(ts) AS recent FROM act WHERE usr <> $me GROUP BY path),
 c AS (SELECT path, strong + least(weak, $weak) AS score, recent FROM s WHERE strong + least(weak, $weak) >= $least) SELECT path, score, recent FROM c ORDER BY score DESC, recent DESC, path LIMIT $limit""", me="u1", symbol="Ledger", word="f4", topic="42", weak=2, least=3, limit=25)
 rule("o13_roster", """WITH l AS (SELECT usr, max(ts) AS last_ts, max_by(path, seq) AS path FROM act WHERE scope = $scope AND usr <> $me GROUP BY usr) SELECT usr, path, round($now - last_ts, 1) AS age FROM l WHERE $now - last_ts <= $live ORDER BY last_ts DESC, usr LIMIT $most""", scope="ws:r1", me="u1", live=1800, most=5)
@@ -334,10 +318,13 @@ SELECT seq, from_repo FROM v ORDER BY CASE WHEN scope = $scope THEN 0 ELSE 1 END
 rule("f2_usage", f"SELECT seq, {_USED} AS used FROM act")
 rule("f5_truthy", """SELECT seq, v, CASE WHEN v IS NULL OR v IN ('null', 'false', '""', '[]', '{}') THEN false WHEN regexp_extract(v, '^(-?0+([.]0*)?([eE][-+]?[0-9]+)?)$', 1) <> '' THEN false ELSE true END AS truthy
 FROM (SELECT seq, CASE k % 12 WHEN 0 THEN '0' WHEN 1 THEN '[]' WHEN 2 THEN '""' WHEN 3 THEN '{}' WHEN 4 THEN 'null' WHEN 5 THEN 'false' WHEN 6 THEN '-0.0' WHEN 7 THEN '0e5' WHEN 8 THEN NULL WHEN 9 THEN '"0"' WHEN 10 THEN '[0]' ELSE '' || tokens END AS v FROM act) t""")
-_RAW = "(SELECT DISTINCT root || CASE k % 4 WHEN 0 THEN '/./x/../' WHEN 1 THEN '//' WHEN 2 THEN '/y/z/../../' ELSE '/' END || 'f' || k || CASE k % 5 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '' ELSE '.py' END AS path FROM act) t"
-_NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '/+', '/'), '/[.]/', '/'), '[^/.]+/[.][.]/', ''), '[^/.]+/[.][.]/', '')"
-pair("f8_paths", f"SELECT path, {_NORM} AS normal, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/.]([.][^./]*)$', 1) AS ext, concat('base/', regexp_extract(path, '([^/]*)$', 1)) AS joined FROM {_RAW}",
-    f"SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/[.]/', '/', 'g'), '[^/.]+/[.][.]/', '', 'g'), '[^/.]+/[.][.]/', '', 'g') AS normal, CASE WHEN instr(path, '/') > 0 THEN array_to_string(string_split(path, '/')[:-2], '/') ELSE '' END AS dir, CASE WHEN instr(string_split(path, '/')[-1], '.') > 1 THEN '.' || string_split(path, '.')[-1] ELSE '' END AS ext, 'base/' || string_split(path, '/')[-1] AS joined FROM {_RAW}")
+_RAW = """(SELECT DISTINCT CASE WHEN k % 3 = 0 THEN '/' ELSE '' END || root || CASE k % 7 WHEN 0 THEN '/./x/../' WHEN 1 THEN '//' WHEN 2 THEN '/y/z/../../' WHEN 3 THEN '/a/b/c/../../../../../' WHEN 4 THEN '/../..' || '/../u/' WHEN 5 THEN '/./././' ELSE '/' END || CASE WHEN k % 41 = 0 THEN '..' ELSE 'f' || k || CASE k % 5 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '' ELSE '.py' END END AS path FROM act) t"""
+# A path's parts are folded: ``..`` takes the part before it, stays where there is
+# none, and is nothing at the root.
+_NORM = """array_join(aggregate(split(path, '/'), CAST(array() AS ARRAY<STRING>), (acc, x) -> CASE WHEN x IN ('', '.') THEN acc WHEN x <> '..' THEN array_append(acc, x) WHEN size(acc) > 0 AND acc[size(acc) - 1] <> '..' THEN slice(acc, 1, size(acc) - 1) WHEN left(path, 1) = '/' THEN acc ELSE array_append(acc, '..') END), '/')"""
+_DUCK_NORM = """list_reduce(string_split(path, '/'), lambda acc, x: CASE WHEN x IN ('', '.') THEN acc WHEN x <> '..' THEN CASE WHEN acc = '' THEN x ELSE acc || '/' || x END WHEN acc = '' THEN CASE WHEN path[1] = '/' THEN '' ELSE '..' END WHEN acc = '..' OR right(acc, 3) = '/..' THEN acc || '/..' ELSE regexp_replace(acc, '/?[^/]+$', '') END, '')"""
+pair("f8_paths", f"SELECT path, CASE WHEN left(path, 1) = '/' THEN '/' || norm WHEN norm = '' THEN '.' ELSE norm END AS normal, dir, ext, joined FROM (SELECT path, {_NORM} AS norm, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '[^/.]([.][^./]*)$', 1) AS ext, concat('base/', regexp_extract(path, '([^/]*)$', 1)) AS joined FROM {_RAW}) u",
+    f"SELECT path, CASE WHEN path[1] = '/' THEN '/' || norm WHEN norm = '' THEN '.' ELSE norm END AS normal, dir, ext, joined FROM (SELECT path, {_DUCK_NORM} AS norm, CASE WHEN instr(path, '/') > 0 THEN array_to_string(string_split(path, '/')[:-2], '/') ELSE '' END AS dir, CASE WHEN instr(string_split(path, '/')[-1], '.') > 1 THEN '.' || string_split(path, '.')[-1] ELSE '' END AS ext, 'base/' || string_split(path, '/')[-1] AS joined FROM {_RAW}) u")
 pair("f12_name_lines", """WITH x AS (SELECT doc_id, pos + 1 AS line_no, explode(array_distinct(regexp_extract_all(l, '[A-Za-z_][A-Za-z0-9_]*', 0))) AS name FROM line), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no) AS n FROM x WHERE length(name) >= $shortest)
 SELECT doc_id, name, array_join(array_sort(collect_list(line_no)), ',') AS lines FROM r WHERE n <= $most GROUP BY doc_id, name""",
     """WITH x AS (SELECT doc_id, pos + 1 AS line_no, unnest(list_distinct(regexp_extract_all(l, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM line), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no) AS n FROM x WHERE length(name) >= $shortest)
@@ -356,10 +343,10 @@ SELECT conv_id, turn, CASE WHEN length(plain) <= $most THEN plain WHEN instr(rev
 rule("f23_sequence_name", """SELECT raw, CASE WHEN regexp_extract(replace(trim(raw), chr(92), '/'), '^(?:[.]/)*/*(.*)$', 1) = '' THEN NULL ELSE regexp_extract(replace(trim(raw), chr(92), '/'), '^(?:[.]/)*/*(.*)$', 1) END AS sequence
 FROM (SELECT DISTINCT CASE k % 6 WHEN 0 THEN ' ./' || root || '/seq ' WHEN 1 THEN '././' || root WHEN 2 THEN '//' || path WHEN 3 THEN '  ' WHEN 4 THEN root || chr(92) || 'm' || chr(92) || k ELSE './' END AS raw FROM act) t""")
 #: What a test run looks like, and what it prints.
-RUNS = r"(^|[ ;&|(])(pytest|py\.test|python3? -m (pytest|unittest)|npm (run )?test|yarn test|pnpm (run )?test|npx (jest|vitest)|jest|vitest|cargo test|go test|rspec|mvn test|gradle test|\./gradlew test|phpunit|dotnet test|mix test)\b"
-FAILS = r"(?m)(\b[1-9][0-9]* (failed|errors?)\b|^FAILED\b|^FAIL\b|test result: FAILED|Traceback \(most recent call last\)|panicked at)"
-PASSES = r"(?m)(\b[0-9]+ passed\b|test result: ok\.|^ok\s+\S|Tests:\s+[0-9]+ passed|\bOK \([0-9]+ tests?\)|^OK$)"
-_RUN = """(SELECT seq, CASE k % 6 WHEN 0 THEN 'pytest -q tests' WHEN 1 THEN 'cd x && go test ./...' WHEN 2 THEN 'ls tests' WHEN 3 THEN 'npm run test' WHEN 4 THEN 'cargo testify' ELSE 'make; cargo test' END AS command,
+RUNS = r"(?:^|[\s;&|(])(?:pytest|py\.test|python3? -m (?:pytest|unittest)|npm (?:run )?test|yarn test|pnpm (?:run )?test|npx (?:jest|vitest)|jest|vitest|cargo test|go test|rspec|mvn test|gradle test|\./gradlew test|phpunit|dotnet test|mix test)\b"
+FAILS = r"(?m)\b[1-9]\d* (?:failed|errors?)\b|^FAILED\b|^FAIL\b|test result: FAILED|Traceback \(most recent call last\)|panicked at"
+PASSES = r"(?m)\b\d+ passed\b|test result: ok\.|^ok\s+\S|Tests:\s+\d+ passed|\bOK \(\d+ tests?\)|^OK$"
+_RUN = """(SELECT seq, CASE k % 6 WHEN 0 THEN 'pytest -q tests' WHEN 1 THEN 'cd x && go test ./...' WHEN 2 THEN 'ls tests' WHEN 3 THEN 'npm run test' WHEN 4 THEN CASE WHEN k % 4 = 0 THEN 'cargo testify' ELSE 'make' || chr(10) || 'vitest' END ELSE 'make;' || chr(9) || 'cargo test' END AS command,
 CASE tokens % 7 WHEN 0 THEN '12 passed in 3s' WHEN 1 THEN '2 failed, 10 passed' WHEN 2 THEN 'ok  pkg/a 0.3s' WHEN 3 THEN '0 failed, 9 passed' WHEN 4 THEN 'compiling' || chr(10) || 'FAIL pkg/b' WHEN 5 THEN 'OK (5 tests)' ELSE 'nothing here' END AS output, tokens % 11 = 0 AS failed FROM act WHERE kind = 'check_performed') r"""
 pair("f26_verdict", f"""SELECT seq, CASE WHEN NOT regexp_like(command, r"{RUNS}") THEN 'unknown' WHEN failed THEN 'false' WHEN regexp_like(output, r"{FAILS}") THEN 'false' WHEN regexp_like(output, r"{PASSES}") THEN 'true' ELSE 'unknown' END AS verdict FROM {_RUN}""",
     f"""SELECT seq, CASE WHEN NOT regexp_matches(command, '{RUNS}') THEN 'unknown' WHEN failed THEN 'false' WHEN regexp_matches(output, '{FAILS}') THEN 'false' WHEN regexp_matches(output, '{PASSES}') THEN 'true' ELSE 'unknown' END AS verdict FROM {_RUN}""")
