@@ -226,7 +226,7 @@ def _edits(min_words: int):
     keys = ["id", "k"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in common.whole_groups(batches, keys):
+        for part in common.whole_groups(batches, keys, rows=1 << 13):
             out = []
             cols = [part[c].tolist() for c in ("id", "k", "fid", "fk", "ord", "ford", "once", "words", "pos")]
             n, a = len(part), 0
