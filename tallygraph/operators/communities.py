@@ -1,16 +1,15 @@
 """Communities and connected groups, in rounds of joins.
 
-A graph of a checked size is searched by one task.  Beyond it no task holds the
-graph: a round of local moving is two aggregations and two equi-joins, with
-labels cut to the checkpoint folder.  Where a sequential
-search moves one node at a time, here a random half of the nodes moves at once,
-so that neighbours do not swap places for ever; membership may thus differ,
-and what is promised is the modularity and that every node has a community.
+No task holds the graph, whatever its size: a round of local moving is two
+aggregations and two equi-joins, with labels cut to the checkpoint folder.  Where
+a sequential search moves one node at a time, here a random half of the nodes
+moves at once, so that neighbours do not swap places for ever; membership may
+thus differ, and what is promised is the modularity and that every node has a
+community.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,125 +60,28 @@ def _sweeps(e: DataFrame, total: float, sweeps: int, salt: int) -> DataFrame:
     return labels.select("node", "c")
 
 
-#: Edges up to which one task searches the whole graph, node by node (about 200
-#: bytes each); beyond that the search goes in rounds of joins.
-LOCAL_EDGES = 500_000
-#: Sweeps of a level and levels of the search in one task, and its seed.
-SWEEPS, LEVELS, SEED = 32, 24, 7
-
-
-class Shift:
-    """The xorshift64* generator."""
-
-    def __init__(self, seed: int) -> None:
-        self.x = seed or 1
-
-    def below(self, n: int) -> int:
-        x = self.x
-        x ^= x >> 12
-        x ^= x << 25 & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 27
-        self.x = x
-        return (x * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF) % n
-
-
-def moved(near: list[dict[int, float]], rng: Shift) -> list[int]:
-    """Labels after moving one node at a time to the neighbouring community of
-    the largest gain, the lower label on a tie, until a sweep moves none.
-    ``near``: neighbours and weights; a node's own entry holds twice its inner
-    weight."""
-    n = len(near)
-    degree = [sum(x.values()) for x in near]
-    total, label, held = sum(degree), list(range(n)), degree[:]
-    order = list(range(n))
-    for i in range(n - 1, 0, -1):
-        j = rng.below(i + 1)
-        order[i], order[j] = order[j], order[i]
-    for _ in range(SWEEPS):
-        changed = False
-        for v in order:
-            own, weight = label[v], {}
-            for u, w in near[v].items():
-                if u != v:
-                    weight[label[u]] = weight.get(label[u], 0.0) + w
-            held[own] -= degree[v]
-            share = degree[v] / total
-            best, gain = own, weight.get(own, 0.0) - held[own] * share
-            for c in sorted(weight):
-                g = weight[c] - held[c] * share
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            held[best] += degree[v]
-            if best != own:
-                label[v], changed = best, True
-        if not changed:
-            break
-    return label
-
-
-def search(a: list, b: list, w: list) -> dict:
-    """Community of each node of a graph that fits in one task; a community goes
-    by its least node."""
-    names = sorted({*a, *b})
-    at = {x: i for i, x in enumerate(names)}
-    near: list[dict[int, float]] = [{} for _ in names]
-    for x, y, weight in zip(a, b, w):
-        i, j = at[x], at[y]
-        near[i][j] = near[i].get(j, 0.0) + weight
-        near[j][i] = near[j].get(i, 0.0) + weight
-    member, rng = list(range(len(names))), Shift(SEED)
-    for _ in range(LEVELS):
-        label = moved(near, rng)
-        kept = {c: i for i, c in enumerate(sorted(set(label)))}
-        if len(kept) == len(near):
-            break
-        label = [kept[c] for c in label]
-        member = [label[m] for m in member]
-        merged: list[dict[int, float]] = [{} for _ in kept]
-        for v, x in enumerate(near):
-            for u, weight in x.items():
-                merged[label[v]][label[u]] = merged[label[v]].get(label[u], 0.0) + weight
-        near = merged
-    first: dict[int, str] = {}
-    for x, m in zip(names, member):
-        first.setdefault(m, x)
-    return {x: first[m] for x, m in zip(names, member)}
-
-
-def louvain(edges: DataFrame, sweeps: int = 6, levels: int = 3, local: int = LOCAL_EDGES) -> DataFrame:
-    """(node, community) of undirected weighted edges (a, b, w).  An empty graph
-    has no communities; null ends and weights of 0 or less are left out.  A
-    graph of at most ``local`` edges is searched by one task, a larger one in
-    rounds; what is promised of both is the modularity, not the membership."""
-    if local:
-        few = _cut(edges.where("a is not null and b is not null and w > 0").select(F.least("a", "b").cast("string").alias("a"), F.greatest("a", "b").cast("string").alias("b"), F.col("w").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
-        if few.count() <= local:
-
-            def run(batches):
-                parts = list(batches)  # at most ``local`` edges
-                cols = [[x for part in parts for x in part[c].tolist()] for c in ("a", "b", "w")]
-                found = search(*cols)
-                yield pd.DataFrame(list(found.items()), columns=["node", "community"])
-
-            return few.coalesce(1).mapInPandas(run, "node string, community string")
-        edges = few
+def louvain(edges: DataFrame, nodes: DataFrame | None = None, sweeps: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+    """(node, community) of undirected weighted edges (a, b, w); ``nodes``
+    (node) adds those without an edge, each a community of its own.  Null ends
+    and weights of 0 or less are left out; a larger ``resolution`` gives smaller
+    communities.  What is promised is the modularity, not the membership."""
     e = edges.where("a is not null and b is not null and w > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("w").cast("double")).alias("w"))
     # each edge in both directions; a self edge once, at twice its weight
     e = _cut(e.where("a <> b").union(e.where("a <> b").select("b", "a", "w")).union(e.where("a = b").selectExpr("a", "b", "2 * w")))
     total = e.agg(F.sum("w")).first()[0]
-    nodes = e.select(F.col("a").alias("node")).distinct()
-    out = nodes.select("node", F.col("node").alias("community"))
+    out = e.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community"))
+    alone = None if nodes is None else nodes.select("node").where("node is not null").distinct().join(out.select("node"), "node", "left_anti").select("node", F.col("node").alias("community"))
     if not total:
-        return out
+        return out if alone is None else out.union(alone)
     for level in range(levels):
-        labels = _sweeps(e, total, sweeps, level)
+        labels = _sweeps(e, total / resolution, sweeps, level)
         out = _cut(out.join(labels.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")))
         a, b = labels.select(F.col("node").alias("a"), F.col("c").alias("ca")), labels.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         merged = _cut(e.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
         if merged.select("a").distinct().count() == e.select("a").distinct().count():
             break
         e = merged
-    return out
+    return out if alone is None else out.union(alone)
 
 
 def name_communities(members: DataFrame, edges: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -197,13 +99,32 @@ def name_communities(members: DataFrame, edges: DataFrame, dirs: DataFrame) -> D
     return named.select("community", "size", name.alias("name"), "hub", (F.col("idx") + 1).alias("place"))
 
 
-def work_groups(units: DataFrame) -> DataFrame:
-    """(unit, grp): units (unit long, file) that share files directly or through
-    others; a group goes by its least unit."""
-    # every unit of a file is tied to the file's least unit: as many links as rows
-    first = units.groupBy("file").agg(F.min("unit").alias("a"))
-    links = units.join(first, "file").select("a", F.col("unit").alias("b"))
-    return components(links).select(F.col("node").alias("unit"), F.col("component").alias("grp"))
+def work_groups(impact: DataFrame, transforms: DataFrame) -> DataFrame:
+    """(unit, grp, place) of units (long) that share a file of ``impact`` (unit,
+    file) or a transform of ``transforms`` (unit, op, symbol), directly or
+    through others.  A group goes by its least unit, and ``place`` numbers the
+    groups from 1 in that order.  Units of one table only, and those that share
+    nothing, are groups too; an empty operation or symbol is no transform."""
+    named = transforms.where("coalesce(op, '') <> '' and coalesce(symbol, '') <> ''")
+    edges = impact.select("unit", F.struct(F.lit("").alias("op"), F.col("file").alias("name")).alias("edge")).union(named.select("unit", F.struct("op", F.col("symbol").alias("name"))))
+    # every unit of a file or transform is tied to its least unit: as many links as rows
+    first = edges.groupBy("edge").agg(F.min("unit").alias("a"))
+    links = edges.join(first, "edge").select("a", F.col("unit").alias("b")).union(transforms.select("unit", "unit"))
+    groups = _cut(components(links).select(F.col("node").alias("unit"), F.col("component").alias("grp")))
+    placed = numbered(groups.select("grp").distinct(), "grp").select("grp", (F.col("idx") + 1).alias("place"))
+    return groups.join(placed, "grp").select("unit", "grp", "place")
+
+
+def work_plan(impact: DataFrame, transforms: DataFrame) -> DataFrame:
+    """(place, grp, units, files, why), one row per group: how many units and
+    files it has and why they are one: a file that two of them share, else one
+    transform, else the unit is alone."""
+    groups = _cut(work_groups(impact, transforms))
+    held = impact.join(groups, "unit").groupBy("grp", "file").agg(F.count_distinct("unit").alias("n"))
+    files = held.groupBy("grp").agg(F.count("*").alias("files"), F.max("n").alias("most"))
+    sized = groups.groupBy("grp", "place").agg(F.count("*").alias("units")).join(files, "grp", "left")
+    why = F.when(F.col("most") > 1, "shared impact").when(F.col("units") > 1, "same transform").otherwise("independent")
+    return sized.select("place", "grp", "units", F.coalesce("files", F.lit(0)).alias("files"), why.alias("why"))
 
 
 def forward_slice(edges: DataFrame, start: str, refs: int = 20, dependents: int = 25) -> DataFrame:
@@ -218,25 +139,40 @@ def _part_graph(s, d):
     return spark_sql(s, d, "SELECT src AS a, dst AS b, CAST(count(*) AS DOUBLE) AS w FROM dep WHERE src <> dst GROUP BY src, dst")
 
 
-def _units(s, d):
-    # runs of 40 parts are chained through files of ten parts and a shared one
-    return s.sql(f"""SELECT p_partkey AS unit, concat('b', CAST(floor(p_partkey / 10) AS STRING)) AS file FROM parquet.`{d}/part.parquet`
-UNION ALL SELECT p_partkey, concat('s', CAST(floor(p_partkey / 40) AS STRING)) FROM parquet.`{d}/part.parquet` WHERE p_partkey % 10 = 0""")
+#: Declared intents of the ledger as units of work; some name a transform.
+_TRANSFORMS = "SELECT seq AS unit, CASE WHEN k % 3 = 0 THEN CASE k % 4 WHEN 0 THEN 'rename' WHEN 1 THEN 'extract' ELSE 'delete' END ELSE '' END AS op, CASE WHEN tokens % 4 = 1 THEN '' ELSE 'sym' || ((k * 7 + tokens) % 400) END AS symbol FROM act WHERE kind = 'intent_declared'"
+#: The file that a unit names, by month of the stored time, and one that depends on it.
+_IMPACT = """WITH u AS (SELECT seq, k, @INT[floor(seq / 900)] AS era FROM act WHERE kind = 'intent_declared' AND k % 5 < 4)
+SELECT seq AS unit, 'f' || k || '@' || era AS file FROM u UNION ALL SELECT u.seq AS unit, 'f' || substr(dep.src, 2) || '@' || u.era AS file FROM u JOIN dep ON dep.dst = 'p' || u.k AND dep.src <> dep.dst WHERE dep.kind = 'inherits'"""
+
+
+def _work(s, d) -> tuple[DataFrame, DataFrame]:
+    return spark_sql(s, d, _IMPACT), spark_sql(s, d, _TRANSFORMS)
+
+
+def _part_nodes(s, d) -> DataFrame:
+    return s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
 
 
 def _named(s, d):
     g = _cut(_part_graph(s, d))
     dirs = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_brand").alias("dir"))
-    return name_communities(louvain(g), g, dirs)
+    return name_communities(louvain(g, _part_nodes(s, d)), g, dirs)
 
 
 QUERIES = {
-    "g9_louvain": lambda s, d: louvain(_part_graph(s, d)),
+    "g9_louvain": lambda s, d: louvain(_part_graph(s, d), _part_nodes(s, d)),
     "g10_named_communities": _named,
-    "g14_work_groups": lambda s, d: work_groups(_units(s, d)),
+    "g14_work_groups": lambda s, d: work_groups(*_work(s, d)),
+    "g14_work_plan": lambda s, d: work_plan(*_work(s, d)),
     "g18_forward_slice": lambda s, d: forward_slice(view(s, d, "dep"), "p120"),
 }
+#: Reachability by definition: what a unit reaches through what it shares.
+_REACH = f"""WITH RECURSIVE i AS ({_IMPACT.replace("WITH u AS", "WITH u AS MATERIALIZED")}), t AS ({_TRANSFORMS}), l AS MATERIALIZED (SELECT DISTINCT a.unit AS a, b.unit AS b FROM i a JOIN i b ON a.file = b.file WHERE a.unit <> b.unit UNION SELECT a.unit, b.unit FROM t a JOIN t b ON a.op = b.op AND a.symbol = b.symbol AND a.op <> '' AND a.symbol <> '' AND a.unit <> b.unit),
+r AS (SELECT unit AS n, unit AS m FROM t UNION SELECT r.n, l.b AS m FROM r JOIN l ON l.a = r.m), g AS (SELECT n AS unit, min(m) AS grp FROM r GROUP BY n)"""
 ORACLE = {
-    "g14_work_groups": "SELECT p_partkey AS unit, CAST(floor(p_partkey / 40) * 40 AS BIGINT) AS grp FROM part",
+    "g14_work_groups": f"{_REACH} SELECT g.unit, g.grp, p.place FROM g JOIN (SELECT grp, row_number() OVER (ORDER BY grp) AS place FROM (SELECT DISTINCT grp FROM g) x) p ON p.grp = g.grp",
+    "g14_work_plan": f"""{_REACH}, z AS (SELECT g.grp, i.file, count(DISTINCT g.unit) AS n FROM g JOIN i ON i.unit = g.unit GROUP BY g.grp, i.file), s AS (SELECT grp, count(*) AS units FROM g GROUP BY grp), f AS (SELECT grp, count(*) AS files, max(n) AS most FROM z GROUP BY grp)
+SELECT row_number() OVER (ORDER BY s.grp) AS place, s.grp, s.units, coalesce(f.files, 0) AS files, CASE WHEN f.most > 1 THEN 'shared impact' WHEN s.units > 1 THEN 'same transform' ELSE 'independent' END AS why FROM s LEFT JOIN f ON f.grp = s.grp""",
     "g18_forward_slice": "SELECT * FROM (SELECT b.dst AS node, 1 AS hops, 'uses' AS side FROM dep b WHERE b.src = 'p120' UNION ALL SELECT c.dst, 2, 'uses' FROM dep b JOIN dep c ON c.src = b.dst WHERE b.src = 'p120') t UNION ALL SELECT * FROM (SELECT src AS node, 1 AS hops, 'used_by' AS side FROM dep WHERE dst = 'p120' ORDER BY src LIMIT 25) u",
 }

@@ -6,7 +6,6 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +14,15 @@ from ..functions.operations import conflicts, validated
 from ..functions.scanners import LANGUAGES
 from ..functions.text import patch_paths, prompt_identifiers, search_identifiers
 from ..sources.adapters import view
-from .folds import fit_budget
+from .folds import fit_budget, ordered_fold
 from .modules import parsed
 
 #: Seconds for which a claim that nobody filled holds its number.
 OPEN_SPAN = 3 * 86400.0
 #: Seconds for which a settled reconciliation is remembered.
 SETTLED_SPAN = 6 * 3600.0
+#: Fixed value of the rule: records kept of a path and user.
+MOST_RECORDS = 100
 
 
 def number_claims(claims: DataFrame, ask: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def claim_outcomes(claims: DataFrame, writes: DataFrame, span: float = OPEN_SPAN
     return first.select("scope", "dir", "number", "owner", "w.usr", "path", "w.seq", "status")
 
 
-def reconcile(state: dict, path: str, usr: str, reports) -> list[tuple]:
+def reconcile(state: dict, path: str, usr: str, reports, most: int | None = None) -> list[tuple]:
     """Folds the reports of one (path, usr) into ``state`` {id: record}.  A report
     is (seq, ts, findings), a finding {symbol, rule, change_ts, fix}, or (seq, ts,
     id) for a claim of the record ``id``; returns (seq, symbol, rule, what), what
@@ -70,7 +71,10 @@ def reconcile(state: dict, path: str, usr: str, reports) -> list[tuple]:
 
     What needs judgment is open until a report no longer shows its symbol; a
     drifted signature is settled by the next report after its claim.  A settled
-    record keeps the same change quiet, and is forgotten after a span."""
+    record keeps the same change quiet, and is forgotten after a span; of more
+    than ``most`` records those of the first ids are kept, so that a state is
+    bounded."""
+    most = MOST_RECORDS if most is None else most
     out: list[tuple] = []
     for seq, ts, body in reports:
         if isinstance(body, str):
@@ -96,6 +100,8 @@ def reconcile(state: dict, path: str, usr: str, reports) -> list[tuple]:
             if x["status"] == "open" and (acted or x["symbol"] not in shown):
                 x |= {"status": "resolved", "at": ts}
                 out.append((seq, x["symbol"], x["rule"], "resolved"))
+        for rid in sorted(state)[most:]:
+            del state[rid]
     return out
 
 
@@ -103,17 +109,26 @@ def reconciliation_id(path: str, symbol: str, rule: str, usr: str) -> str:
     return hashlib.sha1(f"{path}|{symbol}|{rule}|{usr}".encode()).hexdigest()[:12]
 
 
-def reconciliations(reports: DataFrame) -> DataFrame:
+def reconciliations(reports: DataFrame, most: int | None = None) -> DataFrame:
     """``reconcile`` per (scope, path, usr) of rows (scope, path, usr, seq, ts,
-    body), body being the findings as JSON, or a JSON string for a claim.  One
-    key's reports are held in a task.  A null body is a report without findings."""
+    body), body being the findings as JSON, or a JSON string for a claim.  Rows
+    pass one by one in the order of ``seq``, so a task holds one key's records
+    and not its reports.  A null body is a report without findings."""
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        path, usr, seq, ts, body = row
+        return reconcile(state, path, usr, [(seq, ts, json.loads(body) if isinstance(body, str) else [])], most)
+
+    named = reports.withColumns({"of_path": F.col("path"), "of_usr": F.col("usr")})
+    return ordered_fold(named, ["scope", "path", "usr"], ["seq"], ["of_path", "of_usr", "seq", "ts", "body"], dict, step, "scope string, path string, usr string, seq long, symbol string, rule string, what string")
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        rows = reconcile({}, key[1], key[2], [(s, t, json.loads(b) if isinstance(b, str) else []) for s, t, b in zip(pdf["seq"], pdf["ts"], pdf["body"])])
-        return pd.DataFrame([(*key, *r) for r in rows], columns=["scope", "path", "usr", "seq", "symbol", "rule", "what"])
 
-    return reports.groupBy("scope", "path", "usr").applyInPandas(fold, "scope string, path string, usr string, seq long, symbol string, rule string, what string")
+def pending(reports: DataFrame) -> DataFrame:
+    """(scope, path, usr, symbol, rule, since): what was delivered and not
+    resolved since."""
+    told = reconciliations(reports).groupBy("scope", "path", "usr", "symbol", "rule")
+    last = told.agg(F.max(F.when(F.col("what") == "resolved", F.col("seq"))).alias("done"), F.max(F.when(F.col("what") == "delivered", F.col("seq"))).alias("since"))
+    return last.where(F.col("since").isNotNull() & (F.coalesce("done", F.lit(-1)) < F.col("since"))).drop("done")
 
 
 def blocks(lines: DataFrame, cap: int, budget: int) -> DataFrame:

@@ -28,10 +28,12 @@ def joined(a: Column, b: Column) -> Column:
 
 
 def normal(path: Column) -> Column:
-    """``path`` without empty parts and ``.``, ``..`` taken back."""
+    """``path`` without empty parts and ``.``, ``..`` taken back; a ``..`` with
+    nothing left to take back stays, so that such a path is outside."""
 
     def step(acc: Column, x: Column) -> Column:
-        back = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        own = (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+        back = F.when(own, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, x))
         return F.when((x == "") | (x == "."), acc).when(x == "..", back).otherwise(F.array_append(acc, x))
 
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

@@ -145,10 +145,6 @@ SELECT v.seq AS note, CASE WHEN later.newer IS NOT NULL AND v.k % 2 = 0 THEN 10
 FROM v JOIN kinds ON kinds.path = v.path AND kinds.symbol = v.symbol JOIN later ON later.seq = v.seq WHERE v.kind = 'rationale'""", window=2592000, refix=1800)
 
 # --- graph roll-ups ------------------------------------------------------------
-_CO = "co AS (SELECT 'p' || a.l_partkey AS a, 'p' || b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY a.l_partkey, b.l_partkey)"
-rule("a14_projection", f"""WITH {_CO}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE kind WHEN 'inherits' THEN 6 WHEN 'calls' THEN 4 WHEN 'uses_type' THEN 3 ELSE 2 END AS w FROM dep WHERE src <> dst UNION ALL SELECT least(a, b) AS a, greatest(a, b) AS b, 2 * n AS w FROM co),
-p AS (SELECT a, b, CAST(sum(w) AS DOUBLE) / 2 AS w FROM e GROUP BY a, b), s AS (SELECT 'p' || p_partkey AS node FROM part)
-SELECT a, b, w FROM p UNION ALL SELECT s.node AS a, '' AS b, 0.0 AS w FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = s.node) AND NOT EXISTS (SELECT 1 FROM p WHERE p.b = s.node)""")
 rule("a18_repo_map", """WITH f AS (SELECT path, root, regexp_extract(path, '[.]([a-z]+)$', 1) AS lang, usr, symbol FROM act WHERE kind = 'edit_reported'), ow AS (SELECT root, usr, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, usr) AS r FROM f GROUP BY root, usr),
 d AS (SELECT dst AS node, count(*) AS n FROM dep WHERE src <> dst GROUP BY dst ORDER BY n DESC, node LIMIT $hubs)
 SELECT 'language' AS part, lang AS item, count(DISTINCT path) AS n, '' AS who FROM f GROUP BY lang UNION ALL SELECT 'symbols', '', count(DISTINCT path || '::' || symbol), '' FROM f UNION ALL SELECT 'edges', kind, count(*), '' FROM dep WHERE src <> dst GROUP BY kind

@@ -87,6 +87,8 @@ FROM (SELECT event_id AS seq, ts AS ets, event_type AS etype, 'ws:r' || (user_id
   CASE p_size % 4 WHEN 0 THEN 'inherits' WHEN 1 THEN 'calls' WHEN 2 THEN 'uses_type' ELSE 'references' END AS kind FROM part WHERE p_partkey > 0""",
     ),
     "ps": ("SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS src, concat('s', CAST(l_suppkey AS STRING)) AS dst FROM lineitem", "SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem"),
+    # parts and the orders that hold them, a graph with many cycles
+    "bought": ("SELECT concat('p', CAST(l_partkey AS STRING)) AS src, concat('o', CAST(l_orderkey AS STRING)) AS dst FROM lineitem", "SELECT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem"),
     "kv": ("SELECT event_type AS bucket, concat('k', CAST(user_id AS STRING)) AS key, props AS value, unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS updated, event_id AS seq FROM events", "SELECT event_type AS bucket, 'k' || user_id AS key, props AS value, epoch_us(ts) / 1e6 AS updated, event_id AS seq FROM events"),
     "ws": ("SELECT CAST(o_custkey % 2 AS STRING) AS usr, CAST(o_custkey AS STRING) AS path, o_orderpriority AS symbol, o_orderstatus AS hash, o_orderkey AS seq FROM orders", "SELECT CAST(o_custkey % 2 AS VARCHAR) AS usr, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, o_orderstatus AS hash, o_orderkey AS seq FROM orders"),
     "word": ("SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) x AS pos, w", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents) t, unnest(range(1, len(l) + 1)) r(i)"),
@@ -118,6 +120,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, on whatever file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _expand(sql: str, marks: dict[str, str]) -> str:
     for name, text in marks.items():
         sql = re.sub(rf"@{name}\[([^\]]*)\]", text, sql)

@@ -68,6 +68,27 @@ def read_graph(text: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     return e.join(known, "src_path", "left").select("src", "dst", "kind", "src_path", F.coalesce("known", F.lit(False)).alias("skipped"))
 
 
+def import_graph(text: DataFrame, stored: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an import of JSON lines (value) does to a graph: the edges (src,
+    dst, kind, origin) of ``stored`` (src, dst, kind) and the new ones, and the
+    counts (what, n) of ``edges`` in the lines, those ``skipped`` because the
+    file of their source is in ``parsed`` (path), those ``known``, that is
+    already stored or named twice, the ``added`` and the ``lines`` that are no
+    edges.  Files that were parsed are better known than an import tells."""
+    found = read_graph(text, parsed)
+    fresh = found.where("not skipped").groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+    have = stored.select("src", "dst", "kind").distinct()
+    new = fresh.join(have, ["src", "dst", "kind"], "left_anti")
+    merged = have.select("src", "dst", "kind", F.lit("stored").alias("origin")).union(new.select("src", "dst", "kind", F.lit("imported")))
+    seen = found.agg(F.count("*").alias("edges"), F.count_if("skipped").alias("skipped"))
+    total, added = text.agg(F.count("*").alias("lines")), new.agg(F.count("*").alias("added"))
+    one = seen.crossJoin(total).crossJoin(added)  # one row each
+    counts = one.select(F.inline(F.array(*[F.struct(F.lit(what).alias("what"), n.alias("n")) for what, n in (
+        ("edges", F.col("edges")), ("skipped", F.col("skipped")), ("known", F.col("edges") - F.col("skipped") - F.col("added")), ("added", F.col("added")), ("lines", F.col("lines") - F.col("edges")),
+    )])))
+    return merged, counts
+
+
 def last_usage(spark: SparkSession, path: str) -> DataFrame:
     """(file, line): the last line with a ``usage`` entry among the final
     ``TAIL`` characters of each JSON-lines transcript; a first line that the cut
@@ -96,7 +117,30 @@ def _dispatched(s, d, forms) -> DataFrame:
     return out
 
 
+def _offered(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An export of all edges with names of symbols, a graph that holds every
+    third of them, and the files whose number ends in 4."""
+    dep = view(s, d, "dep").withColumn("k", F.substring("src", 2, 20).cast("long"))
+    file = F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".py"))
+    src = F.concat(file, F.when(F.col("k") % 3 == 0, "::").when(F.col("k") % 3 == 1, "#").otherwise(":"), "src")
+    other = F.when(F.col("kind") == "references", F.when(F.col("k") % 2 == 0, "Imports").otherwise("uses")).when(F.col("kind") == "inherits", "EXTENDS").otherwise(F.col("kind"))
+    edges = dep.select(src.alias("src"), "dst", other.alias("kind"), F.lit("extracted").alias("confidence"), F.lit(1.0).alias("weight"), "k", F.col("kind").alias("known"))
+    text = lines(edges.select(F.col("src").alias("id")), edges.select("src", "dst", "kind", "confidence", "weight"), "json")
+    text = text.union(edges.where("k % 10 = 0").select(F.lit("not a line of JSON"))).union(lines(edges.limit(0).select(F.col("src").alias("id")), edges.where("k % 5 = 1").select("src", "dst", "kind", "confidence", "weight"), "json"))
+    return text, edges.where("k % 3 = 0").select("src", "dst", F.col("known").alias("kind")), edges.where("k % 10 = 4").select(file.alias("path"))
+
+
+def _imported(s, d) -> DataFrame:
+    return import_graph(*_offered(s, d))[0]
+
+
+def _import_counts(s, d) -> DataFrame:
+    return import_graph(*_offered(s, d))[1]
+
+
 QUERIES = {
+    "s24_import": _imported,
+    "s24_import_counts": _import_counts,
     "s21_graph_json": lambda s, d: lines(*_graph(s, d), "json"),
     "s22_graphml": lambda s, d: lines(*_graph(s, d), "graphml"),
     "s23_cypher": lambda s, d: lines(*_graph(s, d), " Cypher "),
@@ -108,7 +152,9 @@ ORACLE = {
     "s21_graph_json": f"""SELECT '{{"type":"node","id":"' || node || '"}}' AS value FROM ({_N}) n UNION ALL SELECT '{{"type":"edge","src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '","confidence":"EXTRACTED"}}' AS value FROM dep""",
     "s22_graphml": f"""SELECT '<node id="' || node || '"/>' AS value FROM ({_N}) n UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="kind">' || kind || '</data></edge>' AS value FROM dep""",
     "s23_cypher": f"""SELECT 'MERGE (:Node {{id: ''' || node || '''}});' AS value FROM ({_N}) n UNION ALL SELECT 'MATCH (a:Node {{id: ''' || src || '''}}), (b:Node {{id: ''' || dst || '''}}) MERGE (a)-[:' || upper(kind) || ']->(b);' AS value FROM dep""",
-    "s25_export_dispatch": lambda s, d: _dispatched(s, d, (" JSON ", "GraphML", "cypher\t")),
     "s24_graph_import": "SELECT src, dst, kind FROM dep",
+    "s24_import": """SELECT 'f' || k || '.py' || CASE k % 3 WHEN 0 THEN '::' WHEN 1 THEN '#' ELSE ':' END || src AS src, dst, kind, CASE WHEN k % 3 = 0 THEN 'stored' ELSE 'imported' END AS origin FROM (SELECT *, CAST(substr(src, 2) AS BIGINT) AS k FROM dep) d WHERE k % 3 = 0 OR k % 10 <> 4""",
+    "s24_import_counts": """WITH d AS (SELECT CAST(substr(src, 2) AS BIGINT) AS k FROM dep), n AS (SELECT count(*) + count(*) FILTER (k % 5 = 1) AS edges, count(*) FILTER (k % 10 = 4) AS skipped, count(*) FILTER (k % 10 <> 4 AND k % 3 <> 0) AS added, count(*) + count(*) FILTER (k % 10 = 0) AS lines FROM d)
+SELECT 'edges' AS what, edges AS n FROM n UNION ALL SELECT 'skipped', skipped FROM n UNION ALL SELECT 'known', edges - skipped - added FROM n UNION ALL SELECT 'added', added FROM n UNION ALL SELECT 'lines', lines FROM n""",
 }
 ORACLE["s25_export_dispatch"] = f"""SELECT value, ' JSON ' AS form FROM ({ORACLE['s21_graph_json']}) a UNION ALL SELECT value, 'GraphML' AS form FROM ({ORACLE['s22_graphml']}) b UNION ALL SELECT value, 'cypher' || chr(9) AS form FROM ({ORACLE['s23_cypher']}) c"""

@@ -1,10 +1,8 @@
-"""Live state as streams: the event ring, the recent tail, working sets,
-presence, message hand-off and tripwires.
+"""Live state as streams: presence and tripwires.
 
 A step folds a key's rows into its state by ``seq`` and returns what it emits.
-Each state is bounded: by a count (ring, tail, history), by age (working set,
-messages) or by what is still open (wires).  Keys are a user or a path; the ring
-and the tail are per scope, as their rule is.
+Each state is bounded: by a count (history) or by what is still open (wires).
+Keys are a user or a path.
 """
 
 from __future__ import annotations
@@ -13,62 +11,8 @@ from pyspark.sql import DataFrame
 
 from .stateful import _rows, _stateful
 
-#: Fixed values of the rules: entries of the ring and seconds of silence after
-#: which it is empty; seconds and rows of the tail; seconds that a path stays in
-#: a working set; actions kept per user; seconds before and until a message may
-#: be taken.
-RING, RING_TTL = 100, 86_400
-TAIL_S, TAIL_ROWS = 3600, 50_000
-WORKING_S, HISTORY = 7200, 30
-GRACE_S, MAX_AGE_S = 20, 86_400
-
-
-def ring_step(state: dict, rows) -> list[tuple]:
-    """The newest ``RING`` events; a focus (check) replaces the one before it if
-    that is the same user's focus.  A block reads: (seq, held, oldest)."""
-    out, ring = [], state.setdefault("ring", [])
-    for seq, usr, kind, ts, _ in rows:
-        if ring and ts - state["last"] > RING_TTL:
-            ring.clear()
-        state["last"], focus = ts, kind == "check_performed"
-        if focus and ring and ring[-1][1] == usr and ring[-1][2]:
-            ring[-1] = [seq, usr, True]
-        else:
-            ring.append([seq, usr, focus])
-            del ring[:-RING]
-        if kind == "gate_block":
-            out.append((seq, len(ring), ring[0][0]))
-    return out
-
-
-def tail_step(state: list, rows) -> list[tuple]:
-    """Times of the last ``TAIL_S`` seconds, ``TAIL_ROWS`` at most.  A block
-    reads: (seq, held)."""
-    out = []
-    for seq, _, kind, ts, _ in rows:
-        state.append(ts)
-        old = 0
-        while state[old] < ts - TAIL_S:
-            old += 1
-        del state[:old]
-        del state[:-TAIL_ROWS]
-        if kind == "gate_block":
-            out.append((seq, len(state)))
-    return out
-
-
-def touch_step(state: dict, rows) -> list[tuple]:
-    """Paths that a user read or wrote within ``WORKING_S`` seconds; a write
-    sticks while the path stays.  A check reads: (seq, path, wrote)."""
-    out = []
-    for seq, _, kind, ts, path in rows:
-        for p in [p for p, (last, _) in state.items() if ts - last > WORKING_S]:
-            del state[p]
-        if kind in ("edit_reported", "check_performed"):
-            state[path] = [ts, state.get(path, [0, False])[1] or kind == "edit_reported"]
-            if kind == "check_performed":
-                out.append((seq, path, state[path][1]))
-    return out
+#: Fixed value of the rule: actions kept per user.
+HISTORY = 30
 
 
 def presence_step(state: dict, rows) -> list[tuple]:
@@ -85,21 +29,6 @@ def presence_step(state: dict, rows) -> list[tuple]:
     return out
 
 
-def hand_off_step(state: list, rows) -> list[tuple]:
-    """Messages (blocks) about a path wait for one taker, the first check after
-    ``GRACE_S`` seconds; older than ``MAX_AGE_S`` they are dropped.  Emits (seq,
-    taken_by)."""
-    out = []
-    for seq, _, kind, ts, _ in rows:
-        state[:] = [m for m in state if ts - m[1] <= MAX_AGE_S]
-        if kind == "gate_block":
-            state.append([seq, ts])
-        elif kind == "check_performed":
-            out += [(m[0], seq) for m in state if ts - m[1] >= GRACE_S]
-            state[:] = [m for m in state if ts - m[1] < GRACE_S]
-    return out
-
-
 def wire_step(state: list, rows) -> list[tuple]:
     """Wires (intents) on a path fire once, at the first edit after them.  Emits
     (seq, fired)."""
@@ -116,30 +45,20 @@ def wire_step(state: list, rows) -> list[tuple]:
 _COLUMNS = ("seq", "usr", "kind", "ts", "path")
 
 
-def _live(key: str, step, empty: str, out: str, ttl: float | None = None):
+def _live(key: str, step, empty: str, out: str):
     names = [x.split()[0] for x in out.split(", ")]
 
     def query(spark, sf_dir) -> DataFrame:
-        return _stateful(_rows(spark, sf_dir), key, step, empty, f"{key} string, {out}", names, _COLUMNS, ttl).drop(key)
+        return _stateful(_rows(spark, sf_dir), key, step, empty, f"{key} string, {out}", names, _COLUMNS).drop(key)
 
     return query
 
 
 QUERIES = {
-    "st2_ring": _live("scope", ring_step, "{}", "seq long, held int, oldest long"),
-    "st5_recent_tail": _live("scope", tail_step, "[]", "seq long, held int"),
-    "st7_working_set": _live("usr", touch_step, "{}", "seq long, path string, wrote boolean", WORKING_S),
     "st9_presence": _live("usr", presence_step, "{}", "seq long, held int, focus string"),
-    "st11_hand_off": _live("path", hand_off_step, "[]", "seq long, taken_by long"),
     "st12_tripwires": _live("path", wire_step, "[]", "seq long, fired long"),
 }
 ORACLE = {
-    "st2_ring": """WITH n AS (SELECT *, lead(kind) OVER w AS nk, lead(usr) OVER w AS nu FROM ledger WINDOW w AS (PARTITION BY scope ORDER BY seq)), k AS (SELECT scope, seq, kind, row_number() OVER (PARTITION BY scope ORDER BY seq) AS rn FROM n WHERE NOT (kind = 'check_performed' AND nk IS NOT DISTINCT FROM 'check_performed' AND nu = usr))
-SELECT k.seq, CAST(least(100, k.rn) AS INTEGER) AS held, o.seq AS oldest FROM k JOIN k o ON o.scope = k.scope AND o.rn = greatest(1, k.rn - 99) WHERE k.kind = 'gate_block'""",
-    "st5_recent_tail": "SELECT seq, CAST(held AS INTEGER) AS held FROM (SELECT seq, kind, count(*) OVER (PARTITION BY scope ORDER BY ts RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS held FROM ledger) t WHERE kind = 'gate_block'",
-    "st7_working_set": """WITH t AS (SELECT usr, path, seq, ts, kind, lag(ts) OVER (PARTITION BY usr, path ORDER BY seq) AS before FROM ledger WHERE kind IN ('edit_reported', 'check_performed')), i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY usr, path ORDER BY seq) AS isle FROM t)
-SELECT seq, path, wrote FROM (SELECT seq, path, kind, bool_or(kind = 'edit_reported') OVER (PARTITION BY usr, path, isle ORDER BY seq) AS wrote FROM i) u WHERE kind = 'check_performed'""",
     "st9_presence": """SELECT seq, CAST(least(30, rn) AS INTEGER) AS held, coalesce(focus, '') AS focus FROM (SELECT l.seq, l.kind, row_number() OVER (PARTITION BY l.usr ORDER BY l.seq) AS rn, last_value(CASE WHEN l.kind = 'check_performed' THEN l.path END IGNORE NULLS) OVER (PARTITION BY l.usr ORDER BY l.seq) AS focus FROM ledger l) t WHERE kind = 'gate_block'""",
-    "st11_hand_off": "SELECT m.seq, min(c.seq) AS taken_by FROM ledger m JOIN ledger c ON c.path = m.path AND c.kind = 'check_performed' AND c.seq > m.seq AND c.ts - m.ts BETWEEN 20 AND 86400 WHERE m.kind = 'gate_block' GROUP BY m.seq",
     "st12_tripwires": "SELECT w.seq, min(e.seq) AS fired FROM ledger w JOIN ledger e ON e.path = w.path AND e.kind = 'edit_reported' AND e.seq > w.seq WHERE w.kind = 'intent_declared' GROUP BY w.seq",
 }

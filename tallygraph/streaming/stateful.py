@@ -3,9 +3,7 @@
 State is kept per key by ``applyInPandasWithState``.  Waiting users are bounded
 per path; cursors are kept per (scope, user) group of a scope, so they grow with
 the users ever seen there and not with the events.  Within a batch rows are
-handled by ``seq``.  State with a time to live is removed by an event-time
-timeout once the watermark has passed its end; timeouts by processing time would
-keep a stream drained by ``availableNow`` alive for ever.
+handled by ``seq``, so a key's rows of one micro-batch are held together.
 """
 
 from __future__ import annotations
@@ -80,45 +78,17 @@ def newest_step(state: dict, rows) -> list[tuple]:
     return [(seq, kind, usr, skipped) for seq, usr, kind in rows[skipped:]]
 
 
-def keep_step(held: dict, rows, ttl: float) -> list[tuple]:
-    """Folds (seq, usr, kind, ts) of one key into ``held`` {value, until}: an
-    intent sets the value for ``ttl`` seconds, a check reads it.  Returns (seq,
-    value), null if unset or run out; what has run out is dropped when its key
-    is next touched."""
-    out = []
-    for seq, usr, kind, ts in rows:
-        if held and held["until"] <= ts:
-            held.clear()
-        if kind == "intent_declared":
-            held |= {"value": usr, "until": ts + ttl}
-        elif kind == "check_performed":
-            out.append((seq, held.get("value")))
-    return out
-
-
-def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind"), ttl: float | None = None) -> DataFrame:
-    """Drains ``stream`` through ``step``; with ``ttl`` a key's state is removed
-    that many seconds of event time after its last row."""
+def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind")) -> DataFrame:
+    """Drains ``stream`` through ``step``."""
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=[key, *names])
-            return
         held = json.loads(state.get[0] if state.exists else empty)
-        frames = list(batches)
-        rows = sorted(r for b in frames for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
+        rows = sorted(r for b in batches for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
         out = step(held, rows)
         state.update((json.dumps(held),))
-        if ttl is not None:
-            last = max(int(b["event_time"].max().timestamp() * 1000) for b in frames if len(b))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(ttl * 1000) + 1)
         yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
 
-    if ttl is not None:
-        stream = stream.withWatermark("event_time", "1 hour")
-    mode = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
-    done = stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", mode)
+    done = stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
     return _drained(done, "append")
 
 
@@ -134,12 +104,6 @@ def waiting_imports(stream: DataFrame) -> DataFrame:
     return _stateful(rows, "scope", wait_step, "{}", "scope string, usr string, path string, seq long", ["usr", "path", "seq"], ("seq", "usr", "kind", "ts", "path"))
 
 
-def expiring_values(stream: DataFrame, ttl: float) -> DataFrame:
-    """(path, seq, value): what each check reads of values that expire."""
-    rows = stream.where("kind in ('intent_declared', 'check_performed')")
-    return _stateful(rows, "path", lambda held, r: keep_step(held, r, ttl), "{}", "path string, seq long, value string", ["seq", "value"], ("seq", "usr", "kind", "ts"), ttl)
-
-
 def fan_out(stream: DataFrame, scope: str | None = None) -> DataFrame:
     """(scope, seq, kind, usr, skipped): live rows per scope, micro-batch by
     micro-batch; of a batch a slow reader gets the newest ``BOUND``."""
@@ -150,7 +114,6 @@ def fan_out(stream: DataFrame, scope: str | None = None) -> DataFrame:
 QUERIES = {
     "st1_fan_out": lambda s, d: fan_out(_rows(s, d)),
     "st3_stream_calls": lambda s, d: unseen_by_call(_rows(s, d)),
-    "st4_expiring_values": lambda s, d: expiring_values(_rows(s, d), 86400.0),
     "st8_waiting_imports": lambda s, d: waiting_imports(_rows(s, d)),
 }
 ORACLE = {
@@ -158,6 +121,4 @@ ORACLE = {
 WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.scope = d.scope AND x.path = d.path AND x.usr <> d.usr AND x.seq > d.seq AND x.seq < c.seq)""",
     # what there is arrives as one batch
     "st1_fan_out": "SELECT scope, seq, kind, usr, greatest(0, n - 256) AS skipped FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS back, count(*) OVER (PARTITION BY scope) AS n FROM ledger) t WHERE back <= 256",
-    "st4_expiring_values": """WITH r AS (SELECT *, max(CASE WHEN kind = 'intent_declared' THEN seq END) OVER (PARTITION BY path ORDER BY seq) AS put FROM ledger)
-SELECT r.path, r.seq, CASE WHEN r.ts - p.ts < 86400 THEN p.usr END AS value FROM r LEFT JOIN ledger p ON p.seq = r.put WHERE r.kind = 'check_performed'""",
 }

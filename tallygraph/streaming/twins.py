@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..sources.adapters import shared_folder
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
+def _drained(stream: DataFrame, mode: str, at: str | None = None) -> DataFrame:
     """Runs ``stream`` over what there is and returns its output.  State and
-    output are in the shared folder."""
+    output are in the folder ``at``, by default one of its own in the shared
+    folder."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")

@@ -26,15 +26,17 @@ def modularity(edges, of):
     return sum(inner.get(c, 0) / m - (d / (2 * m)) ** 2 for c, d in degree.items())
 
 
-@pytest.mark.parametrize("local", [0, communities.LOCAL_EDGES])
-def test_louvain_finds_planted_groups(spark, local):
+def test_louvain_finds_planted_groups(spark):
     rng = random.Random(3)
     edges = {(a, b): 1.0 for a in range(60) for b in range(a) if rng.random() < (0.7 if a // 10 == b // 10 else 0.01)}
     rows = [(f"n{a}", f"n{b}", w) for (a, b), w in edges.items()]
-    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(rows, "a string, b string, w double"), local=local).collect()}
+    got = {r.node: r.community for r in communities.louvain(spark.createDataFrame(rows, "a string, b string, w double"), spark.createDataFrame([("alone",), ("n3",), (None,)], "node string")).collect()}
+    assert got.pop("alone") == "alone"
     planted = {f"n{i}": i // 10 for i in range(60)}
     assert set(got) == {x for a, b, _ in rows for x in (a, b)}
     assert modularity(rows, got) >= modularity(rows, planted) - 0.03
+    fine = {r.node: r.community for r in communities.louvain(spark.createDataFrame(rows, "a string, b string, w double"), resolution=8.0).collect()}
+    assert len(set(fine.values())) > len(set(got.values()))
 
 
 def test_louvain_of_nothing(spark):
@@ -58,10 +60,14 @@ def test_components_equal_union_find(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_groups_by_shared_files(spark):
-    rows = [(0, "a"), (0, "b"), (1, "b"), (1, "c"), (2, "d")]
-    got = {r.unit: r.grp for r in communities.work_groups(spark.createDataFrame(rows, "unit long, file string")).collect()}
-    assert got == {0: 0, 1: 0, 2: 2}
+def test_groups_by_shared_files_and_transforms(spark):
+    impact = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (1, "c"), (2, "d"), (7, "z"), (9, "q")], "unit long, file string")
+    transforms = spark.createDataFrame([(0, "", ""), (1, "rename", ""), (2, "rename", "x"), (3, "rename", "x"), (4, "delete", "x"), (5, "", "x"), (6, None, None), (8, "delete", "y"), (7, "delete", "y")], "unit long, op string, symbol string")
+    got = {r.unit: (r.grp, r.place) for r in communities.work_groups(impact, transforms).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 2), 3: (2, 2), 4: (4, 3), 5: (5, 4), 6: (6, 5), 7: (7, 6), 8: (7, 6), 9: (9, 7)}
+    plan = [tuple(r) for r in communities.work_plan(impact, transforms).orderBy("place").collect()]
+    assert plan == [(1, 0, 2, 3, "shared impact"), (2, 2, 2, 1, "same transform"), (3, 4, 1, 0, "independent"), (4, 5, 1, 0, "independent"), (5, 6, 1, 0, "independent"), (6, 7, 2, 1, "same transform"), (7, 9, 1, 1, "independent")]
+    assert communities.work_groups(impact.limit(0), transforms.limit(0)).count() == 0
 
 
 def test_names_are_unique(spark):
@@ -161,7 +167,7 @@ def test_modules_by_hand(spark):
     known = ["src/a/x.py", "src/a/__init__.py", "lib/a/x.py", "src/b/y.ts", "src/b/z/index.ts", "core/src/m/mod.rs", "core/src/n.rs", "java/org/acme/K.java", "go/svc/main.go", "inc/d.h", "rb/e.rb"]
     asked = [
         ("src/a/q.py", "python", "a.x", "src/a/x.py"), ("lib/q.py", "python", "a.x", "lib/a/x.py"), ("src/a/q.py", "python", ".x", "src/a/x.py"), ("src/b/q.py", "python", "..a.x", "src/a/x.py"), ("src/a/q.py", "python", ".", "src/a/__init__.py"),
-        ("src/b/q.ts", "typescript", "./y.js", "src/b/y.ts"), ("src/b/q.ts", "typescript", "./z", "src/b/z/index.ts"), ("web/q.ts", "typescript", "@/b/y", "src/b/y.ts"), ("src/b/q.ts", "typescript", "react", None), ("src/c/q.tsx", "tsx", "../b/./y", "src/b/y.ts"),
+        ("src/b/q.ts", "typescript", "./y.js", "src/b/y.ts"), ("src/b/q.ts", "typescript", "./z", "src/b/z/index.ts"), ("web/q.ts", "typescript", "@/b/y", "src/b/y.ts"), ("src/b/q.ts", "typescript", "react", None), ("src/c/q.tsx", "tsx", "../b/./y", "src/b/y.ts"), ("web/a.ts", "typescript", "../../src/b/y", None), ("web/a.ts", "typescript", "../src/b/y", "src/b/y.ts"), ("top.ts", "typescript", "../src/b/y", None),
         ("core/src/lib.rs", "rust", "crate::m", "core/src/m/mod.rs"), ("core/src/m/mod.rs", "rust", "super::n", "core/src/n.rs"), ("core/src/lib.rs", "rust", "self::n", "core/src/n.rs"), ("core/src/lib.rs", "rust", "n", "core/src/n.rs"),
         ("x/Q.java", "java", "org.acme.K", "java/org/acme/K.java"), ("x/Q.java", "java", "org.Acme", "java/org/acme/"), ("m.go", "go", "host.io/x/svc", "go/svc/"), ("m.go", "go", "fmt", None), ("src/q.c", "c", "../inc/d.h", "inc/d.h"), ("rb/q.rb", "ruby", "./e", "rb/e.rb"), ("q.py", "python", "  ", None),
     ]
@@ -170,8 +176,57 @@ def test_modules_by_hand(spark):
     assert got == {a[:3]: a[3] for a in asked}
 
 
-def test_similar_tasks_guards(spark):
+@pytest.mark.parametrize("block", [1, 2, 2048])
+def test_similar_tasks_guards(spark, block):
     rows = [(0, [1.0, 0.0], 1, True, 0, 0), (1, [1.0, 0.1], 1, True, 0, 2), (2, [1.0, 0.2], 1, True, 1, 3), (3, [1.0, 0.0], 2, True, 9, 0), (4, [1.0, 0.0], 1, False, 9, 0), (5, [0.0, 1.0], 1, True, 9, 0), (6, [1.0, 0.05], 1, True, 2, 2)]
+    rows += [(7, None, 1, True, 0, 0), (8, [0.0, 0.0], 1, True, 0, 0), (9, [1.0, float("nan")], 1, True, 0, 0), (10, [1.0, 0.0, 0.0], 1, True, 0, 0), (11, [1.0, 0.0], None, True, 0, 0), (12, [5e200, 5e199], 1, True, 0, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, fresh boolean, good int, bad int")
-    assert [r.vec_id for r in graph.similar_tasks(df, 0).collect()] == [6, 1]
-    assert graph.similar_tasks(df, 99).count() == 0
+    got = {}
+    for r in graph.similar_tasks(df, "vec_id in (0, 5, 99)", block=block, limit=2).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.place, r.vec_id))
+    assert got == {0: [(1, 6), (2, 1)]}
+    every = graph.similar_tasks(df, "true", block=block).collect()
+    assert {r.vec_id for r in every if r.query_id == 4} == {0, 1, 6, 12} and all(r.score >= 0.8 for r in every)
+    assert graph.similar_tasks(df, "vec_id = 99").count() == 0
+    assert graph.similar_tasks(df.limit(0), "true").count() == 0
+
+
+def test_shortest_path_on_random_graphs(spark):
+    """Cycles, ties and parts without a way between them."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(45 + 10 * seed)}
+        df = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in pairs], "src string, dst string")
+        near = {}
+        for a, b in pairs:
+            if a != b:
+                near.setdefault(f"n{a:02}", set()).add(f"n{b:02}")
+                near.setdefault(f"n{b:02}", set()).add(f"n{a:02}")
+        ends = [f"n{rng.randrange(40):02}" for _ in range(2)]
+        queue, seen, want = [[ends[0]]], {ends[0]}, []
+        while queue and not want:
+            trail = queue.pop(0)
+            if trail[-1] == ends[1]:
+                want = trail
+            for x in sorted(near.get(trail[-1], ())):
+                if x not in seen:
+                    seen.add(x)
+                    queue.append([*trail, x])
+        assert [r.node for r in graph.shortest_path(df, *ends).orderBy("step").collect()] == want
+
+
+def test_path_of_many_hops(spark):
+    df = spark.createDataFrame([(f"m{i:02}", f"m{i + 1:02}") for i in range(31)], "src string, dst string")
+    assert [r.node for r in graph.shortest_path(df, "m31", "m00").orderBy("step").collect()] == [f"m{i:02}" for i in range(31, -1, -1)]
+    assert [r.node for r in graph.shortest_path(df, "m04", "m04").collect()] == ["m04"]
+
+
+def test_co_change_bounds_its_episodes(spark):
+    rows = [("a", i, float(i), f"p{i % 5}", "") for i in range(5)] + [("b", 100 + i, 0.0, f"q{i}", "") for i in range(61)] + [("a", 10, 2000.0, "p9", ""), ("a", 11, 2000.0, "p0", "i1"), ("c", 12, 9.0, "p1", "i1")]
+    df = spark.createDataFrame(rows, "skey string, seq long, ts double, path string, intent_id string")
+    got = {(r.a, r.b): r.n for r in graph.co_change(df).collect()}
+    assert got == {(f"p{i}", f"p{j}"): 1 + ((i, j) == (0, 1)) for i in range(5) for j in range(i + 1, 5)}
+    dep = spark.createDataFrame([("p1", "p0", "calls"), ("p0", "p0", "calls"), ("p7", "p8", "inherits")], "src string, dst string, kind string")
+    nodes = spark.createDataFrame([("p0",), ("p7",), ("lonely",)], "node string")
+    rows = {(r.a, r.b): r.w for r in graph.projection(dep, graph.co_change(df), nodes).collect()}
+    assert rows["p0", "p1"] == (4 + 2 * 2) / 2 and rows["p7", "p8"] == 3.0 and rows["lonely", ""] == 0.0 and len(rows) == 12

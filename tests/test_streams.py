@@ -3,7 +3,8 @@
 import pytest
 
 from tallygraph.sources.adapters import view
-from tallygraph.streaming import live, stateful
+from tallygraph.streaming import keyed, live, stateful
+from tallygraph.streaming.twins import _drained
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +16,116 @@ def spark():
     return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
 
 
+def ring_fold(state, row):
+    seq, usr, kind, ts = row[:4]
+    ring = state.setdefault("ring", [])
+    if ring and ts - state["last"] > keyed.RING_TTL:
+        ring.clear()
+    state["last"], focus = ts, kind == "check_performed"
+    if focus and ring and ring[-1][1] == usr and ring[-1][2]:
+        ring[-1] = (seq, usr, True)
+    else:
+        ring.append((seq, usr, focus))
+        del ring[:-7]
+    return [(seq, len(ring), ring[0][0])] if kind == "gate_block" else []
+
+
+def tail_fold(state, row):
+    times = state.setdefault("times", [])
+    times.append(row[3])
+    times[:] = [t for t in times if t >= row[3] - keyed.TAIL_S][-40:]
+    return [(row[0], len(times))] if row[2] == "gate_block" else []
+
+
+def touch_fold(state, row):
+    seq, _, kind, ts, path = row
+    for p in [p for p, (last, _) in state.items() if ts - last > keyed.WORKING_S]:
+        del state[p]
+    if kind in ("edit_reported", "check_performed"):
+        state[path] = (ts, state.get(path, (0, False))[1] or kind == "edit_reported")
+        if kind == "check_performed":
+            return [(seq, path, state[path][1])]
+    return []
+
+
+def expiring_fold(state, row):
+    seq, usr, kind, ts = row[:4]
+    out = [(seq, state["v"][0] if "v" in state and state["v"][1] > ts else None)] if kind == "check_performed" else []
+    if kind == "intent_declared":
+        state["v"] = (usr, ts + 86_400.0)
+    return out
+
+
+def hand_off_fold(state, row):
+    seq, _, kind, ts = row[:4]
+    out = []
+    if kind == "gate_block":
+        state[seq] = ts
+    elif kind == "check_performed":
+        for m, at in sorted(state.items()):
+            if ts - at > keyed.MAX_AGE_S or ts - at >= keyed.GRACE_S:
+                del state[m]
+                if ts - at <= keyed.MAX_AGE_S:
+                    out.append((m, seq))
+    return out
+
+
+FOLDS = {"st2_ring": ring_fold, "st4_expiring_values": expiring_fold, "st5_recent_tail": tail_fold, "st7_working_set": touch_fold, "st11_hand_off": hand_off_fold}
+
+
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """Rows of six hours in ten files, time order not being that of the numbers
+    within a file, and the files."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(900):
+        ts = 1_704_067_200 + i * 24 + rng.choice([0, 0.5, 7, 100, 900])
+        kind = rng.choice(["check_performed", "check_performed", "edit_reported", "gate_block", "intent_declared"])
+        rows.append((i, float(ts + (90_000 if i > 700 else 0)), "s", f"u{rng.randrange(3)}", f"p{rng.randrange(4)}", kind))
+    folder = tmp_path_factory.mktemp("rows")
+    schema = "seq long, ts double, scope string, usr string, path string, kind string"
+    for part in range(10):
+        rows_ = rows[part * 90 : part * 90 + 90]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(folder / f"part{part}"))
+    return rows, folder, schema
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_micro_batches_do_not_matter(spark, busy, name, tmp_path):
+    """One micro-batch and ten give the rows of a plain fold in time order, and
+    the store holds what the rule keeps."""
+    import time
+
+    rows, folder, schema = busy
+    key, kind_of, out = keyed.RULES[name]
+    options = {"st2_ring": {"size": 7}, "st5_recent_tail": {"most": 40}}.get(name, {})
+    processor = lambda: kind_of(cell=1800, **options)
+    end = max(r[1] for r in rows) - keyed.LATE_S
+    want, states = [], {}
+    for seq, ts, scope, usr, path, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        if (ts // 1800 + 1) * 1800 <= end:
+            k = {"scope": scope, "usr": usr, "path": path}[key]
+            want += [(k, *o) for o in FOLDS[name](states.setdefault(k, {}), (seq, usr, kind, ts, path))]
+    # files are read in the order of their age
+    import os
+
+    for part in range(10):
+        for f in (folder / f"part{part}").iterdir():
+            os.utime(f, (time.time() - 1000 + part,) * 2)
+    for batches in (1, 10):
+        files = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 10 // batches)
+        stream = files.parquet(str(folder)).selectExpr("*", "timestamp_micros(CAST(ts * 1e6 AS BIGINT)) AS event_time")
+        at = str(tmp_path / f"{batches}")
+        got = _drained(keyed.keyed(stream, key, processor(), out), "append", at)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert want
+    if name == "st2_ring":
+        held = spark.read.format("statestore").option("stateVarName", "cells").load(f"{at}/state").selectExpr("value.seq AS seq").collect()
+        assert {r.seq for r in held} == {x[0] for x in states["s"]["ring"]}
+
+
 def test_first_call_shows_nothing():
     state = {}
     rows = [(1, "a", "edit_reported"), (2, "b", "check_performed"), (3, "a", "edit_reported"), (4, "b", "edit_reported"), (5, "b", "check_performed")]
@@ -48,39 +159,13 @@ def test_slow_readers_skip():
     assert len(got) == stateful.BOUND and got[0] == (7, "k", "u", 7) and state == {"skipped": 7}
 
 
-def test_ring_coalesces_and_is_bounded():
-    state = {}
-    focus = [(1, "a", "check_performed", 0.0, "p"), (2, "a", "check_performed", 1.0, "q"), (3, "b", "check_performed", 2.0, "q"), (4, "a", "gate_block", 3.0, "q")]
-    assert live.ring_step(state, focus) == [(4, 3, 2)]
-    more = [(10 + i, "a", "edit_reported", 4.0 + i, "p") for i in range(200)] + [(300, "a", "gate_block", 300.0, "p")]
-    assert live.ring_step(state, more) == [(300, live.RING, 111)]
-    assert live.ring_step(state, [(301, "a", "gate_block", 300.0 + live.RING_TTL + 1, "p")]) == [(301, 1, 301)]
-
-
-def test_working_set_forgets_and_writes_stick():
-    state = {}
-    rows = [(1, "a", "edit_reported", 0.0, "p"), (2, "a", "check_performed", 10.0, "p"), (3, "a", "check_performed", 10.0, "q"), (4, "a", "check_performed", 10.0 + live.WORKING_S + 1, "p")]
-    assert live.touch_step(state, rows) == [(2, "p", True), (3, "q", False), (4, "p", False)]
-    assert list(state) == ["p"]
-
-
-def test_messages_have_one_taker_after_a_grace():
-    state = []
-    rows = [(1, "a", "gate_block", 0.0, "p"), (2, "b", "check_performed", 5.0, "p"), (3, "c", "check_performed", 25.0, "p"), (4, "d", "check_performed", 60.0, "p"), (5, "a", "gate_block", 100.0, "p"), (6, "b", "check_performed", 100.0 + live.MAX_AGE_S + 1, "p")]
-    assert live.hand_off_step(state, rows) == [(1, 3)]
-    assert state == []
-
-
 def test_wires_fire_once():
     state = []
     rows = [(1, "a", "intent_declared", 0.0, "p"), (2, "b", "intent_declared", 0.0, "p"), (3, "c", "edit_reported", 0.0, "p"), (4, "c", "edit_reported", 0.0, "p")]
     assert live.wire_step(state, rows) == [(1, 3), (2, 3)]
 
 
-def test_tail_and_history_are_bounded(monkeypatch):
-    monkeypatch.setattr(live, "TAIL_ROWS", 3)
-    rows = [(i, "a", "gate_block", float(i), "p") for i in range(6)] + [(9, "a", "gate_block", 4000.0, "p")]
-    assert [n for _, n in live.tail_step([], rows)] == [1, 2, 3, 3, 3, 3, 1]
+def test_history_is_bounded():
     state = {}
     live.presence_step(state, [(i, "a", "edit_reported", 0.0, "p") for i in range(99)])
     assert len(state["history"]) == live.HISTORY
