@@ -50,3 +50,54 @@ SELECT DISTINCT 'file' AS sort, path AS a, '' AS b FROM d UNION ALL SELECT DISTI
     "m24_examples": """WITH u AS (SELECT source AS example, list(coalesce(l.toxic = 0 AND l.quality = 1, false)) AS good FROM documents d JOIN labels l USING (doc_id) GROUP BY source), n AS (SELECT example, len([x for x in good if x]) AS good, len([x for x in good if NOT x]) AS bad FROM u)
 SELECT example, good, bad, good + bad >= $scored AND good / (good + bad) < $share AS retired FROM n""",
 }
+
+# --- declared queries ------------------------------------------------------------
+TWINS |= {
+    "a9_ownership": "SELECT path, arg_min(usr, (-n, first)) AS usr, max(n) AS n FROM (SELECT path, usr, count(*) AS n, min(seq) AS first FROM ledger WHERE kind = 'edit_reported' GROUP BY path, usr) t GROUP BY path",
+    "a10_touches": "SELECT node, count(*) AS n FROM (SELECT unnest(CASE WHEN model <> '' THEN [path, path || '::' || model] ELSE [path] END) AS node FROM ledger WHERE kind = 'edit_reported') t GROUP BY node",
+    "a15_salience": "SELECT path, CAST(coalesce(sum(w), 0) AS BIGINT) AS score FROM ledger LEFT JOIN (VALUES ('intent_declared', 3), ('intent_completed', 4), ('gate_block', 2)) v(kind, w) USING (kind) GROUP BY path",
+    "a16_hot_list": "SELECT path, CAST(coalesce(sum(w), 0) AS BIGINT) AS score FROM ledger LEFT JOIN (VALUES ('intent_declared', 3), ('intent_completed', 4), ('gate_block', 2)) v(kind, w) USING (kind) GROUP BY path ORDER BY score DESC, path LIMIT $limit",
+    "a20_daily": "SELECT day, len(list_distinct(list(usr))) AS agents, len(list_distinct(list(scope))) AS repos, len([x for x in list(kind) if x = 'edit_reported']) AS changes, len([x for x in list(kind) if x = 'gate_block']) AS messages FROM ledger GROUP BY day",
+    "a28_modularity": """WITH e AS (SELECT CAST(right(src, 1) AS INT) AS a, CAST(right(dst, 1) AS INT) AS b FROM dep WHERE src <> dst), m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM e), c AS (SELECT unnest(range(10)) AS c), t AS (SELECT c.c, (SELECT count(*) FROM e WHERE a = c.c) + (SELECT count(*) FROM e WHERE b = c.c) AS deg, (SELECT count(*) FROM e WHERE a = c.c AND b = c.c) AS inn FROM c)
+SELECT CAST(c AS BIGINT) AS community, deg AS degree, inn AS inner_edges, inn / m - pow(deg / (2 * m), 2) AS part FROM t, m WHERE deg > 0""",
+    "a29_turn_counter": """WITH e AS (SELECT usr, list(turn_id ORDER BY seq) AS t, list(tokens ORDER BY seq) AS n FROM ledger WHERE kind = 'edit_reported' GROUP BY usr) SELECT usr, CAST(list_sum([CASE WHEN i = 1 OR t[i] <> t[i - 1] THEN n[i] ELSE 0 END for i in range(1, len(t) + 1)]) AS BIGINT) AS tokens FROM e""",
+    "a30_file_hash": "WITH s AS (SELECT path, symbol, max(hash) AS h FROM ws GROUP BY ALL) SELECT path, sha256(array_to_string(list_sort(list(symbol || ':' || h)), chr(10))) AS hash FROM s GROUP BY path",
+    "w4_rank_first_seen": "WITH n AS (SELECT kind, path, count(*) AS n, min(seq) AS first FROM ledger GROUP BY ALL), l AS (SELECT kind, list({'path': path, 'n': n} ORDER BY n DESC, first)[:5] AS t FROM n GROUP BY kind) SELECT kind, t[i].path AS path, t[i].n AS n, CAST(i AS INTEGER) AS r FROM l, unnest(range(1, len(t) + 1)) u(i)",
+    "w5_lag_edits": "WITH e AS (SELECT seq, path, usr FROM ledger WHERE kind = 'edit_reported') SELECT e.seq, e.path, e.usr, b.usr AS before_usr FROM e ASOF LEFT JOIN e b ON b.path = e.path AND b.seq < e.seq",
+    "w6_rewrites": """WITH l AS (SELECT usr, symbol, list({'seq': seq, 'hash': hash} ORDER BY seq) AS t FROM ws GROUP BY usr, symbol), c AS (SELECT usr, symbol, [t[i] for i in range(1, len(t) + 1) if i = 1 OR t[i].hash <> t[i - 1].hash] AS t FROM l)
+SELECT usr, symbol, x.seq, x.hash, len(t) AS total FROM (SELECT usr, symbol, t, unnest(t[-20:]) AS x FROM c) u""",
+    "w7_streak_alerts": """WITH b AS (SELECT usr, seq FROM ledger WHERE kind = 'gate_block'), c AS (SELECT usr, seq FROM ledger WHERE kind = 'check_performed')
+SELECT b.usr, b.seq FROM b WHERE (SELECT count(*) FROM b x WHERE x.usr = b.usr AND x.seq <= b.seq AND x.seq > coalesce((SELECT max(c.seq) FROM c WHERE c.usr = b.usr AND c.seq < b.seq), -1)) = 3""",
+    "j11_attribution": "SELECT path, arg_max(usr, (ts, seq)) AS usr, max(ts) AS ts FROM ledger WHERE kind = 'edit_reported' AND (root = $root OR root = $root2) GROUP BY path",
+    "j12_freshest": "SELECT path, arg_min(usr, (-ts, seq)) AS usr, max(ts) AS ts FROM ledger WHERE kind <> 'gate_block' GROUP BY path",
+    "j13_symbol_index": "SELECT symbol, list_sort(list(path))[1] AS path FROM ws GROUP BY symbol",
+    "j22_gate": """WITH e AS (SELECT seq, usr, path FROM ledger WHERE kind = 'edit_reported') SELECT seq FROM e WHERE EXISTS (SELECT 1 FROM ledger m WHERE m.kind = 'gate_block' AND m.path = e.path AND m.seq < e.seq AND m.usr <> e.usr) AND NOT EXISTS (SELECT 1 FROM ledger c WHERE c.kind = 'check_performed' AND c.path = e.path AND c.usr = e.usr AND c.seq < e.seq)""",
+    "j27_stakeholders": "SELECT path, count(DISTINCT usr) AS others FROM ledger WHERE kind IN ('gate_block', 'intent_declared') AND usr <> $usr GROUP BY path",
+    "u3_absent_dirs": "SELECT root FROM ledger GROUP BY root HAVING count(*) FILTER (kind = 'gate_block' AND usr = $usr) = 0",
+    "u4_roster": """SELECT usr, CASE WHEN bool_or(ts >= $at) THEN 'live' WHEN bool_or(kind = 'intent_declared') THEN 'intent' WHEN bool_or(kind = 'edit_reported') THEN 'edit' ELSE 'member' END AS origin FROM ledger GROUP BY usr""",
+    "u5_distinct_breaking": "SELECT DISTINCT ON (path, kind, usr) path, kind, usr, seq FROM ledger WHERE kind = 'gate_block' OR kind = 'intent_completed' ORDER BY path, kind, usr, seq",
+    "u6_symbol_sets": """WITH x AS (SELECT path || '/' || kind AS name, max(tokens) FILTER (ts < $at) AS a, max(tokens) FILTER (ts >= $at) AS b FROM ledger GROUP BY path, kind) SELECT name, CASE WHEN b IS NULL THEN 'removed' WHEN a IS NULL THEN 'added' ELSE 'modified' END AS what FROM x WHERE a IS DISTINCT FROM b""",
+    "u7_uncovered": "SELECT dst AS node, CASE WHEN bool_or(kind = 'uses_type') THEN 'tested' ELSE 'uncovered' END AS what FROM dep GROUP BY dst HAVING bool_or(kind = 'calls' AND src <> dst)",
+    "m7_upsert": "SELECT bucket, key, arg_max(value, seq) AS value FROM kv GROUP BY bucket, key",
+    "m21_supersession": "WITH n AS (SELECT seq, path, usr FROM ledger WHERE kind = 'intent_completed') SELECT n.seq, min(m.seq) AS superseded_by FROM n LEFT JOIN n m ON m.path = n.path AND m.usr = n.usr AND m.seq > n.seq GROUP BY n.seq",
+    "m23_stamps": "SELECT l.seq, (SELECT max(c.ts) FROM ledger c WHERE c.kind = 'check_performed' AND c.k % 2 = 0 AND c.path = l.path HAVING max(c.ts) >= l.ts) AS verified FROM ledger l WHERE l.kind = 'edit_reported'",
+    "f30_last_reply": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
+    "f15_known_paths": "SELECT usr, sha256(array_to_string(list_sort(list_distinct(list(path))), chr(10)) || chr(10)) AS fingerprint FROM ledger GROUP BY usr",
+    "j14_stale_notes": """WITH note AS (SELECT seq AS id, path, CASE WHEN seq % 11 <> 0 THEN hash END AS hash FROM ws WHERE seq % 3 = 0), k AS (SELECT path, len(list_distinct(list(coalesce(hash, '')))) > 1 AS conflicted FROM note GROUP BY path)
+SELECT id, (SELECT arg_max(hash, seq) FROM ws WHERE ws.path = note.path) IS DISTINCT FROM note.hash AS stale, conflicted FROM note JOIN k USING (path)""",
+    "j6_notes_near": """WITH n AS (SELECT seq AS id, ts, tokens % 10 AS conf, ['/', root || '/', path, path || '::' || scope][k % 4 + 1] AS anchor, usr FROM ledger WHERE kind = 'intent_completed'), keep AS (SELECT arg_max(n, id) AS n FROM n GROUP BY usr, anchor),
+t AS (SELECT path, list_distinct(flatten(list([path || '::' || scope, path, root || '/', '/']))) AS keys FROM ledger WHERE path IN ($path, $path2) GROUP BY path), h AS (SELECT path, list(n ORDER BY n.conf DESC, n.ts DESC, n.id) AS l FROM t JOIN keep ON list_contains(t.keys, n.anchor) GROUP BY path)
+SELECT path, l[i].id AS id, l[i].anchor AS anchor, i AS place FROM h, unnest(range(1, len(l) + 1)) u(i)""",
+    "g4_dependents": "SELECT dst, len(list(src)) AS n, list_min(list(src)) AS first FROM dep WHERE src <> dst GROUP BY dst",
+    "j4_collisions": """WITH x AS (SELECT o_custkey % 3 AS usr, o_custkey // 3 % 230 AS path, o_orderkey % 3 AS parse, o_orderpriority AS symbol, {'h': max(o_orderstatus), 'g': max(o_orderkey % 4)} AS v FROM orders GROUP BY ALL),
+f AS (SELECT usr, path, list(parse ORDER BY parse DESC) AS parses FROM (SELECT DISTINCT usr, path, parse FROM x) y GROUP BY ALL), s AS (SELECT f.usr, f.path, map_from_entries(list((x.symbol, x.v)) FILTER (x.parse = parses[1])) AS now, map_from_entries(list((x.symbol, x.v)) FILTER (x.parse = parses[2])) AS old, len(parses) > 1 AS had FROM f JOIN x ON x.usr = f.usr AND x.path = f.path GROUP BY f.usr, f.path, parses),
+p AS (SELECT o.usr AS author, o.path, m.now AS mine, o.now AS theirs, o.old, o.had, [k for k in map_keys(m.now) if NOT list_contains(map_keys(o.now), k)] AS gone, [k for k in map_keys(o.now) if NOT list_contains(map_keys(m.now), k)] AS come FROM s m JOIN s o ON o.path = m.path AND o.usr <> m.usr WHERE m.usr = $me),
+d AS (SELECT *, len(gone) = 1 AND len(come) = 1 AS swap FROM p), u AS (SELECT *, unnest(list_distinct(map_keys(mine) || map_keys(theirs))) AS symbol FROM d),
+k AS (SELECT *, list_contains(gone, symbol) AS is_gone, list_contains(come, symbol) AS is_new, mine[symbol] AS a, theirs[symbol] AS b FROM u)
+SELECT author, path, symbol, CASE WHEN is_gone AND swap THEN 'renamed' WHEN is_gone AND had AND NOT list_contains(map_keys(old), symbol) THEN 'removed' WHEN is_gone THEN 'unknown' WHEN is_new THEN 'added' ELSE 'modified' END AS kind,
+CASE WHEN is_gone AND NOT swap AND NOT (had AND NOT list_contains(map_keys(old), symbol)) THEN 'unconfirmed' ELSE 'certain' END AS confidence, CASE WHEN is_gone AND swap THEN come[1] END AS new_name, CASE WHEN NOT is_gone AND NOT is_new THEN a.g <> b.g END AS signature_change
+FROM k WHERE CASE WHEN is_new THEN NOT swap WHEN is_gone THEN true ELSE a.h <> b.h END""",
+    "j7_merge": """WITH x AS (SELECT o_custkey % 3 AS usr, o_custkey // 3 % 230 AS path, o_orderkey % 3 AS parse, o_orderpriority AS symbol, max(o_orderstatus) AS hash, 's' || max(o_orderkey % 4) AS sig FROM orders GROUP BY ALL), cur AS (SELECT * FROM x WHERE parse = (SELECT max(parse) FROM x y WHERE y.usr = x.usr AND y.path = x.path)),
+l AS (SELECT path, symbol, list_distinct(list(usr)) AS us, list_distinct(list(hash)) AS hs, list_sort(list_distinct(list(sig))) AS gs FROM cur GROUP BY path, symbol)
+SELECT path, symbol, len(us) AS holders, len(hs) AS hashes, CASE WHEN len(gs) > 1 THEN 'signature' ELSE 'implementation' END AS kind, array_to_string(gs, ',') AS signatures FROM l WHERE len(us) > 1 AND len(hs) > 1""",
+}
