@@ -13,6 +13,7 @@ sequence length and not on the input.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -104,7 +105,8 @@ def plan_patterns(sizes: list[int], demand: list[int], room: int, max_columns: i
     Revised simplex on  min sum x, A x = demand, x >= 0: the basis starts with
     one pattern per class, the knapsack over the dual prices finds the entering
     column, the ratio test the leaving one.  Ends when no pattern is worth more
-    than one sequence.
+    than one sequence; a program that takes more than ``max_columns`` columns is
+    packed as far as it came, with a warning.
     """
     size, need = np.array(sizes), np.array(demand, dtype=float)
     m = len(size)
@@ -128,6 +130,8 @@ def plan_patterns(sizes: list[int], demand: list[int], room: int, max_columns: i
         inverse[k] = row
         x = x - by * step
         x[k] = by
+    else:
+        warnings.warn(f"{max_columns} columns did not end the linear program of {m} classes; the packing may be a little wider", stacklevel=2)
     x = np.maximum(0, x)
     left, out = np.array(demand, dtype=np.int64), []
     for k in np.argsort(-x, kind="stable"):

@@ -20,7 +20,7 @@ from . import common
 
 #: (rule, verdict).  Fixed by the contract of the query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Hashed features, n-gram lengths, and the largest labelled table used.
+#: Hashed features, n-gram lengths, and the largest labelled table taken.
 BUCKETS, GRAMS, MAX_LABELLED = 1 << 14, (3, 4, 5), 20_000
 
 #: Topics of unwanted sites and the words that advertise them.
@@ -91,10 +91,12 @@ def _split(url: str) -> tuple[str, str]:
 
 
 def train(labelled: list[tuple[str, int]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression, by Adagrad over at most
-    ``MAX_LABELLED`` rows.  Classes count as they come, so a host of unknown
-    grams is what most rows are."""
-    rows = [(_features(*_split(u)), y) for u, y in labelled[:MAX_LABELLED]]
+    """Weights and bias of the logistic regression, by Adagrad on the driver;
+    more than ``MAX_LABELLED`` rows are a ValueError.  Classes count as they
+    come, so a host of unknown grams is what most rows are."""
+    if len(labelled) > MAX_LABELLED:
+        raise ValueError(f"a small labelled table has {MAX_LABELLED} rows at most, not {len(labelled)}")
+    rows = [(_features(*_split(u)), y) for u, y in labelled]
     w, g, b, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0, 1e-8
     order = np.random.default_rng(5)
     for _ in range(epochs):

@@ -316,6 +316,44 @@ def test_url_labels_are_independent_of_the_pages_and_carry_over(spark):
     assert sum(got[len(worse) + i] == "block" for i in range(len(fine))) == 0
 
 
+def naive_judgement(url, rules, w, b):
+    """Host, path, rule and verdict by their definition, one url at a time."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:]
+        path = path[: min((path.index(c) for c in "?#" if c in path), default=len(path))]
+    fit = []
+    for text, says in rules:
+        at, tail = text.split("/", 1)
+        if (host == at or host.endswith("." + at)) and path.startswith("/" + tail):
+            fit.append((len(text), text, says))
+    grams = set()
+    for tag, s in ((104, f"^{host}$".encode()), (112, f"^{path}$".encode())):
+        grams |= {zlib.crc32(s[i : i + n], tag) % urlfilter.BUCKETS for n in urlfilter.GRAMS for i in range(len(s) - n + 1)}
+    z = b + (sum(w[g] for g in grams) / len(grams) ** 0.5 if grams else 0.0)
+    score = 1 / (1 + np.exp(-z))
+    rule, says = max(fit)[1:] if fit else (None, "block" if score >= 0.5 else "allow")
+    return host, path, rule, says, score
+
+
+def test_urls_equal_a_naive_judge(spark, sf):
+    rng = random.Random(8)
+    rules = (*urlfilter.RULES, ("b.net/x", "allow"), ("net/xyz", "block"), ("example.com/de/a", "allow"), ("test/", "block"))
+    urls = [r.url for r in common.table(spark, sf, "pages").select("url").collect()] + [None, "", "x", "://", "a://B.Net/x?y#z", "http://b.net/xyz", "http://ab.net", "q://net/", "q://é.org/fr/ü#://"]
+    bits = ["net", "example.com", "WWW.example.net", "org", "b.net", "x.test", "/", "/de/", "/en/", "/fr/", "?", "#", "://", "x", "xyz", "http"]
+    urls += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    w, b = urlfilter.train(urlfilter.LABELLED)
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for i, url in enumerate(urls):
+        *want, score = naive_judgement(url, rules, w, b)
+        assert [got[i].host, got[i].path, got[i].rule, got[i].verdict] == want and abs(got[i].score - score) < 1e-9, url
+    with pytest.raises(ValueError):
+        urlfilter.train([("http://x.test/", 0)] * (urlfilter.MAX_LABELLED + 1))
+
+
 def test_urls_odd_rows(spark):
     rows = [(1, "https://" + "a." * 40_000 + "net/" + "p" * 200_000), (None, "x://h/p"), (None, "x://h/p"), (3, ""), (4, "://"), (5, "a://b?c://d/e"), (6, "HTTP://\u00c4B.Example.COM/DE/"), (7, "x://é.net\n/a")]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'r' AS rule", "'v' AS verdict", "'s' AS said", "'p' AS path")
@@ -485,6 +523,51 @@ def test_kneser_ney_equals_its_definition():
         assert np.allclose(got, naive(text), atol=1e-4), text
 
 
+def fewest_bins(sizes, demand, room):
+    """The least number of sequences, by search over what is left to pack."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def least(left):
+        if not any(left):
+            return 0
+        first = max(k for k, n in enumerate(left) if n)  # the largest piece left is in some sequence
+        best = [sum(left)]
+
+        def fill(k, free, now):
+            if k < 0:
+                best[0] = min(best[0], 1 + least(tuple(now)))
+                return
+            for n in range(min(now[k], free // sizes[k]), -1, -1):
+                nxt = list(now)
+                nxt[k] -= n
+                fill(k - 1, free - n * sizes[k], nxt)
+
+        now = list(left)
+        now[first] -= 1
+        fill(first, room - sizes[first], now)
+        return best[0]
+
+    return least(tuple(demand))
+
+
+def test_packing_plans_are_near_the_optimum():
+    rng, over, total = random.Random(3), 0, 0
+    for _ in range(40):
+        room = rng.randint(8, 16)
+        sizes = sorted(rng.sample(range(1, room + 1), rng.randint(1, 4)))
+        demand = [rng.randint(1, 5) for _ in sizes]
+        plan = packing.plan_patterns(sizes, demand, room)
+        assert all(int(p @ np.array(sizes)) <= room for p, _ in plan)
+        assert [sum(int(p[k]) * n for p, n in plan) for k in range(len(sizes))] == demand
+        best, used = fewest_bins(sizes, demand, room), sum(n for _, n in plan)
+        assert best <= used <= best + 1, (sizes, demand, room)
+        over, total = over + used - best, total + best
+    assert over <= 0.05 * total
+    with pytest.warns(UserWarning):
+        packing.plan_patterns([3, 5, 7], [50, 60, 70], 31, max_columns=1)
+
+
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
     import public_tokenizers
