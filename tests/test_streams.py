@@ -122,7 +122,7 @@ def test_micro_batches_do_not_matter(spark, busy, name, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert want
     if name == "st2_ring":
-        held = spark.read.format("statestore").option("stateVarName", "cells").load(f"{at}/state").selectExpr("value.seq AS seq").collect()
+        held = spark.read.format("statestore").option("stateVarName", "cells").load(f"{at}/state").selectExpr("user_map_value.seq AS seq").collect()
         assert {r.seq for r in held} == {x[0] for x in states["s"]["ring"]}
 
 
