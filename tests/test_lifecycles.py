@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallygraph.functions import operations, text
 from tallygraph.operators import aliases as lc_aliases
 from tallygraph.operators import lifecycles as lc
-from tallygraph.streaming.stateful import keep_step
 
 
 @pytest.fixture(scope="module")
@@ -156,10 +155,28 @@ def test_structure_travels(spark):
     assert [s.name for s in got[0].symbols] == ["f"] and got[0].doc == "d" and got[1:] == [None] * 4
 
 
-def test_values_expire():
-    held = {}
-    assert keep_step(held, [(1, "a", "check_performed", 0.0), (2, "b", "intent_declared", 1.0), (3, "c", "check_performed", 5.0)], 10.0) == [(1, None), (3, "b")]
-    assert keep_step(held, [(4, "c", "check_performed", 11.0)], 10.0) == [(4, None)] and not held
+def test_reconciliations_stream_and_are_bounded(spark, monkeypatch):
+    import json
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        found = [{"symbol": f"s{rnd.randrange(5)}", "rule": rnd.choice(["signature_drift", "stale_name"]), "change_ts": rnd.randrange(3), "fix": rnd.choice(["judgment", "judgment", "safe"])} for _ in range(rnd.randrange(4))]
+        body = rnd.choice([json.dumps(found), json.dumps(found), json.dumps(lc.reconciliation_id("p", "s1", "signature_drift", "u")), None])
+        rows.append(("s", rnd.choice("pq"), rnd.choice("uv"), i, float(i * 700), body))
+    df = spark.createDataFrame(rows, "scope string, path string, usr string, seq long, ts double, body string")
+    for most in (2, 100):
+        want = []
+        for key in {r[:3] for r in rows}:
+            reports = [(q, t, json.loads(b) if b else []) for *k, q, t, b in rows if tuple(k) == key]
+            state = {}
+            want += [(*key, *x) for x in lc.reconcile(state, key[1], key[2], reports, most)]
+            assert len(state) <= most
+        assert sorted(tuple(r) for r in lc.reconciliations(df, most).collect()) == sorted(want)
+    told = {}
+    for scope, path, usr, seq, symbol, rule, what in sorted(want, key=lambda r: r[3]):
+        told[scope, path, usr, symbol, rule] = (what, seq)
+    assert {tuple(r)[:5]: r.since for r in lc.pending(df).collect()} == {k: seq for k, (what, seq) in told.items() if what == "delivered"}
 
 
 def test_aliases_equal_a_plain_fold(spark):

@@ -126,6 +126,46 @@ def test_micro_batches_do_not_matter(spark, busy, name, tmp_path):
         assert {r.seq for r in held} == {x[0] for x in states["s"]["ring"]}
 
 
+class Held(dict):
+    """A map of the state store, in memory."""
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_elements_are_read_and_written_once():
+    store = Held({(1,): ("a",), (2,): ("b",)})
+    e = keyed.Elements(store)
+    assert e.get(1) == ("a",) and e.get(9) is None
+    e.put(2, None)
+    e.put(3, ("c",))
+    e.put(4, ("d",))
+    e.put(4, None)
+    assert sorted(e.items()) == [(1, ("a",)), (3, ("c",))]
+    e.flush()
+    assert store == {(1,): ("a",), (3,): ("c",)}
+    assert sorted(e.items()) == [(1, ("a",)), (3, ("c",))]
+
+
+def test_values_expire():
+    p = keyed.Expiring(ttl=10.0)
+    p.value = keyed.Elements(Held())
+    rows = [(1, "a", "check_performed", 0.0, "p"), (2, "b", "intent_declared", 1.0, "p"), (3, "c", "check_performed", 5.0, "p"), (4, "c", "check_performed", 11.0, "p")]
+    assert [x for r in rows for x in p.step(r)] == [(1, None), (3, "b"), (4, None)] and not p.value.items()
+
+
 def test_first_call_shows_nothing():
     state = {}
     rows = [(1, "a", "edit_reported"), (2, "b", "check_performed"), (3, "a", "edit_reported"), (4, "b", "edit_reported"), (5, "b", "check_performed")]
