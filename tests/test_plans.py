@@ -44,6 +44,28 @@ def test_filters_reach_parquet(spark, name, column):
     assert any(column in x.split("PushedFilters:")[1].split("]")[0].replace("IsNotNull", "") for x in scans)
 
 
+def test_joins_by_time_do_not_meet_all_rows_of_a_key(spark):
+    """A covering intent is found without a join; what is known joins by scope
+    and user or scope and stretch, never by scope alone."""
+    assert "Join" not in plan(catalog.QUERIES["j16_covering_intent"](spark, SF))
+    joins = [x for x in plan(catalog.QUERIES["a22_known_unseen"](spark, SF)).split("\n") if "SortMergeJoin" in x or "HashJoin" in x]
+    assert joins and all("," in x.split("[", 1)[1].split("]")[0] for x in joins)
+
+
+def test_tools_narrow_what_they_are_asked(spark):
+    more = SF.replace("0.001", "0.01")  # the smallest table has no two writes of one number
+    every = tools.call(spark, more, "claim").collect()
+    one = every[0]
+    some = tools.call(spark, more, "claim", scope=one.scope).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in every if r.scope == one.scope)
+    assert all((r.dir, r.number) == (one.dir, one.number) for r in tools.call(spark, more, "claim", dir=one.dir, number=one.number).collect())
+    pending = tools.call(spark, SF, "pending_reconciliations", usr="alpha-1").collect()
+    assert pending and {r.usr for r in pending} == {"alpha-1"}
+    units = [{"path": "d3/f3.py"}, {"path": "d5/f21.py", "symbol": "x", "op": "rename"}, {"path": "gone.py", "symbol": "x", "op": "rename"}, {"path": "d1/f9.py"}]
+    got = {r.grp: (r.units, r.why) for r in tools.call(spark, SF, "plan_work", units=units).collect()}
+    assert got == {0: (3, "shared impact"), 3: (1, "independent")}  # p21 depends on p3
+
+
 def test_pushed_adds_only_what_follows():
     assert pushed("SELECT 1 FROM ledger WHERE kind = 'edit_reported' OR seq = 1") == "SELECT 1 FROM ledger WHERE kind = 'edit_reported' OR seq = 1"
     assert "etype IN ('click', 'purchase') AND kind IN" in pushed("SELECT 1 FROM act WHERE kind IN ('rationale', 'edit_reported')")
