@@ -108,7 +108,7 @@ def test_sessions_split_on_silence_longer_than_the_gap(spark):
     assert [(r.seq, r.why) for r in broken_links(chain.where("seq <> 6"), "k").collect()] == [(7, "link")]
 
 
-@pytest.mark.parametrize("name", ["a17_outcomes", "f17_confidence"])
+@pytest.mark.parametrize("name", ["a17_outcomes", "f17_confidence", "m11_scars"])
 def test_no_window_over_all_that_follows(spark, name):
     """Spark fills such a frame anew for every row, quadratic in a path's rows."""
     assert "unboundedfollowing" not in plan(catalog.QUERIES[name](spark, SF)).replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
