@@ -112,3 +112,11 @@ def test_sessions_split_on_silence_longer_than_the_gap(spark):
 def test_no_window_over_all_that_follows(spark, name):
     """Spark fills such a frame anew for every row, quadratic in a path's rows."""
     assert "unboundedfollowing" not in plan(catalog.QUERIES[name](spark, SF)).replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+
+
+@pytest.mark.parametrize(("tail", "want"), [(47, []), (48, [(1, 15)]), (49, [(1, 15)]), (500, [(1, 15)])])
+def test_a_row_that_begins_where_the_tail_does_counts(spark, tmp_path, tail, want):
+    """The last row has 48 characters: it is whole in a tail of 48, not of 47."""
+    assert len('{"role": "assistant", "usage": 15, "text": "ok"}') == 48
+    spark.createDataFrame([(1, 0, "user", "first"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["s19_last_usage"](spark, str(tmp_path), tail=tail).collect()] == want
