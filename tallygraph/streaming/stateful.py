@@ -53,19 +53,34 @@ def wait_step(state: dict, rows) -> list[tuple]:
     """Folds (seq, usr, kind, ts, path) of one scope into ``state`` {usr: paths
     waited for, oldest first}; returns (usr, path, seq) when another's completed
     work satisfies who waits.  Past ``WAITING`` paths of a user the oldest is
-    evicted; a path waited for is not added again."""
-    out = []
+    evicted; a path waited for is not added again.
+
+    ``waiters`` names who waits for a path by the order in which users came, so
+    completed work meets those users only and not all of the scope."""
+    out: list[tuple] = []
+    order, users = {usr: i for i, usr in enumerate(state)}, list(state)
+    waiters: dict[str, set[int]] = {}
+    for usr, waiting in state.items():
+        for path in waiting:
+            waiters.setdefault(path, set()).add(order[usr])
     for seq, usr, kind, _, path in rows:
         if kind == "intent_declared":
+            if usr not in state:
+                order[usr] = len(users)
+                users.append(usr)
             waiting = state.setdefault(usr, [])
             if path not in waiting:
                 waiting.append(path)
+                waiters.setdefault(path, set()).add(order[usr])
+                for gone in waiting[:-WAITING]:
+                    waiters[gone].discard(order[usr])
                 del waiting[:-WAITING]
         elif kind == "intent_completed":
-            for other, waiting in state.items():
-                if other != usr and path in waiting:
-                    waiting.remove(path)
-                    out.append((other, path, seq))
+            own = order.get(usr)
+            for other in sorted(x for x in waiters.get(path, ()) if x != own):
+                state[users[other]].remove(path)
+                waiters[path].discard(other)
+                out.append((users[other], path, seq))
     return out
 
 

@@ -183,6 +183,22 @@ def test_waiting_is_bounded_and_oldest_goes():
     assert got == [("a", "p20", 99)] and state["b"] == ["p20"] and "p20" not in state["a"]
 
 
+def test_completed_work_meets_only_who_waits():
+    """The users of a scope are gone through once and not for every completion."""
+
+    class Counted(dict):
+        walks = 0
+
+        def items(self):
+            Counted.walks += 1
+            return super().items()
+
+    state = Counted({f"u{i}": [f"p{i}", "q"] for i in range(200)})
+    got = stateful.wait_step(state, [(i, "z", "intent_completed", float(i), f"p{i}") for i in range(200)])
+    assert got == [(f"u{i}", f"p{i}", i) for i in range(200)] and Counted.walks == 1
+    assert [x[0] for x in stateful.wait_step(state, [(300, "u0", "intent_completed", 300.0, "q")])] == [f"u{i}" for i in range(1, 200)] and state["u0"] == ["q"]
+
+
 def test_waiting_imports_equal_a_plain_fold(spark):
     want, scopes = [], {}
     for r in sorted(view(spark, SF, "ledger").select("seq", "usr", "path", "kind", "scope", "ts").collect(), key=lambda r: r.seq):
