@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +122,12 @@ ELSE 'plain text {' END || CASE WHEN p_partkey % 10 = 9 THEN chr(10) || 'x = ('
 
 
 def parsed(s, d) -> DataFrame:
-    return spark_sql(s, d, _SOURCE).select("path", parse_file(F.col("path"), F.col("source")).alias("s"))
+    """(path, s): the files of the part table with their structure.  A few
+    megabytes of keys are millions of files, so the keys are dealt to all cores
+    before a file is made."""
+    n = max(4 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    dealt = f"FROM (SELECT /*+ REPARTITION({n}, p_partkey) */ p_partkey FROM part) part"
+    return spark_sql(s, d, re.sub(r"FROM part$", dealt, _SOURCE)).select("path", parse_file(F.col("path"), F.col("source")).alias("s"))
 
 
 QUERIES = {

@@ -120,3 +120,11 @@ def test_a_row_that_begins_where_the_tail_does_counts(spark, tmp_path, tail, wan
     assert len('{"role": "assistant", "usage": 15, "text": "ok"}') == 48
     spark.createDataFrame([(1, 0, "user", "first"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in catalog.QUERIES["s19_last_usage"](spark, str(tmp_path), tail=tail).collect()] == want
+
+
+@pytest.mark.parametrize("name", ["s17_parse_source", "s26_name_edges", "s27_symbols", "s18_round_trip"])
+def test_files_are_dealt_out_before_they_are_parsed(spark, name):
+    """The part table is one small row group, which would be one task."""
+    text = plan(catalog.QUERIES[name](spark, SF))
+    parse, deal = text.index("ArrowEvalPython"), text.index("REPARTITION_BY_NUM")
+    assert parse < deal and "hashpartitioning(p_partkey#" in text[deal - 60 : deal]
