@@ -7,9 +7,12 @@ depends on their times and numbers only, and not on how files fell into
 micro-batches; rows of the newest cell and the last hour are not due yet.  Rows
 later than the watermark are dropped, as in any windowed aggregation.
 
-A key's state is a map of small rows in the state store.  A cell's work reads and
-writes the elements that it touches, each once, and not what else the key holds.
-What runs out goes by its time, so a key keeps what its rule bounds.
+A key's state is a map of small rows in the state store.  All cells of a key that
+are due are taken at one timer, and read and write the elements that they touch,
+each once, and not what else the key holds.  A cell of a few rows has no entry of
+its own: a key's small cells lie together, so calls to the store go with the keys
+and not with their days.  What runs out goes by its time, so a key keeps what its
+rule bounds.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ GRACE_S, MAX_AGE_S = 20, 86_400
 LATE, LATE_S, CELL_S = "1 hour", 3600, 86_400
 ROW = "seq long, usr string, kind string, ts double, path string"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
+#: Waiting rows as they are stored, and rows of a micro-batch from which a cell
+#: has an entry of its own.
+COLUMNS = ", ".join("{} array<{}>".format(*c.split()) for c in ROW.split(", "))
+LARGE = 256
+#: Elements in memory after which those that are gone are let go, and rows of output
+#: that leave together.
+SEEN, OUT = 4096, 10_000
 
 
 class Elements:
@@ -46,7 +56,9 @@ class Elements:
 
     def get(self, key):
         if key not in self.seen:
-            held = not self.whole and self.state.containsKey((key,))
+            if self.whole:
+                return None
+            held = self.state.containsKey((key,))
             self.seen[key] = tuple(self.state.getValue((key,))) if held else None
             if held:
                 self.stored.add(key)
@@ -55,6 +67,9 @@ class Elements:
     def put(self, key, value) -> None:
         if value is None:
             self.get(key)  # so that it is known whether the store has it
+            if self.whole and key not in self.stored:
+                self.seen.pop(key, None)
+                return
         self.seen[key] = value
 
     def items(self) -> list:
@@ -66,6 +81,11 @@ class Elements:
             self.whole = True
         return [(k, v) for k, v in self.seen.items() if v is not None]
 
+    def trim(self) -> None:
+        """Lets go of elements that came and went since the last ``flush``."""
+        if len(self.seen) > SEEN:
+            self.seen = {k: v for k, v in self.seen.items() if v is not None or k in self.stored}
+
     def flush(self) -> None:
         for key, value in self.seen.items():
             if value is not None:
@@ -86,7 +106,8 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "cell long", f"rows array<struct<{ROW.replace(' ', ': ').replace(',:', ',')}>>")
+        self.few = handle.getListState("few", COLUMNS)
+        self.waiting = handle.getMapState("waiting", "cell long", COLUMNS)
         self.maps = self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> list[Elements]:
@@ -103,22 +124,64 @@ class Ordered(StatefulProcessor):
         for b in rows:
             for row in zip(*(b[c].tolist() for c in NAMES)):
                 cells.setdefault(int(row[3] // self.cell), []).append(row)
+        few: list[tuple] = []
         for cell, new in cells.items():
-            held = self.waiting.getValue((cell,))[0] if self.waiting.containsKey((cell,)) else []
-            self.waiting.updateValue((cell,), ([tuple(r) for r in held] + new,))
-            self.handle.registerTimer((cell + 1) * self.cell * 1000)
-        yield pd.DataFrame([], columns=["key", *self.out])
+            if len(new) < LARGE:
+                few += new
+            else:
+                held = list(zip(*self.waiting.getValue((cell,)))) if self.waiting.containsKey((cell,)) else []
+                self.waiting.updateValue((cell,), _columns(held + new))
+        if few:
+            self.few.appendValue(_columns(few))
+        if cells:
+            self._wake(min(cells))
+        yield from ()
+
+    def _wake(self, cell: int) -> None:
+        self.handle.registerTimer((cell + 1) * self.cell * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        cell, out = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.cell - 1, []
-        if self.waiting.containsKey((cell,)):
-            rows = sorted((tuple(r) for r in self.waiting.getValue((cell,))[0]), key=lambda r: (r[3], r[0]))
-            self.waiting.removeKey((cell,))
-            for row in rows:
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        end = passed // 1000 // self.cell  # cells below it are due
+        small: dict[int, list] = {}
+        for chunk in self.few.get():
+            for row in zip(*chunk):
+                small.setdefault(int(row[3] // self.cell), []).append(row)
+        large = {cell for (cell,) in self.waiting.keys()}
+        later = [row for cell, rows in small.items() if cell >= end for row in rows]
+        due, rest = sorted(c for c in large | small.keys() if c < end), [c for c in large | small.keys() if c >= end]
+        if not due:
+            return
+        if later:
+            self.few.put([_columns(later)])
+        elif small:
+            self.few.clear()
+        out: list[tuple] = []
+        for cell in due:
+            rows = small.pop(cell, [])
+            if cell in large:
+                rows += zip(*self.waiting.getValue((cell,)))
+                self.waiting.removeKey((cell,))
+            for row in sorted(rows, key=lambda r: (r[3], r[0])):
                 out += self.step(row)
             for elements in self.maps:
-                elements.flush()
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["key", *self.out])
+                elements.trim()
+            if len(out) >= OUT:
+                yield self._frame(key, out)
+                out = []
+        for elements in self.maps:
+            elements.flush()
+        if rest:
+            self._wake(min(rest))
+        if out:
+            yield self._frame(key, out)
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *o) for o in out], columns=["key", *self.out])
+
+
+def _columns(rows: list[tuple]) -> tuple:
+    return tuple(list(c) for c in zip(*rows))
 
 
 class Ring(Ordered):

@@ -225,3 +225,61 @@ def test_history_is_bounded():
     state = {}
     live.presence_step(state, [(i, "a", "edit_reported", 0.0, "p") for i in range(99)])
     assert len(state["history"]) == live.HISTORY
+
+
+class Store:
+    """A handle whose states are in memory and count the calls to them."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def _counted(self, state, names):
+        def counted(f):
+            def call(*args):
+                self.calls += 1
+                return f(*args)
+
+            return call
+
+        for name in names:
+            setattr(state, name, counted(getattr(state, name)))
+        return state
+
+    def getMapState(self, *_):
+        return self._counted(Held(), ("containsKey", "getValue", "updateValue", "removeKey", "iterator", "keys"))
+
+    def getListState(self, *_):
+        from types import SimpleNamespace
+
+        rows: list = []
+        return self._counted(SimpleNamespace(get=lambda: list(rows), appendValue=rows.append, put=lambda x: rows.__setitem__(slice(None), x), clear=rows.clear), ("get", "appendValue", "put", "clear"))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("name", ["st7_working_set", "st4_expiring_values"])
+def test_calls_to_the_store_do_not_go_with_days(name):
+    """A key with rows on many days costs as many calls as one with rows on few,
+    and what each day gives is the same."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    def run(days):
+        kinds = ("intent_declared", "edit_reported", "check_performed")
+        rows = [(10 * d + i, "u", kinds[i], 86_400.0 * d + 60 * i, "p") for d in range(days) for i in range(3)]
+        store, processor = Store(), keyed.RULES[name][1]()
+        processor.init(store)
+        assert not [*processor.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=keyed.NAMES)]), None)]
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 86_400_000 * (days - 1) + 1)
+        out: list = []
+        while due := sorted(t for t in store.timers if t < now.getCurrentWatermarkInMs()):
+            out += [r for b in processor.handleExpiredTimer(("u",), now, SimpleNamespace(getExpiryTimeInMs=lambda: due[0])) for r in b.itertuples(index=False, name=None)]
+            store.timers.discard(due[0])
+        return store, out
+
+    (few, _), (many, out) = run(3), run(60)
+    assert [r[1] for r in out] == [10 * d + 2 for d in range(59)]  # the last day is not due
+    assert many.timers == {60 * 86_400_000} and many.calls <= few.calls + 2
