@@ -128,3 +128,22 @@ def test_files_are_dealt_out_before_they_are_parsed(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     parse, deal = text.index("ArrowEvalPython"), text.index("REPARTITION_BY_NUM")
     assert parse < deal and "hashpartitioning(p_partkey#" in text[deal - 60 : deal]
+
+
+def test_slices_do_not_spread_two_steps(spark):
+    """No step of the plan makes a row of each two references of a node."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = catalog.QUERIES["g18_slices"](spark, SF)
+        df._jdf.collectToPython()
+        made, nodes = [], [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            rows = node.metrics().get("numOutputRows")
+            made += [rows.get().value()] if rows.isDefined() else []
+            below = node.children()
+            nodes += [below.apply(i) for i in range(below.size())]
+        spread = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+        assert made and max(made) <= 2 * spread
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -272,7 +272,7 @@ def test_calls_to_the_store_do_not_go_with_days(name):
         rows = [(10 * d + i, "u", kinds[i], 86_400.0 * d + 60 * i, "p") for d in range(days) for i in range(3)]
         store, processor = Store(), keyed.RULES[name][1]()
         processor.init(store)
-        assert not [*processor.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=keyed.NAMES)]), None)]
+        assert not sum(map(len, processor.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=keyed.NAMES)]), None)))
         now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 86_400_000 * (days - 1) + 1)
         out: list = []
         while due := sorted(t for t in store.timers if t < now.getCurrentWatermarkInMs()):
