@@ -208,8 +208,16 @@ def _nested(column: str = "") -> str:
     return """concat('{"user": "', usr, '", "token": "t', k, '", "items": [{"path": "', path, '", "secret": {"k": ', k, '}}, [{"token": null}], ', tokens, '], "deep": {"secret": [1], "kind": "', kind, '"}}')"""
 
 
+#: Rows of whole texts that are in a Python worker at once.
+TEXT_ROWS = 512
+
+
 def _versions(spark, sf_dir):
-    """Each document beside the one before it of its source, by id."""
+    """Each document beside the one before it of its source, by id.  Batches of
+    two whole texts a row are kept short for the session."""
+    own = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if own <= 0 or own > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     return spark.sql(f"SELECT doc_id, text, lag(text) OVER (PARTITION BY source, lang, length(text) % 64 ORDER BY doc_id) AS before FROM parquet.`{sf_dir}/documents.parquet`")
 
 

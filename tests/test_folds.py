@@ -88,3 +88,18 @@ def test_parse_events(spark):
     rows = [("u", "p", 1, 0.0, "clean", '{"f": ["def f(a)", "1"]}'), ("u", "p", 3, 2.0, "clean", "{}"), ("u", "p", 2, 1.0, "clean", '{"f": ["def f(a)", "2"]}'), ("v", "p", 4, 0.0, "clean", None)]
     got = folds.parse_events(spark.createDataFrame(rows, "usr string, path string, seq long, ts double, status string, symbols string")).collect()
     assert [(r.seq, r.symbol, r.kind) for r in sorted(got, key=lambda r: r.seq)] == [(2, "f", "modified"), (3, "f", "unknown")]
+
+
+def test_texts_reach_python_in_short_batches(spark):
+    """The batches of a line diff are bounded, whatever the rows of a task."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    try:
+        folds.QUERIES["m4_line_diff"](spark, "/root/testdata/sf0.001")
+        rows = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")
+        assert spark.range(3000, numPartitions=1).agg(F.max(rows("id"))).first()[0] <= folds.TEXT_ROWS
+    finally:
+        spark.conf.unset(name)
