@@ -49,7 +49,8 @@ SEEN, OUT = 4096, 10_000
 
 class Elements:
     """A map in the state store; what is read or written between two ``flush``
-    is read once and written once."""
+    is read once and written once.  A key that the store may hold is read before
+    it is put."""
 
     def __init__(self, state) -> None:
         self.state, self.seen, self.stored, self.whole = state, {}, set(), False
@@ -210,6 +211,7 @@ class Ring(Ordered):
         focus = kind == "check_performed"
         if focus and was and who == usr and free > first:
             free -= 1
+            self.cells.get(free)  # the store may hold it
         self.cells.put(free, (seq,))
         free += 1
         if free - first > self.size:

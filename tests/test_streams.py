@@ -259,7 +259,7 @@ class Store:
         self.timers.add(at)
 
 
-@pytest.mark.parametrize("name", ["st7_working_set", "st4_expiring_values"])
+@pytest.mark.parametrize("name", ["st7_working_set", "st4_expiring_values", "st5_recent_tail"])
 def test_calls_to_the_store_do_not_go_with_days(name):
     """A key with rows on many days costs as many calls as one with rows on few,
     and what each day gives is the same."""
@@ -268,7 +268,7 @@ def test_calls_to_the_store_do_not_go_with_days(name):
     import pandas as pd
 
     def run(days):
-        kinds = ("intent_declared", "edit_reported", "check_performed")
+        kinds = ("intent_declared", "edit_reported", "gate_block" if name == "st5_recent_tail" else "check_performed")
         rows = [(10 * d + i, "u", kinds[i], 86_400.0 * d + 60 * i, "p") for d in range(days) for i in range(3)]
         store, processor = Store(), keyed.RULES[name][1]()
         processor.init(store)
@@ -283,3 +283,17 @@ def test_calls_to_the_store_do_not_go_with_days(name):
     (few, _), (many, out) = run(3), run(60)
     assert [r[1] for r in out] == [10 * d + 2 for d in range(59)]  # the last day is not due
     assert many.timers == {60 * 86_400_000} and many.calls <= few.calls + 2
+
+
+def test_elements_that_come_and_go_are_let_go():
+    store = Held({(0,): (0.0,)})
+    e = keyed.Elements(store)
+    e.get(0)
+    for i in range(3 * keyed.SEEN):
+        e.put(i, (1.0,))
+        e.put(i, None)
+    e.put(-1, (2.0,))
+    e.trim()
+    assert e.seen == {0: None, -1: (2.0,)}
+    e.flush()
+    assert store == {(-1,): (2.0,)}
