@@ -230,3 +230,19 @@ def test_co_change_bounds_its_episodes(spark):
     nodes = spark.createDataFrame([("p0",), ("p7",), ("lonely",)], "node string")
     rows = {(r.a, r.b): r.w for r in graph.projection(dep, graph.co_change(df), nodes).collect()}
     assert rows["p0", "p1"] == (4 + 2 * 2) / 2 and rows["p7", "p8"] == 3.0 and rows["lonely", ""] == 0.0 and len(rows) == 12
+
+
+def test_neighbours_hold_no_set_of_all_edges(spark, monkeypatch):
+    """Edges are written as they come; only what a level finds is grouped."""
+    plans, cut = [], graph._cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "_cut", seen)
+    graph.QUERIES["g7_neighbours_in_cycles"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and "Aggregate" not in plans[0]
+    edges = [("a", "b"), ("c", "a"), ("b", "d"), ("c", "d")]
+    once, twice = [sorted(map(tuple, graph.neighbours(spark.createDataFrame(edges * n, "src string, dst string"), "a", 2).collect())) for n in (1, 2)]
+    assert once == twice == [("b", "depends_on", "", 1), ("c", "dependents", "", 1), ("d", "depends_on", "b", 2)]
