@@ -35,7 +35,7 @@ class Tree:
     depth: int
 
     def level(self, depth: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/level={depth}")
+        return self.spark.read.schema("path string, parent string, hash string, is_file boolean").parquet(f"{self.folder}/level={depth}")
 
     def nodes(self) -> DataFrame:
         return self.spark.read.option("basePath", self.folder).parquet(*[f"{self.folder}/level={d}" for d in range(self.depth + 1)]).withColumnRenamed("level", "depth")
@@ -49,14 +49,14 @@ def build(files: DataFrame) -> Tree:
     spark = files.sparkSession
     folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    flat = files.where("path is not null and hash is not null").withColumn("parts", parts).where(F.size("parts") > 0)
-    flat = flat.groupBy("parts").agg(F.min("hash").alias("hash")).withColumn("at", F.size("parts"))
-    flat.select("at", F.array_join("parts", "/").alias("path"), "hash").write.partitionBy("at").parquet(f"{folder}/files")
-    depths = [r.at for r in flat.select("at").distinct().collect()]  # one row per depth
+    flat = files.where("path is not null and hash is not null").select(F.array_join(parts, "/").alias("path"), "hash").where("path <> ''")
+    flat = flat.groupBy("path").agg(F.min("hash").alias("hash"))
+    flat.select(F.size(F.split("path", "/")).alias("at"), "path", "hash").write.partitionBy("at").parquet(f"{folder}/files")
     found = spark.read.schema("path string, hash string, at int").parquet(f"{folder}/files")
+    depths = [r.at for r in found.select("at").distinct().collect()]  # one row per depth
     tree, below = Tree(spark, folder, max(depths, default=0)), None
-    name = F.element_at(F.split("path", "/"), -1)
-    up = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
+    name = F.substring_index("path", "/", -1)
+    up = F.left("path", F.greatest(F.length("path") - F.length(name) - 1, F.lit(0)))
     for depth in range(tree.depth, -1, -1):
         here = found.where(F.col("at") == depth).select("path", "hash", F.lit(True).alias("is_file"))
         if below is not None:
@@ -91,7 +91,7 @@ def descent(a: Tree, b: Tree) -> Iterator[DataFrame]:
                 rows = rows.join(front, "parent", "left_semi")
             sides.append(rows.select("path", F.col("hash").alias(own), F.col("is_file").alias(file)))
         sides[0].join(sides[1], "path", "full").write.parquet(f"{folder}/{depth}")
-        met = a.spark.read.parquet(f"{folder}/{depth}")
+        met = a.spark.read.schema("path string, mine string, my_file boolean, theirs string, their_file boolean").parquet(f"{folder}/{depth}")
         yield met
         front = met.where(~F.col("mine").eqNullSafe(F.col("theirs")) & (~F.col("my_file") | ~F.col("their_file"))).select(F.col("path").alias("parent"))
         if front.isEmpty():
@@ -114,7 +114,9 @@ def diverging(a: Tree, b: Tree) -> DataFrame:
 def _checkouts(s, d) -> tuple[DataFrame, DataFrame]:
     key = F.col("p_partkey")
     digits = F.array_join(F.regexp_extract_all(key.cast("string"), F.lit("[0-9]"), F.lit(0)), "/")
-    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.replace("p_brand", F.lit("#")), F.lit("/"), F.when(key % 5 == 0, "deep/er/").otherwise(""), digits).alias("dir"), F.md5("p_name").alias("hash"))
+    # few tasks read the file; paths and hashes are made after it is dealt out
+    rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_name").repartition("p_partkey")
+    part = rows.select("p_partkey", F.concat(F.replace("p_brand", F.lit("#")), F.lit("/"), F.when(key % 5 == 0, "deep/er/").otherwise(""), digits).alias("dir"), F.md5("p_name").alias("hash"))
     mine = part.select(F.concat("dir", F.lit("/f.py")).alias("path"), "hash")
     theirs = part.where(key % 89 != 3).select(F.concat("dir", F.lit("/f.py")).alias("path"), F.when(key % 97 == 5, "other").otherwise(F.col("hash")).alias("hash"))
     return mine, theirs.union(part.where(key % 83 == 7).select(F.concat("dir", F.lit("/g.py")), "hash"))

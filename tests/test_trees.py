@@ -74,6 +74,19 @@ def test_odd_files(spark):
     assert [tuple(r) for r in trees.diverging(tree, none).collect()] == [("a/b", "0", None)]
 
 
+def test_files_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    files = {f"d{i % 3}/e/f{i}": "h" for i in range(20)}
+    tree = trees.build(table(spark, files).mapInPandas(count, "path string, hash string"))
+    assert seen.value == 20 and tree.depth == 3
+
+
 def test_equal_folders_are_not_read(spark):
     files = {f"d{a}/e{b}/f{c}": f"h{a}{b}{c}" for a in range(6) for b in range(5) for c in range(8)}
     a = trees.build(table(spark, files))
