@@ -39,6 +39,17 @@ def test_louvain_finds_planted_groups(spark):
     assert len(set(fine.values())) > len(set(got.values()))
 
 
+def test_louvain_broadcasts_nothing(spark):
+    shown = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = shown().size()
+    rows = [(f"n{a}", f"n{b}", 1.0) for a in range(12) for b in range(a) if a // 4 == b // 4 or a - b == 4]
+    edges, nodes = spark.createDataFrame(rows, "a string, b string, w double"), spark.createDataFrame([("alone",)], "node string")
+    assert len(communities.louvain(edges, nodes).collect()) == 13
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [shown().apply(i).physicalPlanDescription() for i in range(before, shown().size())]
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_louvain_of_nothing(spark):
     assert communities.louvain(spark.createDataFrame([], "a string, b string, w double")).count() == 0
 
