@@ -1,9 +1,10 @@
 """Stateful streams: calls with a cursor, waiting imports, live fan-out.
 
-State is kept per key by ``applyInPandasWithState``.  Waiting users are bounded
-per path; cursors are kept per (scope, user) group of a scope, so they grow with
-the users ever seen there and not with the events.  Within a batch rows are
-handled by ``seq``, so a key's rows of one micro-batch are held together.
+State is kept per key by ``applyInPandasWithState``.  Who waits is kept per
+(scope, path) until served, however many paths a user waits for; cursors are kept
+per (scope, user) group of a scope, so they grow with the users ever seen there
+and not with the events.  Within a batch rows are handled by ``seq``, so a key's
+rows of one micro-batch are held together.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .twins import _drained, _events
 
-#: Paths waited for per user, the oldest go first; unseen events shown; rows of
-#: a micro-batch that a live reader has room for.
+#: Paths waited for per user, the oldest go first, in a live session's memory (the
+#: query has no such bound); unseen events shown; rows of a micro-batch that a live
+#: reader has room for.
 WAITING, SHOWN, BOUND = 40, 15, 256
 _KIND = "CASE event_type WHEN 'purchase' THEN 'edit_reported' WHEN 'view' THEN 'check_performed' WHEN 'click' THEN 'intent_declared' WHEN 'signup' THEN 'intent_completed' ELSE 'gate_block' END"
 
@@ -49,11 +51,12 @@ def call_step(state: dict, rows) -> list[tuple]:
     return out
 
 
-def wait_step(state: dict, rows) -> list[tuple]:
+def wait_step(state: dict, rows, most: int | None = WAITING) -> list[tuple]:
     """Folds (seq, usr, kind, ts, path) of one scope into ``state`` {usr: paths
     waited for, oldest first}; returns (usr, path, seq) when another's completed
-    work satisfies who waits.  Past ``WAITING`` paths of a user the oldest is
-    evicted; a path waited for is not added again.
+    work satisfies who waits.  Past ``most`` paths of a user the oldest is evicted,
+    with None none is; a path waited for is not added again, and a user who waits
+    for none is let go.
 
     ``waiters`` names who waits for a path by the order in which users came, so
     completed work meets those users only and not all of the scope."""
@@ -65,20 +68,22 @@ def wait_step(state: dict, rows) -> list[tuple]:
             waiters.setdefault(path, set()).add(order[usr])
     for seq, usr, kind, _, path in rows:
         if kind == "intent_declared":
-            if usr not in state:
+            if usr not in order:
                 order[usr] = len(users)
                 users.append(usr)
             waiting = state.setdefault(usr, [])
             if path not in waiting:
                 waiting.append(path)
                 waiters.setdefault(path, set()).add(order[usr])
-                for gone in waiting[:-WAITING]:
+                for gone in waiting[:-most] if most else ():
                     waiters[gone].discard(order[usr])
-                del waiting[:-WAITING]
+                    waiting.remove(gone)
         elif kind == "intent_completed":
             own = order.get(usr)
             for other in sorted(x for x in waiters.get(path, ()) if x != own):
                 state[users[other]].remove(path)
+                if not state[users[other]]:
+                    del state[users[other]]
                 waiters[path].discard(other)
                 out.append((users[other], path, seq))
     return out
@@ -93,17 +98,18 @@ def newest_step(state: dict, rows) -> list[tuple]:
     return [(seq, kind, usr, skipped) for seq, usr, kind in rows[skipped:]]
 
 
-def _stateful(stream: DataFrame, key: str, step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind")) -> DataFrame:
-    """Drains ``stream`` through ``step``."""
+def _stateful(stream: DataFrame, key: str | list[str], step, empty: str, schema: str, names: list[str], columns: tuple = ("seq", "usr", "kind")) -> DataFrame:
+    """Drains ``stream`` through ``step``, by one key or several."""
+    keys = [key] if isinstance(key, str) else key
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0] if state.exists else empty)
         rows = sorted(r for b in batches for r in b[list(columns)].astype({"seq": int}).itertuples(index=False, name=None))
         out = step(held, rows)
         state.update((json.dumps(held),))
-        yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
+        yield pd.DataFrame([(*k, *o) for o in out], columns=[*keys, *names])
 
-    done = stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    done = stream.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
     return _drained(done, "append")
 
 
@@ -114,9 +120,15 @@ def unseen_by_call(stream: DataFrame) -> DataFrame:
 
 def waiting_imports(stream: DataFrame) -> DataFrame:
     """(scope, usr, path, seq): who waited for a path and the row that satisfied
-    it."""
-    rows = stream.where("kind in ('intent_declared', 'intent_completed')")
-    return _stateful(rows, "scope", wait_step, "{}", "scope string, usr string, path string, seq long", ["usr", "path", "seq"], ("seq", "usr", "kind", "ts", "path"))
+    it.  Nobody is evicted, so the paths of a scope do not meet and each is a key
+    of its own, whose state is the users who wait for it."""
+
+    def step(state: dict, rows) -> list[tuple]:
+        return [(usr, seq) for usr, _, seq in wait_step(state, rows, None)]
+
+    rows = stream.where("kind in ('intent_declared', 'intent_completed') and scope is not null and path is not null and usr is not null")
+    done = _stateful(rows, ["scope", "path"], step, "{}", "scope string, path string, usr string, seq long", ["usr", "seq"], ("seq", "usr", "kind", "ts", "path"))
+    return done.select("scope", "usr", "path", "seq")
 
 
 def fan_out(stream: DataFrame, scope: str | None = None) -> DataFrame:

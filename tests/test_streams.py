@@ -208,6 +208,26 @@ def test_waiting_imports_equal_a_plain_fold(spark):
     assert got and sorted(got) == sorted(want)
 
 
+def test_no_waiting_path_is_evicted(spark, tmp_path):
+    """More paths than a live session remembers, the oldest of them completed, and
+    a path waited for twice."""
+    n = 2 * stateful.WAITING + 5
+    rows = [(i, "a", "intent_declared", i) for i in range(n)] + [(n, "b", "intent_declared", 0)]
+    rows += [(n + 1 + i, "b", "intent_completed", i) for i in range(n)] + [(3 * n, "a", "intent_declared", 0), (3 * n + 1, "c", "intent_completed", 0)]
+    df = spark.createDataFrame([(seq, float(seq), "ws:r0", usr, f"p{p}", kind) for seq, usr, kind, p in rows], "seq long, ts double, scope string, usr string, path string, kind string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/rows")
+    got = [tuple(r) for r in stateful.waiting_imports(stream).collect()]
+    want = [("ws:r0", "a", f"p{i}", n + 1 + i) for i in range(n)] + [("ws:r0", u, "p0", 3 * n + 1) for u in "ab"]
+    assert sorted(got) == sorted(want)
+
+
+def test_who_waits_for_nothing_is_let_go():
+    state = {}
+    stateful.wait_step(state, [(1, "a", "intent_declared", 1.0, "p"), (2, "b", "intent_completed", 2.0, "p")], None)
+    assert state == {}
+
+
 def test_slow_readers_skip():
     state = {}
     rows = [(i, "u", "k") for i in range(stateful.BOUND + 7)]
