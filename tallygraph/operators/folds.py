@@ -212,13 +212,41 @@ def _nested(column: str = "") -> str:
 TEXT_ROWS = 512
 
 
+#: Stretches of rows that are dealt out for each partition of a shuffle.
+STRETCHES = 2
+
+
+def with_before(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``rows`` with ``before``: ``value`` of the row before it of its key, in the
+    order of ``order``, then of ``value``.
+
+    Keys may be few and large, so rows are dealt by stretches of (key, order) that
+    hold about as many each.  The last row of a stretch also goes to the next one,
+    where it is the row before the first and is not returned."""
+    n = STRETCHES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(key, order)
+    parts = rows.select(key, order).repartitionByRange(n, key, order).select(F.spark_partition_id().alias("part"), place.alias("place"))
+    ends = parts.groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last")).orderBy("first").collect()  # one row per stretch
+    if not ends:
+        return rows.withColumn("before", F.col(value))
+    known = lambda r: F.struct(*[F.lit(r[c]).cast(rows.schema[c].dataType).alias(c) for c in (key, order)])
+    firsts, lasts = (F.array(*[known(r[end]) for r in ends]) for end in ("first", "last"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(ends).bit_length())))])
+    # stretches that begin at the row or before it, by halving
+    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when(F.get(firsts, a + s - 1) <= place, a + s).otherwise(a))
+    own, next_one = (F.struct(s.alias("at"), F.lit(mine).alias("own")) for s, mine in ((F.col("__at"), True), (F.col("__at") + 1, False)))
+    dealt = rows.withColumn("__at", at).withColumn("__to", F.explode(F.when(F.get(lasts, F.col("__at") - 1).eqNullSafe(place), F.array(own, next_one)).otherwise(F.array(own))))
+    beside = dealt.withColumn("before", F.lag(value).over(Window.partitionBy(key, "__to.at").orderBy(order, value)))
+    return beside.where("__to.own").drop("__at", "__to")
+
+
 def _versions(spark, sf_dir):
     """Each document beside the one before it of its source, by id.  Batches of
     two whole texts a row are kept short for the session."""
     own = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if own <= 0 or own > TEXT_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    return spark.sql(f"SELECT doc_id, text, lag(text) OVER (PARTITION BY source, lang, length(text) % 64 ORDER BY doc_id) AS before FROM parquet.`{sf_dir}/documents.parquet`")
+    return with_before(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "source", "doc_id", "text")
 
 
 QUERIES = {

@@ -103,3 +103,24 @@ def test_texts_reach_python_in_short_batches(spark):
         assert spark.range(3000, numPartitions=1).agg(F.max(rows("id"))).first()[0] <= folds.TEXT_ROWS
     finally:
         spark.conf.unset(name)
+
+
+def test_every_version_meets_the_one_before_it(spark, tmp_path):
+    """Texts of any length and language are beside the one before them of their
+    source, over the ends of stretches too; against a plain fold."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "", "long " * 9]) + "x" * rng.randrange(200), rng.choice(["en", "de"]), rng.choice(["s1", "s1", "s1", "s2", "", None])) for i in range(300)]
+    rows += [(400, None, "en", "s1"), (401, "after none", "en", "s1"), (402, "b", "en", "s1"), (402, "a", "de", "s1"), (403, "last", "de", "s1"), (7, "once", "en", "alone")]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, last = [], {}
+    for i, text, _, source in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        want.append((i, text, last.get(source)))
+        last[source] = text
+    got = [(r.doc_id, r.text, r.before) for r in folds._versions(spark, str(tmp_path)).collect()]
+    plain = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=plain) == sorted(want, key=plain)
+    none = spark.createDataFrame([], "k string, o long, v string")
+    assert folds.with_before(none, "k", "o", "v").collect() == []
